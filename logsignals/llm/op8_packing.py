@@ -32,7 +32,8 @@ LIMIT, END_ID, VOCABULARY = 2048, 0, "byte_bpe_50k.json"
 #: Leading white space with the run that follows it, or white space at the end: the tokenizer never joins across their borders.
 CHUNK = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z")
 #: Where that is not so: other white space, which forms one word with the ASCII one beside it, and the special token's text.
-ODD = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]|<\|endoftext\|>")
+_SPACES = "".join(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x1C, 0x20), *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
+ODD = re.compile(rf"[{_SPACES}]|<\|endoftext\|>")
 REMEMBERED = 300_000
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from logsignals.llm import op6_jaccard_join
+from logsignals.llm import op6_jaccard_join, op7_token_counts, op8_packing
 
 QUERIES = {
     "op6_jaccard_join": op6_jaccard_join.op6,
+    "op7_token_counts": op7_token_counts.op7,
+    "op8_best_fit_packing": op8_packing.op8,
 }
 ORACLE: dict[str, str] = {}
