@@ -15,8 +15,11 @@ import numpy as np
 
 from logsignals.llm.textual import mixed
 
-#: Outer ranges beyond the k2-bound: so many may have an empty inner range before empty contents get signatures.
-SPARE = 2
+
+
+def spare(needed: int) -> int:
+    """Outer ranges beyond the bound on k: so many may have an empty inner range before empty contents get signatures."""
+    return 2 + needed // 24
 
 
 @lru_cache(maxsize=64)
@@ -29,11 +32,12 @@ def bands(percent: int, most: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4096)
-def plan(upper: int, percent: int) -> tuple[int, int, int]:
-    """(n1, n2, k2) for sets of at most `upper` members: |s ^ t| <= (|s| + |t|) * (100 - p) / (100 + p)."""
+def plan(upper: int, percent: int) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, spare) for sets of at most `upper` members: |s ^ t| <= (|s| + |t|) * (100 - p) / (100 + p)."""
     k = 2 * upper * (100 - percent) // (100 + percent)
     n2, k2 = (4, 1) if k <= 20 else (2, 1)
-    return -(-(k + 1) // (k2 + 1)) + SPARE, n2, k2
+    needed = -(-(k + 1) // (k2 + 1))
+    return needed + spare(needed), n2, k2, spare(needed)
 
 
 @lru_cache(maxsize=64)
@@ -52,7 +56,7 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles), dtype=np.uint64)])
         for band in (own, own + 1):
-            n1, n2, k2 = plan(int(edges[band + 1]) - 1, percent)
+            n1, n2, k2, most_empty = plan(int(edges[band + 1]) - 1, percent)
             cuts = np.searchsorted(shingles, _starts(n1 * n2))
             at = np.append(cuts, n)
             held = np.diff(at).reshape(n1, n2)
@@ -61,7 +65,7 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
             filled = held[:, chosen].sum(2) > 0
             salted = mixed(content + mixed(np.arange(n1 * n2, dtype=np.uint64) + np.uint64(band << 32)).reshape(n1, n2))
             sig = mixed(salted[:, chosen].sum(2, dtype=np.uint64) + np.arange(len(chosen), dtype=np.uint64))
-            short = (~filled).any(1).sum() > SPARE
+            short = (~filled).any(1).sum() > most_empty
             out.append(sig.ravel() if short else sig[filled])
     return np.concatenate(out)
 

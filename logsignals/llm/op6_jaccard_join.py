@@ -31,40 +31,38 @@ from logsignals.llm.textual import digest_of, saved, shingles_of, table, words_o
 
 #: Rows up to which the pairs of one signature are formed; the others go through the prefix filter. Either way is exact.
 CROWDED = 16
-#: Ids of classes to verify up to which they are broadcast as a filter (some 100 MB as a hash table); beyond, a shuffled join.
+#: Ids of documents whose shingles are wanted, up to which they are broadcast as a filter (some 50 MB); beyond, a shuffled join.
 BROADCAST_IDS = 1_000_000
+BITS = ("b0", "b1", "b2", "b3")
 
 
-def _sets(size: int, what: str, percent: int = 0):
+def _hashed(size: int, what: str, percent: int = 0):
     """A function for mapInArrow over (id, text): members, signatures or sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             ids, out = batch.column(0), []
-            for i, text in enumerate(batch.column(1)):
+            for text in batch.column(1):
                 shingles = shingles_of(words_of(text.as_py()), size)
                 cls = digest_of(shingles)
                 if what == "members":
-                    out.append((cls, len(shingles)))
+                    out.append((cls, len(shingles), *_bitmap(shingles)))
                 elif len(shingles) and cls not in seen:
                     seen.add(cls)
-                    out.append((cls, len(shingles), shingles if what == "sets" else signatures(shingles, percent)))
+                    out.append((cls, shingles if what == "sets" else signatures(shingles, percent)))
                 if len(seen) > 1_000_000:  # memory; classes met again only repeat rows
                     seen.clear()
             if what == "members":
-                cls, n = np.array(out, np.int64).reshape(-1, 2).T
-                yield pa.RecordBatch.from_arrays([ids, pa.array(cls), pa.array(n)], ["doc_id", "cls", "n"])
+                columns = np.array(out, np.int64).reshape(-1, 2 + len(BITS)).T
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in columns)], ["doc_id", "cls", "n", *BITS])
             elif out:
-                cls, n = np.array([x[:2] for x in out], np.int64).T
-                held = np.array([len(x[2]) for x in out])
-                flat = np.concatenate([x[2] for x in out]).view(np.int64)
+                cls, held = np.array([x[0] for x in out], np.int64), np.array([len(x[1]) for x in out])
+                flat = pa.array(np.concatenate([x[1] for x in out]).view(np.int64))
                 if what == "signatures":
-                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(cls, held)), pa.array(np.repeat(n, held))], ["sig", "cls", "n"])
+                    yield pa.RecordBatch.from_arrays([flat, pa.array(np.repeat(cls, held))], ["sig", "cls"])
                 else:
-                    bits = np.array([_bitmap(x[2]) for x in out])
-                    items = pa.ListArray.from_arrays(pa.array(np.append(0, held.cumsum()), pa.int32()), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n), *(pa.array(b) for b in bits.T), items], ["cls", "n", "b0", "b1", "b2", "b3", "items"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.ListArray.from_arrays(pa.array(np.append(0, held.cumsum()), pa.int32()), flat)], ["cls", "items"])
 
     return run
 
@@ -77,24 +75,27 @@ def _bitmap(shingles: np.ndarray) -> np.ndarray:
 
 def _near_enough(percent: int, a: str, b: str):
     """The bounds that every link meets: on sizes, and on the bits that differ."""
-    apart = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(4)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}.{i}").bitwiseXOR(F.col(f"{b}.{i}"))) for i in BITS), F.lit(0))
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough. Only pairs within the bounds carry shingles."""
-    small = sets.drop("items")
-    within = (
-        pairs.join(small.alias("p"), F.col("a") == F.col("p.cls"))
-        .join(small.alias("q"), F.col("b") == F.col("q.cls"))
-        .filter(_near_enough(percent, "p", "q"))
-        .select("a", "b")
-    )
-    items = sets.select("cls", "items")
+def _items(docs: DataFrame, classes: DataFrame, some: DataFrame, size: int) -> DataFrame:
+    """(cls, items) for the classes in some(cls), from the text of one document of each."""
+    ids = saved(some.distinct().join(classes, "cls").select("doc_id"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(_hashed(size, "sets"), "cls long, items array<long>")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough. Only pairs within the bounds fetch shingles."""
+    p, q = classes.alias("p"), classes.alias("q")
+    within = pairs.join(p, F.col("a") == F.col("p.cls")).join(q, F.col("b") == F.col("q.cls")).filter(_near_enough(percent, "p", "q"))
+    within = saved(within.select("a", "b"))
+    items = _items(docs, classes, within.select(F.col("a").alias("cls")).union(within.select("b")), size)
     both = within.join(items.withColumnsRenamed({"cls": "a", "items": "x"}), "a").join(items.withColumnsRenamed({"cls": "b", "items": "y"}), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return shared.filter(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b")
+    return saved(shared.filter(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b"))
 
 
 def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -105,48 +106,45 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between classes: not all, but enough for the same components."""
     w = Window.partitionBy("sig")
-    rows = docs.mapInArrow(_sets(size, "signatures", percent), "sig long, cls long, n long")
+    rows = docs.mapInArrow(_hashed(size, "signatures", percent), "sig long, cls long")
     met = rows.withColumns({"rep": F.min("cls").over(w), "last": F.max("cls").over(w), "rows": F.count("*").over(w)})
-    met = saved(met.filter("rep <> last").select("sig", "cls", "rep", "rows").distinct())
-
-    wanted = saved(met.select("cls").distinct().join(classes, "cls").select("doc_id"))
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = saved(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size, "sets"), "cls long, n long, b0 long, b1 long, b2 long, b3 long, items array<long>").dropDuplicates(["cls"]))
+    met = saved(met.filter("rep <> last").select("sig", "cls", "rep", "rows"))
 
     star = met.filter("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
-    first = saved(_verified(star, sets, percent))
+    first = _verified(docs, classes, star, size, percent)
 
-    parts = _labelled(met.select("sig", "cls", "rows"), components(first))
     split = Window.partitionBy("sig")
+    parts = _labelled(met.select("sig", "cls", "rows"), components(first))
     open_ = saved(parts.withColumns({"low": F.min("label").over(split), "high": F.max("label").over(split)}).filter("low <> high").select("sig", "cls", "label", "rows"))
-    few = open_.filter(F.col("rows") <= CROWDED).alias("p")
-    pairs = few.join(few.alias("q"), (F.col("p.sig") == F.col("q.sig")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label")))
-    pairs = pairs.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct()
+    few = open_.filter(F.col("rows") <= CROWDED).join(classes, "cls")
+    on = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label"))
+    pairs = few.alias("p").join(few.alias("q"), on & _near_enough(percent, "p", "q")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
 
-    crowd = saved(open_.filter(F.col("rows") > CROWDED).select("cls", "label").distinct().join(sets, "cls"))
-    return first.union(_verified(pairs, sets, percent)).union(_verified(_prefix_pairs(crowd, percent), sets, percent))
+    crowd = saved(open_.filter(F.col("rows") > CROWDED).select("cls", "label").distinct())
+    items = _items(docs, classes, crowd.select("cls"), size)
+    rare = _prefix_pairs(crowd.join(classes, "cls"), saved(items), percent)
+    return first.union(_verified(docs, classes, pairs.union(rare).distinct(), size, percent))
 
 
-def _prefix_pairs(crowd: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(crowd: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that share one of their rarest n - ceil(p * n) + 1 shingles and pass the bounds."""
-    each = crowd.select("cls", F.explode("items").alias("item"))
-    ranked = each.join(each.groupBy("item").agg(F.count("*").alias("df")), "item")
-    prefix = ranked.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("ordered"))
+    each = items.select("cls", F.explode("items").alias("item"))
+    ranked = each.join(each.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1"), "item", "left")
+    ordered = ranked.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("ordered"))
     length = F.size("ordered") - F.ceil(F.size("ordered") * percent / 100).cast("int") + 1
-    rare = prefix.select("cls", F.explode(F.slice("ordered", F.lit(1), length)).alias("x")).filter("x.df > 1").select("cls", F.col("x.item").alias("item"))
-    rare = rare.join(crowd.drop("items"), "cls")
-    p, q = rare.alias("p"), rare.alias("q")
+    rare = ordered.select("cls", F.explode(F.slice("ordered", F.lit(1), length)).alias("x")).filter("x.df > 1").select("cls", F.col("x.item").alias("item"))
+    rare = rare.join(crowd, "cls")
     on = (F.col("p.item") == F.col("q.item")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label"))
-    return p.join(q, on & _near_enough(percent, "p", "q")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct()
+    return rare.alias("p").join(rare.alias("q"), on & _near_enough(percent, "p", "q")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that its links reach, itself included)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    members = saved(docs.mapInArrow(_sets(size, "members"), "doc_id long, cls long, n long"))
-    classes = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    members = saved(docs.mapInArrow(_hashed(size, "members"), "doc_id long, cls long, n long, " + ", ".join(f"{b} long" for b in BITS)))
+    classes = saved(members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("n", *BITS))))
     labels = components(_links(docs, classes, size, percent))
-    named = _labelled(classes, labels)
+    named = _labelled(classes.select("cls", "doc_id"), labels)
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = named.join(smallest, "label").select("cls", "component_id", F.lit(True).alias("filled"))
     return (
