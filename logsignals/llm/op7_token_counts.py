@@ -12,6 +12,7 @@ are counted each; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -31,6 +32,7 @@ REMEMBERED = 400_000
 GROUP = 4_000_000
 VOCABULARY = "word_bpe_49k.json"
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
 _encoders: dict[str, PrefixCounter] = {}
 
 
