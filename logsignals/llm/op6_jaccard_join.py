@@ -7,8 +7,9 @@ follow, none of which enumerates the pairs of a crowded signature:
 1. each class of a signature is verified against the smallest class there; links make components;
 2. where a signature of few rows still holds several components, the pairs between them are verified;
 3. classes of crowded signatures with several components meet again on their rarest shingles (prefix
-   filter, rarest first among those classes), and only pairs between components that pass the size
-   bound and the bitmap bound (the bits that differ never outnumber the shingles that do) leave the join.
+   filter, rarest first among those classes): each is first verified against the smallest class that has
+   the shingle, and of what is still apart only pairs that pass the bounds on sizes, on places and on
+   bitmaps (the bits that differ never outnumber the shingles that do) leave the join.
 
 Nulls and texts without words have an empty set and link with nothing; a text of fewer words than
 a shingle has one shingle, the whole; repeated rows are copies and each is returned; other columns
@@ -120,22 +121,30 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     on = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label"))
     pairs = few.alias("p").join(few.alias("q"), on & _near_enough(percent, "p", "q")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
 
-    crowd = saved(open_.filter(F.col("rows") > CROWDED).select("cls", "label").distinct())
-    items = _items(docs, classes, crowd.select("cls"), size)
-    rare = _prefix_pairs(crowd.join(classes, "cls"), saved(items), percent)
-    return first.union(_verified(docs, classes, pairs.union(rare).distinct(), size, percent))
+    crowd = saved(open_.filter(F.col("rows") > CROWDED).select("cls").distinct())
+    rare = saved(_prefixes(saved(_items(docs, classes, crowd, size)), percent).join(classes.drop("doc_id"), "cls"))
+    stars = rare.withColumn("rep", F.min("cls").over(Window.partitionBy("item"))).filter("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b"))
+    known = first.union(_verified(docs, classes, stars.distinct().join(star, ["a", "b"], "left_anti"), size, percent))
+    pairs = pairs.union(_prefix_pairs(_labelled(rare, components(known)), percent))
+    return known.union(_verified(docs, classes, pairs.distinct(), size, percent))
 
 
-def _prefix_pairs(crowd: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share one of their rarest n - ceil(p * n) + 1 shingles and pass the bounds."""
+def _prefixes(items: DataFrame, percent: int) -> DataFrame:
+    """(cls, item, place) for the rarest n - ceil(p * n) + 1 shingles of each class that some other class has too."""
     each = items.select("cls", F.explode("items").alias("item"))
     ranked = each.join(each.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1"), "item", "left")
     ordered = ranked.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("ordered"))
     length = F.size("ordered") - F.ceil(F.size("ordered") * percent / 100).cast("int") + 1
-    rare = ordered.select("cls", F.explode(F.slice("ordered", F.lit(1), length)).alias("x")).filter("x.df > 1").select("cls", F.col("x.item").alias("item"))
-    rare = rare.join(crowd, "cls")
+    rare = ordered.select("cls", F.posexplode(F.slice("ordered", F.lit(1), length)).alias("place", "x")).filter("x.df > 1")
+    return rare.select("cls", "place", F.col("x.item").alias("item"))
+
+
+def _prefix_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that meet on a rare shingle and pass the bounds, also that on what can still be shared after a first common shingle."""
     on = (F.col("p.item") == F.col("q.item")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label"))
-    return rare.alias("p").join(rare.alias("q"), on & _near_enough(percent, "p", "q")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
+    left = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
+    first = left * (100 + percent) >= (F.col("p.n") + F.col("q.n")) * percent
+    return rare.alias("p").join(rare.alias("q"), on & first & _near_enough(percent, "p", "q")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
