@@ -12,6 +12,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -31,11 +32,15 @@ from logsignals.llm.textual import saved, table
 LIMIT, END_ID, VOCABULARY = 2048, 0, "byte_bpe_50k.json"
 #: Leading white space with the run that follows it, or white space at the end: the tokenizer never joins across their borders.
 CHUNK = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z")
-#: Where that is not so: other white space, which forms one word with the ASCII one beside it, and the special token's text.
 _SPACES = "".join(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x1C, 0x20), *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
+#: Where that is not so: other white space, which forms one word with the ASCII one beside it, and the special token's text.
 ODD = re.compile(rf"[{_SPACES}]|<\|endoftext\|>")
-REMEMBERED = 300_000
+#: Without these, each space starts a word of the tokenizer and each line end is one, so that splitting is enough.
+UNEVEN = re.compile(rf"[\x20\n][\x20\n]|[\x00\x09\x0B-\x0D{_SPACES}]|<\|endoftext\|>")
+#: Chunks in one generation of those that a worker remembers; two are kept (memory only).
+REMEMBERED = 500_000
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -49,6 +54,7 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> ChunkEncoder:
@@ -57,11 +63,13 @@ class ChunkEncoder:
         return _encoders[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [[t] if ODD.search(t) else CHUNK.findall(t) for t in texts]
-        new = list(set(chain.from_iterable(chunks)).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(chain.from_iterable(chunks)))
+        chunks = [_chunks(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        new = set(chain.from_iterable(chunks)).difference(self.known)
+        again = new & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        new = list(new - again)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
@@ -72,6 +80,13 @@ class ChunkEncoder:
         return out
 
 
+def _chunks(text: str) -> list[str]:
+    """Parts of a text that the tokenizer encodes on their own."""
+    if not UNEVEN.search(text):
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return [text] if ODD.search(text) else CHUNK.findall(text)
+
+
 def _pieces(path: str, limit: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
