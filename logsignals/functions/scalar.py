@@ -15,7 +15,15 @@ INJECTION = {
 }
 BENIGN_SERVICE_PORTS = (21, 22, 23, 25, 53, 67, 68, 80, 110, 123, 137, 138, 139, 143, 389, 443, 445, 465, 587, 993, 995, 1080, 1433, 1521, 3306, 3389, 5432, 5900, 6379, 8080, 8443, 8888, 27017)
 PRIVATE = (("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("127.0.0.0", 8), ("169.254.0.0", 16), ("0.0.0.0", 8), ("192.0.0.0", 29), ("192.0.2.0", 24), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4))
-PROTOCOLS = {"6": "TCP", "17": "UDP", "1": "ICMP", "tcp": "TCP", "udp": "UDP", "icmp": "ICMP"}
+PROTOCOLS = {"TCP": "GET", "UDP": "POST", "ICMP": "OPTIONS"}
+STATES = {"REQ": "GET", "CON": "POST", "FIN": "DELETE", "INT": "GET", "RST": "GET", "CLO": "GET"}
+CATEGORIES = (
+    ("DDoS", "DDoS"), ("Brute Force", "Brute Force"), ("FTP-Patator", "Brute Force"), ("SSH-Patator", "Brute Force"), ("DoS", "DoS"), ("Hulk", "DoS"), ("GoldenEye", "DoS"),
+    ("PortScan", "Port Scan"), ("Bot", "Botnet"), ("Web Attack", "Web Attack"), ("Infiltration", "Infiltration"), ("Heartbleed", "Heartbleed"),
+)
+UNSW_CATEGORIES = {"normal": "Benign", "fuzzers": "Fuzzing", "analysis": "Analysis", "backdoors": "Backdoor", "backdoor": "Backdoor", "dos": "DoS", "exploits": "Exploit", "generic": "Generic Attack", "reconnaissance": "Reconnaissance", "shellcode": "Shellcode", "worms": "Worm"}
+THREAT_LABELS = {"DOS": "DoS", "DDOS": "DDoS", "PORT_SCAN": "Port Scan", "BRUTE_FORCE": "Brute Force", "CREDENTIAL_STUFFING": "Brute Force", "BOT_ACTIVITY": "Botnet", "SCRAPING": "DoS", "WEB_ATTACK": "Web Attack", "UNKNOWN_ABUSE": "Other", "NONE": "Benign"}
+OBJECTS, LOGINS = ("/user/", "/account/", "/profile/", "/order/"), ("/login", "/auth", "/token", "/session")
 # End of the fixed values.
 
 
@@ -44,18 +52,37 @@ def latency_ms(micros: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(micros / 1000, F.lit(10000.0)))
 
 
+def _lookup(key: Column, values: dict[str, str], default: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for p in values.items() for x in p))[key], default)
+
+
 def method(protocol: Column) -> Column:
-    """Protocol number or name to a method; GET if unknown."""
-    return F.coalesce(F.create_map(*(F.lit(x) for p in PROTOCOLS.items() for x in p))[F.lower(protocol)], F.lit("GET"))
+    """Protocol to a method; GET if unknown."""
+    return _lookup(F.upper(F.trim(protocol)), PROTOCOLS, F.lit("GET"))
+
+
+def state_method(state: Column) -> Column:
+    """Connection state to a method; GET if unknown."""
+    return _lookup(F.upper(F.trim(state)), STATES, F.lit("GET"))
 
 
 def category(label: Column) -> Column:
     """Raw label to a category by ordered substrings, DDoS before DoS."""
-    low, out = F.lower(label), F.lit("Other")
-    rules = (("benign", "Benign"), ("ddos", "DDoS"), ("dos", "DoS"), ("portscan", "Port Scan"), ("bot", "Botnet"), ("patator", "Brute Force"), ("brute", "Brute Force"), ("web", "Web Attack"), ("infiltration", "Infiltration"), ("heartbleed", "Heartbleed"))
-    for part, name in reversed(rules):
-        out = F.when(low.contains(part), name).otherwise(out)
-    return out
+    label, out = F.trim(label), F.lit("Other")
+    for part, name in reversed(CATEGORIES):
+        out = F.when(label.contains(part), name).otherwise(out)
+    return F.when(label == "BENIGN", "Benign").otherwise(out)
+
+
+def unsw_category(raw: Column) -> Column:
+    """Category of the UNSW set; unknown ones stay, blank or null is Benign."""
+    c = or_default(F.trim(raw), "normal")
+    return _lookup(F.lower(c), UNSW_CATEGORIES, c)
+
+
+def threat_label(threat: Column) -> Column:
+    """Threat to the label of ground truth."""
+    return _lookup(threat, THREAT_LABELS, threat)
 
 
 def numeric_component(endpoint: Column) -> Column:
@@ -111,12 +138,10 @@ def port_endpoint(port_text: Column) -> Column:
 
 
 def owasp(endpoint: Column) -> Column:
-    """Context of an endpoint (P20)."""
-    low, out = F.lower(endpoint), F.lit(None).cast("string")
-    rules = (("admin", "API5"), ("login", "API2"), ("auth", "API2"), ("search", "API4"), ("user", "API1"), ("item", "API1"))
-    for part, name in reversed(rules):
-        out = F.when(low.contains(part), name).otherwise(out)
-    return out
+    """API1 for access to objects, API2 for authentication, else null (P20)."""
+    low = F.lower(endpoint)
+    has = lambda parts: F.greatest(*(F.instr(low, x) for x in parts)) > 0
+    return F.when(has(OBJECTS), "API1").when(has(LOGINS), "API2")
 
 
 def explanation(is_attack: Column, threat: Column, confidence: Column, agents: Column, signals: Column) -> Column:

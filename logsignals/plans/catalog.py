@@ -61,8 +61,10 @@ on_planted("p2_session_id", lambda l: l.select("rec_id", S.session_id(F.col("ip"
 on_planted("p3_null_sentinels", lambda l: l.select("rec_id", S.or_default(F.when(F.col("status") == 401, "NaN").otherwise(F.col("ip")), "unknown").alias("value")), "SELECT rec_id, CASE WHEN status = 401 THEN 'unknown' ELSE ip END AS value FROM logs")
 on_planted("p4_port", lambda l: l.select("rec_id", S.port(F.col("endpoint")).alias("port")), f"SELECT rec_id, {PORT} AS port FROM logs")
 on_planted("p5_latency", lambda l: l.select("rec_id", S.latency_ms(F.col("latency") * 3000).alias("ms")), "SELECT rec_id, greatest(0.0::DOUBLE, least(latency * 3000 / 1000, 10000.0::DOUBLE)) AS ms FROM logs")
-add("p6_method", lambda s, d: V.events(s, d).select("rec_id", S.method((F.col("rec_id") % 20).cast("string")).alias("method")), "SELECT rec_id, CASE rec_id % 20 WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 1 THEN 'ICMP' ELSE 'GET' END AS method FROM ev", V.EVENTS)
-on_planted("p7_category", lambda l: l.select("rec_id", S.category(F.col("attack_category")).alias("category")), "SELECT rec_id, CASE WHEN attack_category IN ('Port Scan') THEN 'Other' ELSE attack_category END AS category FROM logs")
+_PROTO = "CASE rec_id % 4 WHEN 0 THEN 'tcp' WHEN 1 THEN ' UDP' WHEN 2 THEN 'icmp' ELSE 'sctp' END"
+add("p6_method", lambda s, d: V.events(s, d).select("rec_id", S.method(F.expr(_PROTO)).alias("method")), "SELECT rec_id, CASE rec_id % 4 WHEN 1 THEN 'POST' WHEN 2 THEN 'OPTIONS' ELSE 'GET' END AS method FROM ev", V.EVENTS)
+on_planted("p7_category", lambda l: l.select("rec_id", S.category(F.concat(F.lit("x "), "attack_category")).alias("category")), "SELECT rec_id, CASE WHEN attack_category IN ('Port Scan', 'Benign') THEN 'Other' ELSE attack_category END AS category FROM logs")
+on_planted("p8_unsw_category", lambda l: l.select("rec_id", S.unsw_category(F.when(F.col("status") == 401, " Backdoors").when(F.col("rec_id") % 2 == 0, "nan").otherwise(F.col("attack_category"))).alias("category")), "SELECT rec_id, CASE WHEN status = 401 THEN 'Backdoor' WHEN rec_id % 2 = 0 THEN 'Benign' ELSE attack_category END AS category FROM logs")
 on_planted("p9_attack_flag", lambda l: l.select("rec_id", (F.upper("attack_category") != "BENIGN").alias("is_attack")), "SELECT rec_id, upper(attack_category) <> 'BENIGN' AS is_attack FROM logs")
 on_planted("p10_numeric", lambda l: l.select("rec_id", S.numeric_component(F.col("endpoint")).alias("number")), r"SELECT rec_id, try_cast(nullif(regexp_extract(endpoint, '[/_\-](\d+)(?:[/?#]|$)', 1), '') AS BIGINT) AS number FROM logs")
 _HIT = {f: f"regexp_matches(url_decode(endpoint), '(?i){p.replace(chr(39), chr(39) * 2)}')::INTEGER" for f, p in S.INJECTION.items()}
@@ -75,7 +77,7 @@ on_planted("p15_dotted_quad", lambda l: l.filter(S.ip_number(F.col("ip")).isNotN
 add("p16_timestamps", lambda s, d: table(s, d, "events").select(F.col("event_id").alias("rec_id"), F.unix_seconds(F.try_to_timestamp(F.date_format(F.col("ts").cast("timestamp"), "MM/dd/yy HH:mm"), F.lit("MM/dd/yy HH:mm"))).alias("sec")), "SELECT event_id AS rec_id, (epoch(ts)::BIGINT - epoch(ts)::BIGINT % 60) AS sec FROM (SELECT event_id, date_trunc('second', ts::TIMESTAMP) AS ts FROM events)")
 add("p17_request_path", lambda s, d: table(s, d, "pages").select("page_id", S.request_path(F.concat("url", F.lit(" HTTP/1.1")), F.lit("a=1")).alias("path")), "SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || '?a=1' AS path FROM pages")
 on_planted("p18_port_endpoint", lambda l: l.select("rec_id", S.port_endpoint(F.when(F.col("status") == 401, "0x1f").otherwise(S.port(F.col("endpoint")).cast("string"))).alias("ep")), f"SELECT rec_id, CASE WHEN status = 401 THEN '/port_unknown' WHEN {PORT} IS NULL THEN '/port_0' ELSE '/port_' || {PORT} END AS ep FROM logs")
-on_planted("p20_owasp", lambda l: l.select("rec_id", S.owasp(F.col("endpoint")).alias("context")), "SELECT rec_id, CASE WHEN contains(endpoint, 'search') THEN 'API4' WHEN contains(endpoint, 'item') THEN 'API1' END AS context FROM logs")
+add("p20_owasp", lambda s, d: V.events(s, d).select("rec_id", S.owasp(F.when(F.col("rec_id") % 3 == 0, "/API/User/7").when(F.col("rec_id") % 3 == 1, "/v1/login").otherwise(F.col("endpoint"))).alias("context")), "SELECT rec_id, CASE rec_id % 3 WHEN 0 THEN 'API1' WHEN 1 THEN 'API2' END AS context FROM ev", V.EVENTS)
 on_planted("p21_port_class", lambda l: l.select("rec_id", S.port(F.col("endpoint")).isin(*S.BENIGN_SERVICE_PORTS).alias("benign"), (S.port(F.col("endpoint")) >= EPHEMERAL).alias("ephemeral")), f"SELECT rec_id, p IN {S.BENIGN_SERVICE_PORTS} AS benign, p >= {EPHEMERAL} AS ephemeral FROM (SELECT rec_id, {PORT} AS p FROM logs)")
 
 # Features (A, O)
@@ -259,3 +261,18 @@ on_planted("e8_rescore", lambda l: U.confusion(judged(l, 0.2, True)), f"SELECT {
 on_planted("e10_subset_ablation", lambda l: (lambda logs: U.subset_ablation(found(logs), A.truth(logs), tuple(D.RULES)))(saved(l)))
 on_planted("e11_curve", lambda l: judged(l).groupBy("confidence").agg(F.count(F.when(F.col("is_true"), 1)).alias("t"), F.count(F.when(~F.col("is_true"), 1)).alias("f")).select("confidence", F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("confidence"))).alias("tp"), F.sum("f").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("confidence"))).alias("fp")), "SELECT confidence, sum(t) OVER (ORDER BY confidence DESC)::BIGINT AS tp, sum(f) OVER (ORDER BY confidence DESC)::BIGINT AS fp FROM (SELECT confidence, count(*) FILTER (is_true) AS t, count(*) FILTER (NOT is_true) AS f FROM sc GROUP BY confidence)", *EVAL)
 on_planted("e12_pure_benign_fpr", lambda l: judged(l).filter("attack_ratio = 0").agg(F.count("*").alias("batches"), F.count(F.when(F.col("is_attack"), 1)).alias("fp")), "SELECT count(*) AS batches, count(*) FILTER (is_attack) AS fp FROM sc WHERE attack_ratio = 0", *EVAL)
+on_planted("p19_threat_label", lambda l: judged(l).select("batch_id", S.threat_label(F.col("predicted")).alias("label")), "SELECT batch_id, CASE predicted " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.THREAT_LABELS.items()) + " ELSE predicted END AS label FROM sc", *EVAL)
+
+
+def ablation_modes(logs: DataFrame) -> DataFrame:
+    """Rules alone (cold-start thresholds), adaptive thresholds, and the stacker on top; features are computed once."""
+    logs = saved(logs)
+    ctx = context(logs)
+    cold = ctx.withColumns({"thr_dominant": F.lit(0.90), "thr_rate": F.lit(450.0), "thr_latency": F.lit(6500.0), "thr_entropy": F.lit(2.0)})
+    f = saved(D.findings(ctx))
+    rules, adaptive = U.fuse(D.findings(cold)), saved(U.fuse(f))
+    modes = rules.select(F.lit("A").alias("mode"), "batch_id", "is_attack").unionByName(adaptive.select(F.lit("B").alias("mode"), "batch_id", "is_attack")).unionByName(U.stacker(f, adaptive, 70).select(F.lit("C").alias("mode"), "batch_id", "is_attack"))
+    return U.confusion(modes.join(A.truth(logs).select("batch_id", (F.col("attack_ratio") > 0).alias("is_true")), "batch_id"), "mode")
+
+
+on_planted("e9_ablation_modes", ablation_modes)
