@@ -76,12 +76,14 @@ def detect(features: DataFrame, agent: str) -> DataFrame:
     return out.withColumn("fired", F.col("score") >= FIRES[agent])
 
 
-def findings(features: DataFrame, agents: tuple[str, ...] = tuple(RULES), more: tuple[Callable[[DataFrame], DataFrame], ...] = ()) -> DataFrame:
-    """Findings of all agents; volume's DoS explains regular gaps, so temporal is silent then."""
+def findings(features: DataFrame, agents: tuple[str, ...] = tuple(RULES), more: tuple[Callable[[DataFrame], DataFrame], ...] = (), suppress: bool = True) -> DataFrame:
+    """Findings of all agents; volume's DoS explains regular gaps, so temporal is silent then (D16, unless suppress is off)."""
     parts = [detect(features, a) for a in agents] + [f(features) for f in more]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if not suppress:
+        return out
     dos = out.filter("agent = 'volume' AND fired AND threat IN ('DOS', 'DDOS')").select("batch_id", F.lit(True).alias("dos"))
     held = F.coalesce("dos", F.lit(False)) & (F.col("agent") == "temporal")
     return out.join(dos, "batch_id", "left").withColumn("fired", F.col("fired") & ~held).drop("dos")

@@ -208,7 +208,8 @@ def found(logs: DataFrame) -> DataFrame:
 
 on_planted("f1_triage", lambda l: U.triage(A.triage_observations(l, BAD)), "SELECT batch_id, TRUE AS volume, TRUE AS geo, known_bad OR auth_errors > 0 AS auth, known_bad OR span_ms > 200 AS temporal, known_bad OR endpoints >= 5 AS payload, known_bad OR endpoints >= 3 AS sequence FROM tri", TRI)
 on_planted("f2_evidence", lambda l: U.evidence(found(l)), "SELECT batch_id, agent, lower(threat) || ':' || agent AS key, score AS confidence FROM fn WHERE fired", *ALL, FN)
-on_planted("f3_compound", lambda l: U.compound_signals(found(l)), "SELECT * FROM cp", *ALL, FN, CF, CP)
+FR = f"fn AS (SELECT batch_id, agent, score, threat, score >= least AS fired FROM ({' UNION ALL '.join(_ONE(a) for a in D.RULES)}))"
+on_planted("f3_compound", lambda l: U.compound_signals(saved(D.findings(context(l), suppress=False))), "SELECT * FROM cp", *ALL, FR, CF, CP)
 on_planted("f4_conflicts", lambda l: U.conflicts(found(l)), f"SELECT f.batch_id, f.agent, min(related) AS raised_threat, round(0.45 * max(h.score), 3) AS raised_score FROM fn f JOIN (SELECT d.agent, r.high, r.related FROM (SELECT * FROM ({U._values(U.RELATED, 'high, related').replace(' AS t(', ') AS t(')}) r JOIN (SELECT * FROM ({U._values(U.DOMAINS, 'agent, threat').replace(' AS t(', ') AS t(')}) d ON d.threat = r.related) m ON f.agent = m.agent JOIN fn h ON h.batch_id = f.batch_id AND h.threat = m.high AND h.fired AND h.score >= 0.75 WHERE NOT f.fired AND f.score >= 0.10 GROUP BY ALL", *ALL, FN)
 on_planted("f5_f8_verdicts", lambda l: U.fuse(found(l)), "SELECT * FROM vd", *VERDICT)
 on_planted("p22_explanations", lambda l: U.explained(U.fuse(found(l))).select("batch_id", "explanation"))
