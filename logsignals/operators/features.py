@@ -36,7 +36,7 @@ def volume_profile(logs: DataFrame) -> DataFrame:
 def top_k(logs: DataFrame, column: str, k: int = 10) -> DataFrame:
     """A2."""
     counts = logs.groupBy("batch_id", column).agg(F.count("*").alias("n"), F.min("rec_id").alias("first"))
-    return counts.withColumn("rn", F.row_number().over(Window.partitionBy("batch_id").orderBy(F.desc("n"), "first"))).filter(F.col("rn") <= k).select("batch_id", "rn", column, "n")
+    return counts.withColumn("rn", F.row_number().over(Window.partitionBy("batch_id").orderBy(F.desc("n"), "first")).cast("long")).filter(F.col("rn") <= k).select("batch_id", "rn", column, "n")
 
 
 def saturation(logs: DataFrame) -> DataFrame:
@@ -144,14 +144,14 @@ def transitions(logs: DataFrame, most: int = 30) -> DataFrame:
     w = Window.partitionBy("batch_id", "ip").orderBy("sec", "rec_id")
     steps = logs.select("batch_id", "ip", "rec_id", F.col("endpoint").alias("a"), F.lead("endpoint").over(w).alias("b"), F.count("*").over(Window.partitionBy("batch_id", "ip")).alias("len"), F.min("rec_id").over(Window.partitionBy("batch_id", "ip")).alias("first"))
     rank = F.dense_rank().over(Window.partitionBy("batch_id").orderBy(F.desc("len"), "first"))
-    return steps.withColumn("ip_rank", rank).filter((F.col("ip_rank") <= most) & F.col("b").isNotNull()).select("batch_id", "ip", "ip_rank", "rec_id", "a", "b")
+    return steps.withColumn("ip_rank", rank.cast("long")).filter((F.col("ip_rank") <= most) & F.col("b").isNotNull()).select("batch_id", "ip", "ip_rank", "rec_id", "a", "b")
 
 
 def transition_shares(logs: DataFrame, k: int = 20) -> DataFrame:
     """The most frequent pairs and their shares."""
     c = transitions(logs).groupBy("batch_id", "a", "b").agg(F.count("*").alias("n"), F.min("rec_id").alias("first"))
     c = c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("batch_id")))
-    return c.withColumn("rn", F.row_number().over(Window.partitionBy("batch_id").orderBy(F.desc("n"), "first"))).filter(F.col("rn") <= k).select("batch_id", "rn", "a", "b", "n", "share")
+    return c.withColumn("rn", F.row_number().over(Window.partitionBy("batch_id").orderBy(F.desc("n"), "first")).cast("long")).filter(F.col("rn") <= k).select("batch_id", "rn", "a", "b", "n", "share")
 
 
 def sequential_runs(logs: DataFrame, most_step: int = 2) -> DataFrame:

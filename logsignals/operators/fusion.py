@@ -156,7 +156,7 @@ def subset_ablation(findings: DataFrame, truth: DataFrame, agents: tuple[str, ..
 def ip_history(logs: DataFrame, verdicts: DataFrame, last: int = 50) -> DataFrame:
     """K2: every client of a batch gets its verdict; the last ones stay."""
     h = logs.select("batch_id", "ip").distinct().join(verdicts.select("batch_id", "is_attack", "confidence"), "batch_id")
-    return h.withColumn("rn", F.row_number().over(Window.partitionBy("ip").orderBy(F.desc("batch_id")))).filter(F.col("rn") <= last)
+    return h.withColumn("rn", F.row_number().over(Window.partitionBy("ip").orderBy(F.desc("batch_id"))).cast("long")).filter(F.col("rn") <= last)
 
 
 def reputation(history: DataFrame, bad: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def bad_list(spark: SparkSession) -> DataFrame:
 # Batching (W)
 add("w1_batches", lambda s, d: W.count_windows(V.events(s, d)).select("rec_id", "batch_id"), "SELECT rec_id, (row_number() OVER (ORDER BY ts, rec_id) - 1) // 500 AS batch_id FROM ev", V.EVENTS)
 add("w1_tenant_batches", lambda s, d: W.tenant_windows(V.events(s, d).withColumn("tenant", F.col("ip")), 20).select("rec_id", "batch_id"), "SELECT rec_id, (row_number() OVER (PARTITION BY ip ORDER BY ts, rec_id) - 1) // 20 AS batch_id FROM ev", V.EVENTS)
-add("w2_sliding_minute", lambda s, d: A.sliding_counts(V.events(s, d), 86400), "SELECT rec_id, ip, count(*) OVER w AS n, sum(CASE WHEN status = 401 THEN 1 ELSE 0 END) OVER w AS failures FROM ev WINDOW w AS (PARTITION BY ip ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)", V.EVENTS)
+add("w2_sliding_minute", lambda s, d: A.sliding_counts(V.events(s, d), 86400), "SELECT rec_id, ip, count(*) OVER w AS n, count(*) FILTER (status = 401) OVER w AS failures FROM ev WINDOW w AS (PARTITION BY ip ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)", V.EVENTS)
 on_planted("w3_after_warmup", lambda l: l.filter("batch_id >= 10").groupBy("batch_id").agg(F.count("*").alias("n")), "SELECT batch_id, count(*) AS n FROM logs WHERE batch_id >= 10 GROUP BY batch_id")
 add("w4_time_windows", lambda s, d: V.events(s, d).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == 401, 1)).alias("failures")).select(F.unix_seconds("w.start").alias("start"), "n", "failures"), "SELECT sec - sec % 3600 AS start, count(*) AS n, count(*) FILTER (status = 401) AS failures FROM ev GROUP BY 1", V.EVENTS)
 add("w4_sessions", lambda s, d: V.events(s, d).groupBy("ip", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n")).select("ip", F.unix_micros("w.start").alias("start"), "n"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,7 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows of df written to a table of their own in the shared folder and read again: lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """The rows of df written to a table of their own in the shared folder and read again: lineage ends there. The table goes when Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended before
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
