@@ -79,8 +79,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFr
     tree = saved(tree.withColumn("prefix", F.concat("prefix", F.when(F.size("segs") > DEPTH, "/{tail}").otherwise(""))))
 
     totals = lambda *keys: tree.groupBy(*keys).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-    prior = totals().select(((F.coalesce("b", F.lit(0)) + 1) / (F.coalesce("l", F.lit(0)) + 2)).alias("prior"))
-    hosts = totals("host").crossJoin(F.broadcast(prior)).select("host", ((F.col("b") + WEIGHT * F.col("prior")) / (F.col("l") + WEIGHT)).alias("of_host"))  # one row of prior
+    bad, labelled = totals().select(F.coalesce("b", F.lit(0)), F.coalesce("l", F.lit(0))).first()
+    hosts = totals("host").select("host", ((F.col("b") + WEIGHT * F.lit((bad + 1) / (labelled + 2))) / (F.col("l") + WEIGHT)).alias("of_host"))
     templates = totals("host", "prefix").join(hosts, "host").select("host", "prefix", ((F.col("b") + WEIGHT * F.col("of_host")) / (F.col("l") + WEIGHT)).alias("purity"))
     learnt = tree.join(templates, ["host", "prefix"]).select("host", "path", F.col("prefix").alias("template"), "purity")
     verdict = F.coalesce("ruled", F.when(F.col("purity") > 0.5, "block").otherwise("allow"))

@@ -1,4 +1,4 @@
-"""Words, shingles and hashes that several operators share, and the folder for tables that cut lineage.
+"""Words, shingles and hashes that several operators share.
 
 A word is a run of bytes without ASCII white space (``[^\\x20\\x09-\\x0D]+``); lower-casing
 touches A to Z alone. Both hold on UTF-8 bytes, where every byte of a longer character is 0x80 or more.
@@ -6,14 +6,13 @@ touches A to Z alone. Both hold on UTF-8 bytes, where every byte of a longer cha
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 from xxhash import xxh3_64_intdigest
 
+from logsignals.tables import saved, shared_folder, table
+
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "digest_of", "mixed", "saved", "shared_folder", "shingles_of", "table", "windows_of", "words_of"]
+
 #: Words as a regular expression, for Spark and DuckDB alike.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -57,34 +56,3 @@ def digest_of(shingles: np.ndarray) -> int:
     """One signed 64-bit number for a set of shingle hashes."""
     with np.errstate(over="ignore"):
         return int(mixed(np.array([mixed(shingles ^ _BASE).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset, as in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logsignals-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of df written to a table of their own in the shared folder and read again: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended before
-        pass
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
