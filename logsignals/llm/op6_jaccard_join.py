@@ -34,7 +34,8 @@ from logsignals.llm.textual import digest_of, saved, shingles_of, table, words_o
 CROWDED = 16
 #: Ids of documents whose shingles are wanted, up to which they are broadcast as a filter (some 50 MB); beyond, a shuffled join.
 BROADCAST_IDS = 1_000_000
-BITS = ("b0", "b1", "b2", "b3")
+#: Words of the bitmaps; 1024 bits tell sets of some thousand shingles apart.
+BITS = tuple(f"b{i}" for i in range(16))
 
 
 def _hashed(size: int, what: str, percent: int = 0):
@@ -69,8 +70,8 @@ def _hashed(size: int, what: str, percent: int = 0):
 
 
 def _bitmap(shingles: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the shingles that fall on it: XOR of two bitmaps is the bitmap of the difference."""
-    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """1024 bits, each the parity of the shingles that fall on it: XOR of two bitmaps is the bitmap of the difference."""
+    odd = np.bincount((shingles & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
