@@ -1,27 +1,30 @@
 """LM scoring by logistic context mixing of hashed bit predictors.
 
 A text is its lower-cased words and one end; a word is spelt bit by bit as its UTF-8 bytes and a space, the end as
-a space alone. Each bit is predicted from several contexts (the 1 to 5 bytes before it in the word),
-hashed with the bits already known of the byte to a slot of counts. The stretched predictions are mixed by weights
-that are learnt online, one set for each gate (place of the bit, longest context seen before), and the mixture is refined by an
-adaptive map from its value and the gate to what followed in that gate. A word's probability is then
-(1 - e) * c / N + e * (probability of its spelling), e being the share of words met once (Good and Turing).
+a space alone. Each bit of each token is predicted from several contexts: the 1 to 5 bytes before it, which reach across the
+border into the previous word; the word so far (the word-frequency model); and the previous word with the word so far. They
+are hashed with the bits already known of the byte to slots of counts, which every training token adds to. The stretched predictions
+are mixed by weights that are learnt online, one set for each gate (place of the bit, longest context seen before), and the
+mixture is refined by an adaptive map from its value and the gate to what followed in that gate.
 Within a document the score adapts: several experts give different weight to the words that the text has had so far, and
-a document's probability is their mean, so the one that has predicted best leads online.
+a document's probability is their mean, so the one that has predicted best leads online. All is kept in logs.
 
-1. Words are counted by task and summed (a table in the shared folder).
-2. These are the counts c, total N, distinct V. From every distinct training word the slots' counts
-   are gathered (tables of fixed size), then the weights and the map, each word with itself left out once.
-3. Every word gets log10 p; documents are spread over blocks, pairs of block and word fetch c and log10 p, and each block of documents is scored with its own dictionary.
+1. Words are counted by task and summed (a table in the shared folder): counts c, total N, distinct V; V gives the number of slots.
+2. Training texts are read twice: for the slots' counts, which tasks hold and sum in tables of fixed size, then for the weights
+   and the map, each token with itself left out once. Equal pairs of words in a batch of texts are handled once, with their number.
+3. Documents are spread over blocks, pairs of block and word fetch c (for the base score), and each block's pairs of words are scored.
 
 Null texts are the end alone; long texts are scored whole; equal rows count and score each; a null id is in training;
-other columns are ignored; an empty table gives no rows; without training words all is spelt, and slots predict 1/2.
+other columns are ignored; an empty table gives no rows; without training words slots predict 1/2.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,14 +33,17 @@ from pyspark.sql import functions as F
 
 from logsignals.llm.textual import mixed, saved, table, words_of
 
-#: Bytes of context within the word.
+#: Contexts: bytes before the bit, then the word so far, then the previous word and the word so far.
 ORDERS = (1, 2, 3, 4, 5)
-#: Slots of counts for each context, and cells of the refining map.
-SLOTS, CELLS = 1 << 20, 33
-#: Text bytes of a block.
-BLOCK_BYTES = 24_000_000
-#: Words that a task counts before it hands them on.
-HELD = 1_000_000
+CONTEXTS = len(ORDERS) + 2
+#: Slots of counts for each context without a vocabulary, a word's share of them, their bounds (of memory), and cells of the refining map.
+SLOTS, PER_WORD, LEAST_SLOTS, MOST_SLOTS, CELLS = 1 << 20, 8, 1 << 16, 1 << 21, 33
+#: Slots that travel together.
+CHUNK = 1 << 16
+#: Text bytes of a block, and of a task that holds slots.
+BLOCK_BYTES, TASK_BYTES = 24_000_000, 256_000_000
+#: Words or pairs of words that a task counts before it hands them on, and tokens of a block that are scored at once.
+HELD, TOKENS = 1_000_000, 500_000
 #: Weights that the experts give to the words a text has had.
 RECENT = (0.0, 0.1, 0.4, 0.9)
 RATE, BATCH = 0.1, 1024
@@ -45,69 +51,86 @@ END = b""
 
 
 class BitModel:
-    """Predictions for the bits of words; counts are n[context][bit][slot]."""
+    """Predictions for the bits of words; counts are (n0 + i * n1)[context][slot]."""
 
     def __init__(self, counts: np.ndarray | None = None, weights: np.ndarray | None = None, refined: np.ndarray | None = None) -> None:
-        self.counts = np.zeros((len(ORDERS), 2, SLOTS), np.float32) if counts is None else counts
-        self.weights = np.full((8 * (len(ORDERS) + 1), len(ORDERS)), 0.25) if weights is None else weights
+        self.counts = np.zeros((CONTEXTS, SLOTS), np.complex64) if counts is None else counts
+        self.weights = np.full((8 * (CONTEXTS + 1), CONTEXTS), 0.25) if weights is None else weights
         self.refined = refined
 
     @staticmethod
-    def bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word, place of the bit, bit, slots[context]) for every bit of every word, in order."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        word = np.repeat(np.arange(len(words)), lengths)
-        first = np.repeat(lengths.cumsum() - lengths, lengths)
-        place = np.arange(len(flat)) - first
+    def bits(words: list[bytes], before: list[bytes] | None = None, size: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, place of the bit, bit, slots[context]) for every bit of every word, in order; `before` has the words before them."""
+        before = [b""] * len(words) if before is None else before
+        lead = np.fromiter(map(len, before), np.int64, len(words)) + 1
+        lengths = lead + np.fromiter(map(len, words), np.int64, len(words)) + 1
+        flat = np.frombuffer(b" ".join(chain.from_iterable(zip(before, words))) + b" ", np.uint8)
+        place = np.arange(len(flat)) - np.repeat(lengths.cumsum() - lengths, lengths)
+        in_word = place - np.repeat(lead, lengths)
+        own = np.flatnonzero(in_word >= 0)
         with np.errstate(over="ignore"):
-            salted = mixed(flat.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)))
-            before = np.concatenate([np.zeros(1, np.uint64), salted.cumsum(dtype=np.uint64)])
-            past, contexts = np.zeros(len(flat), np.uint64), {0: before[:-1] - before[first] + place.astype(np.uint64)}
-            for back in range(1, max(ORDERS) + 1):
-                earlier = np.zeros(len(flat), np.uint64)
-                earlier[back:] = flat[:-back] if back < len(flat) else 0
-                past = past | (np.where(place >= back, earlier, 0).astype(np.uint64) << np.uint64(8 * (back - 1)))
-                contexts[back] = past
+            wide = flat.astype(np.uint64)
+
+            def so_far(at: np.ndarray) -> np.ndarray:
+                """A hash of what stands before each byte, from where `at` is 0."""
+                sums = np.concatenate([np.zeros(1, np.uint64), mixed(wide + (at.astype(np.uint64) << np.uint64(8))).cumsum(dtype=np.uint64)])
+                return (sums[own] - sums[own - at[own]]) + at[own].astype(np.uint64)
+
+            past, contexts = np.zeros(len(own), np.uint64), []
+            for back in ORDERS:
+                earlier = np.where(place[own] >= back, wide[np.maximum(own - back, 0)], np.uint64(0))
+                past = past | (earlier << np.uint64(8 * (back - 1)))
+                contexts.append(past)
+            contexts += [so_far(in_word), so_far(place)]
             i = np.arange(8)
-            byte = flat[:, None].astype(np.int64)
-            node = ((1 << i) | (byte >> (8 - i))).astype(np.uint64)
+            byte = wide[own].astype(np.int64)[:, None]
+            node = (1 << i) | (byte >> (8 - i))
             bit = ((byte >> (7 - i)) & 1).ravel()
-            slots = [(mixed(mixed(contexts[o] + np.uint64(o << 56))[:, None] + node) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64).ravel() for o in ORDERS]
-        return np.repeat(word, 8), np.tile(i, len(flat)), bit, np.stack(slots)
+            first = [(mixed(mixed(c) + np.uint64(k)) >> np.uint64(32)).astype(np.int64) for k, c in enumerate(contexts)]
+            slots = np.stack([((f[:, None] + node) & (size - 1)).ravel() for f in first])
+        return np.repeat(np.repeat(np.arange(len(words)), lengths)[own], 8), np.tile(i, len(own)), bit, slots
 
     def inputs(self, place: np.ndarray, slots: np.ndarray, bit: np.ndarray, left_out: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(gate, ln(p1 / p0) by context); `left_out` of the bit's own count is taken away first."""
-        n0, n1 = (np.stack([self.counts[k, b][slots[k]] for k in range(len(ORDERS))]) for b in (0, 1))
+        n = np.stack([self.counts[k].take(slots[k]) for k in range(CONTEXTS)])
+        n0, n1 = n.real, n.imag
         if left_out:
-            n0, n1 = np.maximum(n0 - left_out * (bit == 0), 0), np.maximum(n1 - left_out * (bit == 1), 0)
-        longest = ((n0 + n1 > 0) * np.arange(1, len(ORDERS) + 1)[:, None]).max(0)
-        return longest * 8 + place, np.log((n1 + 0.02) / (n0 + 0.02))
-
-    def learn(self, words: list[bytes], seen: np.ndarray) -> None:
-        """Online steps of the gated weights, a batch of words a step; `seen` gathers (gate, cell, bit) for the map."""
+            n0, n1 = np.maximum(n0 - np.float32(left_out) * (bit == 0).astype(np.float32), 0), np.maximum(n1 - np.float32(left_out) * (bit == 1).astype(np.float32), 0)
+        longest = ((n0 + n1 > 0) * np.arange(1, CONTEXTS + 1, dtype=np.int8)[:, None]).max(0)
+        return longest.astype(np.int64) * 8 + place, np.log((n1 + np.float32(0.02)) / (n0 + np.float32(0.02)))
+
+    def _mixed(self, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
+        z = np.zeros(len(gate))
+        for k in range(CONTEXTS):
+            z += self.weights[:, k].take(gate) * x[k]
+        return z
+
+    def learn(self, words: list[bytes], seen: np.ndarray, before: list[bytes] | None = None, times: np.ndarray | None = None) -> None:
+        """Online steps of the gated weights, a batch of words (each so many times) a step; `seen` gathers (gate, cell, bit) for the map."""
         for at in range(0, len(words), BATCH):
-            word, place, bit, slots = self.bits(words[at : at + BATCH])
+            to = at + BATCH
+            word, place, bit, slots = self.bits(words[at:to], before and before[at:to], self.counts.shape[1])
             gate, x = self.inputs(place, slots, bit, 1.0)
-            z = (self.weights[gate].T * x).sum(0)
-            error = bit - _squash(z)
-            mass = np.bincount(gate, minlength=len(self.weights))
-            for k in range(len(ORDERS)):
+            z = self._mixed(gate, x)
+            n = np.ones(len(word)) if times is None else times[at:to][word].astype(float)
+            error = n * (bit - _squash(z))
+            mass = np.bincount(gate, n, minlength=len(self.weights))
+            for k in range(CONTEXTS):
                 self.weights[:, k] += RATE * np.bincount(gate, error * x[k], len(self.weights)) / np.maximum(mass, 1)
-            seen += np.bincount((gate * CELLS + _cell(z)) * 2 + bit, minlength=seen.size).reshape(seen.shape)
+            seen += np.bincount((gate * CELLS + _cell(z)) * 2 + bit, n, minlength=seen.size).reshape(seen.shape)
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word."""
+    def log10(self, words: list[bytes], before: list[bytes] | None = None) -> np.ndarray:
+        """log10 probability of each word after the one before it."""
         out = np.zeros(len(words))
         for at in range(0, len(words), BATCH):
-            word, place, bit, slots = self.bits(words[at : at + BATCH])
+            to = at + BATCH
+            word, place, bit, slots = self.bits(words[at:to], before and before[at:to], self.counts.shape[1])
             gate, x = self.inputs(place, slots, bit)
-            z = (self.weights[gate].T * x).sum(0)
-            p = _squash(z)
+            z = self._mixed(gate, x)
+            p = -np.logaddexp(0, np.where(bit, -z, z))
             if self.refined is not None:
-                p = 0.75 * p + 0.25 * self.refined[gate, _cell(z)]
-            p = np.clip(p, 1e-7, 1 - 1e-7)
-            out[at : at + BATCH] = np.bincount(word, np.log10(np.where(bit, p, 1 - p)))
+                p = np.logaddexp(np.log(0.75) + p, np.log(0.25) + self.refined[gate, _cell(z), bit])
+            out[at:to] = np.bincount(word, p) / np.log(10)
         return out
 
 
@@ -149,46 +172,96 @@ def _distinct(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": frame["block"].iloc[0], "word": list(words)})
 
 
-def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    model = BitModel()
+def _planes(n: np.ndarray) -> bytes:
+    """Numbers of four bytes, all first bytes before all second ones, which compresses well."""
+    return n.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(b, dtype: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(dtype).ravel()
+
+
+_unpacked_last: dict[str, np.ndarray] = {}
+
+
+def _unpacked(shared: tuple[str, list[bytes]]) -> np.ndarray:
+    """The counts of a broadcast (key, compressed contexts), which a worker keeps for its next tasks."""
+    key, parts = shared
+    if key not in _unpacked_last:
+        _unpacked_last.clear()
+        _unpacked_last[key] = np.stack([_from_planes(zlib.decompress(p), np.float32).view(np.complex64) for p in parts])
+    return _unpacked_last[key]
+
+
+def slots_for(distinct: int) -> int:
+    """A power of two with room for PER_WORD slots a word, within the bounds of memory."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (max(1, PER_WORD * distinct) - 1).bit_length()))
+
+
+def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list[bytes], list[bytes], np.ndarray]]:
+    """(words before, words, times) of the tokens of texts, equal pairs of a batch together."""
+    pairs: Counter = Counter()
+
+    def out() -> tuple[list[bytes], list[bytes], np.ndarray]:
+        before, words = map(list, zip(*pairs))
+        times = np.fromiter(pairs.values(), np.int64, len(pairs))
+        pairs.clear()
+        return before, words, times
+
     for frame in frames:
-        words = frame["word"].tolist()
-        for at in range(0, len(words), BATCH):
-            _, _, bit, slots = BitModel.bits(words[at : at + BATCH])
-            for k in range(len(ORDERS)):
-                for b in (0, 1):
-                    np.add.at(model.counts[k, b], slots[k][bit == b], np.float32(1))
-    at = np.flatnonzero(model.counts.any(1))
-    n = model.counts.transpose(0, 2, 1).reshape(-1, 2)[at]
-    yield pd.DataFrame({"slot": at, "n0": n[:, 0].astype(float), "n1": n[:, 1].astype(float)})
-
-
-def fit(vocabulary: DataFrame) -> BitModel:
-    """The model of vocabulary (word, c). What reaches the driver has a fixed size: slots, weights and the map."""
-    spark, known = vocabulary.sparkSession, vocabulary.filter("c > 0")
-    slots = known.mapInPandas(_gathered, "slot long, n0 double, n1 double").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    model = BitModel()
-    packed = slots.select(F.col("slot").cast("int").alias("slot"), F.col("n0").cast("float").alias("n0"), F.col("n1").cast("float").alias("n1"))
-    for part in packed.toArrow().to_batches():
-        k, at = np.divmod(part.column(0).to_numpy(), SLOTS)
-        model.counts[k, 0, at], model.counts[k, 1, at] = part.column(1).to_numpy(), part.column(2).to_numpy()
-    shared = spark.sparkContext.broadcast(model.counts)
+        for text in frame["text"]:
+            words = words_of(text)
+            pairs.update(zip([b"", *words], [*words, END]))
+            if len(pairs) > HELD // 4:  # memory
+                yield out()
+    if pairs:
+        yield out()
+
+
+def fit(texts: DataFrame, distinct: int, tasks: int):
+    """(broadcast counts, weights, map) from training texts. What reaches the driver is bounded: slots, weights and the map."""
+    spark, size = texts.sparkSession, slots_for(distinct)
+    texts = texts.select("text").coalesce(tasks)
+
+    def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((CONTEXTS, size * 2), np.int32)
+        for before, words, times in _pairs(frames):
+            for at in range(0, len(words), BATCH):
+                word, _, bit, slots = BitModel.bits(words[at : at + BATCH], before[at : at + BATCH], size)
+                n = times[at : at + BATCH][word].astype(np.int32)
+                for k in range(CONTEXTS):
+                    np.add.at(counts[k], slots[k] * 2 + bit, n)
+        for chunk, part in enumerate(counts.reshape(-1, CHUNK * 2)):
+            if part.any():
+                yield pd.DataFrame({"chunk": [chunk], "n": [_planes(part)]})
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        n = sum(_from_planes(b, np.int32).astype(float) for b in frame["n"])
+        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "n": [_planes(n.astype(np.float32))]})
+
+    counts = np.zeros((CONTEXTS * size // CHUNK, CHUNK), np.complex64)
+    for part in texts.mapInPandas(gathered, "chunk long, n binary").groupBy("chunk").applyInPandas(summed, "chunk long, n binary").toArrow().to_batches():
+        for chunk, n in zip(part.column(0).to_pylist(), part.column(1)):
+            counts[chunk] = _from_planes(n.as_buffer(), np.float32).view(np.complex64)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [zlib.compress(_planes(c.view(np.float32)), 1) for c in counts.reshape(CONTEXTS, size)]))
+    del counts
 
     def learnt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, seen, total = BitModel(shared.value), np.zeros((8 * (len(ORDERS) + 1), CELLS, 2)), 0.0
-        for frame in frames:
-            own.learn(frame["word"].tolist(), seen)
-            total += len(frame)
+        own, seen, total = BitModel(_unpacked(shared.value)), np.zeros((8 * (CONTEXTS + 1), CELLS, 2)), 0.0
+        for before, words, times in _pairs(frames):
+            own.learn(words, seen, before, times)
+            total += times.sum()
         yield pd.DataFrame({"total": [total], "weights": [own.weights.ravel()], "seen": [seen.ravel()]})
 
-    parts = known.repartition(16, F.xxhash64("word")).sortWithinPartitions(F.xxhash64("word")).mapInPandas(learnt, "total double, weights array<double>, seen array<double>").toPandas()
+    weights, refined = None, None
+    parts = texts.mapInPandas(learnt, "total double, weights array<double>, seen array<double>").toPandas()
     parts = parts[parts["total"] > 0]
     if len(parts):
-        model.weights = np.average(np.stack(parts["weights"].tolist()), axis=0, weights=parts["total"]).reshape(model.weights.shape)
+        weights = np.average(np.stack(parts["weights"].tolist()), axis=0, weights=parts["total"]).reshape(-1, CONTEXTS)
         seen = np.stack(parts["seen"].tolist()).sum(0).reshape(-1, CELLS, 2)
         prior = _squash(np.arange(CELLS) - CELLS // 2.0)
-        model.refined = (seen[:, :, 1] + 20 * prior) / (seen.sum(2) + 20)
-    return model
+        refined = np.log((seen + 20 * np.stack([1 - prior, prior], 1)) / (seen.sum(2, keepdims=True) + 20))
+    return shared, weights, refined
 
 
 def adapted(words: np.ndarray, lp: np.ndarray) -> float:
@@ -199,11 +272,15 @@ def adapted(words: np.ndarray, lp: np.ndarray) -> float:
     first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
     had = np.empty(n)
     had[order] = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    share = had / np.maximum(np.arange(n), 1)
-    alone = np.power(10.0, lp)
-    weight = np.arange(n) > 0  # the first word has none before it
-    sums = np.array([np.log10(np.maximum((1 - a * weight) * alone + a * share, 1e-300)).sum() if a else lp.sum() for a in RECENT])
-    return float(sums.max() + np.log10(np.power(10.0, sums - sums.max()).mean()))
+    alone = lp * np.log(10)
+    with np.errstate(divide="ignore"):
+        share = np.log(had / np.maximum(np.arange(n), 1))
+    sums = []
+    for a in RECENT:
+        each = np.logaddexp(np.log1p(-a) + alone, np.log(a) + share) if a else alone.copy()
+        each[:1] = alone[:1]  # the first word has none before it
+        sums.append(each.sum())
+    return float((np.logaddexp.reduce(sums) - np.log(len(sums))) / np.log(10))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -215,29 +292,38 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     blocks = max(8, -(-size // BLOCK_BYTES))
     vocabulary = saved(docs.mapInPandas(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    total, distinct, once = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
-    new = (once + 1) / (total + 2)
-    model = spark.sparkContext.broadcast((lambda m: (m.counts, m.weights, m.refined))(fit(vocabulary)))
-
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = BitModel(*model.value)
-        for frame in frames:
-            spelt = np.power(10.0, own.log10(frame["word"].tolist()))
-            yield frame.assign(lp=np.log10((1 - new) * frame["c"].to_numpy() / max(total, 1) + new * spelt))
-
-    words = vocabulary.mapInPandas(scored, "word binary, c long, lp double")
-    dictionary = docs.groupBy("block").applyInPandas(_distinct, "block long, word binary").join(words, "word")  # the exchange by block serves below too
+    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    shared, weights, refined = fit(docs.filter(~F.col("held_out")), distinct, max(8, -(-size // TASK_BYTES)))
+    dictionary = docs.groupBy("block").applyInPandas(_distinct, "block long, word binary").join(vocabulary, "word")  # the exchange by block serves below too
 
     def texts(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        at = dict(zip(known["word"].tolist(), range(len(known))))
-        c, lp = known["c"].to_numpy(), known["lp"].to_numpy()
+        model, words = BitModel(_unpacked(shared.value), weights, refined), known["word"].tolist()
+        at = dict(zip(words, range(len(words))))
+        c = known["c"].to_numpy()
         base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        rows = []
+        rows, held, tokens = [], [], 0
+
+        def score() -> None:
+            """Scores the held texts, each pair of words once."""
+            here = np.concatenate([i for i, _ in held])
+            before = np.concatenate([np.append(-1, i[:-1]) for i, _ in held])
+            codes, pair = np.unique((before + 1) * len(words) + here, return_inverse=True)
+            b, w = np.divmod(codes, len(words))
+            lp = model.log10([words[x] for x in w], [words[x - 1] if x else b"" for x in b])[pair]
+            for (i, size), own in zip(held, np.split(lp, np.cumsum([len(i) for i, _ in held])[:-1])):
+                log = adapted(i, own)
+                rows.append((len(i), int((c[i] > 0).sum()), total, float(base[i].sum()), log, -log / np.log10(2) / size))
+
         for text in frame["text"]:
-            words = words_of(text)
-            i = np.fromiter(map(at.__getitem__, [*words, END]), np.int64, len(words) + 1)
-            score = adapted(i, lp[i])
-            rows.append((len(i), int((c[i] > 0).sum()), total, float(base[i].sum()), score, -score / np.log10(2) / (sum(map(len, words)) + len(i))))
+            own = words_of(text)
+            i = np.fromiter(map(at.__getitem__, [*own, END]), np.int64, len(own) + 1)
+            held.append((i, sum(map(len, own)) + len(i)))
+            tokens += len(i)
+            if tokens > TOKENS:
+                score()
+                held, tokens = [], 0
+        if held:
+            score()
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
         out.insert(0, "doc_id", frame["doc_id"].to_numpy())
         out.insert(1, "held_out", frame["held_out"].to_numpy())

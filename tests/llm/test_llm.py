@@ -113,6 +113,28 @@ def test_lm_spelling_is_a_distribution():
     assert 0.98 < mass <= 1.0 + 1e-9
 
 
+def test_lm_predicts_tokens_in_their_order(spark):
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][:200]
+    a, b = [i for i in range(400) if not zlib.crc32(str(i).encode()) % 10][:2]
+    rows = [(i, "alpha beta gamma delta" if i % 2 else "beta delta") for i in train] + [(a, "alpha beta gamma delta"), (b, "delta gamma beta alpha")]
+    got = {r.doc_id: r for r in op2.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[a].base_score == pytest.approx(got[b].base_score) and got[a].score > got[b].score + 3
+
+
+def test_lm_tokens_are_a_distribution_without_floor():
+    words, model = [b"the", b"cat", b"then"] * 20, op2.BitModel()
+    before = [b"", *words[:-1]]
+    word, _, bit, slots = op2.BitModel.bits(words, before)
+    for k in range(op2.CONTEXTS):
+        np.add.at(model.counts[k], slots[k], np.where(bit, 1j, 1).astype(np.complex64))
+    model.learn(words, np.zeros((len(model.weights), op2.CELLS, 2)), before)
+    one = model.log10([bytes([x]) for x in range(256)], [b"the"] * 256)
+    assert np.isfinite(one).all() and (10.0**one).sum() < 1 and model.log10([b"cat"], [b"the"])[0] > model.log10([b"cat"], [b"cat"])[0]
+    assert model.log10([b"q" * 4000], [b"the"])[0] < -300
+    assert op2.adapted(np.array([0, 1]), np.array([-400.0, -500.0])) == pytest.approx(-900 + np.log10(0.65))
+    assert op2.slots_for(1_000) < op2.slots_for(200_000) <= op2.MOST_SLOTS
+
+
 def test_toxicity_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"
     got = op3.op3(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").select("predicted", "toxic").toPandas()
