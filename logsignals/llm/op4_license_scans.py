@@ -1,8 +1,8 @@
 """License scans: fuzzy search for short notices by pigeonhole seeds and bounded-error matching.
 
 A notice of n characters may have up to k edits; cut into k + 1 seeds, at least one of them stands unchanged in any
-match. Seeds found in a text's normal form (words joined by single spaces) give windows, overlapping windows merge, and
-the regex library's bounded-error matching verifies each and reports the span and its edits. Base places, where a phrase's words
+match. Each seed found in a text's normal form (words joined by single spaces) gives a window of its own, and
+the regex library's bounded-error matching verifies it and reports the span and its edits; where a closer match takes a part of a window, the rest is searched again. Base places, where a phrase's words
 stand consecutively, are counted in words apart from that.
 
 Null texts have no words; long texts are searched whole, in time in proportion but for the windows; of matches that overlap the
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from bisect import bisect
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import regex
@@ -69,41 +70,47 @@ class NoticeFinder:
 
     def spans(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """(label, start, end, edits, similarity) of matches; where some overlap, the one of the best similarity stays."""
-        windows: dict[int, list[tuple[int, int]]] = {}
+        windows: set[tuple[int, int, int]] = set()
         for last, (size, uses) in self.automaton.iter(text):
             for at, start in uses:
                 notice, _, k, *_ = self.notices[at]
                 low = last + 1 - size - start - k
-                windows.setdefault(at, []).append((max(0, low), low + len(notice) + 2 * k))
-        out = []
-        for at, found in windows.items():
-            notice, label, k, _, pattern = self.notices[at]
-            done = 0
-            for low, high in _merged(found):
-                for m in pattern.finditer(text, max(low, done), min(len(text), high)):
-                    if m.end() > m.start():
-                        edits = sum(m.fuzzy_counts)
-                        out.append((label, m.start(), m.end(), edits, 1 - edits / len(notice)))
-                        done = m.end()
+                windows.add((at, max(0, low), min(len(text), low + len(notice) + 2 * k)))
+        best = [m for w in windows if (m := self._best(text, *w))]
+        heapify(best)
         kept: list[tuple[str, int, int, int, float]] = []
-        for m in sorted(out, key=lambda s: (-s[4], s[1] - s[2], s[1], s[0])):
-            at = bisect([k[1] for k in kept], m[1])
-            if (not at or kept[at - 1][2] <= m[1]) and (at == len(kept) or m[2] <= kept[at][1]):
-                kept.insert(at, m)
+        starts: list[int] = []
+        while best:
+            _, _, start, label, end, edits, at, low, high = heappop(best)
+            i = bisect(starts, start)
+            if (not i or kept[i - 1][2] <= start) and (i == len(kept) or end <= starts[i]):
+                starts.insert(i, start)
+                kept.insert(i, (label, start, end, edits, 1 - edits / len(self.notices[at][0])))
+            for a, b in self._free(kept, starts, low, high):  # what is left of the window may hold a worse match
+                if m := self._best(text, at, a, b):
+                    heappush(best, m)
         return kept
 
-
-def _merged(windows: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    low, high = None, None
-    for a, b in sorted(windows):
-        if low is not None and a <= high:
-            high = max(high, b)
-        else:
-            if low is not None:
-                yield low, high
-            low, high = a, b
-    if low is not None:
-        yield low, high
+    def _best(self, text: str, at: int, low: int, high: int) -> tuple | None:
+        """The closest match of a notice in a window, in the order of spans(), with the window."""
+        notice, label, k, _, pattern = self.notices[at]
+        m = pattern.search(text, low, high) if high - low >= len(notice) - k else None
+        if not m or m.end() == m.start():
+            return None
+        edits = sum(m.fuzzy_counts)
+        return edits / len(notice), m.start() - m.end(), m.start(), label, m.end(), edits, at, low, high
+
+    @staticmethod
+    def _free(kept: list[tuple[str, int, int, int, float]], starts: list[int], low: int, high: int) -> Iterator[tuple[int, int]]:
+        """The parts of a window between kept spans."""
+        i = max(0, bisect(starts, low) - 1)
+        while i < len(kept) and starts[i] < high:
+            if starts[i] > low:
+                yield low, starts[i]
+            low = max(low, kept[i][2])
+            i += 1
+        if low < high:
+            yield low, high
 
 
 def base_places(words: list[bytes], phrases: dict[tuple[bytes, ...], str]) -> list[tuple[int, str]]:

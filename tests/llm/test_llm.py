@@ -171,6 +171,16 @@ def test_license_edits(spark):
     assert finder.spans("nothing of the kind stands here at all") == []
 
 
+def test_license_notices_side_by_side():
+    finder = op4.NoticeFinder(op4.NOTICES)
+    text = "licensd under the mit license and also this is licensed under the mit license"
+    assert [s[:4] for s in finder.spans(text)] == [("mit", 0, 29, 1), ("mit", 47, 77, 0)]
+    three = "gnu general public licens version 3 gnu generl public licens version 3 gnu general public license version 3"
+    assert [(s[0], s[3]) for s in finder.spans(three)] == [("gpl-3", 1), ("gpl-3", 2), ("gpl-3", 0)]
+    spans = finder.spans(" ".join([text, three] * 30))
+    assert len(spans) == 150 and all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+
+
 def test_jaccard_join_equals_brute_force(spark, docs):
     sets = {i: set(textual.shingles_of(textual.words_of(t), 4).tolist()) for i, t in docs}
     parent = {i: i for i in sets}
