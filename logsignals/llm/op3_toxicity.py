@@ -30,21 +30,19 @@ GRAMS = (4, 5, 6, 7)
 _TRIM = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 #: Words whose features a worker remembers (memory only).
 REMEMBERED = 500_000
+#: Bytes of a word that is remembered.
+LONGEST = 128
 
 
-def grams(word: bytes) -> set[bytes]:
-    """A word without outer signs, and its character n-grams with borders (long words: of their first 64 bytes and last)."""
+def grams(word: bytes) -> Iterator[bytes]:
+    """A word without outer signs, and its character n-grams with borders, whatever its length."""
     w = word.strip(_TRIM)
-    if not w:
-        return set()
-    if len(w) > 128:
-        w = w[:64] + w[-64:]
-    try:
-        s = b"<" + w + b">"
-        t = s.decode()
-        return {t[i : i + n].encode() for n in GRAMS for i in range(len(t) - n + 1)} | {s}
-    except UnicodeDecodeError:  # cut within a character
-        return {s}
+    if w:
+        t = f"<{w.decode()}>"
+        yield t.encode()
+        for n in GRAMS:
+            for i in range(len(t) - n + 1):
+                yield t[i : i + n].encode()
 
 
 def _shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,7 +52,7 @@ def _shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, positive in zip(frame["text"], frame["positive"]):
             held: set[bytes] = set()
             for w in set(words_of(text)):
-                held |= grams(w)
+                held.update(grams(w))
             counts[int(positive)].update(held)
     names = list(counts[0].keys() | counts[1].keys())
     yield pd.DataFrame({"gram": names, "u": [counts[0][g] for g in names], "p": [counts[1][g] for g in names]})
@@ -71,9 +69,15 @@ class Scorer:
         words = set(words_of(text))
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        for w in words.difference(self.known):
-            self.known[w] = tuple(self.at[g] for g in grams(w) if g in self.at)
-        return np.unique([i for f in map(self.known.__getitem__, words) if f for i in f]).astype(np.int64)
+        held: set[int] = set()
+        for w in words:
+            f = self.known.get(w)
+            if f is None:
+                f = tuple({self.at[g] for g in grams(w) if g in self.at})
+                if len(w) <= LONGEST:
+                    self.known[w] = f
+            held.update(f)
+        return np.array(sorted(held), np.int64)
 
 
 def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:

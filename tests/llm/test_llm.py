@@ -142,6 +142,16 @@ def test_toxicity_on_held_out_labels(spark):
     assert tp / (got.predicted == 1).sum() > 0.85 and tp / (got.toxic == 1).sum() > 0.8
 
 
+def test_toxic_term_within_unspaced_text(spark):
+    clean, toxic = "文字列" * 60, "文字列" * 30 + "悪口雑言罵倒" + "文字列" * 30
+    assert "悪口雑言".encode() in set(op3.grams(toxic.encode()))
+    assert op3.Scorer(["悪口雑言".encode()]).features(toxic).tolist() == [0] and len(op3.Scorer(["悪口雑言".encode()]).features(clean)) == 0
+    rows = [(i, f"{toxic if i % 4 == 0 else clean} w{i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = op3.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).filter("held_out").collect()
+    assert got and all(r.predicted == int(r.doc_id % 4 == 0) for r in got)
+
+
 def test_non_negative_risk_is_bounded():
     rng = np.random.default_rng(0)
     x = (rng.random((400, 30)) < 0.2).astype(float)
