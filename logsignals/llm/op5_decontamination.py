@@ -8,8 +8,8 @@ negatives) can't agree anywhere and are skipped. What meets is verified: the sha
 that stand in the document, by equality of 64-bit hashes.
 
 Shingles are five lower-cased words; an item of fewer words has one, the whole; null or empty items match nothing, and null or
-empty documents hold nothing. Long documents have more windows; repeated rows report each id once; other columns are
-ignored; with either table empty there are no rows.
+empty documents hold nothing. Long documents have more windows; repeated rows report each id once; rows with a null id
+report null; other columns are ignored; with either table empty there are no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,20 +82,25 @@ def _bloom(items: DataFrame) -> bytes:
 
 
 def _window_rows(size: int, bands: list[tuple[int, bool]], bloom):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInArrow over (doc_id, mark, text): the shingles and keys of rows that may hold an item. Ids stay in Arrow, so that large ones and nulls pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bloom.value, np.uint8)).astype(bool)
-        for frame in frames:
-            rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
+        for batch in batches:
+            row, hits, keys = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 words = words_of(text)
-                if not words or doc is None:
+                if not words:
                     continue
                 for width in {min(size, len(words))} | ({w for w in range(1, size) if w <= len(words)} if bands[0][1] else set()):
                     h = windows_of(words, width)
                     at = np.flatnonzero(bits[_bits(h)].all(0))
                     if len(at):
-                        rows.append((doc, np.unique(h[at]).view(np.int64), np.unique(_keys(h, at, bands, width < size)).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "hits", "keys"])
+                        row.append(i)
+                        hits.append(np.unique(h[at]).view(np.int64))
+                        keys.append(np.unique(_keys(h, at, bands, width < size)).view(np.int64))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "hits", "keys"])
 
     return run
 
@@ -111,22 +117,31 @@ def _keys(h: np.ndarray, at: np.ndarray, bands: list[tuple[int, bool]], short: b
     return np.concatenate(out)
 
 
-def contained(docs: DataFrame, items: DataFrame, size: int = SIZE, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item, containment) for items of which a document holds at least `share`."""
+def contained_rows(docs: DataFrame, items: DataFrame, size: int = SIZE, share: float = SHARE) -> DataFrame:
+    """(doc_id, mark, item_id, n_shared, n_item) for items of which a row of docs(doc_id, mark, text) holds at least `share`; equal marks mean equal rows, which are reported once."""
     spark = docs.sparkSession
+    schema = "doc_id long, mark long, item_id long, n_shared int, n_item int"
     items = saved(items.select("item_id", "text").mapInPandas(_item_rows(size), "item_id long, n int, band int, items array<long>, keys array<long>"))
     short = not items.filter("n = 1").isEmpty()
     bands = [(int(r["band"]), short) for r in items.select("band").distinct().orderBy("band").toLocalIterator()]  # at most 63
     if not bands:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_shared int, n_item int, containment double")
+        return spark.createDataFrame([], schema)
     bloom = spark.sparkContext.broadcast(_bloom(items))
-    found = saved(docs.select("doc_id", "text").mapInPandas(_window_rows(size, bands, bloom), "doc_id long, hits array<long>, keys array<long>"))
+    found = saved(docs.select("doc_id", "mark", "text").mapInArrow(_window_rows(size, bands, bloom), "doc_id long, mark long, hits array<long>, keys array<long>"))
     keyed = items.select("item_id", F.explode("keys").alias("key"))
     keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_KEYS else keyed
-    met = found.select("doc_id", F.explode("keys").alias("key")).join(keyed, "key").select("doc_id", "item_id").distinct()
-    both = met.join(found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits")), "doc_id").join(items.select("item_id", "n", "items").dropDuplicates(["item_id"]), "item_id")
-    held = both.select("doc_id", "item_id", F.size(F.array_intersect("hits", "items")).alias("n_shared"), F.col("n").alias("n_item"))
-    return held.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= share)
+    met = found.select("mark", F.explode("keys").alias("key")).join(keyed, "key").select("mark", "item_id").distinct()
+    own = found.groupBy("mark").agg(F.first("doc_id").alias("doc_id"), F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"))
+    both = met.join(own, "mark").join(items.select("item_id", "n", "items").dropDuplicates(["item_id"]), "item_id")
+    held = both.select("doc_id", "mark", "item_id", F.size(F.array_intersect("hits", "items")).alias("n_shared"), F.col("n").alias("n_item"))
+    return held.filter(F.col("n_shared") / F.col("n_item") >= share)
+
+
+def contained(docs: DataFrame, items: DataFrame, size: int = SIZE, share: float = SHARE) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item, containment) for items of which a document holds at least `share`; where rows with one id hold an item, the most that one of them holds counts."""
+    held = contained_rows(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), "text"), items, size, share)
+    out = held.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
+    return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,12 +150,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 v AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM benchmark),
 i AS (SELECT DISTINCT item_id, array_to_string(ws[k:k + least({SIZE}, len(ws)) - 1], ' ') AS s, least({SIZE}, len(ws)) AS width FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - {SIZE - 1}) + 1)) AS k FROM v WHERE len(ws) > 0)),
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
 z AS (SELECT DISTINCT width FROM i),
-d AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + width - 1], ' ') AS s FROM (SELECT doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) AS k FROM w, z WHERE len(ws) >= width))
-SELECT doc_id, item_id, count(*) AS n_shared, max(n) AS n_item, round(count(*) / max(n)::DOUBLE, 6) AS containment FROM d JOIN i USING (s) JOIN n USING (item_id)
-GROUP BY doc_id, item_id HAVING count(*) >= {SHARE}::DOUBLE * max(n)
+d AS (SELECT DISTINCT rid, doc_id, array_to_string(ws[k:k + width - 1], ' ') AS s FROM (SELECT rid, doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) AS k FROM w, z WHERE len(ws) >= width))
+SELECT doc_id, item_id, max(c) AS n_shared, max(n) AS n_item, round(max(c) / max(n)::DOUBLE, 6) AS containment
+FROM (SELECT rid, doc_id, item_id, count(*) AS c, max(n) AS n FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY rid, doc_id, item_id HAVING count(*) >= {SHARE}::DOUBLE * max(n)) GROUP BY doc_id, item_id
 """

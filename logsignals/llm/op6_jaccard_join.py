@@ -4,17 +4,21 @@ Documents with equal sets form a class, and classes are joined, so copies never
 Classes of similar size that are similar enough share a signature (`jaccard_sig`). Three exact steps
 follow, none of which enumerates the pairs of a crowded signature:
 
-1. each class of a signature is verified against the smallest class there; links make components;
+1. each class of a signature is verified against the smallest class there; links make components. Classes that meet
+   within one batch of rows are held against the smallest of the batch, and only that one meets other batches under the
+   signature, so a signature costs one task a row for each batch and the others are dealt by a key of their own;
 2. where a signature of few rows still holds several components, the pairs between them are verified;
 3. classes of crowded signatures with several components meet again on their rarest shingles (prefix
    filter, rarest first among those classes): each is first verified against the smallest class that has
-   the shingle, and of what is still apart only pairs that pass the bounds on sizes, on places and on
-   bitmaps (the bits that differ never outnumber the shingles that do) leave the join.
+   the shingle, and of what is still apart only pairs that pass the bounds on sizes and places are taken.
+
+Before shingles are fetched, a pair must pass a bound on bitmaps that grow with the sets (the bits that
+differ never outnumber the shingles that do).
 
 Nulls and texts without words have an empty set and link with nothing; a text of fewer words than
 a shingle has one shingle, the whole; repeated rows are copies and each is returned; other columns
-are ignored; an empty table gives no rows. A null id is returned and never names a component unless
-all ids of its component are null. Equality of shingles and sets is that of 64-bit hashes.
+are ignored; an empty table gives no rows. Rows with a null id link as all others do; a null id never names a component
+unless all ids of its component are null. Equality of shingles and sets is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,72 +36,129 @@ from logsignals.llm.textual import digest_of, saved, shingles_of, table, words_o
 
 #: Rows up to which the pairs of one signature are formed; the others go through the prefix filter. Either way is exact.
 CROWDED = 16
-#: Ids of documents whose shingles are wanted, up to which they are broadcast as a filter (some 50 MB); beyond, a shuffled join.
+#: Documents whose shingles are wanted, up to which they are broadcast as a filter (some 50 MB); beyond, a shuffled join.
 BROADCAST_IDS = 1_000_000
-#: Words of the bitmaps; 1024 bits tell sets of some thousand shingles apart.
-BITS = tuple(f"b{i}" for i in range(16))
+LEAST_BITS = 256
+
+
+def _members(size: int):
+    """For mapInArrow over (doc_id, mark, text): class, number of shingles and bitmap of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [shingles_of(words_of(t), size) for t in batch.column(2).to_pylist()]
+            own = [pa.array([digest_of(s) for s in held], pa.int64()), pa.array([len(s) for s in held], pa.int64()), pa.array([_bitmap(s) for s in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["doc_id", "mark", "cls", "n", "bits"])
+
+    return run
 
 
-def _hashed(size: int, what: str, percent: int = 0):
-    """A function for mapInArrow over (id, text): members, signatures or sets."""
+def _signature_rows(size: int, percent: int):
+    """For mapInArrow over text: (key, cls, via). The smallest class of a signature in a batch has the signature as its key; the others have (signature, smallest) in via and a key of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            ids, out = batch.column(0), []
-            for text in batch.column(1):
-                shingles = shingles_of(words_of(text.as_py()), size)
-                cls = digest_of(shingles)
-                if what == "members":
-                    out.append((cls, len(shingles), *_bitmap(shingles)))
-                elif len(shingles) and cls not in seen:
-                    seen.add(cls)
-                    out.append((cls, shingles if what == "sets" else signatures(shingles, percent)))
-                if len(seen) > 1_000_000:  # memory; classes met again only repeat rows
-                    seen.clear()
-            if what == "members":
-                columns = np.array(out, np.int64).reshape(-1, 2 + len(BITS)).T
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in columns)], ["doc_id", "cls", "n", *BITS])
-            elif out:
-                cls, held = np.array([x[0] for x in out], np.int64), np.array([len(x[1]) for x in out])
-                flat = pa.array(np.concatenate([x[1] for x in out]).view(np.int64))
-                if what == "signatures":
-                    yield pa.RecordBatch.from_arrays([flat, pa.array(np.repeat(cls, held))], ["sig", "cls"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.ListArray.from_arrays(pa.array(np.append(0, held.cumsum()), pa.int32()), flat)], ["cls", "items"])
+            sigs: dict[int, np.ndarray] = {}
+            for text in batch.column(0).to_pylist():
+                shingles = shingles_of(words_of(text), size)
+                if len(shingles) and (cls := digest_of(shingles)) not in sigs:
+                    sigs[cls] = np.unique(signatures(shingles, percent))
+            if not sigs:
+                continue
+            cls = np.repeat(np.fromiter(sigs, np.int64, len(sigs)), [len(x) for x in sigs.values()])
+            sig = np.concatenate(list(sigs.values())).view(np.int64)
+            order = np.lexsort((cls, sig))
+            sig, cls = sig[order], cls[order]
+            first = np.append(True, sig[1:] != sig[:-1])
+            yield _rows(sig[first], cls[first], None)
+            if not first.all():
+                least = cls[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                with np.errstate(over="ignore"):
+                    own = sig[~first] + cls[~first] * np.int64(0x9E3779B1)
+                yield _rows(own, cls[~first], np.stack([sig[~first], least[~first]], 1))
 
     return run
 
 
-def _bitmap(shingles: np.ndarray) -> np.ndarray:
-    """1024 bits, each the parity of the shingles that fall on it: XOR of two bitmaps is the bitmap of the difference."""
-    odd = np.bincount((shingles & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def _rows(key: np.ndarray, cls: np.ndarray, via: np.ndarray | None) -> pa.RecordBatch:
+    held = pa.nulls(len(key), pa.list_(pa.int64())) if via is None else pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(key) + 1, 2), pa.int32()), pa.array(via.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), held], ["key", "cls", "via"])
+
+
+def _sets(size: int):
+    """For mapInArrow over (key, cls, text): (key, cls, items) of the rows whose text is of the class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, shingles, digest, seen = None, None, 0, set()
+        for batch in batches:
+            rows = []
+            for key, cls, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if shingles is None or text != last:
+                    last, shingles = text, shingles_of(words_of(text), size)
+                    digest = digest_of(shingles)
+                if digest == cls and (key, cls) not in seen:  # copies of a class come once a task
+                    seen.add((key, cls))
+                    rows.append((key, cls, shingles))
+            if rows:
+                ends = np.append(0, np.cumsum([len(r[2]) for r in rows]))
+                items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([r[2] for r in rows]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), items], ["key", "cls", "items"])
+            if len(seen) > 1_000_000:  # memory
+                seen.clear()
+
+    return run
+
 
+def _bitmap(shingles: np.ndarray) -> bytes:
+    """A bit or more for each shingle, each the parity of those that fall on it: XOR of two bitmaps is the bitmap of the difference."""
+    bits = max(LEAST_BITS, 1 << max(0, len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-def _near_enough(percent: int, a: str, b: str):
-    """The bounds that every link meets: on sizes, and on the bits that differ."""
-    apart = sum((F.bit_count(F.col(f"{a}.{i}").bitwiseXOR(F.col(f"{b}.{i}"))) for i in BITS), F.lit(0))
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
+def differing(a: bytes, b: bytes) -> int:
+    """Bits that differ; the longer bitmap is folded to the length of the shorter, which keeps parities."""
+    if len(a) < len(b):
+        a, b = b, a
+    x = int.from_bytes(a, "little")
+    for half in (len(a) >> i for i in range(1, 64)):
+        if half < len(b):
+            break
+        x = (x >> (8 * half)) ^ (x & ((1 << (8 * half)) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
 
-def _items(docs: DataFrame, classes: DataFrame, some: DataFrame, size: int) -> DataFrame:
-    """(cls, items) for the classes in some(cls), from the text of one document of each."""
-    ids = saved(some.distinct().join(classes, "cls").select("doc_id"))
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(_hashed(size, "sets"), "cls long, items array<long>")
+
+def _bounded(percent: int):
+    """For mapInArrow over (a, b, s, x, y): the pairs whose s shingles in all leave room for the bits that differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            ok = [differing(p, q) * (100 + percent) <= n * (100 - percent) for n, p, q in zip(s, x, y)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _items(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(key, cls, items) for wanted(key, cls), from the text of a document of each class."""
+    wanted = saved(wanted.join(classes.select("cls", F.col("doc_id").alias("id")), "cls"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select("key", "cls", "text")
+    return texts.mapInArrow(_sets(size), "key long, cls long, items array<long>")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough. Only pairs within the bounds fetch shingles."""
-    p, q = classes.alias("p"), classes.alias("q")
-    within = pairs.join(p, F.col("a") == F.col("p.cls")).join(q, F.col("b") == F.col("q.cls")).filter(_near_enough(percent, "p", "q"))
-    within = saved(within.select("a", "b"))
-    items = _items(docs, classes, within.select(F.col("a").alias("cls")).union(within.select("b")), size)
-    both = within.join(items.withColumnsRenamed({"cls": "a", "items": "x"}), "a").join(items.withColumnsRenamed({"cls": "b", "items": "y"}), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return saved(shared.filter(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b"))
+    p, q = (classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    within = pairs.join(p, "a").join(q, "b").filter(sizes).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("s"), "bits_a", "bits_b")
+    within = saved(within.mapInArrow(_bounded(percent), "a long, b long"))
+    left = _items(docs, classes, within.select(F.col("a").alias("key"), F.col("a").alias("cls")).distinct(), size)
+    right = _items(docs, classes, within.select(F.col("a").alias("key"), F.col("b").alias("cls")), size)
+    both = right.select("key", "cls", F.col("items").alias("y")).join(left.select("key", F.col("items").alias("x")), "key")
+    shared = both.select(F.col("key").alias("a"), F.col("cls").alias("b"), F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
+    return saved(shared.filter(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b").distinct())
 
 
 def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -105,31 +166,45 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
+def _open(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, cls, label ...) of keys that hold several components, with their number of rows. Keys are summed before they meet."""
+    several = rows.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).filter("low <> high")
+    return rows.join(several.select(key, "rows"), key)
+
+
 def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between classes: not all, but enough for the same components."""
-    w = Window.partitionBy("sig")
-    rows = docs.mapInArrow(_hashed(size, "signatures", percent), "sig long, cls long")
-    met = rows.withColumns({"rep": F.min("cls").over(w), "last": F.max("cls").over(w), "rows": F.count("*").over(w)})
-    met = saved(met.filter("rep <> last").select("sig", "cls", "rep", "rows"))
+    w = Window.partitionBy("key")
+    rows = docs.select("text").mapInArrow(_signature_rows(size, percent), "key long, cls long, via array<long>")
+    met = rows.withColumns({"rep": F.min("cls").over(w), "last": F.max("cls").over(w)}).filter("rep <> last OR via IS NOT NULL")
+    met = saved(met.select(F.coalesce(F.col("via")[0], "key").alias("sig"), "cls", F.coalesce(F.col("via")[1], "rep").alias("rep")))
 
     star = met.filter("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
     first = _verified(docs, classes, star, size, percent)
 
-    split = Window.partitionBy("sig")
-    parts = _labelled(met.select("sig", "cls", "rows"), components(first))
-    open_ = saved(parts.withColumns({"low": F.min("label").over(split), "high": F.max("label").over(split)}).filter("low <> high").select("sig", "cls", "label", "rows"))
-    few = open_.filter(F.col("rows") <= CROWDED).join(classes, "cls")
+    parts = _labelled(met.select("sig", "cls").distinct(), components(first))
+    open_ = saved(_open(parts, "sig"))
+    sizes = classes.select("cls", "n")
+    few = open_.filter(F.col("rows") <= CROWDED).join(sizes, "cls")
     on = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label"))
-    pairs = few.alias("p").join(few.alias("q"), on & _near_enough(percent, "p", "q")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
-
-    crowd = saved(open_.filter(F.col("rows") > CROWDED).select("cls").distinct())
-    rare = saved(_prefixes(saved(_items(docs, classes, crowd, size)), percent).join(classes.drop("doc_id"), "cls"))
-    stars = rare.withColumn("rep", F.min("cls").over(Window.partitionBy("item"))).filter("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b"))
+    pairs = few.alias("p").join(few.alias("q"), on & _like_sizes(percent)).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
+
+    crowd = saved(open_.filter(F.col("rows") > CROWDED).select(F.col("cls").alias("key"), "cls").distinct())
+    if crowd.isEmpty():
+        return first.union(_verified(docs, classes, pairs.distinct(), size, percent))
+    items = saved(_items(docs, classes, crowd, size).dropDuplicates(["cls"]))
+    rare = saved(_prefixes(items, percent).join(sizes, "cls"))
+    least = rare.groupBy("item").agg(F.min("cls").alias("a"))
+    stars = rare.join(least, "item").filter("cls <> a").select("a", F.col("cls").alias("b"))
     known = first.union(_verified(docs, classes, stars.distinct().join(star, ["a", "b"], "left_anti"), size, percent))
-    pairs = pairs.union(_prefix_pairs(_labelled(rare, components(known)), percent))
+    pairs = pairs.union(_prefix_pairs(_open(_labelled(rare, components(known)), "item"), percent))
     return known.union(_verified(docs, classes, pairs.distinct(), size, percent))
 
 
+def _like_sizes(percent: int):
+    return F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent
+
+
 def _prefixes(items: DataFrame, percent: int) -> DataFrame:
     """(cls, item, place) for the rarest n - ceil(p * n) + 1 shingles of each class that some other class has too."""
     each = items.select("cls", F.explode("items").alias("item"))
@@ -141,26 +216,29 @@ def _prefixes(items: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefix_pairs(rare: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that meet on a rare shingle and pass the bounds, also that on what can still be shared after a first common shingle."""
+    """Pairs of classes of different components that meet on a rare shingle and pass the bounds on sizes and on what can still be shared after a first common shingle."""
     on = (F.col("p.item") == F.col("q.item")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label"))
     left = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
     first = left * (100 + percent) >= (F.col("p.n") + F.col("q.n")) * percent
-    return rare.alias("p").join(rare.alias("q"), on & first & _near_enough(percent, "p", "q")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
+    return rare.alias("p").join(rare.alias("q"), on & first & _like_sizes(percent)).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
+
+
+def jaccard_members(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """For each row of docs(doc_id, mark, text): doc_id, mark, n and label, which linked rows share; a row without shingles has no label."""
+    members = saved(docs.mapInArrow(_members(size), "doc_id long, mark long, cls long, n long, bits binary"))
+    classes = saved(members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    labels = _labelled(classes.select("cls"), components(_links(docs, classes, size, percent))).withColumn("filled", F.lit(True))
+    own = members.select("doc_id", "mark", "cls", "n", (F.col("n") > 0).alias("filled"))
+    return own.join(labels, ["cls", "filled"], "left").select("doc_id", "mark", "n", "label")
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that its links reach, itself included)."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    members = saved(docs.mapInArrow(_hashed(size, "members"), "doc_id long, cls long, n long, " + ", ".join(f"{b} long" for b in BITS)))
-    classes = saved(members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("n", *BITS))))
-    labels = components(_links(docs, classes, size, percent))
-    named = _labelled(classes.select("cls", "doc_id"), labels)
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    component = named.join(smallest, "label").select("cls", "component_id", F.lit(True).alias("filled"))
-    return (
-        members.join(component, (members["cls"] == component["cls"]) & (members["n"] > 0), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("filled"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("mark"), F.col(text_col).alias("text"))
+    rows = saved(jaccard_members(docs, size, percent))
+    smallest = rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(smallest, "label", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

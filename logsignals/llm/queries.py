@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from logsignals.llm import op1_secret_scans, op2_lm_scoring, op3_toxicity, op4_license_scans, op5_decontamination, op6_jaccard_join, op7_token_counts, op8_packing, op9_quality_rules, op10_url_filters
+from logsignals.llm import op1_secret_scans, op2_lm_scoring, op3_toxicity, op4_license_scans, op5_decontamination, op6_jaccard_join, op7_token_counts, op8_packing, op9_quality_rules, op10_url_filters, stages
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans.op1,
@@ -16,7 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_packing.op8,
     "op9_quality_rules": op9_quality_rules.op9,
     "op10_url_filters": op10_url_filters.op10,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": stages.run,
 }
 ORACLE = {
     "op1_secret_scans": op1_secret_scans.SQL,

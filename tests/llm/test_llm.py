@@ -57,6 +57,37 @@ def test_odd_rows_keep_their_number(spark, odd):
     assert {(r.doc_id, r.item_id) for r in op5.contained(odd, items).collect()} == {(4, 1), (7, 4)}
 
 
+BIG = (1 << 53) + 1
+PROSE = " ".join(f"word{i}" for i in range(200))
+
+
+@pytest.fixture(scope="module")
+def keyed(spark):
+    """Near copies under large ids and none, repeated rows, ids with two texts."""
+    rows = [(BIG, PROSE), (None, PROSE + " more"), (BIG + 2, "other words stand here and there"), (None, "nothing like it"), (BIG + 2, "other words stand here and there"), (BIG + 2, PROSE + " less"), (None, None)]
+    return spark.createDataFrame([(i, t, "en", "s", 1.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_shingles double")
+
+
+def test_links_of_null_and_large_ids(keyed):
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in op6.jaccard_components(keyed).collect())
+    assert got == {(BIG, 197, BIG): 1, (None, 198, BIG): 1, (BIG + 2, 3, BIG + 2): 2, (None, 1, None): 1, (BIG + 2, 198, BIG): 1, (None, 0, None): 1}
+
+
+def test_items_in_documents_with_null_and_large_ids(spark, keyed):
+    items = spark.createDataFrame([(BIG, "word7 word8 word9 word10 word11 word12"), (2, "stand here and there")], "item_id long, text string")
+    assert sorted((str(r.doc_id), r.item_id, r.containment) for r in op5.contained(keyed, items).collect()) == sorted((str(i), k, 1.0) for i, k in [(BIG, BIG), (None, BIG), (BIG + 2, BIG), (BIG + 2, 2)])
+
+
+def test_near_duplicates_decides_by_row(spark, keyed):
+    from logsignals.llm import stages
+
+    out = stages.near_duplicates(spark, keyed, DATA)
+    assert out.columns == keyed.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted([(str(BIG), PROSE), (str(BIG + 2), "other words stand here and there"), ("None", "nothing like it"), ("None", "None")])
+    assert stages.near_duplicates(spark, keyed.limit(0), DATA).count() == 0
+    assert op6.differing(op6._bitmap(np.arange(700, dtype=np.uint64)), op6._bitmap(np.arange(90, dtype=np.uint64))) <= 610
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -192,7 +223,11 @@ def test_license_notices_side_by_side():
 
 
 def test_jaccard_join_equals_brute_force(spark, docs):
-    sets = {i: set(textual.shingles_of(textual.words_of(t), 4).tolist()) for i, t in docs}
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        return {tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3))} if words else set()
+
+    sets = {i: shingles(t) for i, t in docs}
     parent = {i: i for i in sets}
 
     def find(x):
