@@ -1,65 +1,12 @@
-"""Documents to packed training sequences, one stage after another.
+"""The corpus pipeline: quality rules, near duplicates, decontamination, secret scans, best-fit packing.
 
-Each stage takes all that its predecessor kept and returns the columns of documents, but for the last, which returns pieces with
-their place in a sequence. run() writes every stage to the shared folder before the next reads it.
+STAGES lists (name, function(spark, docs, sf_dir)); each result is written as Parquet and is the next one's docs. run(spark, sf_dir)
+applies them to documents. The functions and what they do with odd rows stand in logsignals/llm/stages.py.
 """
 
-from __future__ import annotations
+from logsignals.llm.stages import STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
-from logsignals.llm import op1_secret_scans, op5_decontamination, op6_jaccard_join, op8_packing, op9_quality_rules
-from logsignals.llm.textual import saved, table
-
-#: Near duplicates here: five words a shingle, similarity of 0.8 or more.
-SHINGLE, PERCENT = 5, 80
-#: Ids up to which they are broadcast as a filter (some 50 MB); beyond, a shuffled join.
-BROADCAST_IDS = 1_000_000
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose id isn't among ids(doc_id), a saved table; rows without an id stay."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, "doc_id", "left_anti")
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the adaptive fences keep."""
-    limits = saved(op9_quality_rules.fences(op9_quality_rules.sketches(op9_quality_rules.features(docs))))
-    return op9_quality_rules.judged(op9_quality_rules.features(docs), limits).filter("kept").select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    groups = op6_jaccard_join.jaccard_components(docs, SHINGLE, PERCENT)
-    return _without(docs, saved(groups.filter("component_id < doc_id").select("doc_id").distinct()))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _without(docs, saved(op5_decontamination.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()))
-
-
-def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, the secrets in their texts replaced by a mark."""
-    return op1_secret_scans.redacted(docs)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequence and place in it."""
-    return op8_packing.pack(docs, public_tokenizers.path(op8_packing.VOCABULARY))
-
-
-STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("secret scans", secrets), ("best-fit packing", packing)]
 #: Tokenisation isn't expressible in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
-    return docs
