@@ -300,11 +300,20 @@ def test_packing_round_trip(spark, docs):
     assert len(by_seq) <= 1.02 * -(-total // 2048) + 1
 
 
-def test_chunks_encode_as_the_whole():
-    encoder, library = op8.ChunkEncoder(public_tokenizers.path(op8.VOCABULARY)), Tokenizer.from_file(public_tokenizers.path(op8.VOCABULARY))
-    texts = ["a\n\n b  c\t\td  ", "\n\n", "  x", "it's   ", "foo<|endoftext|> bar", "", "a\x1c b", "a\u00a0 b\u3000 c", "x\0y z", "one two\nthree, four's\n", " lead", "trail ", "trail\n", "caf\u00e9 na\u00efve\u2026 ok"]
-    for t in texts:
-        assert encoder.encode([t])[0] == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+def test_encoder_gives_the_ids_of_the_library():
+    encoder, library = op8.Encoder(public_tokenizers.path(op8.VOCABULARY)), Tokenizer.from_file(public_tokenizers.path(op8.VOCABULARY))
+    texts = ["a\n\n b  c\t\td  ", "\n\n", "  x", "it's   ", "foo<|endoftext|> bar", "", "a\x1c b", "a\u00a0 b\u3000 c", "x\0y z", "one two\nthree, four's\n", " lead", "trail ", "trail\n", "caf\u00e9 na\u00efve\u2026 ok", "ab" * 200_000]
+    texts += [f"a{chr(c)}b {chr(c)} 1{chr(c)}{chr(c)} x" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 7 == 0)]
+    assert encoder.own is not None
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert encoder.encode(t) == np.array(e.ids, "<u4").tobytes(), t[:80]
+    other = op8.Encoder(public_tokenizers.path(op7.VOCABULARY))
+    assert other.own is None and other.encode("Hello world") == np.array(Tokenizer.from_file(public_tokenizers.path(op7.VOCABULARY)).encode("Hello world", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_carries_null_and_large_ids(keyed):
+    got = op8.pack(keyed, public_tokenizers.path(op8.VOCABULARY)).collect()
+    assert collections.Counter(r.doc_id for r in got) == {BIG: 1, BIG + 2: 3, None: 3}
 
 
 def test_best_fit_uses_every_slot_once():
