@@ -3,7 +3,8 @@
 The domain of 64-bit shingle hashes is cut into `n1` ranges, each again into `n2`; a signature
 is the content of n2 - k2 of the n2 inner ranges of one outer range. Sets of one band of sizes
 whose symmetric difference is at most k < n1 * (k2 + 1) share a signature, since some outer
-range holds at most k2 of the differences.
+range holds at most k2 of the differences. With `spare` ranges beyond that, some of more than `spare` ranges agree, so empty
+contents, which any two sets may share, need a signature only in a set with more than `spare` ranges that have one.
 """
 
 from __future__ import annotations
@@ -17,11 +18,6 @@ from logsignals.llm.textual import mixed
 
 
 
-def spare(needed: int) -> int:
-    """Outer ranges beyond the bound on k: so many may have an empty inner range before empty contents get signatures."""
-    return 2 + needed // 24
-
-
 @lru_cache(maxsize=64)
 def bands(percent: int, most: int) -> np.ndarray:
     """Lower ends of the bands of sizes: sets of similarity percent / 100 or more lie in one band or in neighbours."""
@@ -33,11 +29,16 @@ def bands(percent: int, most: int) -> np.ndarray:
 
 @lru_cache(maxsize=4096)
 def plan(upper: int, percent: int) -> tuple[int, int, int, int]:
-    """(n1, n2, k2, spare) for sets of at most `upper` members: |s ^ t| <= (|s| + |t|) * (100 - p) / (100 + p)."""
+    """(n1, n2, k2, spare) for sets of at most `upper` members: |s ^ t| <= (|s| + |t|) * (100 - p) / (100 + p).
+
+    For few differences, subsets of three of four inner ranges keep signatures selective; for many, one range for each difference
+    costs the fewest signatures (k + 1, as two inner ranges do) and needs the fewest spare ones.
+    """
     k = 2 * upper * (100 - percent) // (100 + percent)
-    n2, k2 = (4, 1) if k <= 20 else (2, 1)
+    n2, k2 = (4, 1) if k <= 20 else (1, 0)
     needed = -(-(k + 1) // (k2 + 1))
-    return needed + spare(needed), n2, k2, spare(needed)
+    spare = 2 + (needed // 24 if k2 else needed * 3 // 20)
+    return needed + spare, n2, k2, spare
 
 
 @lru_cache(maxsize=64)

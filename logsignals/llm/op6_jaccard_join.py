@@ -68,14 +68,14 @@ def _signature_rows(size: int, percent: int):
             cls = np.repeat(np.fromiter(sigs, np.int64, len(sigs)), [len(x) for x in sigs.values()])
             sig = np.concatenate(list(sigs.values())).view(np.int64)
             order = np.lexsort((cls, sig))
-            sig, cls = sig[order], cls[order]
-            first = np.append(True, sig[1:] != sig[:-1])
-            yield _rows(sig[first], cls[first], None)
-            if not first.all():
-                least = cls[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            first = np.append(True, sig[order][1:] != sig[order][:-1])
+            least, alone = np.empty_like(cls), np.empty(len(cls), bool)
+            least[order], alone[order] = cls[order][np.flatnonzero(first)[np.cumsum(first) - 1]], first
+            yield _rows(sig[alone], cls[alone], None)  # in the order of classes, which compresses well
+            if not alone.all():
                 with np.errstate(over="ignore"):
-                    own = sig[~first] + cls[~first] * np.int64(0x9E3779B1)
-                yield _rows(own, cls[~first], np.stack([sig[~first], least[~first]], 1))
+                    own = sig[~alone] + cls[~alone] * np.int64(0x9E3779B1)
+                yield _rows(own, cls[~alone], np.stack([sig[~alone], least[~alone]], 1))
 
     return run
 
