@@ -1,18 +1,19 @@
 """LM scoring by logistic context mixing of hashed bit predictors.
 
-A text is its lower-cased words and one end; a word is spelt bit by bit as its UTF-8 bytes and a space, the end as
-a space alone. Each bit of each token is predicted from several contexts: the 1 to 5 bytes before it, which reach across the
-border into the previous word; the word so far (the word-frequency model); and the previous word with the word so far. They
-are hashed with the bits already known of the byte to slots of counts, which every training token adds to. The stretched predictions
-are mixed by weights that are learnt online, one set for each gate (place of the bit, longest context seen before), and the
-mixture is refined by an adaptive map from its value and the gate to what followed in that gate.
-Within a document the score adapts: several experts give different weight to the words that the text has had so far, and
-a document's probability is their mean, so the one that has predicted best leads online. All is kept in logs.
-
-1. Words are counted by task and summed (a table in the shared folder): counts c, total N, distinct V; V gives the number of slots.
-2. Training texts are read twice: for the slots' counts, which tasks hold and sum in tables of fixed size, then for the weights
-   and the map, each token with itself left out once. Equal pairs of words in a batch of texts are handled once, with their number.
-3. Documents are spread over blocks, pairs of block and word fetch c (for the base score), and each block's pairs of words are scored.
+A text is its lower-cased words and one end. Every token is spelt as bits: a frequent word (and the end) by its path in a Huffman
+tree of the DICTIONARY most frequent words, any other as an escape and then its bytes and a space, by paths in a tree of bytes. So
+each bit is a decision at a node of a tree, and several predictors give its odds from hashed contexts: for words the node alone (word frequency), the
+node after the previous word, and after the two before; for bytes the node after one and two bytes and after the whole word so far.
+Their stretched predictions are mixed by weights learnt online, one set for each gate (how often the two longer contexts have
+been met), and the mixture is refined by an adaptive map from its value and the gate to what followed there.
+
+Texts are also cut into phrases where a word's hash says so (about PHRASE words). A phrase that the training texts hold elsewhere
+is predicted as a whole by its frequency; the share of phrases that recur is the weight of that expert. A training text is scored
+with itself left out once: each count is less by what the token, or the phrase, itself has added. So texts that occur twice stand apart.
+
+1. Words are counted (a table in the shared folder): counts c, total N, distinct V; the dictionary has those above a count, found by a histogram.
+2. Training texts are read once, bit by bit online: predict, move the weights, count. Tasks' slots, of fixed size, are summed.
+3. Every text is scored where it lies; words outside the dictionary fetch c for the base score, phrases fetch their counts, both by a join.
 
 Null texts are the end alone; long texts are scored whole; equal rows count and score each; a null id is in training;
 other columns are ignored; an empty table gives no rows; without training words slots predict 1/2.
@@ -22,154 +23,213 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from logsignals.llm.textual import mixed, saved, table, words_of
-
-#: Contexts: bytes before the bit, then the word so far, then the previous word and the word so far.
-ORDERS = (1, 2, 3, 4, 5)
-CONTEXTS = len(ORDERS) + 2
-#: Slots of counts for each context without a vocabulary, a word's share of them, their bounds (of memory), and cells of the refining map.
-SLOTS, PER_WORD, LEAST_SLOTS, MOST_SLOTS, CELLS = 1 << 20, 8, 1 << 16, 1 << 21, 33
-#: Slots that travel together.
-CHUNK = 1 << 16
-#: Text bytes of a block, and of a task that holds slots.
-BLOCK_BYTES, TASK_BYTES = 24_000_000, 256_000_000
-#: Words or pairs of words that a task counts before it hands them on, and tokens of a block that are scored at once.
-HELD, TOKENS = 1_000_000, 500_000
-#: Weights that the experts give to the words a text has had.
-RECENT = (0.0, 0.1, 0.4, 0.9)
-RATE, BATCH = 0.1, 1024
-END = b""
-
-
-class BitModel:
-    """Predictions for the bits of words; counts are (n0 + i * n1)[context][slot]."""
-
-    def __init__(self, counts: np.ndarray | None = None, weights: np.ndarray | None = None, refined: np.ndarray | None = None) -> None:
-        self.counts = np.zeros((CONTEXTS, SLOTS), np.complex64) if counts is None else counts
-        self.weights = np.full((8 * (CONTEXTS + 1), CONTEXTS), 0.25) if weights is None else weights
+from xxhash import xxh3_64_intdigest
+
+from logsignals.llm.textual import LOWER, SPACE, UPPER, mixed, saved, table, words_of
+
+#: Words with a path of their own, the bytes that such a word has at most, and words of a phrase on average.
+DICTIONARY, LONGEST, PHRASE = 1 << 17, 64, 16
+#: Contexts of each tree, slots of each context (memory of an executor), slots that travel together, gates, and cells of the refining map.
+CONTEXTS, SLOTS, CHUNK, GATES, CELLS = 3, 1 << 20, 1 << 16, 16, 33
+#: Text bytes of a training task, tasks at least, characters of texts that are read together, and tokens of a step.
+TASK_BYTES, TASKS, GROUP, STEP = 256_000_000, 12, 2_000_000, 8_192
+RATE, PRIOR = 0.5, np.float32(0.4)
+ESCAPE, END = 0, 1
+_K1, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+
+
+class Tree:
+    """Paths of symbols in a Huffman tree by their counts: (node, bit) from the root down."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        n = len(counts)
+        order = np.argsort(counts, kind="stable")
+        leaves, made, parent, side = counts[order].tolist(), [], np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.uint8)
+        i = j = 0
+        for t in range(n - 1):  # the two lightest are the next leaf or the oldest node
+            weight = 0
+            for s in (0, 1):
+                if j >= len(made) or (i < n and leaves[i] <= made[j]):
+                    child, weight, i = order[i], weight + leaves[i], i + 1
+                else:
+                    child, weight, j = n + j, weight + made[j], j + 1
+                parent[child], side[child] = t, s
+            made.append(weight)
+        at, steps = np.arange(n), []
+        while (live := np.flatnonzero(at != 2 * n - 2)).size:
+            steps.append((live, parent[at[live]], side[at[live]]))
+            at[live] = n + parent[at[live]]
+        self.length = np.zeros(n, np.int32)
+        for live, _, _ in steps:
+            self.length[live] += 1
+        self.offset = (np.cumsum(self.length) - self.length).astype(np.int32)
+        self.node, self.bit = np.zeros(int(self.length.sum()), np.int32), np.zeros(int(self.length.sum()), np.uint8)
+        for up, (live, node, bit) in enumerate(steps, 1):
+            place = self.offset[live] + self.length[live] - up
+            self.node[place], self.bit[place] = node, bit
+
+
+class Words:
+    """The dictionary with its tree, and texts as tokens under it."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, ends: int) -> None:
+        self.at = {w: i for i, w in enumerate(words, 2)} | {b"": END}
+        self.counts = np.concatenate([[0, ends], counts]).astype(np.float64)
+        self.tree = Tree(np.concatenate([[max(1, int(counts.sum()) // 8), max(1, ends)], np.maximum(1, counts)]))
+        self.hashes = np.array([0, xxh3_64_intdigest(b""), *map(xxh3_64_intdigest, words)], np.uint64)
+        self.bytes = Tree(np.bincount(np.frombuffer(b" ".join([*words, b""]), np.uint8), minlength=256) * 16 + 1)
+
+    def tokens(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, tokens of each text, symbol of each token, its hash); the end is an empty word."""
+        every, sizes = [], []
+        for t in texts:
+            words = words_of(t)
+            every += words
+            every.append(b"")
+            sizes.append(len(words) + 1)
+        symbols = np.fromiter(map(self.at.get, every, repeat(ESCAPE)), np.int32, len(every))
+        hashes = self.hashes.take(symbols)
+        rare = np.flatnonzero(symbols == ESCAPE)
+        hashes[rare] = np.fromiter((xxh3_64_intdigest(every[i]) for i in rare.tolist()), np.uint64, len(rare))
+        return every, np.array(sizes), symbols, hashes
+
+
+class Stream:
+    """Mixed predictions for the bits of one tree; counts[context] has n0 and n1 of each slot side by side."""
+
+    def __init__(self, tree: Tree, counts: np.ndarray | None = None, weights: np.ndarray | None = None, refined: np.ndarray | None = None) -> None:
+        self.tree = tree
+        self.counts = np.zeros((CONTEXTS, 2 * SLOTS), np.int32) if counts is None else counts
+        self.weights = np.full((CONTEXTS, GATES), 0.3, np.float32) if weights is None else weights.astype(np.float32)
+        self.seen = np.zeros(GATES * CELLS * 2)
         self.refined = refined
-
-    @staticmethod
-    def bits(words: list[bytes], before: list[bytes] | None = None, size: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word, place of the bit, bit, slots[context]) for every bit of every word, in order; `before` has the words before them."""
-        before = [b""] * len(words) if before is None else before
-        lead = np.fromiter(map(len, before), np.int64, len(words)) + 1
-        lengths = lead + np.fromiter(map(len, words), np.int64, len(words)) + 1
-        flat = np.frombuffer(b" ".join(chain.from_iterable(zip(before, words))) + b" ", np.uint8)
-        place = np.arange(len(flat)) - np.repeat(lengths.cumsum() - lengths, lengths)
-        in_word = place - np.repeat(lead, lengths)
-        own = np.flatnonzero(in_word >= 0)
-        with np.errstate(over="ignore"):
-            wide = flat.astype(np.uint64)
-
-            def so_far(at: np.ndarray) -> np.ndarray:
-                """A hash of what stands before each byte, from where `at` is 0."""
-                sums = np.concatenate([np.zeros(1, np.uint64), mixed(wide + (at.astype(np.uint64) << np.uint64(8))).cumsum(dtype=np.uint64)])
-                return (sums[own] - sums[own - at[own]]) + at[own].astype(np.uint64)
-
-            past, contexts = np.zeros(len(own), np.uint64), []
-            for back in ORDERS:
-                earlier = np.where(place[own] >= back, wide[np.maximum(own - back, 0)], np.uint64(0))
-                past = past | (earlier << np.uint64(8 * (back - 1)))
-                contexts.append(past)
-            contexts += [so_far(in_word), so_far(place)]
-            i = np.arange(8)
-            byte = wide[own].astype(np.int64)[:, None]
-            node = (1 << i) | (byte >> (8 - i))
-            bit = ((byte >> (7 - i)) & 1).ravel()
-            first = [(mixed(mixed(c) + np.uint64(k)) >> np.uint64(32)).astype(np.int64) for k, c in enumerate(contexts)]
-            slots = np.stack([((f[:, None] + node) & (size - 1)).ravel() for f in first])
-        return np.repeat(np.repeat(np.arange(len(words)), lengths)[own], 8), np.tile(i, len(own)), bit, slots
-
-    def inputs(self, place: np.ndarray, slots: np.ndarray, bit: np.ndarray, left_out: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(gate, ln(p1 / p0) by context); `left_out` of the bit's own count is taken away first."""
-        n = np.stack([self.counts[k].take(slots[k]) for k in range(CONTEXTS)])
-        n0, n1 = n.real, n.imag
-        if left_out:
-            n0, n1 = np.maximum(n0 - np.float32(left_out) * (bit == 0).astype(np.float32), 0), np.maximum(n1 - np.float32(left_out) * (bit == 1).astype(np.float32), 0)
-        longest = ((n0 + n1 > 0) * np.arange(1, CONTEXTS + 1, dtype=np.int8)[:, None]).max(0)
-        return longest.astype(np.int64) * 8 + place, np.log((n1 + np.float32(0.02)) / (n0 + np.float32(0.02)))
-
-    def _mixed(self, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
-        z = np.zeros(len(gate))
+        self.tables: dict[bool, list[np.ndarray]] = {}
+
+    def places(self, symbols: np.ndarray, contexts: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(bits of each symbol, bit, index into counts[context]); a context of None is the node alone."""
+        size = self.tree.length.take(symbols)
+        first = np.cumsum(size, dtype=np.int32) - size
+        at = np.arange(int(size.sum()), dtype=np.int32) + np.repeat(self.tree.offset.take(symbols) - first, size)
+        node, bit = self.tree.node.take(at).view(np.uint32), self.tree.bit.take(at)
+        scaled, out = node * _K1, []
+        for c in contexts:
+            slot = node & np.uint32(SLOTS - 1) if c is None else ((np.repeat(c, size) + scaled) * _K2) >> np.uint32(32 - SLOTS.bit_length() + 1)
+            out.append((slot.astype(np.int64) << 1) | bit)
+        return size, bit, out
+
+    def learn(self, symbols: np.ndarray, contexts: list[np.ndarray | None]) -> None:
+        """One online step: predict, move the weights of the gates, count."""
+        _, bit, at = self.places(symbols, contexts)
+        if not len(bit):
+            return
+        x, met = [], []
+        for k in range(CONTEXTS):
+            n = self.counts[k].view(np.int64).take(at[k] >> 1).view(np.int32).reshape(-1, 2).astype(np.float32)
+            x.append(np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR)))
+            met.append(n[:, 0] + n[:, 1])
+        gate = _bucket(met[1]) * 4 + _bucket(met[2])
+        z = self._mixed(gate, x)
+        error = bit - 1 / (1 + np.exp(-z))
+        mass = np.maximum(np.bincount(gate, minlength=GATES), 64)
         for k in range(CONTEXTS):
-            z += self.weights[:, k].take(gate) * x[k]
-        return z
-
-    def learn(self, words: list[bytes], seen: np.ndarray, before: list[bytes] | None = None, times: np.ndarray | None = None) -> None:
-        """Online steps of the gated weights, a batch of words (each so many times) a step; `seen` gathers (gate, cell, bit) for the map."""
-        for at in range(0, len(words), BATCH):
-            to = at + BATCH
-            word, place, bit, slots = self.bits(words[at:to], before and before[at:to], self.counts.shape[1])
-            gate, x = self.inputs(place, slots, bit, 1.0)
-            z = self._mixed(gate, x)
-            n = np.ones(len(word)) if times is None else times[at:to][word].astype(float)
-            error = n * (bit - _squash(z))
-            mass = np.bincount(gate, n, minlength=len(self.weights))
+            self.weights[k] += (RATE * np.bincount(gate, error * x[k], GATES) / mass).astype(np.float32)
+            np.add.at(self.counts[k], at[k], np.int32(1))
+        self.seen += np.bincount((gate * CELLS + _cell(z)) * 2 + bit, minlength=len(self.seen))
+
+    def _mixed(self, gate: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
+        z = self.weights[0].take(gate) * x[0]
+        for k in range(1, CONTEXTS):
+            z += self.weights[k].take(gate) * x[k]
+        return np.clip(z, -20, 20)
+
+    def frozen(self) -> Stream:
+        """With tables of what each (slot, bit) predicts, for training texts (the bit itself left out) and others; the two last bits of a number tell how often the slot was met."""
+        for held_out in (False, True):
+            self.tables[held_out] = []
             for k in range(CONTEXTS):
-                self.weights[:, k] += RATE * np.bincount(gate, error * x[k], len(self.weights)) / np.maximum(mass, 1)
-            seen += np.bincount((gate * CELLS + _cell(z)) * 2 + bit, n, minlength=seen.size).reshape(seen.shape)
+                n = self.counts[k].reshape(-1, 2).astype(np.float32)
+                own = np.zeros((len(n), 2, 2), np.float32) + n[:, None, :]
+                if not held_out:
+                    own -= np.eye(2, dtype=np.float32)
+                    np.maximum(own, 0, out=own)
+                x = np.log((own[..., 1] + PRIOR) / (own[..., 0] + PRIOR)).ravel().view(np.uint32)
+                self.tables[held_out].append(((x & ~np.uint32(3)) | _bucket(own.sum(2)).ravel().astype(np.uint32)).view(np.float32))
+        del self.counts
+        return self
+
+    def logs(self, symbols: np.ndarray, contexts: list[np.ndarray | None], held_out: bool) -> np.ndarray:
+        """ln p of each symbol."""
+        size, bit, at = self.places(symbols, contexts)
+        x = [self.tables[held_out][k].take(at[k]) for k in range(CONTEXTS)]
+        low = [(v.view(np.uint32) & np.uint32(3)).astype(np.int64) for v in x[1:]]
+        gate = low[0] * 4 + low[1]
+        z = self._mixed(gate, x)
+        p = 1 / (1 + np.exp(np.where(bit, -z, z)))
+        if self.refined is not None:
+            p = 0.6 * p + 0.4 * self.refined.take((gate * CELLS + _cell(z)) * 2 + bit)
+        sums = np.concatenate([[0.0], np.cumsum(np.log(p), dtype=np.float64)])
+        ends = np.cumsum(size)
+        return sums[ends] - sums[ends - size]
+
+
+def _bucket(n: np.ndarray) -> np.ndarray:
+    return (n > 0).astype(np.int64) + (n > 1) + (n > 4)
 
-    def log10(self, words: list[bytes], before: list[bytes] | None = None) -> np.ndarray:
-        """log10 probability of each word after the one before it."""
-        out = np.zeros(len(words))
-        for at in range(0, len(words), BATCH):
-            to = at + BATCH
-            word, place, bit, slots = self.bits(words[at:to], before and before[at:to], self.counts.shape[1])
-            gate, x = self.inputs(place, slots, bit)
-            z = self._mixed(gate, x)
-            p = -np.logaddexp(0, np.where(bit, -z, z))
-            if self.refined is not None:
-                p = np.logaddexp(np.log(0.75) + p, np.log(0.25) + self.refined[gate, _cell(z), bit])
-            out[at:to] = np.bincount(word, p) / np.log(10)
-        return out
 
+def _cell(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(z * 2 + CELLS // 2), 0, CELLS - 1).astype(np.int64)
 
-def _squash(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -16, 16)))
 
+def _spelt(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(bytes of the words, each with a space after it, and their three contexts)."""
+    flat = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+    wide = flat.astype(np.uint64)
+    one = np.where(place > 0, np.roll(wide, 1), np.uint64(0))
+    two = one | np.where(place > 1, np.roll(wide, 2), np.uint64(0)) << np.uint64(8)
+    sums = np.concatenate([np.zeros(1, np.uint64), mixed(wide + (place.astype(np.uint64) << np.uint64(8))).cumsum(dtype=np.uint64)])
+    here = np.arange(len(flat))
+    return flat.astype(np.int64), [_context(one, 1), _context(two, 2), _context(sums[here] - sums[here - place], 3)]
 
-def _cell(z: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(z + CELLS // 2), 0, CELLS - 1).astype(np.int64)
 
+def _context(x: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mixed(x + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(32)).astype(np.uint32)
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words of a task's texts with their counts in training texts; words of held-out texts alone have 0."""
-    counts: Counter = Counter()
 
-    def out() -> pd.DataFrame:
-        rows = pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-        counts.clear()
-        return rows
+def _before(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray | None]:
+    """The contexts of tokens: none, the word before, the two before; texts begin where `first` is."""
+    one = np.where(first, np.uint64(0), np.roll(hashes, 1))
+    two = np.where(first, np.uint64(0), np.roll(one, 1))
+    with np.errstate(over="ignore"):
+        return [None, _context(one, 4), _context(one + mixed(two + np.uint64(7)), 5)]
 
-    for frame in frames:
-        for text, held_out in zip(frame["text"], frame["held_out"]):
-            words = [*words_of(text), END]
-            if held_out:
-                for w in set(words).difference(counts):
-                    counts[w] = 0
-            else:
-                counts.update(words)
-            if len(counts) > HELD:  # memory; they are summed later
-                yield out()
-    yield out()
 
+def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of batches with about GROUP characters."""
+    for batch in batches:
+        texts = batch.column(column).to_pylist()
+        start, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size > GROUP or i + 1 == len(texts):
+                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
+                start, size = i + 1, 0
 
-def _distinct(frame: pd.DataFrame) -> pd.DataFrame:
-    """Words of a block."""
-    words: set[bytes] = {END}
-    for text in frame["text"]:
-        words.update(words_of(text))
-    return pd.DataFrame({"block": frame["block"].iloc[0], "word": list(words)})
+
+def _starts(sizes: np.ndarray, total: int) -> np.ndarray:
+    first = np.zeros(total, bool)
+    first[np.cumsum(sizes) - sizes] = True
+    return first
 
 
 def _planes(n: np.ndarray) -> bytes:
@@ -177,160 +237,198 @@ def _planes(n: np.ndarray) -> bytes:
     return n.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _from_planes(b, dtype: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(dtype).ravel()
+def _from_planes(b) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
 
+_last: dict[str, object] = {}
 
-_unpacked_last: dict[str, np.ndarray] = {}
 
+def _once(key: str, make):
+    """What a worker keeps for its next tasks."""
+    if key not in _last:
+        for old in [k for k in _last if k.split(":")[0] == key.split(":")[0]]:
+            del _last[old]
+        _last[key] = make()
+    return _last[key]
 
-def _unpacked(shared: tuple[str, list[bytes]]) -> np.ndarray:
-    """The counts of a broadcast (key, compressed contexts), which a worker keeps for its next tasks."""
-    key, parts = shared
-    if key not in _unpacked_last:
-        _unpacked_last.clear()
-        _unpacked_last[key] = np.stack([_from_planes(zlib.decompress(p), np.float32).view(np.complex64) for p in parts])
-    return _unpacked_last[key]
 
+class Model:
+    """What every task needs to score: the broadcast dictionary, and the streams' counts, weights and maps."""
 
-def slots_for(distinct: int) -> int:
-    """A power of two with room for PER_WORD slots a word, within the bounds of memory."""
-    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (max(1, PER_WORD * distinct) - 1).bit_length()))
+    def __init__(self, spark: SparkSession, words: list[bytes], counts: np.ndarray, ends: int) -> None:
+        self.key = uuid.uuid4().hex
+        self.dictionary = spark.sparkContext.broadcast((words, counts, ends))
+        self.counts, self.weights, self.refined = None, [None, None], [None, None]
 
+    def words(self) -> Words:
+        return _once(f"words:{self.key}", lambda: Words(*self.dictionary.value))
 
-def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list[bytes], list[bytes], np.ndarray]]:
-    """(words before, words, times) of the tokens of texts, equal pairs of a batch together."""
-    pairs: Counter = Counter()
+    def new(self) -> list[Stream]:
+        words = self.words()
+        return [Stream(words.tree), Stream(words.bytes)]
 
-    def out() -> tuple[list[bytes], list[bytes], np.ndarray]:
-        before, words = map(list, zip(*pairs))
-        times = np.fromiter(pairs.values(), np.int64, len(pairs))
-        pairs.clear()
-        return before, words, times
+    def streams(self) -> list[Stream]:
+        def made() -> list[Stream]:
+            words, held = self.words(), [np.concatenate([_from_planes(zlib.decompress(p)) for p in s]).reshape(CONTEXTS, -1) for s in self.counts.value]
+            return [Stream(tree, n, w, r).frozen() for tree, n, w, r in zip((words.tree, words.bytes), held, self.weights, self.refined)]
 
-    for frame in frames:
-        for text in frame["text"]:
-            words = words_of(text)
-            pairs.update(zip([b"", *words], [*words, END]))
-            if len(pairs) > HELD // 4:  # memory
-                yield out()
-    if pairs:
-        yield out()
+        return _once(f"streams:{self.key}", made)
 
 
-def fit(texts: DataFrame, distinct: int, tasks: int):
-    """(broadcast counts, weights, map) from training texts. What reaches the driver is bounded: slots, weights and the map."""
-    spark, size = texts.sparkSession, slots_for(distinct)
-    texts = texts.select("text").coalesce(tasks)
+def fit(texts: DataFrame, model: Model, tasks: int) -> Model:
+    """The model with counts, weights and maps from training texts. What reaches the driver is bounded: slots, weights and the maps."""
 
-    def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((CONTEXTS, size * 2), np.int32)
-        for before, words, times in _pairs(frames):
-            for at in range(0, len(words), BATCH):
-                word, _, bit, slots = BitModel.bits(words[at : at + BATCH], before[at : at + BATCH], size)
-                n = times[at : at + BATCH][word].astype(np.int32)
-                for k in range(CONTEXTS):
-                    np.add.at(counts[k], slots[k] * 2 + bit, n)
-        for chunk, part in enumerate(counts.reshape(-1, CHUNK * 2)):
-            if part.any():
-                yield pd.DataFrame({"chunk": [chunk], "n": [_planes(part)]})
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        words, streams, total = model.words(), model.new(), 0
+        for _, some in _groups(batches, 0):
+            every, sizes, symbols, hashes = words.tokens(some)
+            contexts = _before(hashes, _starts(sizes, len(symbols)))
+            total += len(symbols)
+            for at in range(0, len(symbols), STEP):
+                step = slice(at, at + STEP)
+                streams[0].learn(symbols[step], [c if c is None else c[step] for c in contexts])
+                streams[1].learn(*_spelt([every[at + i] for i in np.flatnonzero(symbols[step] == ESCAPE).tolist()]))
+        if total:
+            for s, stream in enumerate(streams):
+                for chunk, part in enumerate(stream.counts.reshape(-1, 2 * CHUNK)):
+                    if part.any():
+                        yield pa.RecordBatch.from_pandas(pd.DataFrame({"stream": [s], "chunk": [chunk], "n": [_planes(part)], "total": [0.0], "weights": [None], "seen": [None]}), SCHEMA)
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({"stream": [s], "chunk": [-1], "n": [None], "total": [float(total)], "weights": [stream.weights.ravel().tolist()], "seen": [stream.seen.tolist()]}), SCHEMA)
 
     def summed(frame: pd.DataFrame) -> pd.DataFrame:
-        n = sum(_from_planes(b, np.int32).astype(float) for b in frame["n"])
-        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "n": [_planes(n.astype(np.float32))]})
-
-    counts = np.zeros((CONTEXTS * size // CHUNK, CHUNK), np.complex64)
-    for part in texts.mapInPandas(gathered, "chunk long, n binary").groupBy("chunk").applyInPandas(summed, "chunk long, n binary").toArrow().to_batches():
-        for chunk, n in zip(part.column(0).to_pylist(), part.column(1)):
-            counts[chunk] = _from_planes(n.as_buffer(), np.float32).view(np.complex64)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [zlib.compress(_planes(c.view(np.float32)), 1) for c in counts.reshape(CONTEXTS, size)]))
-    del counts
-
-    def learnt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, seen, total = BitModel(_unpacked(shared.value)), np.zeros((8 * (CONTEXTS + 1), CELLS, 2)), 0.0
-        for before, words, times in _pairs(frames):
-            own.learn(words, seen, before, times)
-            total += times.sum()
-        yield pd.DataFrame({"total": [total], "weights": [own.weights.ravel()], "seen": [seen.ravel()]})
-
-    weights, refined = None, None
-    parts = texts.mapInPandas(learnt, "total double, weights array<double>, seen array<double>").toPandas()
-    parts = parts[parts["total"] > 0]
-    if len(parts):
-        weights = np.average(np.stack(parts["weights"].tolist()), axis=0, weights=parts["total"]).reshape(-1, CONTEXTS)
-        seen = np.stack(parts["seen"].tolist()).sum(0).reshape(-1, CELLS, 2)
-        prior = _squash(np.arange(CELLS) - CELLS // 2.0)
-        refined = np.log((seen + 20 * np.stack([1 - prior, prior], 1)) / (seen.sum(2, keepdims=True) + 20))
-    return shared, weights, refined
-
-
-def adapted(words: np.ndarray, lp: np.ndarray) -> float:
-    """log10 probability of a sequence of word numbers with log10 p alone: the mean over experts that trust in the words so far to different degrees."""
-    n = len(words)
-    order = np.argsort(words, kind="stable")
-    held = words[order]
-    first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
-    had = np.empty(n)
-    had[order] = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    alone = lp * np.log(10)
-    with np.errstate(divide="ignore"):
-        share = np.log(had / np.maximum(np.arange(n), 1))
-    sums = []
-    for a in RECENT:
-        each = np.logaddexp(np.log1p(-a) + alone, np.log(a) + share) if a else alone.copy()
-        each[:1] = alone[:1]  # the first word has none before it
-        sums.append(each.sum())
-    return float((np.logaddexp.reduce(sums) - np.log(len(sums))) / np.log(10))
+        if frame["chunk"].iloc[0] >= 0:
+            return frame[:1].assign(n=[_planes(sum(map(_from_planes, frame["n"])))])
+        weights = np.average(np.stack(frame["weights"].tolist()), axis=0, weights=frame["total"])
+        return frame[:1].assign(weights=[weights.tolist()], seen=[np.stack(frame["seen"].tolist()).sum(0).tolist()])
+
+    schema = "stream long, chunk long, n binary, total double, weights array<double>, seen array<double>"
+    parts = texts.select("text").coalesce(tasks).mapInArrow(learnt, schema).groupBy("stream", "chunk").applyInPandas(summed, schema)
+    none = zlib.compress(_planes(np.zeros(2 * CHUNK, np.int32)), 1)
+    counts = [[none] * (CONTEXTS * SLOTS // CHUNK) for _ in range(2)]
+    for row in parts.toLocalIterator(prefetchPartitions=True):
+        if row.chunk >= 0:
+            counts[row.stream][row.chunk] = zlib.compress(row.n, 1)
+        else:
+            seen = np.array(row.seen).reshape(GATES, CELLS, 2)
+            prior = 1 / (1 + np.exp(-(np.arange(CELLS) - CELLS // 2) / 2))
+            model.weights[row.stream] = np.array(row.weights).reshape(CONTEXTS, GATES)
+            model.refined[row.stream] = ((seen + 20 * np.stack([1 - prior, prior], 1)) / (seen.sum(2, keepdims=True) + 20)).ravel().astype(np.float32)
+    model.counts = texts.sparkSession.sparkContext.broadcast(counts)
+    return model
+
+
+SCHEMA = pa.schema([("stream", pa.int64()), ("chunk", pa.int64()), ("n", pa.binary()), ("total", pa.float64()), ("weights", pa.list_(pa.float64())), ("seen", pa.list_(pa.float64()))])
+
+
+def dictionary(vocabulary: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """At most DICTIONARY words, those above a count that a histogram of counts by powers of 2^(1/8) tells."""
+    short = vocabulary.filter(F.octet_length("word") <= LONGEST)
+    bucket = F.floor(F.log2("c") * 8)
+    histogram = sorted(((r.b, r.n) for r in short.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 8 * 64 rows
+    least, room = None, DICTIONARY
+    for b, n in histogram:
+        if n > room:
+            break
+        least, room = b, room - n
+    if least is None:
+        return [], np.zeros(0, np.int64)
+    top = short.filter(bucket >= least).orderBy(F.desc("c"), "word").toArrow()
+    return [bytes(w) for w in top["word"].to_pylist()], top["c"].to_numpy().astype(np.int64)
+
+
+PARTS = "mark long, doc_id long, held_out boolean, phrase long, word binary, lp double, n long, known long, base double, bytes long, last int"
+
+
+def _scored(model: Model, total: int, distinct: int):
+    """For mapInArrow over (doc_id, mark, held_out, text): a row for each phrase with ln p of its tokens, the text's own numbers with its last one; and a row for each word outside the dictionary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, streams = model.words(), model.streams()
+        base_of = np.log10((words.counts + 0.1) / (total + 0.1 * (distinct + 1)))
+        for batch, texts in _groups(batches, 3):
+            every, sizes, symbols, hashes = words.tokens(texts)
+            first = _starts(sizes, len(symbols))
+            contexts, doc = _before(hashes, first), np.repeat(np.arange(len(sizes)), sizes)
+            held_out = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            logs = np.empty(len(symbols))
+            for held in (False, True):
+                own = np.flatnonzero(held_out[doc] == held)
+                for at in range(0, len(own), STEP):
+                    step = own[at : at + STEP]
+                    log = streams[0].logs(symbols[step], [c if c is None else c[step] for c in contexts], held)
+                    rare = np.flatnonzero(symbols[step] == ESCAPE)
+                    if len(rare):
+                        spelt = [every[i] for i in step[rare].tolist()]
+                        ends = np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)) + 1)
+                        sums = np.concatenate([[0.0], np.cumsum(streams[1].logs(*_spelt(spelt), held))])[np.append(0, ends)]
+                        log[rare] += np.diff(sums)
+                    logs[step] = log
+            starts = first | np.roll(((hashes & np.uint64(PHRASE - 1)) == 0) | (symbols == END), 1)
+            at = np.flatnonzero(starts)
+            with np.errstate(over="ignore"):
+                place = np.arange(len(symbols)) - at[np.cumsum(starts) - 1]
+                phrase = mixed(np.add.reduceat(mixed(hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at)).view(np.int64)
+            last = np.append(np.flatnonzero(first[at])[1:], len(at)) - 1  # the last phrase of each text
+            own = doc[at]
+            known, weight = (symbols != ESCAPE) & (words.counts[symbols] > 0), np.where(symbols == ESCAPE, 0.0, base_of[symbols])
+            begin = np.flatnonzero(first)
+            per_text = lambda x, kind: _spread(np.add.reduceat(x.astype(kind), begin), last, len(at))
+            length = np.fromiter(map(len, every), np.int64, len(every)) + 1
+            yield _part(batch, own, pa.array(phrase), None, np.add.reduceat(logs, at), per_text(np.ones(len(symbols)), np.int64), per_text(known, np.int64), per_text(weight, np.float64), per_text(length, np.int64), _spread(np.ones(len(begin), np.int32), last, len(at)))
+            rare = np.flatnonzero(symbols == ESCAPE)
+            if len(rare):
+                none = np.zeros(len(rare), np.int64)
+                yield _part(batch, doc[rare], None, pa.array([every[i] for i in rare.tolist()], pa.binary()), none.astype(float), none, none, none.astype(float), none, none.astype(np.int32))
+
+    return run
+
+
+def _spread(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, values.dtype)
+    out[at] = values
+    return out
+
+
+def _part(batch: pa.RecordBatch, doc: np.ndarray, phrase: pa.Array | None, word: pa.Array | None, *numbers: np.ndarray) -> pa.RecordBatch:
+    at, n = pa.array(doc), len(doc)
+    keys = [batch.column(1).take(at), batch.column(0).take(at), batch.column(2).take(at)]
+    return pa.RecordBatch.from_arrays([*keys, pa.nulls(n, pa.int64()) if phrase is None else phrase, pa.nulls(n, pa.binary()) if word is None else word, *map(pa.array, numbers)], [c.split()[0] for c in PARTS.split(", ")])
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
-    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(8, -(-size // BLOCK_BYTES))
-    vocabulary = saved(docs.mapInPandas(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    shared, weights, refined = fit(docs.filter(~F.col("held_out")), distinct, max(8, -(-size // TASK_BYTES)))
-    dictionary = docs.groupBy("block").applyInPandas(_distinct, "block long, word binary").join(vocabulary, "word")  # the exchange by block serves below too
-
-    def texts(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        model, words = BitModel(_unpacked(shared.value), weights, refined), known["word"].tolist()
-        at = dict(zip(words, range(len(words))))
-        c = known["c"].to_numpy()
-        base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        rows, held, tokens = [], [], 0
-
-        def score() -> None:
-            """Scores the held texts, each pair of words once."""
-            here = np.concatenate([i for i, _ in held])
-            before = np.concatenate([np.append(-1, i[:-1]) for i, _ in held])
-            codes, pair = np.unique((before + 1) * len(words) + here, return_inverse=True)
-            b, w = np.divmod(codes, len(words))
-            lp = model.log10([words[x] for x in w], [words[x - 1] if x else b"" for x in b])[pair]
-            for (i, size), own in zip(held, np.split(lp, np.cumsum([len(i) for i, _ in held])[:-1])):
-                log = adapted(i, own)
-                rows.append((len(i), int((c[i] > 0).sum()), total, float(base[i].sum()), log, -log / np.log10(2) / size))
-
-        for text in frame["text"]:
-            own = words_of(text)
-            i = np.fromiter(map(at.__getitem__, [*own, END]), np.int64, len(own) + 1)
-            held.append((i, sum(map(len, own)) + len(i)))
-            tokens += len(i)
-            if tokens > TOKENS:
-                score()
-                held, tokens = [], 0
-        if held:
-            score()
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-        out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-        out.insert(1, "held_out", frame["held_out"].to_numpy())
-        return out
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return docs.groupBy("block").cogroup(dictionary.groupBy("block")).applyInPandas(texts, schema)
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), held_out.alias("held_out"), "text")
+    train = docs.filter(~F.col("held_out"))
+    each = train.select(F.explode(F.split("text", SPACE + "+")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
+    vocabulary = saved(each.groupBy(F.translate("word", UPPER, LOWER).cast("binary").alias("word")).agg(F.sum("c").alias("c")))
+    ends, size = train.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)) + ends, F.count("*") + int(ends > 0)).first()
+    model = fit(train, Model(spark, *dictionary(vocabulary), ends), max(TASKS, -(-(size or 0) // TASK_BYTES)))
+
+    parts = saved(docs.mapInArrow(_scored(model, total, distinct), PARTS))
+    seen = saved(parts.filter("phrase IS NOT NULL AND NOT held_out").groupBy("phrase").agg(F.count("*").alias("seen")))
+    again, phrases = seen.agg(F.coalesce(F.sum(F.when(F.col("seen") > 1, F.col("seen"))), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
+    share = (again + 1) / (phrases + 2)
+    others = F.coalesce("seen", F.lit(0)) - F.when(F.col("held_out"), 0).otherwise(1)
+    alone = F.col("lp") / np.log(10) + float(np.log10(1 - share))
+    whole = F.log10(share * others / max(phrases, 1))
+    log = F.when(others > 0, F.greatest(alone, whole) + F.log1p(F.pow(F.lit(10.0), -F.abs(alone - whole))) / np.log(10)).otherwise(alone)
+    texts = parts.filter("phrase IS NOT NULL").join(seen, "phrase", "left").select("mark", "doc_id", "held_out", log.alias("score"), "n", "known", "base", "bytes", "last")
+    count = F.coalesce("c", F.lit(0))
+    rare = parts.filter("word IS NOT NULL").select("mark", "doc_id", "held_out", "word").join(vocabulary, "word", "left").select(
+        "mark", "doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n"), F.when(count > 0, 1).otherwise(0).cast("long").alias("known"), F.log10((count + 0.1) / (total + 0.1 * (distinct + 1))).alias("base"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("last"),
+    )
+    sums = texts.union(rare).groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("score", "n", "known", "base", "bytes", "last")))
+    each = sums.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("last").cast("int"))))  # equal rows have one mark
+    whole = lambda c: (F.col(c) / F.col("last")).cast("long")
+    score = F.col("score") / F.col("last")
+    return each.select(
+        "doc_id", "held_out", whole("n").alias("n_tokens"), whole("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / F.col("last")).alias("base_score"), score.alias("score"),
+        (-score / float(np.log10(2)) / whole("bytes")).alias("bits_per_byte"),
+    )
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

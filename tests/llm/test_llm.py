@@ -131,39 +131,78 @@ def test_lm_base_and_score(spark, docs):
     assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -6 and np.mean([r.bits_per_byte for r in held]) < 5
 
 
-def test_lm_spelling_is_a_distribution():
-    model = op2.BitModel()
-    model.learn([b"the", b"then", b"a"], np.zeros((len(model.weights), op2.CELLS, 2)))
-    # with one byte of alphabet left open all 256 bytes share the mass after a prefix
-    first = [bytes([b]) for b in range(1, 256) if b != 32]
-    word, place, bit, slots = op2.BitModel.bits(first)
-    z = (model.weights[model.inputs(place, slots, bit)[0]].T * model.inputs(place, slots, bit)[1]).sum(0)
-    p = np.where(bit, op2._squash(z), 1 - op2._squash(z))
-    own = np.arange(len(word)) % 16 < 8  # the byte itself, without the space that follows
-    mass = np.exp(np.bincount(word[own], np.log(p[own]))).sum()
-    assert 0.98 < mass <= 1.0 + 1e-9
-
-
-def test_lm_predicts_tokens_in_their_order(spark):
-    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][:200]
-    a, b = [i for i in range(400) if not zlib.crc32(str(i).encode()) % 10][:2]
-    rows = [(i, "alpha beta gamma delta" if i % 2 else "beta delta") for i in train] + [(a, "alpha beta gamma delta"), (b, "delta gamma beta alpha")]
+def test_lm_tree_is_a_prefix_code():
+    counts = np.array([5, 1, 9, 1, 3, 3, 40])
+    tree = op2.Tree(counts)
+    paths = {tuple(zip(tree.node[o : o + n].tolist(), tree.bit[o : o + n].tolist())) for o, n in zip(tree.offset, tree.length)}
+    assert len(paths) == 7 and (0.5**tree.length).sum() == 1 and int((counts * tree.length).sum()) == 112  # 2 + 5 + 8 + 13 + 22 + 62
+    assert not any(a != b and a == b[: len(a)] for a in paths for b in paths)
+
+
+def _plain_log(stream, symbol, contexts, held_out):
+    """ln p of a symbol by a loop over its bits and contexts, from the counts themselves."""
+    total, tree = 0.0, stream.tree
+    for at in range(tree.offset[symbol], tree.offset[symbol] + tree.length[symbol]):
+        node, bit, x, met = int(tree.node[at]), int(tree.bit[at]), [], []
+        for k, c in enumerate(contexts):
+            slot = node if c is None else (((int(c) + node * int(op2._K1)) % 2**32) * int(op2._K2) % 2**32) >> (32 - 20)
+            n = stream.counts[k][2 * slot : 2 * slot + 2].astype(float)
+            if not held_out:
+                n[bit] = max(0, n[bit] - 1)
+            x.append(np.log((n[1] + 0.4) / (n[0] + 0.4)))
+            met.append(sum(n > 0 for n in [n.sum()]) + int(n.sum() > 1) + int(n.sum() > 4))
+        gate = met[1] * 4 + met[2]
+        z = float(np.clip(sum(stream.weights[k][gate] * x[k] for k in range(3)), -20, 20))
+        p = 1 / (1 + np.exp(-z if bit else z))
+        cell = int(np.clip(np.rint(z * 2 + op2.CELLS // 2), 0, op2.CELLS - 1))
+        total += np.log(0.6 * p + 0.4 * stream.refined[(gate * op2.CELLS + cell) * 2 + bit])
+    return total
+
+
+def test_lm_bits_equal_a_plain_loop():
+    rng = np.random.default_rng(3)
+    words = op2.Words([b"alpha", b"beta", b"gamma"], np.array([30, 20, 10]), 9)
+    every, sizes, symbols, hashes = words.tokens([" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"], 40)) for _ in range(20)])
+    contexts = op2._before(hashes, op2._starts(sizes, len(symbols)))
+    streams = [op2.Stream(words.tree), op2.Stream(words.bytes)]
+    spelt, own = op2._spelt([every[i] for i in np.flatnonzero(symbols == op2.ESCAPE).tolist()])
+    for _ in range(3):
+        streams[0].learn(symbols, contexts)
+        streams[1].learn(spelt, own)
+    for stream, s, cs in ((streams[0], symbols, contexts), (streams[1], spelt, own)):
+        seen = stream.seen.reshape(-1, 2) + 1
+        stream.refined = (seen / seen.sum(1, keepdims=True)).ravel().astype(np.float32)
+        assert (stream.weights != np.float32(0.3)).any()
+        want = {held: [_plain_log(stream, x, [None if c is None else c[i] for c in cs], held) for i, x in enumerate(s[:60])] for held in (False, True)}
+        stream.frozen()
+        for held in (False, True):
+            assert stream.logs(s, cs, held)[:60] == pytest.approx(want[held], rel=1e-3, abs=1e-3)
+    every_symbol = np.arange(len(words.counts), dtype=np.int32)
+    after = [None, *(np.repeat(c[5:6], len(every_symbol)) for c in contexts[1:])]
+    assert np.exp(streams[0].logs(every_symbol, after, True)).sum() == pytest.approx(1, abs=1e-3)
+    assert np.isfinite(streams[1].logs(*op2._spelt([b"q" * 4000]), True)).all()
+
+
+def test_lm_learns_order_and_sets_repeated_texts_apart(spark):
+    rng = np.random.default_rng(0)
+    train = [i for i in range(900) if zlib.crc32(str(i).encode()) % 10][:600]
+    a, b, c = [i for i in range(900) if not zlib.crc32(str(i).encode()) % 10][:3]
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 60)) + " alpha beta gamma delta") for i in train]
+    rows += [(a, "alpha beta gamma delta"), (b, "delta gamma beta alpha"), (c, rows[7][1]), (train[0] + 1000, rows[3][1])]
     got = {r.doc_id: r for r in op2.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[a].base_score == pytest.approx(got[b].base_score) and got[a].score > got[b].score + 3
-
-
-def test_lm_tokens_are_a_distribution_without_floor():
-    words, model = [b"the", b"cat", b"then"] * 20, op2.BitModel()
-    before = [b"", *words[:-1]]
-    word, _, bit, slots = op2.BitModel.bits(words, before)
-    for k in range(op2.CONTEXTS):
-        np.add.at(model.counts[k], slots[k], np.where(bit, 1j, 1).astype(np.complex64))
-    model.learn(words, np.zeros((len(model.weights), op2.CELLS, 2)), before)
-    one = model.log10([bytes([x]) for x in range(256)], [b"the"] * 256)
-    assert np.isfinite(one).all() and (10.0**one).sum() < 1 and model.log10([b"cat"], [b"the"])[0] > model.log10([b"cat"], [b"cat"])[0]
-    assert model.log10([b"q" * 4000], [b"the"])[0] < -300
-    assert op2.adapted(np.array([0, 1]), np.array([-400.0, -500.0])) == pytest.approx(-900 + np.log10(0.65))
-    assert op2.slots_for(1_000) < op2.slots_for(200_000) <= op2.MOST_SLOTS
+    assert len(got) == len(rows) and got[a].base_score == pytest.approx(got[b].base_score) and got[a].score > got[b].score + 2
+    plain = np.median([got[i].bits_per_byte for i in train])
+    assert got[c].bits_per_byte < plain / 2 and got[train[3]].bits_per_byte < plain / 2 and got[train[7]].bits_per_byte > plain / 2
+
+
+def test_lm_repeated_null_and_large_ids(spark, keyed):
+    got = collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in op2.lm_scores(keyed).collect())
+    own = {i: not zlib.crc32(str(i).encode()) % 10 for i in (BIG, BIG + 2)}
+    rows = [(r.doc_id, r.text) for r in keyed.collect()]
+    counts = collections.Counter(w for i, t in rows if not own.get(i, False) for w in [*textual.words_of(t), b""])
+    want = collections.Counter((i, own.get(i, False), len(w), sum(counts[x] > 0 for x in w), sum(counts.values())) for i, t in rows for w in [[*textual.words_of(t), b""]])
+    assert got == want
 
 
 def test_toxicity_on_held_out_labels(spark):
