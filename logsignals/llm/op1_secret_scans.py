@@ -1,12 +1,13 @@
 """Secret scans: three base patterns, and sliding-window entropy over candidate strings.
 
-A scan cuts a text into (gap, match) pairs with one pattern, so places follow from lengths. Candidates of the
+A scan cuts a text into (gap, match) pairs with one pattern, so places follow from running sums of lengths, in blocks of BLOCK
+matches, so that no array of all of them grows match by match. Candidates of the
 entropy method are long runs of key characters with both digits and letters; by class (hexadecimal, base64)
-their best window's Shannon entropy, kept by incremental counts as characters enter and leave, is held
+their best window's Shannon entropy, kept by incremental counts as characters enter and leave (five bits a character, in six numbers), is held
 against a threshold; an allow-list suppresses identifiers, joined words and placeholders, and what base spans
 touch is theirs. Spans are in code points, the end exclusive.
 
-Null texts are empty and have no spans; scans of long texts are linear; ties are ordered by kind; equal rows
+Null texts are empty and have no spans; scans of long texts are linear but for copies of references within a block; ties are ordered by kind; equal rows
 count each; other columns are ignored; an empty table gives no rows.
 """
 
@@ -26,34 +27,41 @@ _LEAD = _KEYWORD + r"""["']?\x20*[:=]\x20*["']?"""
 #: kind: (pattern, a pattern within all its matches that is quick to look for, part of a match whose length counts, least length)
 BASE = {
     "assign": (_LEAD + "[A-Za-z0-9+/_.=-]+", _LEAD + "[A-Za-z0-9+/_.=-]", f"^{_LEAD}(.*)$", 8),
-    "access": ("AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{12}", "^(.*)$", 16),
-    "hex": ("[0-9a-f]+", "[0-9a-f]{32}", "^(.*)$", 32),
+    "access": ("AKIA[A-Z0-9]{12,}", "AKIA[A-Z0-9]{12}", "^(.*)$", 16),  # what [A-Z0-9]+ would take and the length then drop holds no other match
+    "hex": ("[0-9a-f]{32,}", "[0-9a-f]{32}", "^(.*)$", 32),
 }
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: class: (pattern of candidates, bits over a window); the first that fits counts.
 CLASSES = {"entropy_hex": ("^[0-9a-fA-F]+$", 3.05), "entropy_b64": ("", 3.65)}
 WINDOW = 20
+#: Matches whose places are summed up together, and characters counted in one number.
+BLOCK, PACKED = 256, 12
 #: Candidates that are no secrets: without digits or letters, uuids, words joined by signs, runs of one character, and placeholders.
 ALLOWED = ("^[^0-9]+$", "^[^A-Za-z]+$", "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "^(?:[A-Z]?[a-z]+[/_=+-]+)+[A-Za-z]*[0-9]{0,4}$", "(?:0000000000|1234567890|xxxxxxxx|XXXXXXXX)", "(?i:example|placeholder|changeme)")
 KINDS = (*BASE, *CLASSES)
 
 
-def _entries(text: Column, pattern: str, quick: str) -> Column:
-    """(start, match) of the leftmost non-overlapping matches."""
+def _entries(text: Column, pattern: str, quick: str, wanted=lambda match: F.lit(True)) -> Column:
+    """(start, match) of the leftmost non-overlapping matches, of those that are wanted."""
     cut = F.lit(rf"(?s)(.*?)(?:({pattern})|\z)")
     none = F.array().cast("array<struct<start:int,match:string>>")
 
     def placed(gaps: Column, matches: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
         def add(a: Column, x: Column) -> Column:
             at = a["at"] + F.length(x["gap"])
             entry = F.struct(at.alias("start"), x["match"].alias("match"))
-            return F.struct((at + F.length(x["match"])).alias("at"), F.concat(a["out"], F.array(entry)).alias("out"))
+            out = F.when(wanted(x["match"]), F.concat(a["out"], F.array(entry))).otherwise(a["out"])
+            return F.struct((at + F.length(x["match"])).alias("at"), out.alias("out"))
+
+        def add_block(a: Column, block: Column) -> Column:
+            inner = F.aggregate(block, F.struct(a["at"].alias("at"), none.alias("out")), add)
+            return let(inner, lambda i: F.struct(i["at"].alias("at"), F.when(F.size(i["out"]) > 0, F.concat(a["out"], F.array(i["out"]))).otherwise(a["out"]).alias("out")))
 
-        both = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-        return F.aggregate(F.filter(both, lambda x: x["match"] != ""), start, add, lambda a: a["out"])
+        both = F.filter(F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))), lambda x: x["match"] != "")
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,match:string>>>").alias("out"))
+        blocks = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda i: F.slice(all_, i * BLOCK + 1, F.lit(BLOCK)))
+        return let(both, lambda all_: F.when(F.size(all_) > 0, F.flatten(F.aggregate(blocks(all_), start, add_block, lambda a: a["out"]))).otherwise(none))
 
     return F.when(text.rlike(quick), placed(F.regexp_extract_all(text, cut, F.lit(1)), F.regexp_extract_all(text, cut, F.lit(2)))).otherwise(none)
 
@@ -64,24 +72,28 @@ def _span(kind: Column, entry: Column) -> Column:
 
 
 def best_entropy(s: Column) -> Column:
-    """The most bits of a window of WINDOW characters of s, 0 if it is shorter. The counts of the window's characters and the sum of c * log2(c) change by what enters and leaves."""
+    """The most bits of a window of WINDOW characters of s, 0 if it is shorter. A step adds what enters and takes what leaves from their own counts and from the sum of c * log2(c)."""
     term = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)))
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    fields = [f"n{j}" for j in range(-(-len(ALPHABET) // PACKED))]
+    start = F.struct(*(F.lit(0).cast("long").alias(f) for f in fields), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
     def step(a: Column, i: Column) -> Column:
-        code = lambda at: F.instr(F.lit(ALPHABET), F.substring(s, at, F.lit(1)))
-        out, in_ = F.when(i > WINDOW, code(i - WINDOW)).otherwise(F.lit(0)), code(i)
-
-        def left(counts: Column) -> Column:
-            c = F.get(counts, out - 1)
-            less = a["sum"] + F.when(out > 0, F.get(term, c - 1) - F.get(term, c)).otherwise(0.0)
-            d = F.get(counts, in_ - 1) - F.when(out == in_, 1).otherwise(0)
+        code = lambda at: F.instr(F.lit(ALPHABET), F.substring(s, at, F.lit(1))) - 1
+        out, in_ = F.when(i > WINDOW, code(i - WINDOW)).otherwise(F.lit(-1)), code(i)
+        packed = F.array(*(a[f] for f in fields))
+        shift = lambda c: F.pmod(c, F.lit(PACKED)) * 5
+        field = lambda c: F.floor(c / PACKED).cast("int")
+        count = lambda c: F.call_function("shiftright", F.get(packed, field(c)), shift(c)).bitwiseAND(F.lit(31)).cast("int")
+
+        def moved(x: Column) -> Column:
+            less = a["sum"] + F.when(x["out"] >= 0, F.get(term, count(x["out"]) - 1) - F.get(term, count(x["out"]))).otherwise(0.0)
+            d = count(x["in"]) - F.when(x["out"] == x["in"], 1).otherwise(0)
             total = less + F.get(term, d + 1) - F.get(term, d)
-            moved = F.transform(counts, lambda n, k: n + F.when(k == in_ - 1, 1).otherwise(0) - F.when(k == out - 1, 1).otherwise(0))
+            one = lambda c, j: F.when((c >= 0) & (field(c) == j), F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))).otherwise(F.lit(0).cast("long"))
             best = F.when(i >= WINDOW, F.greatest(a["best"], math.log2(WINDOW) - total / WINDOW)).otherwise(a["best"])
-            return F.struct(moved.alias("counts"), total.alias("sum"), best.alias("best"))
+            return F.struct(*((a[f] + one(x["in"], j) - one(x["out"], j)).alias(f) for j, f in enumerate(fields)), total.alias("sum"), best.alias("best"))
 
-        return let(a["counts"], left)
+        return let(F.struct(out.alias("out"), in_.alias("in")), moved)
 
     return F.when(F.length(s) < WINDOW, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda a: a["best"]))
 
@@ -91,12 +103,12 @@ def secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = []
     for kind, (pattern, quick, part, least) in BASE.items():
-        long_enough = F.filter(_entries(text, pattern, quick), lambda e: F.length(F.regexp_extract(e["match"], part, 1)) >= least)
+        long_enough = _entries(text, pattern, quick, lambda m, part=part, least=least: F.length(F.regexp_extract(m, part, 1)) >= least)
         base.append(F.transform(long_enough, lambda e: _span(F.lit(kind), e)))
     kind = lambda s: F.when(s.rlike(CLASSES["entropy_hex"][0]), "entropy_hex").otherwise("entropy_b64")
     least = lambda s: F.when(s.rlike(CLASSES["entropy_hex"][0]), CLASSES["entropy_hex"][1]).otherwise(CLASSES["entropy_b64"][1])
     allowed = lambda s: s.rlike("|".join(ALLOWED))
-    found = F.filter(_entries(text, CANDIDATE, CANDIDATE), lambda e: ~allowed(e["match"]))
+    found = _entries(text, CANDIDATE, CANDIDATE, lambda m: ~allowed(m))
     found = F.filter(found, lambda e: let(e["match"], best_entropy) >= least(e["match"]))
     spans = F.transform(found, lambda e: _span(kind(e["match"]), e))
     out = docs.withColumn("base", F.explode(F.array(F.sort_array(F.concat(*base)))))
@@ -113,13 +125,21 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with the spans of their secrets replaced in text, and n_chars as it is then."""
     columns = docs.columns
     text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    pieces = F.array().cast("array<struct<start:int,end:int>>")
+
+    def merge(a: Column, s: Column) -> Column:
+        """Spans that overlap are one."""
+        last = F.get(a, F.size(a) - 1)
+        apart = F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+        longer = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when((F.size(a) == 0) | (s["start"] >= last["end"]), apart).otherwise(longer)
 
-    def add(a: Column, s: Column) -> Column:
-        new = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] < a["at"], a["out"]).otherwise(new).alias("out"))
+    def joined_pieces(m: Column) -> Column:
+        before = lambda s, i: F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
+        kept = F.transform(m, lambda s, i: F.concat(F.substring(text, before(s, i) + 1, s["start"] - before(s, i)), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), F.substring(text, F.get(m, F.size(m) - 1)["end"] + 1, F.length(text)))
 
-    clean = F.aggregate("secrets", start, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    clean = let(F.aggregate("secrets", pieces, merge), joined_pieces)
     out = secrets(docs).withColumn("text", F.when(F.size("secrets") > 0, clean).otherwise(text))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
