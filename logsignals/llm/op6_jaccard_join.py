@@ -167,9 +167,10 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame, key: str) -> DataFrame:
-    """rows(key, cls, label ...) of keys that hold several components, with their number of rows. Keys are summed before they meet."""
+    """rows(key, cls, label ...) of keys that hold several components, with their number of rows. Keys are summed before they meet; both sides of the join are tables, so that Spark can split a hot key."""
+    rows = saved(rows)
     several = rows.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).filter("low <> high")
-    return rows.join(several.select(key, "rows"), key)
+    return saved(rows.join(saved(several.select(key, "rows")), key))
 
 
 def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -183,9 +184,9 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     first = _verified(docs, classes, star, size, percent)
 
     parts = _labelled(met.select("sig", "cls").distinct(), components(first))
-    open_ = saved(_open(parts, "sig"))
+    open_ = _open(parts, "sig")
     sizes = classes.select("cls", "n")
-    few = open_.filter(F.col("rows") <= CROWDED).join(sizes, "cls")
+    few = saved(open_.filter(F.col("rows") <= CROWDED).join(sizes, "cls"))
     on = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label"))
     pairs = few.alias("p").join(few.alias("q"), on & _like_sizes(percent)).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
 
@@ -194,7 +195,7 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
         return first.union(_verified(docs, classes, pairs.distinct(), size, percent))
     items = saved(_items(docs, classes, crowd, size).dropDuplicates(["cls"]))
     rare = saved(_prefixes(items, percent).join(sizes, "cls"))
-    least = rare.groupBy("item").agg(F.min("cls").alias("a"))
+    least = saved(rare.groupBy("item").agg(F.min("cls").alias("a"), F.max("cls").alias("last")).filter("a <> last").select("item", "a"))
     stars = rare.join(least, "item").filter("cls <> a").select("a", F.col("cls").alias("b"))
     known = first.union(_verified(docs, classes, stars.distinct().join(star, ["a", "b"], "left_anti"), size, percent))
     pairs = pairs.union(_prefix_pairs(_open(_labelled(rare, components(known)), "item"), percent))

@@ -2,12 +2,14 @@
 
 Each document gets rates of symbols, capitals, repeated lines, repeated words, and its mean word length, in
 thousandths. A sketch of a rate is its histogram over buckets that grow by GAMMA (relative error below
-(GAMMA - 1) / 2): counts add up, so sketches of sources merge into that of a language, and of languages into
-one of all. A group's fence is q3 + SPREAD * max(q3 - q1, least spread); groups of few documents use
-those of their language, then of all. Documents beyond a fence are rejected by a join on the group.
+(GAMMA - 1) / 2) of the documents that pass the base limits: counts add up, so sketches of sources merge into that of a language, and of languages into
+one of all. A sketch's fence is its upper quantile plus a margin of what lies between that and its median. A group's fence is the mean
+of its own and its language's, weighted by documents against SHRINK, and the language's likewise with that of all: small groups lean on
+larger ones without a switch. Documents beyond a fence are rejected by a join on the group.
 
 Null texts have no words and fail the base rules; long texts are handled in linear time and sorting; equal rows
-count each; null languages and sources are groups of their own; other columns are ignored; no rows give none.
+count each; null languages and sources are groups of their own; a group of which no document passes the base limits has no
+fence and keeps none; other columns are ignored; no rows give none.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from pyspark.sql import functions as F
 from logsignals.llm.textual import SPACE, WORD, saved, table
 
 WINDOW = 8
-#: Growth of the sketch's buckets, spread of the fences, and documents that a group needs for fences of its own.
-GAMMA, SPREAD, ENOUGH = 1.02, 4.0, 100
-#: Rates in thousandths and the least spread (q3 - q1) that is assumed for each.
-RATES = {"symbols": 25, "capitals": 25, "dup_lines": 100, "repeats": 100, "word_length": 1000}
+#: Growth of the sketch's buckets, and documents that a group's own fence needs to count as much as the larger group's.
+GAMMA, SHRINK = 1.02, 500.0
+#: Rates in thousandths: (upper quantile in thousandths, margin, least distance of the quantile from the median, about the resolution of a short text).
+RATES = {"symbols": (750, 8.0, 5), "capitals": (900, 6.0, 1), "dup_lines": (990, 1.5, 20), "repeats": (990, 2.0, 20), "word_length": (750, 8.0, 20)}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rows of fences up to which they are broadcast to the documents (some MB); beyond, a shuffled join.
 BROADCAST_ROWS = 50_000
@@ -80,31 +82,32 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def sketches(rated: DataFrame) -> DataFrame:
-    """Counts by lang, source, rate and bucket."""
+    """Counts by lang, source, rate and bucket, of the documents that pass the base limits."""
     rates = F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), F.col(r).alias("v")) for r in RATES))).alias("x")
-    each = rated.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), rates)
+    each = rated.filter(~F.col("base_failed")).select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), rates)
     bucket = F.when(F.col("x.v") < 1, 0).otherwise(1 + F.floor(F.log(F.col("x.v")) / F.log(F.lit(GAMMA)))).cast("long")
     return each.groupBy("lang", "source", F.col("x.rate").alias("rate"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def _quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
+def _fenced(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Documents and fence by keys and rate, from merged sketches."""
     merged = counts.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "rate")
     run = merged.withColumns({"below": F.sum("n").over(w.orderBy("bucket")), "all": F.sum("n").over(w)})
-    at = lambda q: F.min(F.when(F.col("below") * 4 >= F.col("all") * q, F.col("bucket")))
+    of_rate = lambda i: F.element_at(F.create_map(*(F.lit(x) for r, v in RATES.items() for x in (r, float(v[i])))), F.col("rate"))
+    at = lambda q: F.min(F.when(F.col("below") * 1000 >= F.col("all") * q, F.col("bucket")))
     value = lambda b: F.when(b == 0, 0.0).otherwise(F.pow(F.lit(GAMMA), b - 0.5))
-    q = run.groupBy(*keys, "rate").agg(F.first("all").alias("docs"), value(at(1)).alias("q1"), value(at(3)).alias("q3"))
-    least = F.element_at(F.create_map(*(F.lit(x) for p in RATES.items() for x in p)), F.col("rate"))
-    return q.select(*keys, "rate", "docs", (F.col("q3") + SPREAD * F.greatest(F.col("q3") - F.col("q1"), least)).alias("fence"))
+    q = run.groupBy(*keys, "rate").agg(F.first("all").alias("docs"), value(at(F.lit(500.0))).alias("mid"), value(at(of_rate(0))).alias("high"))
+    return q.select(*keys, "rate", "docs", (F.col("high") + of_rate(1) * F.greatest(F.col("high") - F.col("mid"), of_rate(2))).alias("fence"))
 
 
 def fences(counts: DataFrame) -> DataFrame:
     """A row for each lang and source with a fence for each rate."""
-    own, lang, every = _quartiles(counts, ["lang", "source"]), _quartiles(counts, ["lang"]), _quartiles(counts.withColumn("any", F.lit(0)), ["any"])
+    own, lang, every = _fenced(counts, ["lang", "source"]), _fenced(counts, ["lang"]), _fenced(counts.withColumn("any", F.lit(0)), ["any"])
     best = own.join(lang.select("lang", "rate", F.col("docs").alias("lang_docs"), F.col("fence").alias("lang_fence")), ["lang", "rate"])
     best = best.join(F.broadcast(every.select("rate", F.col("fence").alias("all_fence"))), "rate")
-    fence = F.when(F.col("docs") >= ENOUGH, F.col("fence")).when(F.col("lang_docs") >= ENOUGH, F.col("lang_fence")).otherwise(F.col("all_fence"))
+    shrunk = lambda n, fence, towards: (n * fence + SHRINK * towards) / (n + SHRINK)
+    fence = shrunk(F.col("docs"), F.col("fence"), shrunk(F.col("lang_docs"), F.col("lang_fence"), F.col("all_fence")))
     return best.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == r, fence)).alias(f"fence_{r}") for r in RATES))
 
 
@@ -116,7 +119,7 @@ def judged(rated: DataFrame, limits: DataFrame) -> DataFrame:
     within = ~F.col("base_failed")
     for r in RATES:
         within = within & (F.col(r) <= F.col(f"fence_{r}"))
-    return rated.join(limits, on).withColumn("kept", within).drop("_lang", "_source", *(f"fence_{r}" for r in RATES))
+    return rated.join(limits, on, "left").withColumn("kept", F.coalesce(within, F.lit(False))).drop("_lang", "_source", *(f"fence_{r}" for r in RATES))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -131,12 +134,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     rates = {"symbols": "n_symbols * 1000 // greatest(word_chars, 1)", "capitals": "n_capitals * 1000 // greatest(word_chars, 1)", "dup_lines": "n_dup_lines * 1000 // greatest(n_lines, 1)", "repeats": "n_repeat_words * 1000 // greatest(n_words, 1)", "word_length": "word_chars * 1000 // greatest(n_words, 1)"}
+    case = lambda i: f"CASE rate {' '.join(f"WHEN '{r}' THEN {float(v[i])}::DOUBLE" for r, v in RATES.items())} END"
+    value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE pow({GAMMA}::DOUBLE, {b} - 0.5::DOUBLE) END"
     quart = lambda name, keys: f"""
-{name} AS (SELECT {keys} rate, max(total) AS docs, min(CASE WHEN below * 4 >= total THEN bucket END) AS b1, min(CASE WHEN below * 4 >= total * 3 THEN bucket END) AS b3
+{name} AS (SELECT {keys} rate, max(total) AS docs, min(CASE WHEN below * 1000 >= total * 500.0::DOUBLE THEN bucket END) AS b1, min(CASE WHEN below * 1000 >= total * {case(0)} THEN bucket END) AS b2
   FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} rate ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {keys} rate) AS total FROM (SELECT {keys} rate, bucket, sum(n) AS n FROM sk GROUP BY ALL))
   GROUP BY {keys} rate),
-{name}f AS (SELECT {keys} rate, docs, q3 + {SPREAD} * greatest(q3 - q1, least) AS fence FROM (SELECT *, CASE WHEN b1 = 0 THEN 0.0 ELSE pow({GAMMA}::DOUBLE, b1 - 0.5::DOUBLE) END AS q1, CASE WHEN b3 = 0 THEN 0.0 ELSE pow({GAMMA}::DOUBLE, b3 - 0.5::DOUBLE) END AS q3,
-  CASE rate {' '.join(f"WHEN '{r}' THEN {v}" for r, v in RATES.items())} END AS least FROM {name}))"""
+{name}f AS (SELECT {keys} rate, docs, high + {case(1)} * greatest(high - mid, {case(2)}) AS fence FROM (SELECT *, {value('b1')} AS mid, {value('b2')} AS high FROM {name}))"""
+    shrunk = lambda n, fence, towards: f"(({n} * {fence} + {SHRINK}::DOUBLE * {towards}) / ({n} + {SHRINK}::DOUBLE))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, lang, source, text, regexp_extract_all(text, '{WORD}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM d),
@@ -146,11 +151,11 @@ r AS (SELECT rid, sum(least({WINDOW}, nxt - pos)) AS n FROM (SELECT rid, pos, co
 f AS (SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   len(regexp_extract_all(text, '\\p{{Lu}}'))::BIGINT AS n_capitals, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {', '.join(f'({e})::BIGINT AS {r}' for r, e in rates.items())} FROM f),
-x AS ({' UNION ALL '.join(f"SELECT lang, source, '{r}' AS rate, {r} AS v FROM b" for r in RATES)}),
+x AS ({' UNION ALL '.join(f"SELECT lang, source, '{r}' AS rate, {r} AS v FROM b WHERE NOT base_failed" for r in RATES)}),
 sk AS (SELECT lang, source, rate, CASE WHEN v < 1 THEN 0 ELSE 1 + floor(ln(v::DOUBLE) / ln({GAMMA}::DOUBLE))::BIGINT END AS bucket, count(*) AS n FROM x GROUP BY ALL),{quart("o", "lang, source,")},{quart("l", "lang,")},{quart("e", "")},
-t AS (SELECT o.lang, o.source, o.rate, CASE WHEN o.docs >= {ENOUGH} THEN o.fence WHEN l.docs >= {ENOUGH} THEN l.fence ELSE e.fence END AS fence FROM of o JOIN lf l ON o.lang = l.lang AND o.rate = l.rate JOIN ef e ON o.rate = e.rate),
+t AS (SELECT o.lang, o.source, o.rate, {shrunk('o.docs', 'o.fence', shrunk('l.docs', 'l.fence', 'e.fence'))} AS fence FROM of o JOIN lf l ON o.lang = l.lang AND o.rate = l.rate JOIN ef e ON o.rate = e.rate),
 lim AS (SELECT lang, source, {', '.join(f"max(CASE WHEN rate = '{r}' THEN fence END) AS fence_{r}" for r in RATES)} FROM t GROUP BY lang, source)
-SELECT doc_id, {', '.join(BASE)}, base_failed, NOT base_failed AND {' AND '.join(f'{r} <= fence_{r}' for r in RATES)} AS kept, {', '.join(RATES)} FROM b JOIN lim USING (lang, source)
+SELECT doc_id, {', '.join(BASE)}, base_failed, coalesce(NOT base_failed AND {' AND '.join(f'{r} <= fence_{r}' for r in RATES)}, FALSE) AS kept, {', '.join(RATES)} FROM b LEFT JOIN lim USING (lang, source)
 """
 
 
