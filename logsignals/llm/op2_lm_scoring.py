@@ -36,7 +36,7 @@ from xxhash import xxh3_64_intdigest
 from logsignals.llm.textual import LOWER, SPACE, UPPER, mixed, saved, table, words_of
 
 #: Words with a path of their own, the bytes that such a word has at most, and words of a phrase on average.
-DICTIONARY, LONGEST, PHRASE = 1 << 17, 64, 16
+DICTIONARY, LONGEST, PHRASE = 3 << 16, 64, 32
 #: Contexts of each tree, slots of each context (memory of an executor), slots that travel together, gates, and cells of the refining map.
 CONTEXTS, SLOTS, CHUNK, GATES, CELLS = 3, 1 << 20, 1 << 16, 16, 33
 #: Text bytes of a training task, tasks at least, characters of texts that are read together, and tokens of a step.
@@ -134,8 +134,9 @@ class Stream:
         for k in range(CONTEXTS):
             n = self.counts[k].view(np.int64).take(at[k] >> 1).view(np.int32).reshape(-1, 2).astype(np.float32)
             x.append(np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR)))
-            met.append(n[:, 0] + n[:, 1])
-        gate = _bucket(met[1]) * 4 + _bucket(met[2])
+            if k:
+                met.append(_bucket(n[:, 0] + n[:, 1]))
+        gate = ((met[0] << 2) | met[1]).astype(np.int64)
         z = self._mixed(gate, x)
         error = bit - 1 / (1 + np.exp(-z))
         mass = np.maximum(np.bincount(gate, minlength=GATES), 64)
@@ -169,8 +170,8 @@ class Stream:
         """ln p of each symbol."""
         size, bit, at = self.places(symbols, contexts)
         x = [self.tables[held_out][k].take(at[k]) for k in range(CONTEXTS)]
-        low = [(v.view(np.uint32) & np.uint32(3)).astype(np.int64) for v in x[1:]]
-        gate = low[0] * 4 + low[1]
+        low = [v.view(np.uint32) & np.uint32(3) for v in x[1:]]
+        gate = ((low[0] << np.uint32(2)) | low[1]).astype(np.int64)
         z = self._mixed(gate, x)
         p = 1 / (1 + np.exp(np.where(bit, -z, z)))
         if self.refined is not None:
@@ -181,7 +182,7 @@ class Stream:
 
 
 def _bucket(n: np.ndarray) -> np.ndarray:
-    return (n > 0).astype(np.int64) + (n > 1) + (n > 4)
+    return (n > 0).view(np.uint8) + (n > 1).view(np.uint8) + (n > 4).view(np.uint8)
 
 
 def _cell(z: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsignals.llm.textual import saved, table, words_of
+from logsignals.llm.textual import by_text, saved, table, words_of
 
 #: Bounds of the sample to fit on, and numbers of features and steps.
 POSITIVES, UNLABELLED, FEATURES, STEPS = 3_000, 6_000, 600, 400
@@ -118,12 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray] |
     best = shares.orderBy(F.abs(z).desc(), "gram").limit(FEATURES).select("gram")
     selected = sorted(bytes(r["gram"]) for r in best.collect())
 
-    def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held():
         scorer = Scorer(selected)
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "positive": frame["positive"], "at": [scorer.features(t) for t in frame["text"]]})
+        return lambda texts: pd.DataFrame({"at": [scorer.features(t) for t in texts]})
 
-    rows = sample.mapInPandas(held, "doc_id long, positive boolean, at array<long>").orderBy("doc_id").toPandas()
+    rows = by_text(sample.select("doc_id", "positive", "text"), held, "at array<long>").orderBy("doc_id").toPandas()
     x = np.zeros((len(rows), len(selected)))
     for i, at in enumerate(rows["at"]):
         x[i, np.asarray(at, int)] = 1
@@ -148,19 +147,21 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scorer = Scorer(model.value[0]) if model.value else None
-        for frame in frames:
+
+        def score(texts: list[str | None]) -> pd.DataFrame:
+            out = np.zeros(len(texts))
             if scorer:
                 w = model.value[1]
-                z = np.array([w[scorer.features(t)].sum() for t in frame["text"]]) + w[-1]
-                score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            else:
-                score = np.zeros(len(frame))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "score": score, "predicted": (score >= 0.5).astype(np.int32)})
+                z = np.array([w[scorer.features(t)].sum() for t in texts]) + w[-1]
+                out = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            return pd.DataFrame({"score": out, "predicted": (out >= 0.5).astype(np.int32)})
+
+        return score
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", "text", held_out).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return by_text(docs.select("doc_id", held_out, "text"), make, "score double, predicted int")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

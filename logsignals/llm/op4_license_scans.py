@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsignals.llm.textual import table
+from logsignals.llm.textual import by_text, table
 
 #: Words, in bytes of lower-cased UTF-8: letters, digits and whatever isn't ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -129,31 +129,30 @@ def base_places(words: list[bytes], phrases: dict[tuple[bytes, ...], str]) -> li
 
 
 def _scanned(notices: dict[str, str], base: dict[str, str], per_edit: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = NoticeFinder(notices, per_edit)
-        phrases = {tuple(p.encode().split()): label for p, label in base.items()}
-        for frame in frames:
-            rows = []
-            for text in frame["text"].fillna(""):
-                words = WORD.findall(text.encode().lower())
-                places = base_places(words, phrases)
-                spans = finder.spans(b" ".join(words).decode())
-                labels = {label for _, label in places}
-                score = max([1.0 if places else 0.0, *(s[4] for s in spans)])
-                found = [{"label": a, "start": b, "end": c, "edits": d} for a, b, c, d, _ in spans]
-                rows.append((len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(labels)), ",".join(sorted(labels | {s[0] for s in spans})), score, found))
-            out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out.astype({"first_word": "Int64", "last_word": "Int64"})
-
-    return run
+    finder = NoticeFinder(notices, per_edit)
+    phrases = {tuple(p.encode().split()): label for p, label in base.items()}
+
+    def scan(texts: list[str | None]) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            words = WORD.findall((text or "").encode().lower())
+            places = base_places(words, phrases)
+            spans = finder.spans(b" ".join(words).decode())
+            labels = {label for _, label in places}
+            score = max([1.0 if places else 0.0, *(s[4] for s in spans)])
+            found = [{"label": a, "start": b, "end": c, "edits": d} for a, b, c, d, _ in spans]
+            rows.append((len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(labels)), ",".join(sorted(labels | {s[0] for s in spans})), score, found))
+        out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
+        return out.astype({"first_word": "Int64", "last_word": "Int64"})
+
+    return scan
 
 
 def license_scans(docs: DataFrame, notices: dict[str, str] = NOTICES, per_edit: int = PER_EDIT) -> DataFrame:
     """One row per document with base counts, labels, score, and spans in the text's normal form."""
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,edits:long>>"
-    return docs.select("doc_id", "text").mapInPandas(_scanned(notices, BASE, per_edit), schema)
+    schema = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,edits:long>>"
+    return by_text(docs.select("doc_id", "text"), lambda: _scanned(notices, BASE, per_edit), schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scans(table(spark, sf_dir, "documents")).drop("spans")
+    return license_scans(table(spark, sf_dir, "documents"))

@@ -1,10 +1,14 @@
-"""Exact token counts at every prefix of a text, by dynamic programming over its runs.
+"""Exact token counts at every prefix of a text, by dynamic programming.
 
-A run is a stretch without ASCII white space. The tokenizer drops white space and never joins across it,
-so count(prefix) = count(prefix up to the last whole run) + count(the part of the run that is cut). The table of a
-text holds the end and the running count of every run; inside a run the counts come from the library's own
-offsets, of that run alone. Truncation ("how much of the text fits in B tokens?") and budget questions are
-then looked up: no text is encoded again. Counts of runs are remembered across texts.
+A run is a stretch without ASCII white space. The tokenizer drops white space and never joins across it, so the count of a prefix is
+that of its whole runs, a running sum, and that of the part of the run that is cut. A text's table holds the end and the running count of
+every run. Within a run a second table holds the count at every code point: BPE codes a prefix of a word as it codes the word without
+what follows, so the code of each prefix is that of a shorter one and one more token, namely the token that ends there and stays apart from the
+last token before it (`Bpe`). Truncation ("how much of the text fits in B tokens?") and budget questions are then looked up: no text
+is encoded again. Counts of runs, tables within runs and pairs of tokens are remembered across texts.
+
+Runs in which a cut changes more than the last word (apostrophes, special tokens, characters that change under NFC or change their
+length in lower case) have their table from the library, prefix by prefix, when a question first falls within them.
 
 Null and empty texts have no runs and 0 tokens; very long texts only have longer tables (linear); repeated rows
 are counted each; other columns are ignored; an empty table gives no rows.
@@ -12,20 +16,28 @@ are counted each; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsignals.llm.textual import table
+from logsignals.llm.textual import by_text, table
 
 RUN = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words of a run as the tokenizer splits it (fixed by it, but for what ODD has); runs whose prefixes may be split otherwise.
+WORD, ODD = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), re.compile("['\u03a3]|<\\|")
+#: The character that stands for each byte in the vocabulary: itself if it is printable, else 256, 257 ... in order.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+CHARACTERS = [chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)]
 #: Runs that a worker remembers; then it starts anew (memory only).
 REMEMBERED = 400_000
 #: Texts are handled in groups of about so many characters.
@@ -36,6 +48,54 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share
 _encoders: dict[str, PrefixCounter] = {}
 
 
+class Bpe:
+    """Codes of all prefixes of a word under a BPE with a suffix for the end of words, from its merges."""
+
+    def __init__(self, model: dict) -> None:
+        self.vocabulary, self.suffix = model["vocab"].keys(), model["end_of_word_suffix"] or ""
+        self.rank = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(model["merges"])}
+        self.longest = max(map(len, self.vocabulary))
+        self.apart: dict[tuple[tuple[str, ...], tuple[str, ...]], bool] = {}
+
+    def code(self, symbols: list[str]) -> list[str]:
+        """BPE as it is defined: the pair of the least rank is merged until none is left."""
+        while len(symbols) > 1:
+            rank, at = min((self.rank.get(p, len(self.rank)), i) for i, p in enumerate(zip(symbols, symbols[1:])))
+            if rank == len(self.rank):
+                break
+            symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
+        return symbols
+
+    def _stay(self, one: tuple[str, ...], two: tuple[str, ...]) -> bool:
+        """Are these symbols coded as two tokens with the border between them?"""
+        ok = self.apart.get((one, two))
+        if ok is None:
+            ok = self.code([*one, *two]) == ["".join(one), "".join(two)] if one else self.code(list(two)) == ["".join(two)]
+            if len(self.apart) > REMEMBERED:  # memory
+                self.apart.clear()
+            self.apart[one, two] = ok
+        return ok
+
+    def prefixes(self, word: str) -> list[int]:
+        """Tokens of word[:k] as a word of its own, for k from 1. word is in the vocabulary's alphabet."""
+        last: list[tuple[str, ...]] = [()]  # last token of word[:j] if more of the word follows
+        inner, out = [0], []
+        for j in range(1, len(word) + 1):
+            for ends in (False, True):
+                for i in range(max(0, j - self.longest), j):
+                    text = word[i:j] + self.suffix * ends
+                    if text in self.vocabulary:
+                        token = (*word[i : j - 1], word[j - 1] + self.suffix * ends)
+                        if self._stay(last[i], token):
+                            if ends:
+                                out.append(inner[i] + 1)
+                            else:
+                                last.append(token)
+                                inner.append(inner[i] + 1)
+                            break
+        return out
+
+
 class PrefixCounter:
     """Prefix tables for one tokenizer."""
 
@@ -46,6 +106,9 @@ class PrefixCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
+        self.inner: dict[str, np.ndarray] = {}
+        with open(path, encoding="utf-8") as f:
+            self.bpe = Bpe(json.load(f)["model"])
 
     @classmethod
     def of(cls, path: str) -> PrefixCounter:
@@ -63,66 +126,73 @@ class PrefixCounter:
             part = new[i : i + 20_000]
             self.known.update(zip(part, (len(e) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
 
-    def running(self, runs: list[str]) -> np.ndarray:
-        """The count after each run; learn() has seen the runs."""
-        return np.cumsum(np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs)))
-
-    def table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(end of each run in code points, tokens up to there)."""
-        runs = RUN.findall(text)
-        self.learn([runs])
-        return np.fromiter((m.end() for m in RUN.finditer(text)), np.int64, len(runs)), self.running(runs)
-
-    def within(self, run: str) -> tuple[np.ndarray, np.ndarray]:
-        """Inside one run: ends of its words as the tokenizer splits it, and tokens up to there."""
-        e = self.tokenizer.encode(run, add_special_tokens=False)
-        last: dict[int, tuple[int, int]] = {}
-        for i, (word, (_, end)) in enumerate(zip(e.word_ids, e.offsets)):
-            last[-1 - i if word is None else word] = (max(end, last.get(word, (0, 0))[0]), i + 1)
-        ends, counts = np.array(list(last.values()), np.int64).reshape(-1, 2).T
+    def table(self, text: str, runs: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(end of each run in code points, tokens up to there); learn() has seen the runs if they are given."""
+        if runs is None:
+            runs = RUN.findall(text)
+            self.learn([runs])
+        counts = np.cumsum(np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs)))
+        ends = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)) + 1) - 1
+        if runs and (ends[-1] != len(text) or text.isspace()):  # not one white space between runs and none around them
+            ends = np.fromiter((m.end() for m in RUN.finditer(text)), np.int64, len(runs))
         return ends, counts
 
+    def within(self, run: str) -> np.ndarray:
+        """Tokens of run[:k] for k from 0 to its length."""
+        held = self.inner.get(run)
+        if held is None:
+            if len(self.inner) > REMEMBERED // 10:
+                self.inner.clear()
+            if ODD.search(run) or not is_normalized("NFC", run) or any(len(c.lower()) > 1 or c.isspace() for c in run):
+                held = np.array([0, *(len(e) for e in self.tokenizer.encode_batch_fast([run[:k] for k in range(1, len(run) + 1)], add_special_tokens=False))])
+            else:
+                counts, done = [0], 0
+                for word in WORD.findall(run.lower()):
+                    size = [len(c.encode()) for c in word]
+                    at = self.bpe.prefixes("".join(CHARACTERS[b] for b in word.encode()))
+                    counts += [done + at[k - 1] for k in np.cumsum(size).tolist()]
+                    done = counts[-1]
+                held = np.array(counts)
+            self.inner[run] = held
+        return held
+
     def at(self, text: str, prefix: int, tabled: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """Tokens of text[:prefix]. Only the piece of a word that the cut leaves is encoded."""
+        """Tokens of text[:prefix]."""
         ends, counts = tabled or self.table(text)
         k = int(np.searchsorted(ends, prefix, "right"))
         done, start = (int(counts[k - 1]), int(ends[k - 1])) if k else (0, 0)
-        return done + len(self.tokenizer.encode(text[start:prefix], add_special_tokens=False))
+        run = RUN.search(text, start) if k < len(ends) else None
+        return done + (int(self.within(run.group())[prefix - run.start()]) if run and run.start() < prefix else 0)
 
     def fit(self, text: str, budget: int, tabled: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """The most code points of whole words that take at most `budget` tokens; all of the text if it fits."""
+        """The most code points of text that take at most `budget` tokens."""
         ends, counts = tabled or self.table(text)
         k = int(np.searchsorted(counts, budget, "right"))
         if k == len(ends):
             return len(text)
         done, start = (int(counts[k - 1]), int(ends[k - 1])) if k else (0, 0)
         run = RUN.search(text, start)
-        inner, used = self.within(run.group())
-        j = int(np.searchsorted(used, budget - done, "right"))
-        return run.start() + int(inner[j - 1]) if j else start
+        return run.start() + int(np.flatnonzero(self.within(run.group()) <= budget - done)[-1])
 
 
 def _counts(path: str, budget: int, tables: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = PrefixCounter.of(path)
-        for frame in frames:
-            texts = frame["text"].fillna("").tolist()
-            tokens, fits, ends, counts = [], [], [], []
-            for some in _grouped(texts):
-                runs = [RUN.findall(t) for t in some]
-                counter.learn(runs)
-                for text, own in zip(some, runs):
-                    running = counter.running(own)
-                    tokens.append(int(running[-1]) if own else 0)
-                    tabled = (np.fromiter((m.end() for m in RUN.finditer(text)), np.int64, len(own)), running) if tables or tokens[-1] > budget else None
-                    fits.append(counter.fit(text, budget, tabled) if tokens[-1] > budget else len(text))
-                    if tables:
-                        ends.append(tabled[0])
-                        counts.append(running)
-            out = {"doc_id": frame["doc_id"], "n_bytes": frame["n_bytes"], "n_tokens": tokens, "fit_chars": fits}
-            yield pd.DataFrame(out | ({"ends": ends, "counts": counts} if tables else {}))
-
-    return run
+    counter = PrefixCounter.of(path)
+
+    def count(texts: list[str | None]) -> pd.DataFrame:
+        tokens, fits, ends, counts = [], [], [], []
+        for some in _grouped([t or "" for t in texts]):
+            runs = [RUN.findall(t) for t in some]
+            counter.learn(runs)
+            for text, own in zip(some, runs):
+                tabled = counter.table(text, own)
+                tokens.append(int(tabled[1][-1]) if own else 0)
+                fits.append(counter.fit(text, budget, tabled))
+                if tables:
+                    ends.append(tabled[0])
+                    counts.append(tabled[1])
+        return pd.DataFrame({"n_tokens": tokens, "fit_chars": fits} | ({"ends": ends, "counts": counts} if tables else {}))
+
+    return count
 
 
 def _grouped(texts: list[str]) -> Iterator[list[str]]:
@@ -140,8 +210,7 @@ def _grouped(texts: list[str]) -> Iterator[list[str]]:
 def token_counts(docs: DataFrame, path: str, budget: int = 2048, tables: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and fit_chars (code points of whole words within the budget); with `tables` the prefix tables too."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_bytes long, n_tokens long, fit_chars long" + ", ends array<long>, counts array<long>" * tables
-    return docs.mapInPandas(_counts(path, budget, tables), schema)
+    return by_text(docs, lambda: _counts(path, budget, tables), "n_tokens long, fit_chars long" + ", ends array<long>, counts array<long>" * tables)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,19 @@ touches A to Z alone. Both hold on UTF-8 bytes, where every byte of a longer cha
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest
 
 from logsignals.tables import saved, shared_folder, table
 
-__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "digest_of", "mixed", "saved", "shared_folder", "shingles_of", "table", "windows_of", "words_of"]
+__all__ = ["LOWER", "by_text", "SPACE", "UPPER", "WORD", "digest_of", "mixed", "saved", "shared_folder", "shingles_of", "table", "windows_of", "words_of"]
 
 #: Words as a regular expression, for Spark and DuckDB alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,3 +63,21 @@ def digest_of(shingles: np.ndarray) -> int:
     """One signed 64-bit number for a set of shingle hashes."""
     with np.errstate(over="ignore"):
         return int(mixed(np.array([mixed(shingles ^ _BASE).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+
+
+def by_text(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], pd.DataFrame]], schema: str, text_col: str = "text") -> DataFrame:
+    """docs without its text, and with what make()'s function returns for it: a row for each text, in order.
+
+    The other columns stay in Arrow, so that ids above 2^53 beside nulls pass as they are.
+    """
+    keys = [c for c in docs.columns if c != text_col]
+    own = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            new = pa.RecordBatch.from_pandas(f(batch.column(text_col).to_pylist()), arrow, preserve_index=False)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *new.columns], [*keys, *arrow.names])
+
+    return docs.mapInArrow(run, StructType([docs.schema[k] for k in keys] + own.fields))

@@ -328,12 +328,22 @@ def test_token_counts_at_every_prefix(spark, docs):
         text = dict(docs)[r.doc_id]
         assert r.n_tokens == count(text) and r.n_bytes == len(text.encode())
     counter = op7.PrefixCounter(public_tokenizers.path(op7.VOCABULARY))
-    for text in ("Hello, world's <|endoftext|>foo don't  x", docs[3][1][:200], "a\u00a0b \u1e9b\u0323 caf\u00e9 \u0130x"):
+    for text in ("Hello, world's <|endoftext|>foo don't  x", docs[3][1][:200], "a\u00a0b \u1e9b\u0323 caf\u00e9 \u0130x", "", "  \n", " lead trail ", "\u6587\u5b57\u5217\u3042123abc \u03a3\u03a3 \u00e4\u00f6\u00fc\u00df", "internationalisation antidisestablishmentarianism xqzzy..."):
         tabled = counter.table(text)
-        for p in range(len(text) + 1):
-            assert counter.at(text, p, tabled) == count(text[:p])
+        counts = [count(text[:p]) for p in range(len(text) + 1)]
+        assert [counter.at(text, p, tabled) for p in range(len(text) + 1)] == counts
         for budget in range(0, 40, 5):
-            assert count(text[: counter.fit(text, budget, tabled)]) <= budget
+            assert counter.fit(text, budget, tabled) == max(p for p, n in enumerate(counts) if n <= budget)
+
+
+def test_prefixes_by_dynamic_programming(docs):
+    counter = op7.PrefixCounter(public_tokenizers.path(op7.VOCABULARY))
+    words = sorted({w for _, t in docs for w in op7.RUN.findall(t)})[::7]
+    words += [w + v for w, v in zip(words, words[1:])][:300]
+    library = Tokenizer.from_file(public_tokenizers.path(op7.VOCABULARY))
+    counter.tokenizer = None  # which plain runs don't need
+    for w in (w for w in words if not op7.ODD.search(w)):
+        assert counter.within(w).tolist() == [len(library.encode(w[:k], add_special_tokens=False).ids) for k in range(len(w) + 1)], w
 
 
 def test_packing_round_trip(spark, docs):
