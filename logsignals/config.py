@@ -2,36 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-
-@dataclass(frozen=True)
-class Config:
-    window: int = 500
-    # volume
-    volume_warmup: int = 15
-    dominant: float = 0.65
-    high_rate: float = 50.0
-    high_latency: float = 5000.0
-    # temporal
-    off_hours_dominant: float = 0.85
-    min_periodic_ips: int = 2
-    # auth
-    streak: int = 10
-    density: int = 60
-    # payload
-    payload_warmup: int = 15
-    entropy: float = 3.5
-    # sequence
-    sequence_warmup: int = 30
-    # fusion
-    multi: float = 0.60
-    single: float = 0.80
-
-
-DEFAULT = Config()
-
 AGENTS = ("volume", "temporal", "auth", "payload", "sequence", "geo")
 SLOW_DOS_PORTS = (80, 8080, 8000)
 BENIGN_RATE_PORTS = (53, 123, 137, 138, 443, 5353, 67, 68)
 EPHEMERAL = 49152
+#: Batches of a tenant: histories, counters and thresholds are kept by tenant, and no window holds more batches than these.
+TENANT_BATCHES = 2000
+#: Batches of a tenant before which volume and payload (15) and sequence (30 that it was sent) stay silent.
+WARMUP, SEQUENCE_WARMUP = 15, 30

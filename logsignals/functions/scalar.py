@@ -144,7 +144,8 @@ def owasp(endpoint: Column) -> Column:
     return F.when(has(OBJECTS), "API1").when(has(LOGINS), "API2")
 
 
-def explanation(is_attack: Column, threat: Column, confidence: Column, agents: Column, signals: Column) -> Column:
-    """Lines that tell a verdict."""
+def explanation(is_attack: Column, threat: Column, confidence: Column, sent: Column, signals: Column, found: Column) -> Column:
+    """Lines that tell a verdict (P22): head, compound signals, triage, and what the agents that fired found."""
     head = F.concat(F.when(is_attack, F.lit("ATTACK ")).otherwise("benign "), threat, F.lit(" confidence="), F.format_number(confidence, 3))
-    return F.concat_ws("\n", head, F.transform(signals, lambda s: F.concat(F.lit("compound: "), s)), F.transform(F.slice(agents, 1, 3), lambda a: F.concat(F.lit("agent: "), a)))
+    each = lambda name, lines: F.transform(lines, lambda x: F.concat(F.lit(f"{name}: "), x))
+    return F.concat_ws("\n", head, each("compound", signals), F.concat(F.lit("triage: "), F.array_join(sent, ", ")), each("found", F.slice(found, 1, 3)))

@@ -16,9 +16,10 @@ def zscore_last(df: DataFrame, group: str, order: str, value: str, threshold: fl
     return a.select(group, z.alias("z"), F.coalesce(F.abs(z) > threshold, F.lit(False)).alias("significant"))
 
 
-def ks(df: DataFrame, group: str, value: str, first: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p; counts are summed by value before they are ordered."""
-    c = df.groupBy(group, value).agg(F.sum(F.col(first).cast("int")).alias("x"), F.sum((~F.col(first)).cast("int")).alias("y"))
+def ks(df: DataFrame, group: str, value: str, first: str, weight: str | None = None) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p; counts (or weights) are summed by value before they are ordered."""
+    n = F.col(weight) if weight else F.lit(1)
+    c = df.groupBy(group, value).agg(F.sum(F.when(F.col(first), n).otherwise(0)).alias("x"), F.sum(F.when(F.col(first), 0).otherwise(n)).alias("y"))
     own = Window.partitionBy(group)
     run = own.orderBy(value)
     c = c.select(group, F.sum("x").over(run).alias("a"), F.sum("y").over(run).alias("b"), F.sum("x").over(own).alias("na"), F.sum("y").over(own).alias("nb")).filter("na > 0 AND nb > 0")
@@ -43,13 +44,25 @@ def mann_whitney(df: DataFrame, group: str, value: str, first: str) -> DataFrame
     return a.select(group, F.col("u"), F.try_divide(F.greatest(F.abs(F.col("u") - mean) - 0.5, F.lit(0.0)), sd).alias("z"))
 
 
-def set_similarity(df: DataFrame, group: str, member: str) -> DataFrame:
-    """T5: Jaccard similarity of groups that share a member, to four places."""
+def set_similarity(df: DataFrame, group: str, member: str, percent: int = 30) -> DataFrame:
+    """T5: Jaccard similarity, to four places, of all pairs of groups with at least `percent` hundredths.
+
+    Two such sets share a member among the n - ceil(percent * n / 100) + 1 rarest of each, so only groups that meet on one of
+    these are paired (rare members make few pairs), and each pair is verified on its whole sets.
+    """
     e = df.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
-    e = e.withColumn("n", F.count("*").over(Window.partitionBy("g")))
-    a, b = e.alias("a"), e.alias("b")
-    j = a.join(b, (F.col("a.m") == F.col("b.m")) & (F.col("a.g") < F.col("b.g"))).groupBy(F.col("a.g").alias("a"), F.col("b.g").alias("b")).agg(F.count("*").alias("i"), F.max(F.col("a.n") + F.col("b.n")).alias("s"))
-    return j.select("a", "b", F.round(F.col("i") / (F.col("s") - F.col("i")), 4).alias("similarity"))
+    ranked = e.join(e.groupBy("m").agg(F.count("*").alias("df")), "m").filter("df > 1")
+    sets = e.groupBy("g").agg(F.collect_list("m").alias("items"))
+    size = sets.select("g", F.size("items").alias("n"))
+    order = F.row_number().over(Window.partitionBy("g").orderBy("df", "m"))
+    prefix = ranked.join(size, "g").withColumn("left_out", F.col("n") - F.count("*").over(Window.partitionBy("g")))
+    prefix = prefix.withColumn("place", order + F.col("left_out")).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    a, b = prefix.alias("a"), prefix.alias("b")
+    sized = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    met = a.join(b, (F.col("a.m") == F.col("b.m")) & (F.col("a.g") < F.col("b.g")) & sized).select(F.col("a.g").alias("a"), F.col("b.g").alias("b")).distinct()
+    both = met.join(sets.select(F.col("g").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("g").alias("b"), F.col("items").alias("y")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
+    return shared.filter(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b", F.round(F.col("i") / (F.col("s") - F.col("i")), 4).alias("similarity"))
 
 
 def range_lookup(df: DataFrame, ranges: DataFrame, value: str, bits: int = 16) -> DataFrame:

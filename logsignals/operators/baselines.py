@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsignals.config import TENANT_BATCHES, WARMUP
+from logsignals.functions.stats import ks
+from logsignals.operators.features import tenant_of
+
 
 def running_mean(df: DataFrame, key: str, value: str, name: str = "baseline") -> DataFrame:
     """Mean of a key's values in earlier batches; null at first."""
@@ -36,9 +40,9 @@ def sticky(df: DataFrame, threshold: Column, cold: float, name: str, when: str =
 
 
 def counters(df: DataFrame, dispatched: Column | None = None) -> DataFrame:
-    """Number of the batch, and of batches that an agent has been sent."""
+    """Number of the tenant's batch from 1, and of batches that an agent has been sent, this one included."""
     w = _all(df).orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"batch_no": F.col("batch_id") + 1, "dispatched": F.sum((F.lit(True) if dispatched is None else dispatched).cast("int")).over(w)})
+    return df.withColumns({"batch_no": F.count("*").over(w), "dispatched": F.sum((F.lit(True) if dispatched is None else dispatched).cast("int")).over(w)})
 
 
 def transition_baseline(shares: DataFrame, most: int = 500) -> DataFrame:
@@ -48,22 +52,42 @@ def transition_baseline(shares: DataFrame, most: int = 500) -> DataFrame:
 
 
 def gap_pool(gaps: DataFrame, most: int = 2000) -> DataFrame:
-    """A bounded sample of positive gaps, those of the smallest hashes: the same however rows are dealt."""
-    return gaps.filter("gap_ms > 0").orderBy(F.xxhash64("rec_id"), "rec_id").limit(most)
+    """A bounded sample of a tenant's positive gaps, those of the smallest digests of rec_id: the same however rows are dealt.
+
+    It is taken from the warm-up, so that every later batch is held against the same gaps. A rank within the partition comes first, so a tenant's
+    window sorts at most `most` rows of each.
+    """
+    own = gaps.withColumn("tenant", tenant_of("batch_id")).filter((F.col("gap_ms") > 0) & (F.col("batch_id") % TENANT_BATCHES < WARMUP - 1))
+    rank = F.row_number().over(Window.partitionBy("tenant").orderBy(F.md5(F.col("rec_id").cast("string")), "rec_id"))
+    return own.withColumn("rn", rank).filter(F.col("rn") <= most).select("tenant", "rec_id", "gap_ms")
+
+
+def gap_tests(gaps: DataFrame, least: int = 200) -> DataFrame:
+    """D13 from T2: gaps of a batch's clients with six gaps or more against the tenant's pool, by batch after the warm-up, where the pool has `least` gaps."""
+    pool = gap_pool(gaps).groupBy("tenant", "gap_ms").agg(F.count("*").alias("n"))
+    pool = pool.join(pool.groupBy("tenant").agg(F.sum("n").alias("size")).filter(F.col("size") >= least), "tenant")
+    many = gaps.withColumn("c", F.count("*").over(Window.partitionBy("batch_id", "ip"))).filter((F.col("c") >= 6) & (F.col("batch_id") % TENANT_BATCHES >= WARMUP - 1))
+    own = many.groupBy("batch_id", "gap_ms").agg(F.count("*").alias("n"))
+    batches = own.select("batch_id").distinct().withColumn("tenant", tenant_of("batch_id"))
+    other = batches.join(pool, "tenant").select("batch_id", "gap_ms", "n", F.lit(False).alias("own"))  # at most 2000 values a batch
+    return ks(own.withColumn("own", F.lit(True)).unionByName(other), "batch_id", "gap_ms", "own", "n").select("batch_id", F.round("statistic", 9).alias("ks"), F.col("p").alias("ks_p"))
 
 
 def adaptive_thresholds(df: DataFrame) -> DataFrame:
-    """B8 for batch features: the three of volume, and entropy."""
-    for m in ("dominant_ratio", "top_count", "avg_latency", "max_entropy"):
+    """B8 for batch features: three of volume, two of temporal, and entropy. Temporal takes a history of five batches as stable."""
+    for m in ("dominant_ratio", "top_count", "avg_latency", "max_entropy", "off_hours_ratio", "periodic_ips"):
         df = distribution(df, m)
     df = stable(df, ["dominant_ratio", "top_count", "avg_latency"])
-    df = stable(df, ["max_entropy"], "entropy_stable")
-    df = sticky(df, F.least(F.lit(0.99), F.greatest(F.lit(0.65), F.col("dominant_ratio_mean") + 2 * F.col("dominant_ratio_std"))), 0.90, "thr_dominant")
-    df = sticky(df, F.greatest(F.lit(50.0), F.col("top_count_mean") + 2 * F.col("top_count_std")), 450.0, "thr_rate")
-    df = sticky(df, F.col("avg_latency_mean") + 3 * F.col("avg_latency_std"), 6500.0, "thr_latency")
-    return sticky(df, F.col("max_entropy_mean") + 2 * F.col("max_entropy_std"), 2.0, "thr_entropy", "entropy_stable")
+    df = stable(df, ["max_entropy"], "entropy_stable").withColumn("temporal_stable", F.col("off_hours_ratio_mean").isNotNull())
+    above = lambda m, k: F.col(f"{m}_mean") + k * F.col(f"{m}_std")
+    df = sticky(df, F.least(F.lit(0.99), F.greatest(F.lit(0.65), above("dominant_ratio", 2))), 0.90, "thr_dominant")
+    df = sticky(df, F.greatest(F.lit(50.0), above("top_count", 2)), 450.0, "thr_rate")
+    df = sticky(df, above("avg_latency", 3), 6500.0, "thr_latency")
+    df = sticky(df, F.least(F.lit(0.99), above("off_hours_ratio", 2)), 0.85, "thr_off_hours", "temporal_stable")
+    df = sticky(df, F.greatest(F.lit(2.0), F.floor("periodic_ips_mean") + 1.0), 2.0, "thr_periodic", "temporal_stable")
+    return sticky(df, above("max_entropy", 2), 2.0, "thr_entropy", "entropy_stable")
 
 
 def _all(df: DataFrame):
-    """The window of a tenant; without a tenant column all batches are one tenant's (one row a batch)."""
-    return Window.partitionBy("tenant" if "tenant" in df.columns else F.lit(0))
+    """The window of a tenant (one row a batch)."""
+    return Window.partitionBy("tenant")

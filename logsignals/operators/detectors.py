@@ -11,48 +11,79 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsignals.config import BENIGN_RATE_PORTS
+from logsignals.config import BENIGN_RATE_PORTS, SEQUENCE_WARMUP, WARMUP
+from logsignals.functions.scalar import port
+from logsignals.operators.baselines import adaptive_thresholds, counters
 
 _SLOW1 = "(saturation >= 0.5 AND pair_count >= 40 AND avg_latency > thr_latency AND pair_port IN (80, 8080, 8000))"
 _SLOW2 = "(slow_count >= 100 AND slow_saturation >= 0.5 AND slow_cap_ratio >= 0.5)"
 _GUARD = f"(pair_port IN ({', '.join(map(str, BENIGN_RATE_PORTS))}) AND top_count <= 0.9 * total)"
 _SMALL = "(unique_ips BETWEEN 2 AND 50 AND dominant_ratio >= 0.25 AND dominant_ratio < thr_dominant AND top_count >= thr_rate)"
-_FLOOD = "(unique_ips > 5 AND dominant_ratio < thr_dominant AND top_count >= 25 AND unique_ips <= 50 AND dominant_ratio >= 0.25)"
-_SINGLE = "(top_count >= thr_rate AND dominant_ratio >= thr_dominant AND NOT (unique_ips <= 2 AND avg_latency > thr_latency AND dominant_ratio <= 0.9))"
-_SCAN = "(max_entropy >= 6.0 AND entropy_distinct >= 100)"
-_ADAPT = "(batch_no > 15 AND entropy_stable AND max_entropy >= thr_entropy AND entropy_distinct >= 5)"
-
-#: agent: [(condition, score, threat)], the first that holds counts; then the score at which the agent fires.
+_SPREAD = "(unique_ips > 5 AND dominant_ratio < thr_dominant)"
+_FLOOD = f"({_SPREAD} AND top_count >= 25 AND unique_ips <= 50 AND dominant_ratio >= 0.25)"
+_SINGLE = "(top_count >= thr_rate AND dominant_ratio >= thr_dominant)"
+_LATENT = f"({_SINGLE} AND unique_ips <= 2 AND avg_latency > thr_latency AND dominant_ratio <= 0.9)"
+_SPIKE = "CASE WHEN dominant_ratio >= 0.5 AND spike_z >= 0.55 * 6 THEN least(1.0, spike_z / 6.0) ELSE 0.0 END"
+_DDOS = "greatest(0.7, least(1.0, 0.65 + 0.4 * top_count / total))"
+_HARD = "(max_entropy >= 6.0 AND entropy_distinct >= 100)"
+_KNOWN = f"(batch_no >= {WARMUP} AND entropy_stable)"
+_ADAPT = f"({_KNOWN} AND max_entropy >= thr_entropy AND entropy_distinct >= 5)"
+_UNUSUAL = "CASE WHEN entropy_z > 2.0 THEN least(0.55, entropy_z / 5.0) ELSE 0.0 END"
+_SWEEP = "CASE WHEN scan_signature THEN 0.8 ELSE 0.0 END"
+_HITS = "CASE WHEN hits >= 3 THEN 0.6 ELSE 0.0 END"
+_SENT = f"(dispatched >= {SEQUENCE_WARMUP} AND most_transitions >= 4)"
+
+#: agent: [(condition, score, threat)], the first that holds counts; a score is the largest of all that speaks for it.
 RULES: dict[str, list[tuple[str, str, str]]] = {
-    "volume": [  # D1 to D7, D10
-        ("batch_no <= 15", "0.0", "NONE"),
-        (f"{_SLOW1} OR {_SLOW2}", "least(1.0, 0.6 + 0.4 * saturation)", "DOS"),
-        (_GUARD, "0.0", "NONE"),
-        (_SMALL, "greatest(0.7, least(1.0, 0.65 + 0.4 * top_count / total))", "DDOS"),
-        (_FLOOD, "greatest(0.7, least(1.0, 0.65 + 0.4 * top_count / total))", "DDOS"),
-        (_SINGLE, "0.82", "DOS"),
+    "volume": [  # D1 to D8, D10; without enough evidence (D34) a score is 0.3 at most
+        (f"batch_no < {WARMUP}", f"least(0.3, {_SPIKE})", "NONE"),
+        (f"{_SLOW1} OR {_SLOW2}", f"greatest(least(1.0, 0.6 + 0.4 * saturation), {_SPIKE})", "DOS"),
+        (_GUARD, f"least(0.3, {_SPIKE})", "NONE"),
+        (f"{_SMALL} OR {_FLOOD}", f"greatest({_DDOS}, {_SPIKE})", "DDOS"),
+        (f"{_SPREAD} OR {_LATENT}", f"least(0.3, {_SPIKE})", "NONE"),
+        (_SINGLE, f"greatest(0.82, {_SPIKE})", "DOS"),
+        (f"{_SPIKE} > 0 AND unique_ips > 5", _SPIKE, "DDOS"),
+        (f"{_SPIKE} > 0", _SPIKE, "DOS"),
     ],
     "temporal": [  # D11 to D15
         ("span_ms < 200", "0.0", "NONE"),
-        ("periodic_ips >= 2 AND cusum_peak >= 4", "greatest(0.72, 0.9 * bot_conf)", "BOT_ACTIVITY"),
-        ("periodic_ips >= 2", "0.9 * bot_conf", "BOT_ACTIVITY"),
-        ("off_hours_ratio > 0.85", "greatest(0.6, CASE WHEN periodic_ips >= 1 THEN 0.6 * bot_conf ELSE 0.0 END)", "BOT_ACTIVITY"),
-        ("periodic_ips = 1", "0.6 * bot_conf", "BOT_ACTIVITY"),
+        (
+            "periodic_ips >= 1 OR off_hours_ratio > thr_off_hours OR off_hours_ratio > 0.85",
+            "greatest(CASE WHEN periodic_ips >= thr_periodic THEN 0.9 * bot_conf WHEN periodic_ips >= 1 THEN 0.6 * bot_conf ELSE 0.0 END, CASE WHEN periodic_ips >= thr_periodic AND ks_p < 0.05 THEN 0.7 ELSE 0.0 END,"
+            " CASE WHEN periodic_ips >= greatest(1.0, thr_periodic - 1) AND cusum_peak >= 4 THEN 0.72 ELSE 0.0 END, CASE WHEN off_hours_ratio > 0.85 THEN 0.6 ELSE 0.0 END)",
+            "BOT_ACTIVITY",
+        ),
     ],
-    "auth": [  # D17 to D20
+    "auth": [  # D17 to D20: one score, and a type by what is most specific
         ("failures = 0", "0.0", "NONE"),
-        ("stuffing_ips > 0", "greatest(0.8, CASE WHEN streak >= 10 THEN least(1.0, streak / 25.0 + 0.4) ELSE 0.0 END)", "CREDENTIAL_STUFFING"),
-        ("top_failures >= 60", "greatest(0.8, least(1.0, top_failures / 75.0), CASE WHEN streak >= 10 THEN least(1.0, streak / 25.0 + 0.4) ELSE 0.0 END)", "BRUTE_FORCE"),
-        ("streak >= 10", "least(1.0, streak / 25.0 + 0.4)", "BRUTE_FORCE"),
-        ("failing_ips > 0", "0.6", "NONE"),
+        ("stuffing_ips > 0", "SCORE", "CREDENTIAL_STUFFING"),
+        ("top_failures >= 10", "SCORE", "BRUTE_FORCE"),
+        ("failing_ips > 0", "SCORE", "NONE"),
+    ],
+    "payload": [  # D21 to D26: a scan has precedence over injections; without either or a known distribution nothing is said
+        (f"{_HARD} AND any_port", f"greatest(0.7, {_SWEEP})", "PORT_SCAN"),
+        (_HARD, f"greatest(0.7, {_SWEEP})", "ENUMERATION"),
+        (f"{_ADAPT} AND any_port", f"greatest({_SWEEP}, {_UNUSUAL}, {_HITS})", "PORT_SCAN"),
+        (_ADAPT, f"greatest({_SWEEP}, {_UNUSUAL}, {_HITS})", "ENUMERATION"),
+        ("hits >= 3", f"greatest(least(0.95, 0.6 + 0.1 * families), {_UNUSUAL})", "WEB_ATTACK"),
+        (_KNOWN, _UNUSUAL, "NONE"),
     ],
-    "payload": [  # D21 to D26
-        (_SCAN, "CASE WHEN scan_ips > 0 THEN 0.8 ELSE 0.7 END", "PORT_SCAN"),
-        (_ADAPT, "CASE WHEN scan_ips > 0 THEN 0.8 ELSE 0.6 END", "PORT_SCAN"),
-        ("hits >= 3", "least(0.95, 0.6 + 0.1 * families)", "WEB_ATTACK"),
+    "sequence": [(f"{_SENT} AND sequential_ips > 0", "1.0", "SEQUENCE_ABUSE")],  # D27
+    "geo": [  # D28 to D32 (D33 is by session)
+        ("resolved_ips < 0.1 * unique_ips AND NOT tor_listed", "0.0", "NONE"),
+        (
+            "tor_listed OR top_foreign_share >= 0.40 OR (home_known AND foreign_share >= 0.20 AND foreign_countries >= 3) OR (keys >= 10 AND countries >= 5 AND diversity >= 0.10)",
+            "greatest(CASE WHEN tor_listed THEN 0.75 ELSE 0.0 END, CASE WHEN top_foreign_share >= 0.40 THEN 0.8 ELSE 0.0 END, CASE WHEN home_known AND foreign_share >= 0.20 AND foreign_countries >= 3 THEN round(least(0.5 + 0.4 * foreign_share, 0.85), 2) ELSE 0.0 END,"
+            " CASE WHEN keys >= 10 AND countries >= 5 AND diversity >= 0.10 THEN round(least(0.55 + 0.6 * diversity, 0.80), 2) ELSE 0.0 END)",
+            "GEO_ANOMALY",
+        ),
     ],
-    "sequence": [("batch_no > 30 AND sequential_ips > 0", "1.0", "SEQUENCE_ABUSE")],  # D27
 }
+_AUTH = (
+    "greatest(CASE WHEN stuffing_ips > 0 THEN 0.8 ELSE 0.0 END, CASE WHEN top_failures >= 60 THEN greatest(0.8, least(1.0, top_failures / 75.0)) ELSE 0.0 END,"
+    " CASE WHEN streak >= 10 THEN least(1.0, streak / 25.0 + 0.4) ELSE 0.0 END, CASE WHEN failing_ips > 0 THEN 0.6 ELSE 0.0 END)"
+)
+RULES["auth"] = [(on, _AUTH if score == "SCORE" else score, threat) for on, score, threat in RULES["auth"]]
 FIRES = {"volume": 0.55, "temporal": 0.60, "auth": 0.45, "payload": 0.60, "sequence": 0.60, "geo": 0.50}
 
 
@@ -62,12 +93,13 @@ def case_sql(agent: str, what: str) -> str:
     return f"CASE {whens} ELSE {'0.0' if what == 'score' else repr('NONE')} END"
 
 
-def with_context(features: DataFrame) -> DataFrame:
-    """Features with thresholds, counters and the busiest pair's port."""
-    from logsignals.functions.scalar import port
-    from logsignals.operators.baselines import adaptive_thresholds, counters
-
-    return counters(adaptive_thresholds(features)).withColumn("pair_port", F.coalesce(port(F.col("pair_endpoint")), F.lit(0)))
+def with_context(features: DataFrame, gap_tests: DataFrame, geo: DataFrame, home_known: bool = False) -> DataFrame:
+    """Features with thresholds, counters, the busiest pair's port, the test of gaps and the countries of clients."""
+    sent = (F.col("endpoints") >= 3) | F.col("known_bad")
+    out = counters(adaptive_thresholds(features), sent).withColumn("pair_port", F.coalesce(port(F.col("pair_endpoint")), F.lit(0)))
+    placed = geo.select("batch_id", F.col("keys").alias("resolved_ips"), "keys", "countries", "foreign_share", "top_foreign_share", "foreign_countries", "diversity", "tor_listed")
+    out = out.join(gap_tests, "batch_id", "left").join(placed, "batch_id", "left").withColumn("home_known", F.lit(home_known)).fillna(1.0, ["ks_p"])
+    return out.fillna(0, ["resolved_ips", "keys", "countries", "foreign_share", "top_foreign_share", "foreign_countries", "diversity"]).fillna(False, ["tor_listed"])
 
 
 def detect(features: DataFrame, agent: str) -> DataFrame:
@@ -89,29 +121,35 @@ def findings(features: DataFrame, agents: tuple[str, ...] = tuple(RULES), more:
     return out.join(dos, "batch_id", "left").withColumn("fired", F.col("fired") & ~held).drop("dos")
 
 
-def geo_features(geo: DataFrame, home: str | None = None, block: int = 500) -> DataFrame:
-    """A14 to A16 by block of days: countries, foreign share, diversity."""
-    g = geo.withColumn("batch_id", F.floor(F.col("day") / block))
-    c = g.groupBy("batch_id", "country").agg(F.count("*").alias("n"))
+def geo_features(geo: DataFrame, home: str | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """A14 to A16 from (batch_id, key, country): coverage, countries, foreign share, diversity; a key without a country is unresolved. listed(key) are TOR or VPN exits (K6)."""
+    g = geo.groupBy("batch_id", "key", "country").agg(F.count("*").alias("n"))
+    c = g.filter("country IS NOT NULL").groupBy("batch_id", "country").agg(F.sum("n").alias("n"))
     foreign = (F.col("country") != home) if home else F.lit(True)
     out = c.groupBy("batch_id").agg(
         F.sum("n").alias("resolved"), F.count("*").alias("countries"), (F.coalesce(F.sum(F.when(foreign, F.col("n"))), F.lit(0)) / F.sum("n")).alias("foreign_share"),
         (F.coalesce(F.max(F.when(foreign, F.col("n"))), F.lit(0)) / F.sum("n")).alias("top_foreign_share"), F.count(F.when(foreign, 1)).alias("foreign_countries"),
     )
-    return out.join(g.groupBy("batch_id").agg(F.countDistinct("session").alias("keys")), "batch_id").withColumn("diversity", F.col("countries") / F.col("keys"))
-
-
-GEO_RULES = [  # D30 to D32
-    ("top_foreign_share >= 0.40", "0.8"),
-    ("foreign_share >= 0.20 AND foreign_countries >= 3 AND {home}", "round(least(0.5 + 0.4 * foreign_share, 0.85), 2)"),
-    ("keys >= 10 AND countries >= 5 AND diversity >= 0.10", "round(least(0.55 + 0.6 * diversity, 0.80), 2)"),
-]
-
-
-def geo_score_sql(home: bool) -> str:
-    return "greatest(" + ", ".join(f"CASE WHEN {on.format(home='TRUE' if home else 'FALSE')} THEN {score} ELSE 0.0 END" for on, score in GEO_RULES) + ")"
-
-
-def detect_geo(features: DataFrame, home: bool = True) -> DataFrame:
-    out = features.select("batch_id", F.lit("geo").alias("agent"), F.round(F.expr(geo_score_sql(home)).cast("double"), 3).alias("score"), F.lit("GEO_ANOMALY").alias("threat"))
-    return out.withColumn("fired", F.col("score") >= FIRES["geo"])
+    keys = g.groupBy("batch_id").agg(F.countDistinct("key").alias("all_keys"), F.countDistinct(F.when(F.col("country").isNotNull(), F.col("key"))).alias("keys"))
+    out = keys.join(out, "batch_id", "left").fillna(0, ["resolved", "countries", "foreign_share", "top_foreign_share", "foreign_countries"])
+    out = out.withColumns({"coverage": F.col("keys") / F.col("all_keys"), "diversity": F.coalesce(F.try_divide("countries", "keys"), F.lit(0.0))})
+    if listed is None:
+        return out.withColumn("tor_listed", F.lit(False))
+    hit = g.join(F.broadcast(listed.select("key")), "key", "left_semi").select("batch_id").distinct().withColumn("tor_listed", F.lit(True))  # the list is a rule table
+    return out.join(hit, "batch_id", "left").fillna(False, ["tor_listed"])
+
+
+def ip_flags(clients: DataFrame, known: DataFrame) -> DataFrame:
+    """K6: datacenter, vpn, tor and asn of each client, with defaults for those that known(ip, ...) hasn't."""
+    j = clients.select("ip").distinct().join(known, "ip", "left")
+    return j.select("ip", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("datacenter", "vpn", "tor")), F.coalesce("asn", F.lit("UNKNOWN")).alias("asn"))
+
+
+def boosted(findings: DataFrame, scores: DataFrame, share: float = 0.05) -> DataFrame:
+    """volume's score is at least twice the depth of an outlier's; outliers are the `share` of batches with the lowest scores(batch_id, iso_score)."""
+    cut = scores.agg(F.percentile("iso_score", share)).first()[0]
+    j = findings.join(scores.filter(F.col("iso_score") <= cut), "batch_id", "left")
+    up = F.when((F.col("agent") == "volume") & F.col("iso_score").isNotNull(), F.round(F.greatest("score", F.least(F.lit(1.0), -2 * F.col("iso_score"))), 3)).otherwise(F.col("score"))
+    fired = F.when(F.col("agent") == "volume", up >= FIRES["volume"]).otherwise(F.col("fired"))
+    threat = F.when((F.col("agent") == "volume") & fired & (F.col("threat") == "NONE"), F.lit("DOS")).otherwise(F.col("threat"))
+    return j.select("batch_id", "agent", up.alias("score"), threat.alias("threat"), fired.alias("fired"))

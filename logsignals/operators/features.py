@@ -5,10 +5,12 @@ Every function takes batched logs (batch_id, rec_id, sec, ip, endpoint, status,
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsignals.config import EPHEMERAL, SLOW_DOS_PORTS
+from logsignals.config import EPHEMERAL, SLOW_DOS_PORTS, TENANT_BATCHES
 from logsignals.functions.scalar import BENIGN_SERVICE_PORTS, INJECTION, injection, numeric_component, port
 
 
@@ -17,6 +19,11 @@ def _top(value: Column, count: Column, first: Column) -> Column:
     return F.max_by(value, F.struct(count, -first))
 
 
+def tenant_of(batch: str) -> Column:
+    """Whose batch it is: numbers of batches run on from tenant to tenant."""
+    return F.floor(F.col(batch) / TENANT_BATCHES)
+
+
 def pairs(logs: DataFrame) -> DataFrame:
     """(batch, ip, endpoint): n, first, latency sum, records at the latency cap."""
     return logs.groupBy("batch_id", "ip", "endpoint").agg(
@@ -90,7 +97,7 @@ def port_signature(logs: DataFrame) -> DataFrame:
     """Low service ports and unusual ones in the middle, by client."""
     n = port(F.col("endpoint"))
     unusual = F.coalesce((n >= 1024) & (n < EPHEMERAL) & ~n.isin(*BENIGN_SERVICE_PORTS), n.isNull())
-    return logs.groupBy("batch_id", "ip").agg(F.coalesce(F.max((n < 1024).cast("int")), F.lit(0)).alias("low_port"), F.countDistinct(F.when(unusual, F.col("endpoint"))).alias("unusual"), F.count("*").alias("requests"))
+    return logs.groupBy("batch_id", "ip").agg(F.coalesce(F.max((n < 1024).cast("int")), F.lit(0)).alias("low_port"), F.countDistinct(F.when(unusual, F.col("endpoint"))).alias("unusual"), F.count("*").alias("requests"), F.max(F.col("endpoint").startswith("/port_")).alias("any_port"))
 
 
 def spans(logs: DataFrame) -> DataFrame:
@@ -191,24 +198,69 @@ def sliding_counts(logs: DataFrame, seconds: int = 60) -> DataFrame:
     return logs.select("rec_id", "ip", F.count("*").over(w).alias("n"), F.sum(F.col("status").isin(401, 403).cast("int")).over(w).alias("failures"))
 
 
-def impossible_travel(geo: DataFrame, days: int = 1) -> DataFrame:
-    """O9 by session: pairs of countries that are closer in time than the bound."""
-    c = geo.groupBy("session", "country").agg(F.min("day").alias("low"), F.max("day").alias("high"))
-    a, b = c.alias("a"), c.alias("b")
-    near = F.abs(F.col("b.low") - F.col("a.high")) < days
-    return a.join(b, (F.col("a.session") == F.col("b.session")) & (F.col("a.country") < F.col("b.country")) & near).select(F.col("a.session").alias("session"), F.col("a.country").alias("c1"), F.col("b.country").alias("c2"))
+def impossible_travel(visits: DataFrame, minutes: float = 20) -> DataFrame:
+    """O9 by session: changes from one country to another within less than the bound, from (session, country, sec, rec_id)."""
+    w = Window.partitionBy("session").orderBy("sec", "rec_id")
+    steps = visits.select("session", F.lag("country").over(w).alias("c1"), F.col("country").alias("c2"), (F.col("sec") - F.lag("sec").over(w)).alias("gap"), "sec")
+    return steps.filter((F.col("c1") != F.col("c2")) & (F.col("gap") < 60 * minutes))
+
+
+def log_probability(logs: DataFrame, baseline: DataFrame, least: int = 4) -> DataFrame:
+    """Mean log2 of the expected share of each transition of a client (0.01 where nothing is expected), of clients with `least` transitions; baseline(batch_id, a, b, expected)."""
+    t = transitions(logs).join(baseline.select("batch_id", "a", "b", "expected"), ["batch_id", "a", "b"], "left")
+    each = F.log2(F.greatest(F.coalesce("expected", F.lit(0.01)), F.lit(1e-10)))
+    return t.groupBy("batch_id", "ip").agg(F.count("*").alias("transitions"), F.avg(each).alias("log_prob")).filter(F.col("transitions") >= least)
+
+
+def dominant_period(logs: DataFrame, least: int = 8) -> DataFrame:
+    """T4: the period of the largest peak of the gaps' spectrum by client (at most a batch's records), gaps in order of size of time; the gap itself where all are equal."""
+    def period(frame: pd.DataFrame) -> pd.DataFrame:
+        gap = np.diff(np.sort(frame["sec"].to_numpy(float)) * 1000)
+        if gap.std() < 1e-9:
+            p = gap[0]
+        else:
+            p = len(gap) / (1 + int(np.argmax(np.abs(np.fft.rfft(gap))[1:]))) * gap.mean()
+        return pd.DataFrame({"batch_id": frame["batch_id"][:1], "ip": frame["ip"][:1], "period_ms": [round(float(p), 2)]})
+
+    enough = logs.select("batch_id", "ip", "sec", F.count("*").over(Window.partitionBy("batch_id", "ip")).alias("n")).filter(F.col("n") >= least)
+    return enough.drop("n").groupBy("batch_id", "ip").applyInPandas(period, "batch_id long, ip string, period_ms double")
+
+
+def rate_spikes(logs: DataFrame, threshold: float = 3.5, busiest: int = 5) -> DataFrame:
+    """D8 from T1 and B1: mean |z| of the busiest endpoints whose count departs from that of earlier batches of the tenant (three of them at least; sample deviation)."""
+    rates = top_k(logs, "endpoint").withColumn("tenant", tenant_of("batch_id"))
+    w = Window.partitionBy("tenant", "endpoint").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
+    sd = F.coalesce(F.stddev_samp("n").over(w), F.lit(0.0))
+    z = F.round((F.col("n") - F.avg("n").over(w)) / F.when(sd == 0, 1e-9).otherwise(sd), 3)
+    tested = rates.withColumns({"z": z, "had": F.count("n").over(w)}).filter((F.col("rn") <= busiest) & (F.col("had") >= 3))
+    return tested.filter(F.abs("z") > threshold).groupBy("batch_id").agg(F.avg(F.abs("z")).alias("spike_z"))
+
+
+def entropy_spikes(logs: DataFrame) -> DataFrame:
+    """D25 from T1: how far the client with the largest entropy stands from the others of its batch (three at least)."""
+    e = entropy_profile(logs)
+    w = Window.partitionBy("batch_id")
+    e = e.withColumn("rn", F.row_number().over(w.orderBy(F.desc("entropy"), "first")))
+    rest = F.when(F.col("rn") > 1, F.col("entropy"))
+    a = e.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("entropy").alias("top"), F.avg(rest).alias("mean"), F.coalesce(F.stddev_samp(rest), F.lit(0.0)).alias("sd")).filter("n >= 4")
+    return a.select("batch_id", F.round((F.col("top") - F.col("mean")) / F.when(F.col("sd") == 0, 1e-9).otherwise(F.col("sd")), 3).alias("entropy_z"))
 
 
-def batch_features(logs: DataFrame) -> DataFrame:
-    """One row per batch with what the detectors read."""
+def batch_features(logs: DataFrame, bad_ips: tuple[str, ...] = ()) -> DataFrame:
+    """One row per batch with what the detectors read. Logs dealt by batch_id need no further exchange: every step is within a batch."""
     auth = auth_profile(logs).groupBy("batch_id").agg(F.max("failures").alias("top_failures"), F.sum("failures").alias("failures"), F.count(F.when(F.col("stuffing"), 1)).alias("stuffing_ips"), F.count(F.when(F.col("mostly_failing"), 1)).alias("failing_ips"))
     streak = failure_streaks(logs).groupBy("batch_id").agg(F.max("streak").alias("streak"))
     inj = injections(logs).groupBy("batch_id").agg(F.sum("hits").alias("hits"), _top(F.col("families"), F.col("hits"), F.col("first")).alias("families"))
-    scans = port_signature(logs).groupBy("batch_id").agg(F.count(F.when((F.col("low_port") == 1) & (F.col("unusual") >= 20) & (F.col("requests") >= 100), 1)).alias("scan_ips"))
+    top = max_entropy(logs)
+    signature = (F.col("low_port") == 1) & (F.col("unusual") >= 20) & (F.col("requests") >= 100)
+    of_top = port_signature(logs).join(top.select("batch_id", F.col("entropy_ip").alias("ip")), ["batch_id", "ip"]).select("batch_id", signature.alias("scan_signature"), "any_port")
     bots = periodicity(logs).groupBy("batch_id").agg(F.count(F.when((F.col("bot_conf") > 0.85) & (F.col("median_gap") >= 500), 1)).alias("periodic_ips"), F.max(F.when(F.col("median_gap") >= 500, F.col("bot_conf"))).alias("bot_conf"))
     runs = sequential_runs(logs).groupBy("batch_id").agg(F.count(F.when(F.col("run") >= 10, 1)).alias("sequential_ips"))
     peaks = cusum(logs).groupBy("batch_id").agg(F.max("peak").alias("cusum_peak"))
-    out = volume_profile(logs).join(saturation(logs), "batch_id").join(auth, "batch_id").join(inj, "batch_id").join(scans, "batch_id").join(distinct_endpoints(logs), "batch_id").join(spans(logs), "batch_id").join(truth(logs), "batch_id")
-    for more in (streak, max_entropy(logs), bots, runs, peaks):
+    steps = logs.groupBy("batch_id", "ip").agg(F.count("*").alias("n")).groupBy("batch_id").agg((F.max("n") - 1).alias("most_transitions"))
+    listed = logs.groupBy("batch_id").agg(F.max(F.col("ip").isin(*bad_ips)).alias("known_bad"))
+    out = volume_profile(logs).join(saturation(logs), "batch_id").join(auth, "batch_id").join(inj, "batch_id").join(distinct_endpoints(logs), "batch_id").join(spans(logs), "batch_id").join(truth(logs), "batch_id").join(steps, "batch_id").join(listed, "batch_id")
+    for more in (streak, top, of_top, bots, runs, peaks, rate_spikes(logs), entropy_spikes(logs)):
         out = out.join(more, "batch_id", "left")
-    return out.fillna(0, ["streak", "max_entropy", "entropy_distinct", "periodic_ips", "bot_conf", "sequential_ips", "cusum_peak"])
+    zero = ["streak", "max_entropy", "entropy_distinct", "periodic_ips", "bot_conf", "sequential_ips", "cusum_peak", "spike_z", "entropy_z"]
+    return out.fillna(0, zero).fillna(False, ["scan_signature", "any_port"]).withColumn("tenant", tenant_of("batch_id"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logsignals.config import AGENTS
-from logsignals.functions.scalar import explanation
+from logsignals.functions.scalar import THREAT_LABELS, explanation, owasp
+from logsignals.operators.features import tenant_of
 
 #: Pairs of threats that together mean a third (fixed values): needed, meant, boost, least score of each.
 COMPOUND = (
@@ -48,22 +49,35 @@ def evidence(findings: DataFrame) -> DataFrame:
 
 def compound_signals(findings: DataFrame) -> DataFrame:
     """rules whose both threats stand with enough score; the last sets the type, the largest boost counts."""
-    spark = findings.sparkSession
-    rules = spark.sql("SELECT row_number() OVER (ORDER BY 1) AS nth, * FROM (SELECT * FROM " + _values(tuple((i, *r) for i, r in enumerate(COMPOUND)), "at, one, two, meant, boost, least") + ")").drop("nth")
+    rules = findings.sparkSession.sql("SELECT * FROM " + _values(tuple((i, *r) for i, r in enumerate(COMPOUND)), "at, one, two, meant, boost, least"))
     conf = findings.filter("fired").groupBy("batch_id", "threat").agg(F.max("score").alias("score"))
-    a = conf.join(F.broadcast(rules), F.col("threat") == F.col("one")).select("batch_id", "at", "two", "meant", "boost", "least", F.col("score").alias("s1"))  # five rules
+    a = conf.join(F.broadcast(rules), F.col("threat") == F.col("one")).select("batch_id", "at", "threat", "two", "meant", "boost", "least", F.col("score").alias("s1"))  # five rules
     b = conf.select("batch_id", F.col("threat").alias("two"), F.col("score").alias("s2"))
     held = a.join(b, ["batch_id", "two"]).filter((F.col("s1") >= F.col("least")) & (F.col("s2") >= F.col("least")))
-    return held.groupBy("batch_id").agg(F.max_by("meant", "at").alias("compound_threat"), F.max("boost").cast("double").alias("boost"), F.count("*").alias("signals"))
+    told = F.concat_ws(" + ", "threat", "two")
+    return held.groupBy("batch_id").agg(
+        F.max_by("meant", "at").alias("compound_threat"), F.max("boost").cast("double").alias("boost"), F.count("*").alias("signals"), F.transform(F.sort_array(F.collect_list(F.struct("at", told.alias("told")))), lambda x: x["told"]).alias("compound")
+    )
 
 
 def conflicts(findings: DataFrame) -> DataFrame:
-    """a silent agent with some score is raised to 0.45 of a related threat that stands high."""
+    """a silent agent of low confidence with some score is raised to 0.45 of a related threat that stands high; the first by the order of agents counts."""
     spark = findings.sparkSession
-    related = spark.sql("SELECT d.agent, r.high, r.related FROM (SELECT * FROM " + _values(RELATED, "high, related") + ") r JOIN (SELECT * FROM " + _values(DOMAINS, "agent, threat") + ") d ON d.threat = r.related")
-    high = findings.filter("fired AND score >= 0.75").select("batch_id", F.col("threat").alias("high"), F.col("score").alias("high_score"))
-    raised = findings.filter("NOT fired AND score >= 0.10").join(F.broadcast(related), "agent").join(high, ["batch_id", "high"])
-    return raised.groupBy("batch_id", "agent").agg(F.min("related").alias("raised_threat"), F.round(0.45 * F.max("high_score"), 3).alias("raised_score"))
+    related = spark.sql("SELECT d.agent, r.high, min(r.related) AS related FROM (SELECT * FROM " + _values(RELATED, "high, related") + ") r JOIN (SELECT * FROM " + _values(DOMAINS, "agent, threat") + ") d ON d.threat = r.related GROUP BY d.agent, r.high")
+    high = findings.filter("fired AND score >= 0.75").select("batch_id", F.col("threat").alias("high"), F.col("score").alias("high_score"), _order("agent").alias("at"))
+    raised = findings.filter("NOT fired AND score >= 0.10 AND score < 0.45").join(F.broadcast(related), "agent").join(high, ["batch_id", "high"])  # few rules
+    return raised.groupBy("batch_id", "agent").agg(F.min_by("related", F.struct("at", "high")).alias("raised_threat"), F.round(0.45 * F.min_by("high_score", F.struct("at", "high")), 3).alias("raised_score"))
+
+
+def resolved(findings: DataFrame) -> DataFrame:
+    """Findings after F4: raised agents have fired with the raised threat and score."""
+    j = findings.join(conflicts(findings), ["batch_id", "agent"], "left")
+    up = F.col("raised_score").isNotNull()
+    return j.select("batch_id", "agent", F.coalesce("raised_score", "score").alias("score"), F.coalesce("raised_threat", "threat").alias("threat"), (F.col("fired") | up).alias("fired"))
+
+
+def _order(agent: str):
+    return F.array_position(F.array(*(F.lit(a) for a in AGENTS)), F.col(agent))
 
 
 def _weight(agent="agent"):
@@ -71,9 +85,9 @@ def _weight(agent="agent"):
 
 
 def fuse(findings: DataFrame, multi: float = 0.60, single: float = 0.80) -> DataFrame:
-    """Weighted mean and boost, thresholds for one agent and for more, and the type."""
-    f = findings.withColumn("w", _weight())
-    order = F.array_position(F.array(*(F.lit(a) for a in AGENTS)), F.col("agent"))
+    """Conflicts are resolved (F4), then weighted mean and boost, thresholds for one agent and for more, and the type."""
+    f = resolved(findings).withColumn("w", _weight())
+    order = _order("agent")
     fused = f.groupBy("batch_id").agg(
         F.sum(F.when(F.col("fired"), F.col("w") * F.col("score"))).alias("ws"), F.sum(F.when(F.col("fired"), F.col("w"))).alias("ww"), F.count(F.when(F.col("fired"), 1)).alias("n_agents"),
         F.max(F.when(F.col("fired"), F.col("score"))).alias("best"), F.max_by(F.when(F.col("fired"), F.col("threat")), F.when(F.col("fired"), F.struct(F.col("score"), -order))).alias("own_threat"),
@@ -84,18 +98,30 @@ def fuse(findings: DataFrame, multi: float = 0.60, single: float = 0.80) -> Data
     threat = F.coalesce("compound_threat", "own_threat", F.lit("NONE"))
     j = j.withColumns({"fused": conf, "threat": threat})
     attack = F.when(F.col("n_agents") == 0, False).when(F.col("n_agents") == 1, F.col("best") >= single).otherwise(F.col("fused") >= multi) & (F.col("threat") != "NONE")
-    out = j.withColumn("is_attack", attack).select("batch_id", "is_attack", F.when(F.col("is_attack"), F.col("threat")).otherwise("NONE").alias("threat"), F.round("fused", 3).alias("confidence"), "n_agents", "agents", F.coalesce("signals", F.lit(0)).alias("signals"))
+    out = j.withColumn("is_attack", attack).select("batch_id", "is_attack", F.when(F.col("is_attack"), F.col("threat")).otherwise("NONE").alias("threat"), F.round("fused", 3).alias("confidence"), "n_agents", "agents", F.coalesce("signals", F.lit(0)).alias("signals"), F.coalesce("compound", F.array().cast("array<string>")).alias("compound"), "boost")
     return out
 
 
-def explained(verdicts: DataFrame) -> DataFrame:
-    """P22 on verdicts."""
-    return verdicts.withColumn("explanation", explanation(F.col("is_attack"), F.col("threat"), F.col("confidence"), F.col("agents"), F.array().cast("array<string>")))
+def explained(verdicts: DataFrame, findings: DataFrame, plan: DataFrame) -> DataFrame:
+    """P22 on verdicts: the head, compound signals, the agents that were sent the batch (triage), and what each fired agent found."""
+    sent = plan.select("batch_id", F.filter(F.array(*(F.when(F.col(a), F.lit(a)) for a in AGENTS)), lambda x: x.isNotNull()).alias("sent"))
+    line = F.concat_ws(" ", "agent", "threat", F.col("score").cast("string"))
+    told = resolved(findings).filter("fired").groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct(_order("agent").alias("at"), line.alias("line")))).alias("told"))
+    j = verdicts.join(sent, "batch_id").join(told, "batch_id", "left").withColumn("told", F.coalesce(F.transform("told", lambda x: x["line"]), F.array().cast("array<string>")))
+    return j.withColumn("explanation", explanation(F.col("is_attack"), F.col("threat"), F.col("confidence"), F.col("sent"), F.col("compound"), F.col("told"))).drop("sent", "told")
+
+
+def read_evidence(rows: DataFrame, key: str | None = None, agent: str | None = None, least: float = 0.0, latest: bool = False) -> DataFrame:
+    """reads of evidence by part of a key, agent and least confidence; with `latest` the last batch's row of each key."""
+    out = rows.filter(F.col("confidence") >= least)
+    out = out.filter(F.col("key").contains(key)) if key else out
+    out = out.filter(F.col("agent") == agent) if agent else out
+    return out.groupBy("key").agg(F.max("batch_id").alias("batch_id"), F.max_by("confidence", "batch_id").alias("confidence")) if latest else out
 
 
 def learned_fusion(findings: DataFrame, truth: DataFrame, last: int = 100, least: int = 20) -> DataFrame:
-    """F6 with B10: an agent's weight is its precision over its last batches, by verdicts so far. The one recursive step: a fold by tenant over six rows a batch, kept as state between batches of rows."""
-    rows = findings.join(truth.select("batch_id", "is_true"), "batch_id").select(F.coalesce(*([F.col("tenant")] if "tenant" in findings.columns else [F.lit("")])).alias("tenant"), "batch_id", "agent", "score", "fired", "is_true")
+    """F6 with B10: an agent's weight is its precision over its last batches, by verdicts so far. The one recursive step: a fold by tenant over six rows a batch of at most TENANT_BATCHES."""
+    rows = resolved(findings).join(truth.select("batch_id", "is_true"), "batch_id").select(tenant_of("batch_id").alias("tenant"), "batch_id", "agent", "score", "fired", "is_true")
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         past: dict[str, list[bool]] = {a: [] for a in WEIGHTS}
@@ -116,7 +142,7 @@ def learned_fusion(findings: DataFrame, truth: DataFrame, last: int = 100, least
             out.append((frame["tenant"].iloc[0], batch, round(fused, 3), attack))
         return pd.DataFrame(out, columns=["tenant", "batch_id", "fused", "is_attack"])
 
-    return rows.groupBy("tenant").applyInPandas(fold, "tenant string, batch_id long, fused double, is_attack boolean")
+    return rows.groupBy("tenant").applyInPandas(fold, "tenant long, batch_id long, fused double, is_attack boolean")
 
 
 def scores(verdicts: DataFrame, truth: DataFrame, threshold: float = 0.05, inclusive: bool = False) -> DataFrame:
@@ -142,6 +168,17 @@ def agent_outcomes(scored: DataFrame) -> DataFrame:
     return scored.filter("is_attack").select(F.explode("agents").alias("agent"), "is_true").groupBy("agent").agg(F.count(F.when(F.col("is_true"), 1)).alias("tp"), F.count(F.when(~F.col("is_true"), 1)).alias("fp"))
 
 
+def agent_threats(findings: DataFrame, shares: DataFrame, least: float = 0.05) -> DataFrame:
+    """For every (agent, threat) that ever fired: did it fire where the category has `least` of the batch? Counts and rates over all batches of that agent."""
+    f = findings.filter("fired AND threat <> 'NONE'").select("batch_id", "agent", "threat")
+    ever = f.select("agent", "threat").distinct()
+    label = F.coalesce(F.create_map(*(F.lit(x) for p in THREAT_LABELS.items() for x in p))[F.col("threat")], F.col("threat"))
+    every = findings.select("batch_id", "agent").distinct().join(F.broadcast(ever), "agent").withColumn("category", label)  # agents times threats at most
+    present = shares.filter(F.col("share") >= least).select("batch_id", F.col("attack_category").alias("category"), F.lit(True).alias("is_true"))
+    j = every.join(f.withColumn("is_attack", F.lit(True)), ["batch_id", "agent", "threat"], "left").join(present, ["batch_id", "category"], "left")
+    return confusion(j.fillna(False, ["is_attack", "is_true"]), "agent", "threat").drop("fpr")
+
+
 def subset_ablation(findings: DataFrame, truth: DataFrame, agents: tuple[str, ...]) -> DataFrame:
     """All subsets of agents at once, by a broadcast table of 2^n - 1 subsets, ranked by F1."""
     spark = findings.sparkSession
@@ -149,8 +186,24 @@ def subset_ablation(findings: DataFrame, truth: DataFrame, agents: tuple[str, ..
     table = spark.createDataFrame(subsets, "subset string, agent string")
     f = findings.join(F.broadcast(table), "agent").withColumn("w", _weight())  # at most 2^6 * 6 rows
     v = f.groupBy("subset", "batch_id").agg(F.sum(F.when(F.col("fired"), F.col("w") * F.col("score"))).alias("ws"), F.sum(F.when(F.col("fired"), F.col("w"))).alias("ww"), F.count(F.when(F.col("fired"), 1)).alias("n"), F.max(F.when(F.col("fired"), F.col("score"))).alias("best"))
-    attack = F.when(F.col("n") == 0, False).when(F.col("n") == 1, F.col("best") >= 0.8).otherwise(F.col("ws") / F.col("ww") >= 0.6)
-    return confusion(v.withColumn("is_attack", attack).join(truth.select("batch_id", (F.col("attack_ratio") > 0.05).alias("is_true")), "batch_id"), "subset")
+    attack = F.when(F.col("n") == 0, False).when(F.col("n") == 1, F.col("best") >= 0.8).otherwise(F.round(F.col("ws") / F.col("ww"), 9) >= 0.6)
+    c = confusion(v.withColumn("is_attack", attack).join(truth.select("batch_id", (F.col("attack_ratio") > 0.05).alias("is_true")), "batch_id"), "subset")
+    return c.withColumn("place", F.row_number().over(Window.orderBy(F.desc("f1"), "subset")).cast("long"))  # a row a subset
+
+
+def curve(scored: DataFrame) -> DataFrame:
+    """ROC and precision-recall points by confidence, which has 1001 values at most."""
+    c = scored.groupBy("confidence").agg(F.count(F.when(F.col("is_true"), 1)).alias("t"), F.count(F.when(~F.col("is_true"), 1)).alias("f"))
+    w = Window.orderBy(F.desc("confidence"))
+    p = c.select("confidence", F.sum("t").over(w).alias("tp"), F.sum("f").over(w).alias("fp"), F.sum("t").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("p"), F.sum("f").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), b), F.lit(0.0)), 4)
+    return p.select("confidence", "tp", "fp", rate("tp", F.col("p")).alias("tpr"), rate("fp", F.col("n")).alias("fpr"), rate("tp", F.col("tp") + F.col("fp")).alias("precision"))
+
+
+def timeline(scored: DataFrame) -> DataFrame:
+    """What each batch's verdict was worth."""
+    p, t = F.col("is_attack"), F.col("is_true")
+    return scored.select("batch_id", F.when(p & t, "TP").when(p, "FP").when(t, "FN").otherwise("TN").alias("outcome"), "confidence")
 
 
 def ip_history(logs: DataFrame, verdicts: DataFrame, last: int = 50) -> DataFrame:
@@ -170,6 +223,19 @@ def reputation(history: DataFrame, bad: DataFrame) -> DataFrame:
     return j.select("ip", "known_bad", F.round(prior, 6).alias("prior"), "attacks", repeat.alias("repeat_offender"), F.when(repeat, F.least(F.lit(1.0), 0.5 + 0.1 * F.col("attacks"))).otherwise(0.0).alias("repeat_confidence"))
 
 
+def reputation_answer(answers: DataFrame, history: DataFrame, asked: DataFrame) -> DataFrame:
+    """K5: for asked(ip, endpoint): known_bad, prior confidence, a summary of the history in words, and the OWASP context of the endpoint."""
+    seen = history.groupBy("ip").agg(F.count("*").alias("total"))
+    j = asked.join(answers.select("ip", "known_bad", "prior", "attacks"), "ip", "left").join(seen, "ip", "left").fillna(False, ["known_bad"]).fillna(0, ["prior", "attacks", "total"])
+    parts = (
+        F.when(F.col("known_bad"), F.lit("IP is in known-bad seed list.")),
+        F.when(F.col("total") > 0, F.concat(F.lit("Seen in "), F.col("total").cast("string"), F.lit(" prior batch(es); "), F.col("attacks").cast("string"), F.lit(" flagged as attack."))),
+        F.when(F.col("attacks") >= 3, F.lit("Repeat offender \u2014 escalated pre-emptive confidence.")),
+    )
+    summary = F.when(~F.col("known_bad") & (F.col("total") == 0), "No prior activity on record.").otherwise(F.concat_ws(" ", *parts))
+    return j.select("ip", "endpoint", "known_bad", F.round("prior", 3).alias("prior_confidence"), summary.alias("history_summary"), owasp(F.col("endpoint")).alias("owasp_context"))
+
+
 def isolation_forest(features: DataFrame, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """ML1: trees are grown each on its own sample by tree id; the forest (trees * sample nodes at most) is broadcast and scores all rows."""
     spark = features.sparkSession
@@ -231,8 +297,8 @@ def stacker(findings: DataFrame, verdicts: DataFrame, until: int, seed: int = 42
 
     wide = findings.groupBy("batch_id").pivot("agent", list(WEIGHTS)).agg(F.max("score")).fillna(0.0)
     n = findings.groupBy("batch_id").agg(F.sum(F.col("fired").cast("double")).alias("n_active"), F.max(F.when(F.col("fired"), F.col("score"))).alias("primary"))
-    x = wide.join(n, "batch_id").join(verdicts.select("batch_id", "is_attack", "confidence", "threat"), "batch_id").withColumn("label", F.col("is_attack").cast("double"))
-    x = VectorAssembler(inputCols=[*WEIGHTS, "n_active"], outputCol="features").transform(x)
+    x = wide.join(n, "batch_id").join(verdicts.select("batch_id", "is_attack", "confidence", "threat", F.coalesce("boost", F.lit(0.0)).alias("boost")), "batch_id").withColumn("label", F.col("is_attack").cast("double"))
+    x = VectorAssembler(inputCols=[*WEIGHTS, "n_active", "boost"], outputCol="features").transform(x)
     early = x.filter(F.col("batch_id") < until)
     rows, positive = early.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if rows < 50 or not 0.05 * rows <= positive < rows:

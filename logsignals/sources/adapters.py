@@ -62,9 +62,11 @@ def read_unsw(spark: SparkSession, paths) -> DataFrame:
     )
 
 
-def read_flows(spark: SparkSession, paths, time_format: str = "d/M/yyyy H:m", encoding: str = "UTF-8") -> DataFrame:
-    """Flow files with names that vary; header names are trimmed and resolved by candidates."""
-    raw = _csv(spark, paths, encoding=encoding)
+def read_flows(spark: SparkSession, paths, time_format: str = "d/M/yyyy H:m", encoding: str | None = None) -> DataFrame:
+    """Flow files with names that vary; header names are trimmed and resolved by candidates. Without an encoding UTF-8 is taken, and Latin-1 where a character isn't valid in it."""
+    raw = _csv(spark, paths, encoding=encoding or "UTF-8")
+    if encoding is None and (any("\ufffd" in c for c in raw.columns) or not raw.filter(F.concat_ws("", *(F.col(f"`{c}`") for c in raw.columns)).contains("\ufffd")).isEmpty()):
+        raw = _csv(spark, paths, encoding="ISO-8859-1")
     raw = raw.toDF(*(c.strip() for c in raw.columns))
     at = {k: next((c for c in names if c in raw.columns), None) for k, names in CANDIDATES.items()}
     get = lambda k: F.col(at[k]) if at[k] else F.lit(None).cast("string")

@@ -56,6 +56,12 @@ EVENTS = """ev AS (SELECT event_id::BIGINT AS rec_id, epoch_us(ts::TIMESTAMP) //
 '/port_' || json_extract_string(props, '$.k') AS endpoint, CASE WHEN event_type = 'error' THEN 401 ELSE 200 END AS status, least(value::DOUBLE * 100, 10000.0::DOUBLE) AS latency, CASE WHEN event_type = 'error' THEN 'Brute Force' ELSE 'Benign' END AS attack_category FROM events)"""
 
 
+def country_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lo, hi, country) of addresses: those of the planted view's ordinary clients, which are suppliers, in the nation of each."""
+    number = F.lit(10 << 24) + F.col("s_suppkey").cast("long")
+    return table(spark, sf_dir, "supplier").select(number.alias("lo"), number.alias("hi"), F.concat(F.lit("C"), F.col("s_nationkey").cast("string")).alias("country"))
+
+
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that order from many countries: rec_id-free view of session, country, day."""
     line, orders, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+MINUTE_US, ENTRIES = 60_000_000, 500
+
 
 def window_features(logs: DataFrame, size: str = "10 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """ST1: counts by window and client; rows later than the watermark are dropped."""
@@ -25,9 +28,10 @@ def session_features(logs: DataFrame, gap: str = "2 hours", late: str = "10 minu
 
 
 class MinuteState(StatefulProcessor):
-    """ST2: times of a client's records within the last minute; state past it is dropped."""
+    """ST2: times of a client's records within the last minute. A timer at the end of that minute drops the state of a client that has gone."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.times = handle.getValueState("times", "times array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -35,50 +39,69 @@ class MinuteState(StatefulProcessor):
         new = pd.concat(list(rows)).sort_values(["us", "rec_id"])
         out = []
         for rec, us in zip(new["rec_id"], new["us"]):
-            held = [t for t in held if t >= us - 60_000_000] + [int(us)]
+            held = [t for t in held if t >= us - MINUTE_US] + [int(us)]
             out.append((int(rec), key[0], len(held)))
         self.times.update((held,))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer((held[-1] + MINUTE_US) // 1000 + 1)
         yield pd.DataFrame(out, columns=["rec_id", "ip", "n"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        yield pd.DataFrame({"rec_id": pd.Series(dtype="int64"), "ip": pd.Series(dtype="str"), "n": pd.Series(dtype="int64")})
+
     def close(self) -> None:
         pass
 
 
-def minute_counts(logs: DataFrame) -> DataFrame:
-    """ST2 as a stream: needs the RocksDB state store."""
-    return logs.select("ip", "rec_id", F.unix_micros("ts").alias("us")).groupBy("ip").transformWithStateInPandas(MinuteState(), outputStructType="rec_id long, ip string, n long", outputMode="append", timeMode="none")
+def minute_counts(logs: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """ST2 as a stream in event time: needs the RocksDB state store."""
+    rows = logs.withWatermark("ts", late).select("ip", "rec_id", F.unix_micros("ts").alias("us"), "ts")
+    return rows.groupBy("ip").transformWithStateInPandas(MinuteState(), outputStructType="rec_id long, ip string, n long", outputMode="append", timeMode="eventTime")
 
 
-class RunningMean(StatefulProcessor):
-    """ST3: mean and deviation of a tenant's earlier windows."""
+class RunningBaseline(StatefulProcessor):
+    """ST3: what B4, B5 and B8 say of a tenant's windows, from its last ENTRIES values and the threshold that has held since the last stable window."""
+
+    def __init__(self, cold: float, above: float = 2.0) -> None:
+        self.cold, self.above = cold, above
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getValueState("sums", "n bigint, total double, squares double")
+        self.state = handle.getValueState("state", "recent array<double>, n bigint, threshold double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, total, squares = self.sums.get() if self.sums.exists() else (0, 0.0, 0.0)
-        out = []
+        recent, n, threshold = self.state.get() if self.state.exists() else ([], 0, self.cold)
+        recent, out = list(recent), []
         for start, v in pd.concat(list(rows)).sort_values("start")[["start", "value"]].itertuples(index=False):
-            mean = total / n if n >= 5 else None
-            std = max(squares / n - (total / n) ** 2, 0.0) ** 0.5 if n >= 5 else None
-            out.append((key[0], start, float(v), mean, std))
-            n, total, squares = n + 1, total + v, squares + v * v
-        self.sums.update((n, total, squares))
-        yield pd.DataFrame(out, columns=["tenant", "start", "value", "mean", "std"])
+            recent, n = (recent + [float(v)])[-ENTRIES:], n + 1
+            mean, std = (float(np.mean(recent)), float(np.std(recent))) if len(recent) >= 5 else (None, None)
+            stable = n >= 10 and ((old := float(np.var(recent[-10:-5]))) == 0 or abs(float(np.var(recent[-5:])) - old) <= 0.05 * old)
+            if stable:
+                threshold = mean + self.above * std
+            out.append((key[0], start, float(v), mean, std, stable, threshold))
+        self.state.update((recent, n, threshold))
+        yield pd.DataFrame(out, columns=["tenant", "start", "value", "mean", "std", "stable", "threshold"])
 
     def close(self) -> None:
         pass
 
 
-def running_baselines(windows: DataFrame) -> DataFrame:
+def running_baselines(windows: DataFrame, cold: float, above: float = 2.0) -> DataFrame:
     """ST3 over (tenant, start, value)."""
-    return windows.groupBy("tenant").transformWithStateInPandas(RunningMean(), outputStructType="tenant string, start timestamp, value double, mean double, std double", outputMode="append", timeMode="none")
+    schema = "tenant string, start timestamp, value double, mean double, std double, stable boolean, threshold double"
+    return windows.groupBy("tenant").transformWithStateInPandas(RunningBaseline(cold, above), outputStructType=schema, outputMode="append", timeMode="none")
 
 
 def alert_sink(path: str, keys: tuple[str, ...] = ("start", "ip")) -> Callable[[DataFrame, int], None]:
-    """ST4 for foreachBatch: each batch of alerts is written to a folder of its number, so a repeated batch replaces itself."""
+    """ST4 for foreachBatch: alerts whose keys an earlier batch has written are left out, and a repeated batch replaces itself, so an alert is written once even if batches are numbered anew."""
     def write(df: DataFrame, batch: int) -> None:
-        df.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        own, new = f"{path}/batch={batch}", df.dropDuplicates(list(keys))
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/*.parquet")
+        if at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+            held = df.sparkSession.read.parquet(path).filter(F.col("batch") != batch).select(*keys)
+            new = new.join(held, list(keys), "left_anti")
+        new.write.mode("overwrite").parquet(own)
 
     return write
 

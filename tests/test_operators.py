@@ -16,20 +16,28 @@ from logsignals.operators import fusion as U
 from logsignals.sources import adapters, views
 
 
-def logs(spark, records):
+NOISE = [(f"10.0.0.{i % 40}", f"/port_{4000 + i * 7}", 200, 1 + i % 5, 50) for i in range(200)]
+
+
+def logs(spark, records, batch=40):
     """Records (ip, endpoint, status, step in s, latency) of one batch after warm-up."""
     sec, rows = 0, []
     for i, (ip, endpoint, status, step, latency) in enumerate(records):
         sec += step
-        rows.append((i, 40, 43200 + sec, ip, endpoint, status, float(latency), "Benign"))
+        rows.append((i, batch, 43200 + sec, ip, endpoint, status, float(latency), "Benign"))
     return spark.createDataFrame(rows, "rec_id long, batch_id long, sec long, ip string, endpoint string, status int, latency double, attack_category string")
 
 
-def found(spark, records, agent):
-    return D.detect(D.with_context(A.batch_features(logs(spark, records))), agent).first()
+def context(spark, records, batch=40, countries=()):
+    """The batch's features after as many quiet batches; countries: (ip, country) of its clients."""
+    own = logs(spark, records, batch)
+    quiet = A.batch_features(logs(spark, NOISE, 0)).drop("batch_id").crossJoin(spark.range(batch).withColumnRenamed("id", "batch_id"))
+    placed = own.select("batch_id", F.col("ip").alias("key")).join(spark.createDataFrame(list(countries), "key string, country string"), "key", "left")
+    return D.with_context(A.batch_features(own).unionByName(quiet), B.gap_tests(A.gaps(own)), D.geo_features(placed))
 
 
-NOISE = [(f"10.0.0.{i % 40}", f"/port_{4000 + i * 7}", 200, 1 + i % 5, 50) for i in range(200)]
+def found(spark, records, agent, batch=40, countries=()):
+    return D.detect(context(spark, records, batch, countries).filter(f"batch_id = {batch}"), agent).first()
 
 
 def test_brute_force_fires(spark):
@@ -62,8 +70,78 @@ def test_bots_fire(spark):
     assert f.fired and f.threat == "BOT_ACTIVITY"
 
 
+FLOOD = [("1.2.3.4", "/port_9000", 200, 1 + i % 3, 5) for i in range(480)] + NOISE[:20]
+STEPS = NOISE + [("1.1.1.1", f"/port_{100 + i}", 200, 1, 5) for i in range(12)]
+
+
+def test_warm_up_ends_with_the_fifteenth_and_the_thirtieth_batch(spark):
+    assert not found(spark, FLOOD, "volume", 13).fired and found(spark, FLOOD, "volume", 14).fired
+    assert not found(spark, STEPS, "sequence", 28).fired and found(spark, STEPS, "sequence", 29).fired
+    assert found(spark, FLOOD, "volume", 13).score <= 0.3
+
+
+def test_one_bot_with_falling_gaps_fires(spark):
+    one = NOISE[:60] + [("1.1.1.1", "/port_1", 200, 1, 5)] * 40
+    features = context(spark, one).filter("batch_id = 40")
+    assert features.first().periodic_ips == 1
+    score = lambda peak: D.detect(features.withColumn("cusum_peak", F.lit(peak)), "temporal").first()
+    assert not score(3.9).fired and score(4.0).fired and score(4.0).score == pytest.approx(0.72)
+
+
+def test_ten_failures_without_a_streak_are_brute_force(spark):
+    mixed = [x for i in range(12) for x in (("1.2.3.4", "/port_22", 401, 1, 10), ("1.2.3.4", "/port_22", 200 if i % 6 == 5 else 401, 1, 10))]
+    f = found(spark, NOISE + mixed, "auth")
+    assert f.fired and f.threat == "BRUTE_FORCE" and f.score == pytest.approx(0.84)
+
+
+def test_countries(spark):
+    many = [(f"10.0.0.{i}", f"C{i % 9}") for i in range(40)]
+    assert found(spark, NOISE, "geo", countries=many).score == pytest.approx(round(min(0.55 + 0.6 * 9 / 40, 0.8), 2))
+    assert found(spark, NOISE, "geo", countries=[("10.0.0.1", "C1")]).score == 0  # too few are known
+    assert found(spark, NOISE, "geo", countries=[(f"10.0.0.{i}", "C1") for i in range(40)]).score == pytest.approx(0.8)
+
+
+def test_travel_between_countries(spark):
+    rows = [("s", "A", 0), ("s", "A", 5), ("s", "B", 5 * 60), ("s", "A", 9 * 60), ("t", "A", 0), ("t", "B", 1200), ("u", "A", 0)]
+    visits = spark.createDataFrame([(a, b, c, i) for i, (a, b, c) in enumerate(rows)], "session string, country string, sec long, rec_id long")
+    assert sorted((r.session, r.c1, r.c2) for r in A.impossible_travel(visits).collect()) == [("s", "A", "B"), ("s", "B", "A")]
+
+
+def test_period_is_the_peak_of_the_spectrum(spark):
+    rng = np.random.default_rng(1)
+    steps = [int(x) for x in rng.integers(1, 4, 48) + np.tile([6, 0, 0, 0], 12)]
+    got = {r.ip: r.period_ms for r in A.dominant_period(logs(spark, [("a", "/x", 200, s, 1) for s in steps] + [("b", "/y", 200, 1, 1)] * 9)).collect()}
+    gap = np.array(steps[1:]) * 1000.0
+    peak = max(range(1, len(gap) // 2 + 1), key=lambda k: abs(sum(g * np.exp(-2j * np.pi * k * i / len(gap)) for i, g in enumerate(gap))))
+    assert got == {"a": round(len(gap) / peak * gap.mean(), 2), "b": 1000.0}
+
+
+def test_conflicts_raise_silent_agents_in_fusion(spark):
+    rows = [(1, "temporal", 0.9, "BOT_ACTIVITY", True), (1, "volume", 0.3, "NONE", False), (1, "auth", 0.0, "NONE", False), (2, "volume", 0.9, "DOS", True), (2, "temporal", 0.3, "NONE", False)]
+    f = spark.createDataFrame(rows, "batch_id long, agent string, score double, threat string, fired boolean")
+    got = {(r.batch_id, r.agent): (r.score, r.threat, r.fired) for r in U.resolved(f).collect()}
+    assert got[1, "volume"] == (0.405, "DOS", True) and got[1, "auth"] == (0.0, "NONE", False) and got[2, "temporal"] == (0.3, "NONE", False)
+    assert {r.batch_id: r.n_agents for r in U.fuse(f).collect()} == {1: 2, 2: 1}
+
+
+def test_outliers_raise_volume(spark):
+    f = spark.createDataFrame([(b, a, 0.1, "NONE", False) for b in range(40) for a in ("volume", "auth")], "batch_id long, agent string, score double, threat string, fired boolean")
+    scores = spark.createDataFrame([(b, -0.7 if b == 3 else -0.4) for b in range(40)], "batch_id long, iso_score double")
+    got = {(r.batch_id, r.agent): r for r in D.boosted(f, scores, 0.02).collect()}
+    assert len(got) == 80 and got[3, "volume"].fired and got[3, "volume"].threat == "DOS" and got[3, "auth"].score == 0.1 and not got[4, "volume"].fired
+
+
+def test_similar_sets_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    sets = {g: {f"m{x}" for x in rng.integers(0, 30 if g % 2 else 200, rng.integers(1, 25))} for g in range(60)}
+    df = spark.createDataFrame([(g, m) for g, own in sets.items() for m in own], "g long, m string")
+    for percent in (10, 30, 80):
+        want = {(a, b): round(len(x & y) / len(x | y), 4) for a, x in sets.items() for b, y in sets.items() if a < b and 100 * len(x & y) >= percent * len(x | y)}
+        assert {(r.a, r.b): r.similarity for r in T.set_similarity(df, "g", "m", percent).collect()} == pytest.approx(want)
+
+
 def test_injection_scan_and_sequence_fire(spark):
-    assert found(spark, NOISE + [("1.1.1.1", "/s?q=%3Cscript%3E", 200, 1, 5)] * 3, "payload").threat == "WEB_ATTACK"
+    assert found(spark, NOISE + [("1.1.1.1", "/s?q=%3Cscript%3E", 200, 1, 5)] * 3, "payload", 5).threat == "WEB_ATTACK"  # injections need no warm-up
     assert found(spark, [("1.1.1.1", f"/port_{20 + 7 * i}", 200, 1, 5) for i in range(400)], "payload").threat == "PORT_SCAN"
     assert found(spark, NOISE + [("1.1.1.1", f"/port_{100 + i}", 200, 1, 5) for i in range(12)], "sequence").fired
 
@@ -90,7 +168,7 @@ def test_cusum_equals_the_loop(spark):
 
 def test_sticky_thresholds_equal_the_loop(spark):
     rows = [(i, bool(i % 4 == 2), float(i)) for i in range(20)]
-    got = [r.t for r in B.sticky(spark.createDataFrame(rows, "batch_id long, stable boolean, v double"), F.col("v"), -1.0, "t").orderBy("batch_id").collect()]
+    got = [r.t for r in B.sticky(spark.createDataFrame(rows, "batch_id long, stable boolean, v double").withColumn("tenant", F.lit(0)), F.col("v"), -1.0, "t").orderBy("batch_id").collect()]
     held, want = -1.0, []
     for _, stable, v in rows:
         held = v if stable else held
@@ -133,7 +211,8 @@ def test_confusion_adds_up(spark):
 
 def test_empty_logs(spark):
     empty = logs(spark, NOISE[:1]).limit(0)
-    assert A.batch_features(empty).count() == 0 and D.findings(D.with_context(A.batch_features(empty))).count() == 0
+    geo = D.geo_features(empty.select("batch_id", F.col("ip").alias("key"), F.lit(None).cast("string").alias("country")))
+    assert A.batch_features(empty).count() == 0 and D.findings(D.with_context(A.batch_features(empty), B.gap_tests(A.gaps(empty)), geo)).count() == 0
 
 
 def test_log_csv_round_trip(spark, tmp_path):
@@ -152,7 +231,12 @@ def test_other_sources(spark, tmp_path):
     u = adapters.read_unsw(spark, str(tmp_path / "UNSW*.csv")).orderBy("attack_category").collect()
     assert [r.attack_category for r in u] == ["Backdoor", "Benign"] and u[0].method == "DELETE" and u[0].latency == 500.0 and not u[1].is_attack
     (tmp_path / "flows.csv").write_text(" Timestamp, Source IP, Destination Port, Flow Duration, Total Fwd Packets, Label\n6/7/2017 9:05,1.2.3.4,80,2500000,3,DDoS\nbad,1.2.3.4,80,1,1,BENIGN\n", encoding="latin-1")
-    f = adapters.read_flows(spark, str(tmp_path / "flows.csv"), encoding="ISO-8859-1").collect()
+    f = adapters.read_flows(spark, str(tmp_path / "flows.csv")).collect()
+    (tmp_path / "latin.csv").write_text("Timestamp,Source IP,Destination Port,Flow Duration,Total Fwd Packets,Label\n6/7/2017 9:05,1.2.3.4,80,1,3,Web Attack \u00d7 XSS\n", encoding="latin-1")
+    assert adapters.read_flows(spark, str(tmp_path / "latin.csv")).first().label == "Web Attack \u00d7 XSS"
+    verdicts = spark.createDataFrame([(1, True, "DOS")], "batch_id long, is_attack boolean, threat string")
+    adapters.write_verdicts(verdicts, verdicts.limit(0), str(tmp_path / "verdicts"))
+    assert adapters.read_verdicts(spark, str(tmp_path / "verdicts"), verdicts.schema).collect() == verdicts.collect()
     assert len(f) == 1 and f[0].attack_category == "DDoS" and f[0].latency == 2500.0 and f[0].endpoint == "/port_80"
     (tmp_path / "honey.csv").write_text("datetime,srcstr,proto,dpt\n3/3/13 21:53,61.1.1.1,TCP,1433\n3/3/13 21:53,bad,TCP,1\n")
     h = adapters.read_honeypot(spark, str(tmp_path / "honey.csv")).collect()
@@ -175,7 +259,7 @@ def test_range_lookup_plan_has_no_nested_loop(spark):
 
 
 def test_learned_weights_start_as_the_fixed_ones(spark):
-    f = spark.createDataFrame([(b, a, 0.9, a == "auth") for b in range(5) for a in ("auth", "volume")], "batch_id long, agent string, score double, fired boolean")
+    f = spark.createDataFrame([(b, a, 0.9, "BRUTE_FORCE", a == "auth") for b in range(5) for a in ("auth", "payload")], "batch_id long, agent string, score double, threat string, fired boolean")
     t = spark.createDataFrame([(b, True) for b in range(5)], "batch_id long, is_true boolean")
     assert {r.fused for r in U.learned_fusion(f, t).collect()} == {0.9}
 

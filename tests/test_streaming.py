@@ -4,6 +4,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
+from logsignals.operators import baselines as B
 from logsignals.sources import views
 from logsignals.streaming import streams
 
@@ -33,6 +34,23 @@ def test_minute_state(spark, source):
     assert got == want
 
 
+def test_sessions(spark, source):
+    got = {(r.start, r.ip): r.n for r in streams.replay(spark, source, SCHEMA, streams.session_features, "sessions", "complete").collect()}
+    batch = spark.read.parquet(source).groupBy("ip", F.session_window("ts", "2 hours").alias("w")).count()
+    assert got == {(r.w.start, r.ip): r["count"] for r in batch.collect()}
+
+
+def test_running_baselines_equal_the_batch_form(spark, tmp_path):
+    rows = [(t, i, float((i * 7 + len(t)) % 5 + (i > 12) * 3)) for t in ("a", "bb") for i in range(30)]
+    path = str(tmp_path / "windows")
+    spark.createDataFrame(rows, "tenant string, batch_id long, value double").select("tenant", F.timestamp_seconds(F.col("batch_id") * 600).alias("start"), "value").coalesce(1).write.parquet(path)
+    got = streams.replay(spark, path, "tenant string, start timestamp, value double", lambda s: streams.running_baselines(s, 9.0), "baselines")
+    df = spark.createDataFrame(rows, "tenant string, batch_id long, value double")
+    want = B.sticky(B.stable(B.distribution(df, "value"), ["value"]), F.col("value_mean") + 2 * F.col("value_std"), 9.0, "threshold")
+    key = lambda r, at: (r.tenant, at, r.stable, round(r.threshold, 6), None if r[3] is None else round(r[3], 6), None if r[4] is None else round(r[4], 6))
+    assert {key(r, int(r.start.timestamp()) // 600) for r in got.select("tenant", "start", "stable", "mean", "std", "threshold").collect()} == {key(r, r.batch_id) for r in want.select("tenant", "batch_id", "stable", "value_mean", "value_std", "threshold").collect()}
+
+
 def test_repeats_and_list(spark, source):
     bad = spark.createDataFrame([("10.0.0.1",)], "ip string")
     got = streams.replay(spark, source, SCHEMA, lambda s: streams.known_bad(streams.without_repeats(s.union(s)), bad), "listed").count()
@@ -44,4 +62,5 @@ def test_alerts_are_written_once(spark, tmp_path):
     write = streams.alert_sink(str(tmp_path))
     write(df, 0)
     write(df, 0)
-    assert spark.read.parquet(str(tmp_path)).count() == 2
+    write(spark.createDataFrame([(2, "b"), (3, "c")], "start long, ip string"), 1)  # numbered anew after a restart
+    assert sorted((r.start, r.ip) for r in spark.read.parquet(str(tmp_path)).collect()) == [(1, "a"), (2, "b"), (3, "c")]
