@@ -39,6 +39,8 @@ CROWDED = 16
 #: Documents whose shingles are wanted, up to which they are broadcast as a filter (some 50 MB); beyond, a shuffled join.
 BROADCAST_IDS = 1_000_000
 LEAST_BITS = 256
+#: Signatures or shingles that a task holds before it hands them on.
+HELD = 500_000
 
 
 def _members(size: int):
@@ -46,36 +48,47 @@ def _members(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [shingles_of(words_of(t), size) for t in batch.column(2).to_pylist()]
-            own = [pa.array([digest_of(s) for s in held], pa.int64()), pa.array([len(s) for s in held], pa.int64()), pa.array([_bitmap(s) for s in held], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["doc_id", "mark", "cls", "n", "bits"])
+            cls, n, bits = [], [], []
+            for text in batch.column(2):
+                shingles = shingles_of(words_of(text.as_py()), size)
+                cls.append(digest_of(shingles))
+                n.append(len(shingles))
+                bits.append(_bitmap(shingles))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "mark", "cls", "n", "bits"])
 
     return run
 
 
 def _signature_rows(size: int, percent: int):
-    """For mapInArrow over text: (key, cls, via). The smallest class of a signature in a batch has the signature as its key; the others have (signature, smallest) in via and a key of their own."""
+    """For mapInArrow over text: (key, cls, via). Of the classes of some HELD signatures, the smallest of each signature has that as its key; the others have (signature, smallest) in via and a key of their own."""
+
+    def dealt(sigs: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cls = np.repeat(np.fromiter(sigs, np.int64, len(sigs)), [len(x) for x in sigs.values()])
+        sig = np.concatenate(list(sigs.values())).view(np.int64)
+        order = np.lexsort((cls, sig))
+        first = np.append(True, sig[order][1:] != sig[order][:-1])
+        least, alone = np.empty_like(cls), np.empty(len(cls), bool)
+        least[order], alone[order] = cls[order][np.flatnonzero(first)[np.cumsum(first) - 1]], first
+        yield _rows(sig[alone], cls[alone], None)  # in the order of classes, which compresses well
+        if not alone.all():
+            with np.errstate(over="ignore"):
+                own = sig[~alone] + cls[~alone] * np.int64(0x9E3779B1)
+            yield _rows(own, cls[~alone], np.stack([sig[~alone], least[~alone]], 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs: dict[int, np.ndarray] = {}
+        total = 0
         for batch in batches:
-            sigs: dict[int, np.ndarray] = {}
-            for text in batch.column(0).to_pylist():
-                shingles = shingles_of(words_of(text), size)
+            for text in batch.column(0):
+                shingles = shingles_of(words_of(text.as_py()), size)
                 if len(shingles) and (cls := digest_of(shingles)) not in sigs:
                     sigs[cls] = np.unique(signatures(shingles, percent))
-            if not sigs:
-                continue
-            cls = np.repeat(np.fromiter(sigs, np.int64, len(sigs)), [len(x) for x in sigs.values()])
-            sig = np.concatenate(list(sigs.values())).view(np.int64)
-            order = np.lexsort((cls, sig))
-            first = np.append(True, sig[order][1:] != sig[order][:-1])
-            least, alone = np.empty_like(cls), np.empty(len(cls), bool)
-            least[order], alone[order] = cls[order][np.flatnonzero(first)[np.cumsum(first) - 1]], first
-            yield _rows(sig[alone], cls[alone], None)  # in the order of classes, which compresses well
-            if not alone.all():
-                with np.errstate(over="ignore"):
-                    own = sig[~alone] + cls[~alone] * np.int64(0x9E3779B1)
-                yield _rows(own, cls[~alone], np.stack([sig[~alone], least[~alone]], 1))
+                    total += len(sigs[cls])
+                    if total > HELD:  # memory
+                        yield from dealt(sigs)
+                        sigs, total = {}, 0
+        if sigs:
+            yield from dealt(sigs)
 
     return run
 
@@ -89,26 +102,35 @@ def _sets(size: int):
     """For mapInArrow over (key, cls, text): (key, cls, items) of the rows whose text is of the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, shingles, digest, seen = None, None, 0, set()
+        last, shingles, digest, seen, rows, total = None, None, 0, set(), [], 0
         for batch in batches:
-            rows = []
-            for key, cls, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, cls, text in zip(*batch.columns):
+                text = text.as_py()
                 if shingles is None or text != last:
                     last, shingles = text, shingles_of(words_of(text), size)
                     digest = digest_of(shingles)
-                if digest == cls and (key, cls) not in seen:  # copies of a class come once a task
-                    seen.add((key, cls))
-                    rows.append((key, cls, shingles))
-            if rows:
-                ends = np.append(0, np.cumsum([len(r[2]) for r in rows]))
-                items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([r[2] for r in rows]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), items], ["key", "cls", "items"])
+                pair = key.as_py(), cls.as_py()
+                if digest == pair[1] and pair not in seen:  # copies of a class come once a task
+                    seen.add(pair)
+                    rows.append((*pair, shingles))
+                    total += len(shingles)
+                if total > HELD:  # memory
+                    yield _set_rows(rows)
+                    rows, total = [], 0
             if len(seen) > 1_000_000:  # memory
                 seen.clear()
+        if rows:
+            yield _set_rows(rows)
 
     return run
 
 
+def _set_rows(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    ends = np.append(0, np.cumsum([len(r[2]) for r in rows]))
+    items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([r[2] for r in rows]).view(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), items], ["key", "cls", "items"])
+
+
 def _bitmap(shingles: np.ndarray) -> bytes:
     """A bit or more for each shingle, each the parity of those that fall on it: XOR of two bitmaps is the bitmap of the difference."""
     bits = max(LEAST_BITS, 1 << max(0, len(shingles) - 1).bit_length())

@@ -23,7 +23,7 @@ WINDOW = 8
 #: Growth of the sketch's buckets, and documents that a group's own fence needs to count as much as the larger group's.
 GAMMA, SHRINK = 1.02, 500.0
 #: Rates in thousandths: (upper quantile in thousandths, margin, least distance of the quantile from the median, about the resolution of a short text).
-RATES = {"symbols": (750, 8.0, 5), "capitals": (900, 6.0, 1), "dup_lines": (990, 1.5, 20), "repeats": (990, 2.0, 20), "word_length": (750, 8.0, 20)}
+RATES = {"symbols": (750, 8.0, 5), "capitals": (900, 6.0, 5), "dup_lines": (990, 1.5, 20), "repeats": (990, 2.0, 20), "word_length": (750, 8.0, 20)}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rows of fences up to which they are broadcast to the documents (some MB); beyond, a shuffled join.
 BROADCAST_ROWS = 50_000
