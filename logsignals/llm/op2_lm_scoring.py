@@ -36,11 +36,11 @@ from xxhash import xxh3_64_intdigest
 from logsignals.llm.textual import LOWER, SPACE, UPPER, mixed, saved, table, words_of
 
 #: Words with a path of their own, the bytes that such a word has at most, and words of a phrase on average.
-DICTIONARY, LONGEST, PHRASE = 3 << 16, 64, 32
+DICTIONARY, LONGEST, PHRASE = 1 << 17, 64, 32
 #: Contexts of each tree, slots of each context (memory of an executor), slots that travel together, gates, and cells of the refining map.
 CONTEXTS, SLOTS, CHUNK, GATES, CELLS = 3, 1 << 20, 1 << 16, 16, 33
 #: Text bytes of a training task, tasks at least, characters of texts that are read together, and tokens of a step.
-TASK_BYTES, TASKS, GROUP, STEP = 256_000_000, 12, 2_000_000, 8_192
+TASK_BYTES, TASKS, GROUP, STEP = 256_000_000, 12, 1_000_000, 8_192
 RATE, PRIOR = 0.5, np.float32(0.4)
 ESCAPE, END = 0, 1
 _K1, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -75,6 +75,7 @@ class Tree:
         for up, (live, node, bit) in enumerate(steps, 1):
             place = self.offset[live] + self.length[live] - up
             self.node[place], self.bit[place] = node, bit
+        self.both = self.node << 1 | self.bit
 
 
 class Words:
@@ -118,11 +119,12 @@ class Stream:
         size = self.tree.length.take(symbols)
         first = np.cumsum(size, dtype=np.int32) - size
         at = np.arange(int(size.sum()), dtype=np.int32) + np.repeat(self.tree.offset.take(symbols) - first, size)
-        node, bit = self.tree.node.take(at).view(np.uint32), self.tree.bit.take(at)
+        both = self.tree.both.take(at).view(np.uint32)
+        node, bit = both >> np.uint32(1), both & np.uint32(1)
         scaled, out = node * _K1, []
         for c in contexts:
             slot = node & np.uint32(SLOTS - 1) if c is None else ((np.repeat(c, size) + scaled) * _K2) >> np.uint32(32 - SLOTS.bit_length() + 1)
-            out.append((slot.astype(np.int64) << 1) | bit)
+            out.append((slot << np.uint32(1) | bit).astype(np.int64))
         return size, bit, out
 
     def learn(self, symbols: np.ndarray, contexts: list[np.ndarray | None]) -> None:
@@ -138,12 +140,12 @@ class Stream:
                 met.append(_bucket(n[:, 0] + n[:, 1]))
         gate = ((met[0] << 2) | met[1]).astype(np.int64)
         z = self._mixed(gate, x)
-        error = bit - 1 / (1 + np.exp(-z))
+        error = bit.astype(np.float32) - 1 / (1 + np.exp(-z))
         mass = np.maximum(np.bincount(gate, minlength=GATES), 64)
         for k in range(CONTEXTS):
             self.weights[k] += (RATE * np.bincount(gate, error * x[k], GATES) / mass).astype(np.float32)
             np.add.at(self.counts[k], at[k], np.int32(1))
-        self.seen += np.bincount((gate * CELLS + _cell(z)) * 2 + bit, minlength=len(self.seen))
+        self.seen += np.bincount((gate * CELLS + _cell(z)) * 2 + bit.astype(np.int64), minlength=len(self.seen))
 
     def _mixed(self, gate: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
         z = self.weights[0].take(gate) * x[0]
@@ -175,10 +177,8 @@ class Stream:
         z = self._mixed(gate, x)
         p = 1 / (1 + np.exp(np.where(bit, -z, z)))
         if self.refined is not None:
-            p = 0.6 * p + 0.4 * self.refined.take((gate * CELLS + _cell(z)) * 2 + bit)
-        sums = np.concatenate([[0.0], np.cumsum(np.log(p), dtype=np.float64)])
-        ends = np.cumsum(size)
-        return sums[ends] - sums[ends - size]
+            p = 0.6 * p + 0.4 * self.refined.take((gate * CELLS + _cell(z)) * 2 + bit.astype(np.int64))
+        return np.add.reduceat(np.log(p), np.cumsum(size) - size) if len(size) else np.zeros(0)
 
 
 def _bucket(n: np.ndarray) -> np.ndarray:
