@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from logsignals.operators import features as A
 from logsignals.operators import fusion as U
 from logsignals.plans import detector_sql as Q
 from logsignals.sources import views as V
-from logsignals.tables import saved, table
+from logsignals.tables import kept_dealt, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -223,8 +222,7 @@ def countries(logs: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def context(logs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Features once for all detectors. Logs are dealt by batch once and kept while features are taken, which then need no exchange of their own."""
-    parts = int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = logs.repartition(parts, "batch_id").persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = kept_dealt(logs, "batch_id")
     features = saved(A.batch_features(dealt, BAD))
     tests = saved(B.gap_tests(A.gaps(dealt)))
     out = saved(D.with_context(features, tests, saved(D.geo_features(countries(dealt, ranges)))))
