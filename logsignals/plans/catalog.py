@@ -70,7 +70,12 @@ on_planted("p4_port", lambda l: l.select("rec_id", S.port(F.col("endpoint")).ali
 on_planted("p5_latency", lambda l: l.select("rec_id", S.latency_ms(F.col("latency") * 3000).alias("ms")), "SELECT rec_id, greatest(0.0::DOUBLE, least(latency * 3000 / 1000, 10000.0::DOUBLE)) AS ms FROM logs")
 _PROTO = "CASE rec_id % 4 WHEN 0 THEN 'tcp' WHEN 1 THEN ' UDP' WHEN 2 THEN 'icmp' ELSE 'sctp' END"
 add("p6_method", lambda s, d: V.events(s, d).select("rec_id", S.method(F.expr(_PROTO)).alias("method")), "SELECT rec_id, CASE rec_id % 4 WHEN 1 THEN 'POST' WHEN 2 THEN 'OPTIONS' ELSE 'GET' END AS method FROM ev", V.EVENTS)
-on_planted("p7_category", lambda l: l.select("rec_id", S.category(F.concat(F.lit("x "), "attack_category")).alias("category")), "SELECT rec_id, CASE WHEN attack_category IN ('Port Scan', 'Benign') THEN 'Other' ELSE attack_category END AS category FROM logs")
+_RAW = ("BENIGN", "DDoS", "DoS Hulk", "DoS GoldenEye", "DoS slowloris", "PortScan", "FTP-Patator", "SSH-Patator", "Bot", "Web Attack - Brute Force", "Infiltration", "Heartbleed", " Web Attack XSS", "Something")
+_MEANT = ("Benign", "DDoS", "DoS", "DoS", "DoS", "Port Scan", "Brute Force", "Brute Force", "Botnet", "Brute Force", "Infiltration", "Heartbleed", "Web Attack", "Other")
+on_planted(
+    "p7_category", lambda l: l.select("rec_id", S.category(F.element_at(F.array(*map(F.lit, _RAW)), (F.col("rec_id") % len(_RAW) + 1).cast("int"))).alias("category")),
+    f"SELECT rec_id, list_extract({list(_MEANT)}, (rec_id % {len(_RAW)})::INTEGER + 1) AS category FROM logs",
+)
 on_planted("p8_unsw_category", lambda l: l.select("rec_id", S.unsw_category(F.when(F.col("status") == 401, " Backdoors").when(F.col("rec_id") % 2 == 0, "nan").otherwise(F.col("attack_category"))).alias("category")), "SELECT rec_id, CASE WHEN status = 401 THEN 'Backdoor' WHEN rec_id % 2 = 0 THEN 'Benign' ELSE attack_category END AS category FROM logs")
 on_planted("p9_attack_flag", lambda l: l.select("rec_id", (F.upper("attack_category") != "BENIGN").alias("is_attack")), "SELECT rec_id, upper(attack_category) <> 'BENIGN' AS is_attack FROM logs")
 on_planted("p10_numeric", lambda l: l.select("rec_id", S.numeric_component(F.col("endpoint")).alias("number")), r"SELECT rec_id, try_cast(nullif(regexp_extract(endpoint, '[/_\-](\d+)(?:[/?#]|$)', 1), '') AS BIGINT) AS number FROM logs")
