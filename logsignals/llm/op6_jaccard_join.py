@@ -259,7 +259,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
     """One row per document: doc_id, n_shingles, component_id (the smallest id that its links reach, itself included)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("mark"), F.col(text_col).alias("text"))
     rows = saved(jaccard_members(docs, size, percent))
-    smallest = rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    smallest = saved(rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id")))
     out = rows.join(smallest, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -42,7 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; documents without words stay."""
     rows = saved(op6_jaccard_join.jaccard_members(_marked(docs).select("doc_id", F.col("_mark").alias("mark"), "text"), SHINGLE, PERCENT).filter("label IS NOT NULL"))
-    first = rows.groupBy("label").agg(F.min_by("mark", F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("stays"))
+    first = saved(rows.groupBy("label").agg(F.min_by("mark", F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("stays")))
     goes = saved(rows.join(first, "label").filter("mark <> stays").select(F.col("mark").alias("_mark")).distinct())
     kept = _which(docs, goes, "left_anti")
     again = saved(rows.groupBy(F.col("mark").alias("_mark")).agg(F.count("*").alias("n")).filter("n > 1").select("_mark"))
