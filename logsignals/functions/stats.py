@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsignals.tables import saved
+
 
 def zscore_last(df: DataFrame, group: str, order: str, value: str, threshold: float = 3.0) -> DataFrame:
     """The last value against the others (sample deviation, 0 as 1e-9); not significant under four values."""
@@ -65,8 +67,32 @@ def set_similarity(df: DataFrame, group: str, member: str, percent: int = 30) ->
     return shared.filter(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b", F.round(F.col("i") / (F.col("s") - F.col("i")), 4).alias("similarity"))
 
 
-def range_lookup(df: DataFrame, ranges: DataFrame, value: str, bits: int = 16) -> DataFrame:
-    """The range that holds a number, by an equi-join on its leading bits; ranges are split where those change."""
-    cut = ranges.withColumn("_at", F.explode(F.sequence(F.shiftright("lo", bits), F.shiftright("hi", bits))))
-    j = df.withColumn("_at", F.shiftright(value, bits)).join(cut, "_at", "left").filter(F.col(value).between(F.col("lo"), F.col("hi")))
-    return j.drop("_at", "lo", "hi")
+def address_blocks(ranges: DataFrame, bits: int = 32) -> DataFrame:
+    """ranges(lo, hi, ...) cut into aligned blocks: (level, prefix, lo, hi, ...), a block holding the numbers n with n >> level = prefix. A range has two blocks of a level at most."""
+    unit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+    def of_level(k):
+        first, end = F.floor((F.col("lo") + unit(k) - 1) / unit(k)), F.floor((F.col("hi") + 1) / unit(k))  # whole blocks are those from first to before end
+        left, right = F.when((first % 2 == 1) & (first < end), first), F.when((end % 2 == 1) & (end > first), end - 1)
+        return F.filter(F.array(F.struct(k.alias("level"), left.alias("prefix")), F.struct(k.alias("level"), right.alias("prefix"))), lambda b: b["prefix"].isNotNull())
+
+    return ranges.withColumn("_block", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), of_level)))).select("*", "_block.level", "_block.prefix").drop("_block")
+
+
+def range_lookup(df: DataFrame, ranges: DataFrame, value: str, bits: int = 32) -> DataFrame:
+    """Rows of df with the columns of the narrowest range that holds their number (of equal ones the first); rows that no range holds are left out.
+
+    Ranges of any width become a few aligned blocks each, and numbers are looked up by their leading bits, once for each width of block that occurs (33 at most): equi-joins whatever the widths.
+    """
+    told = [c for c in ranges.columns if c not in ("lo", "hi")]
+    blocks = saved(address_blocks(ranges, bits))
+    levels = [r["level"] for r in blocks.select("level").distinct().collect()]  # 33 at most
+    numbers = df.select(F.col(value).alias("_number")).distinct().withColumn("level", F.explode(F.array(*(F.lit(k) for k in levels)).cast("array<int>")))
+    numbers = numbers.withColumn("prefix", F.call_function("shiftright", F.col("_number"), F.col("level")))
+    found = numbers.join(blocks, ["level", "prefix"]).groupBy("_number").agg(F.min_by(F.struct(*told), F.struct(F.col("hi") - F.col("lo"), F.col("lo"), *told)).alias("_range"))
+    return df.join(found, F.col(value) == F.col("_number")).select(*df.columns, *(F.col(f"_range.{c}").alias(c) for c in told))
+
+
+def sketched(df: DataFrame, groups: list[str], values: list[str], lg: int = 14) -> DataFrame:
+    """A11 and A16 at scale: a HyperLogLog sketch of each column's distinct values by group, of bounded size (2^lg counters), which unite over groups: hll_union_agg, then hll_sketch_estimate."""
+    return df.groupBy(*groups).agg(*(F.hll_sketch_agg(c, lg).alias(c) for c in values))

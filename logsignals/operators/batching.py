@@ -27,7 +27,8 @@ def count_windows(logs: DataFrame, size: int = 500, parts: int | None = None) ->
     return ranked(logs, ["ts", "rec_id"], "_rank", parts).withColumn("batch_id", F.floor(F.col("_rank") / size)).drop("_rank")
 
 
-def tenant_windows(logs: DataFrame, size: int = 500) -> DataFrame:
-    """The same for each tenant."""
-    at = F.row_number().over(Window.partitionBy("tenant").orderBy("ts", "rec_id")) - 1
-    return logs.withColumn("batch_id", F.floor(at / size))
+def tenant_windows(logs: DataFrame, size: int = 500, parts: int | None = None) -> DataFrame:
+    """The same for each tenant: the rank in the order of tenants less that of the tenant's first record, so that a large tenant is dealt over many ranges."""
+    n = saved(ranked(logs, ["tenant", "ts", "rec_id"], "_rank", parts))
+    first = n.groupBy("tenant").agg(F.min("_rank").alias("_first"))
+    return n.join(first, n["tenant"].eqNullSafe(first["tenant"])).drop(first["tenant"]).withColumn("batch_id", F.floor((F.col("_rank") - F.col("_first")) / size)).drop("_rank", "_first")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from logsignals.config import BENIGN_RATE_PORTS, SEQUENCE_WARMUP, WARMUP
 from logsignals.functions.scalar import port
-from logsignals.operators.baselines import adaptive_thresholds, counters
+from logsignals.operators.baselines import gap_tests, history
+from logsignals.tables import saved
 
 _SLOW1 = "(saturation >= 0.5 AND pair_count >= 40 AND avg_latency > thr_latency AND pair_port IN (80, 8080, 8000))"
 _SLOW2 = "(slow_count >= 100 AND slow_saturation >= 0.5 AND slow_cap_ratio >= 0.5)"
@@ -93,12 +94,13 @@ def case_sql(agent: str, what: str) -> str:
     return f"CASE {whens} ELSE {'0.0' if what == 'score' else repr('NONE')} END"
 
 
-def with_context(features: DataFrame, gap_tests: DataFrame, geo: DataFrame, home_known: bool = False) -> DataFrame:
-    """Features with thresholds, counters, the busiest pair's port, the test of gaps and the countries of clients."""
-    sent = (F.col("endpoints") >= 3) | F.col("known_bad")
-    out = counters(adaptive_thresholds(features), sent).withColumn("pair_port", F.coalesce(port(F.col("pair_endpoint")), F.lit(0)))
+def with_context(features: DataFrame, geo: DataFrame, home_known: bool = False) -> DataFrame:
+    """Features with thresholds, counters, the busiest pair's port, the test of their gaps and the countries of clients."""
+    known = saved(history(features, (F.col("endpoints") >= 3) | F.col("known_bad")))
+    tests = gap_tests(known.select("tenant", "batch_id", "batch_no", F.inline("gap_list")))
     placed = geo.select("batch_id", F.col("keys").alias("resolved_ips"), "keys", "countries", "foreign_share", "top_foreign_share", "foreign_countries", "diversity", "tor_listed")
-    out = out.join(gap_tests, "batch_id", "left").join(placed, "batch_id", "left").withColumn("home_known", F.lit(home_known)).fillna(1.0, ["ks_p"])
+    out = known.drop("gap_list").withColumn("pair_port", F.coalesce(port(F.col("pair_endpoint")), F.lit(0)))
+    out = out.join(tests, "batch_id", "left").join(placed, "batch_id", "left").withColumn("home_known", F.lit(home_known)).fillna(1.0, ["ks_p"])
     return out.fillna(0, ["resolved_ips", "keys", "countries", "foreign_share", "top_foreign_share", "foreign_countries", "diversity"]).fillna(False, ["tor_listed"])
 
 
@@ -122,15 +124,16 @@ def findings(features: DataFrame, agents: tuple[str, ...] = tuple(RULES), more:
 
 
 def geo_features(geo: DataFrame, home: str | None = None, listed: DataFrame | None = None) -> DataFrame:
-    """A14 to A16 from (batch_id, key, country): coverage, countries, foreign share, diversity; a key without a country is unresolved. listed(key) are TOR or VPN exits (K6)."""
-    g = geo.groupBy("batch_id", "key", "country").agg(F.count("*").alias("n"))
+    """A14 to A16 from (batch_id, key, country): coverage, countries, foreign share, diversity; a key without a country is unresolved. A column n says for how many records a row stands. listed(key) are TOR or VPN exits (K6)."""
+    g = geo.groupBy("batch_id", "key", "country").agg((F.sum("n") if "n" in geo.columns else F.count("*")).alias("n"))
     c = g.filter("country IS NOT NULL").groupBy("batch_id", "country").agg(F.sum("n").alias("n"))
     foreign = (F.col("country") != home) if home else F.lit(True)
     out = c.groupBy("batch_id").agg(
         F.sum("n").alias("resolved"), F.count("*").alias("countries"), (F.coalesce(F.sum(F.when(foreign, F.col("n"))), F.lit(0)) / F.sum("n")).alias("foreign_share"),
         (F.coalesce(F.max(F.when(foreign, F.col("n"))), F.lit(0)) / F.sum("n")).alias("top_foreign_share"), F.count(F.when(foreign, 1)).alias("foreign_countries"),
     )
-    keys = g.groupBy("batch_id").agg(F.countDistinct("key").alias("all_keys"), F.countDistinct(F.when(F.col("country").isNotNull(), F.col("key"))).alias("keys"))
+    each = g.groupBy("batch_id", "key").agg(F.count("country").alias("places"))
+    keys = each.groupBy("batch_id").agg(F.count("key").alias("all_keys"), F.count(F.when(F.col("places") > 0, F.col("key"))).alias("keys"))
     out = keys.join(out, "batch_id", "left").fillna(0, ["resolved", "countries", "foreign_share", "top_foreign_share", "foreign_countries"])
     out = out.withColumns({"coverage": F.col("keys") / F.col("all_keys"), "diversity": F.coalesce(F.try_divide("countries", "keys"), F.lit(0.0))})
     if listed is None:
@@ -145,10 +148,9 @@ def ip_flags(clients: DataFrame, known: DataFrame) -> DataFrame:
     return j.select("ip", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("datacenter", "vpn", "tor")), F.coalesce("asn", F.lit("UNKNOWN")).alias("asn"))
 
 
-def boosted(findings: DataFrame, scores: DataFrame, share: float = 0.05) -> DataFrame:
-    """volume's score is at least twice the depth of an outlier's; outliers are the `share` of batches with the lowest scores(batch_id, iso_score)."""
-    cut = scores.agg(F.percentile("iso_score", share)).first()[0]
-    j = findings.join(scores.filter(F.col("iso_score") <= cut), "batch_id", "left")
+def boosted(findings: DataFrame, scores: DataFrame) -> DataFrame:
+    """volume's score is at least twice the depth of an outlier's: of a batch whose iso_score is within the lowest share of its forest's own batches. scores(batch_id, iso_score, cut)."""
+    j = findings.join(scores.filter(F.col("iso_score") <= F.col("cut")).select("batch_id", "iso_score"), "batch_id", "left")
     up = F.when((F.col("agent") == "volume") & F.col("iso_score").isNotNull(), F.round(F.greatest("score", F.least(F.lit(1.0), -2 * F.col("iso_score"))), 3)).otherwise(F.col("score"))
     fired = F.when(F.col("agent") == "volume", up >= FIRES["volume"]).otherwise(F.col("fired"))
     threat = F.when((F.col("agent") == "volume") & fired & (F.col("threat") == "NONE"), F.lit("DOS")).otherwise(F.col("threat"))

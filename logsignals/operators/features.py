@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsignals.config import EPHEMERAL, SLOW_DOS_PORTS, TENANT_BATCHES
+from logsignals.config import BLOCK, EPHEMERAL, HUMAN_MEAN_MS, SLOW_DOS_PORTS
 from logsignals.functions.scalar import BENIGN_SERVICE_PORTS, INJECTION, injection, numeric_component, port
+from logsignals.tables import saved
 
 
 def _top(value: Column, count: Column, first: Column) -> Column:
@@ -19,9 +20,9 @@ def _top(value: Column, count: Column, first: Column) -> Column:
     return F.max_by(value, F.struct(count, -first))
 
 
-def tenant_of(batch: str) -> Column:
-    """Whose batch it is: numbers of batches run on from tenant to tenant."""
-    return F.floor(F.col(batch) / TENANT_BATCHES)
+def with_tenant(batches: DataFrame, logs: DataFrame) -> DataFrame:
+    """batches with the tenant whose records each holds."""
+    return batches.join(logs.groupBy("batch_id").agg(F.min("tenant").alias("tenant")), "batch_id")
 
 
 def pairs(logs: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def sequential_runs(logs: DataFrame, most_step: int = 2) -> DataFrame:
     return island.groupBy("batch_id", "ip", "island").agg(F.count("*").alias("run")).groupBy("batch_id", "ip").agg(F.max("run").alias("run"))
 
 
-def cusum(logs: DataFrame, target_ms: float = 2000.0, k: float = 0.5) -> DataFrame:
+def cusum(logs: DataFrame, target_ms: float = HUMAN_MEAN_MS, k: float = 0.5) -> DataFrame:
     """Peak of the one-sided cumulative sum for a drop of the gaps, by client of six gaps or more.
 
     S_t = max(0, S_(t-1) + z_t - k) equals P_t - min(0, least P_s up to t) with P the running sum of z - k.
@@ -192,10 +193,20 @@ def periodicity(logs: DataFrame, floor: int = 10) -> DataFrame:
     return a.filter(F.col("gaps") + 1 >= floor).select("batch_id", "ip", "first", "gaps", "median_gap", F.coalesce(conf, F.lit(0.0)).alias("bot_conf"))
 
 
-def sliding_counts(logs: DataFrame, seconds: int = 60) -> DataFrame:
-    """Records of a client within the last minute, its start included."""
-    w = Window.partitionBy("ip").orderBy("us").rangeBetween(-seconds * 1_000_000, 0)
-    return logs.select("rec_id", "ip", F.count("*").over(w).alias("n"), F.sum(F.col("status").isin(401, 403).cast("int")).over(w).alias("failures"))
+def sliding_counts(logs: DataFrame, seconds: int = 60, slices: int = 8) -> DataFrame:
+    """Records of a client within the last minute, its start included.
+
+    Time is cut into slices of `slices` windows. A record within a window of its slice's end also stands before the next slice, so that a window over client and slice has
+    all it needs, and a client with a large share of all records is dealt out by time.
+    """
+    window = seconds * 1_000_000
+    length = slices * window
+    own = F.floor(F.col("us") / length)
+    late = F.col("us") >= (own + 1) * length - window
+    cut = logs.select("rec_id", "ip", "us", F.col("status").isin(401, 403).cast("int").alias("failed"), own.alias("own"), F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("slice"))
+    w = Window.partitionBy("ip", "slice").orderBy("us").rangeBetween(-window, 0)
+    counted = cut.select("rec_id", "ip", "own", "slice", F.count("*").over(w).alias("n"), F.sum("failed").over(w).alias("failures"))
+    return counted.filter("own = slice").select("rec_id", "ip", "n", "failures")
 
 
 def impossible_travel(visits: DataFrame, minutes: float = 20) -> DataFrame:
@@ -226,19 +237,41 @@ def dominant_period(logs: DataFrame, least: int = 8) -> DataFrame:
     return enough.drop("n").groupBy("batch_id", "ip").applyInPandas(period, "batch_id long, ip string, period_ms double")
 
 
-def rate_spikes(logs: DataFrame, threshold: float = 3.5, busiest: int = 5) -> DataFrame:
-    """D8 from T1 and B1: mean |z| of the busiest endpoints whose count departs from that of earlier batches of the tenant (three of them at least; sample deviation)."""
-    rates = top_k(logs, "endpoint").withColumn("tenant", tenant_of("batch_id"))
-    w = Window.partitionBy("tenant", "endpoint").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
-    sd = F.coalesce(F.stddev_samp("n").over(w), F.lit(0.0))
-    z = F.round((F.col("n") - F.avg("n").over(w)) / F.when(sd == 0, 1e-9).otherwise(sd), 3)
-    tested = rates.withColumns({"z": z, "had": F.count("n").over(w)}).filter((F.col("rn") <= busiest) & (F.col("had") >= 3))
+def endpoint_counts(logs: DataFrame) -> DataFrame:
+    """(tenant, batch_id, endpoint, n, first)."""
+    return logs.groupBy("tenant", "batch_id", "endpoint").agg(F.count("*").alias("n"), F.min("rec_id").alias("first"))
+
+
+def rate_spikes(counts: DataFrame, threshold: float = 3.5, busiest: int = 5, kept: int = 10) -> DataFrame:
+    """D8 from T1 and B1: mean |z| of the busiest endpoints whose count departs from that of earlier batches of the tenant in which it was among the `kept` (three of them at least; sample deviation). From endpoint_counts.
+
+    The moments of an endpoint's history are running sums in two levels, so an endpoint that all batches share is dealt out by slices of batches. Counts are whole, and so is n * sum of squares - square of
+    the sum: the deviation is that of the values.
+    """
+    rank = F.row_number().over(Window.partitionBy("batch_id").orderBy(F.desc("n"), "first"))
+    rates = saved(counts.withColumn("rn", rank).filter(F.col("rn") <= kept))
+    before = running_sums(rates, ["tenant", "endpoint"], "batch_id", {"had": F.lit(1), "total": F.col("n"), "squares": F.col("n") * F.col("n")})
+    spread = F.col("had") * F.col("squares") - F.col("total") * F.col("total")
+    sd = F.sqrt(spread / (F.col("had") * (F.col("had") - 1)))
+    z = F.round((F.col("n") - F.col("total") / F.col("had")) / F.when(spread == 0, 1e-9).otherwise(sd), 3)
+    tested = before.filter((F.col("rn") <= busiest) & (F.col("had") >= 3)).withColumn("z", z)
     return tested.filter(F.abs("z") > threshold).groupBy("batch_id").agg(F.avg(F.abs("z")).alias("spike_z"))
 
 
-def entropy_spikes(logs: DataFrame) -> DataFrame:
-    """D25 from T1: how far the client with the largest entropy stands from the others of its batch (three at least)."""
-    e = entropy_profile(logs)
+def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], size: int = BLOCK) -> DataFrame:
+    """df with sums of values over the rows of its key before it (0 at first), in two levels: within slices of `size` numbers of `order`, and over the slices."""
+    cut = df.withColumns({"_slice": F.floor(F.col(order) / size), **values})
+    names = list(values)
+    run = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    slices = cut.groupBy(*keys, "_slice").agg(*(F.sum(c).alias(c) for c in names))
+    slices = slices.select(*keys, "_slice", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in names))
+    inner = cut.withColumns({c: F.coalesce(F.sum(c).over(run), F.lit(0)) for c in names})
+    return inner.join(slices, [*keys, "_slice"]).select(*df.columns, *((F.col(c) + F.col(f"_{c}")).alias(c) for c in names))
+
+
+def entropy_spikes(e: DataFrame) -> DataFrame:
+    """D25 from T1: how far the client with the largest entropy stands from the others of its batch (three at least), from A8."""
     w = Window.partitionBy("batch_id")
     e = e.withColumn("rn", F.row_number().over(w.orderBy(F.desc("entropy"), "first")))
     rest = F.when(F.col("rn") > 1, F.col("entropy"))
@@ -246,21 +279,85 @@ def entropy_spikes(logs: DataFrame) -> DataFrame:
     return a.select("batch_id", F.round((F.col("top") - F.col("mean")) / F.when(F.col("sd") == 0, 1e-9).otherwise(F.col("sd")), 3).alias("entropy_z"))
 
 
+def client_profile(logs: DataFrame) -> DataFrame:
+    """A row for each client of a batch with all that the detectors count: A1, A3 to A8, A10, A12, A13, O1, O2, O6, O8, T4 and T6, in one exchange of the logs.
+
+    Records are dealt by batch and sorted by client and time once. Streaks, runs and CUSUM peaks are running values along that order, so they need no grouping of their own;
+    then one aggregate over (batch, client, endpoint) and one over (batch, client) follow where the rows lie.
+    """
+    keys = ["tenant", "batch_id", "ip"]
+    client = Window.partitionBy("batch_id", "ip")
+    so_far = client.orderBy("sec", "rec_id").rowsBetween(Window.unboundedPreceding, 0)
+    status, number = F.col("status"), numeric_component(F.col("endpoint"))
+    failed = status.isin(401, 403)
+    dealt = logs.select(*keys, "endpoint", "rec_id", "sec", "latency", "status").repartition("batch_id")
+    steps = dealt.withColumns({"gap_ms": (F.col("sec") - F.lag("sec").over(client.orderBy("sec", "rec_id"))) * 1000, "v": F.when(number.between(1, 10000), number), "fails": F.sum(failed.cast("int")).over(so_far)})
+    last = F.last("v", True).over(client.orderBy("sec", "rec_id").rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.col("gap_ms")
+    steps = steps.withColumns({
+        "since": F.max(F.when(status == 200, F.col("fails"))).over(so_far), "nth": F.count("v").over(so_far), "goes_on": F.coalesce(F.abs(F.col("v") - last).between(1, 2), F.lit(False)),
+        "gaps": F.count(gap).over(client), "gap_mean": F.avg(gap).over(client), "gap_std": F.stddev_pop(gap).over(client),
+    })
+    z = (F.lit(HUMAN_MEAN_MS) - gap) / (F.col("gap_std") + 1e-6) - 0.5
+    steps = steps.withColumns({"p": F.sum(z).over(so_far), "begun": F.max(F.when(F.col("v").isNotNull() & ~F.col("goes_on"), F.col("nth"))).over(so_far)})
+    steps = steps.withColumn("s", F.when(gap.isNotNull(), F.col("p") - F.least(F.lit(0.0), F.min("p").over(so_far))))
+    once = lambda c: F.max(c).alias(c)
+    pairs_ = steps.groupBy(*keys, "endpoint").agg(
+        F.count("*").alias("n"), F.min("rec_id").alias("first"), F.sum("latency").alias("lat"), F.count(F.when(F.col("latency") >= 9000, 1)).alias("capped"), F.count(F.when(failed, 1)).alias("failures"), F.count(F.when(status == 200, 1)).alias("successes"),
+        F.count(F.when(F.pmod(F.floor(F.col("sec") / 3600), F.lit(24)) < 6, 1)).alias("off"), F.min("sec").alias("begin"), F.max("sec").alias("end"), F.max(F.col("fails") - F.coalesce("since", F.lit(0))).alias("streak"),
+        F.max(F.when(F.col("v").isNotNull(), F.col("nth") - F.col("begun") + 1)).alias("run"), F.max("s").alias("peak"), once("gaps"), once("gap_mean"), once("gap_std"),
+        F.collect_list(F.when(gap.isNotNull(), F.struct("rec_id", "gap_ms"))).alias("gap_list"),
+    )
+    place = port(F.col("endpoint"))
+    unusual = F.coalesce((place >= 1024) & (place < EPHEMERAL) & ~place.isin(*BENIGN_SERVICE_PORTS), place.isNull())
+    served = F.coalesce(place < EPHEMERAL, F.lit(True))
+    pairs_ = pairs_.withColumns({"ep_total": F.sum("n").over(Window.partitionBy("batch_id", "endpoint")), "slow": F.coalesce(place.isin(*SLOW_DOS_PORTS), F.lit(False))})
+    best = F.struct("endpoint", "n", "ep_total", "lat", "capped", "first")
+    most = F.struct(F.col("n"), -F.col("first"))
+    total = lambda c: F.sum(c).alias(c)
+    return pairs_.groupBy(*keys).agg(
+        total("n"), F.min("first").alias("first"), total("lat"), total("failures"), total("successes"), total("off"), F.min("begin").alias("begin"), F.max("end").alias("end"), once("streak"), once("run"), once("peak"), once("gaps"), once("gap_mean"), once("gap_std"),
+        F.max_by(best, most).alias("pair"), F.max_by(F.when(F.col("slow"), best), F.when(F.col("slow"), most)).alias("slow_pair"), F.flatten(F.collect_list("gap_list")).alias("gap_list"),
+        F.sum(F.when(served, F.col("n"))).alias("requests"), F.sum(F.when(served, F.col("n") * F.log2("n"))).alias("n_log_n"), F.count(F.when(served, 1)).alias("n_distinct"), F.min(F.when(served, F.col("first"))).alias("served_first"),
+        F.coalesce(F.max((place < 1024).cast("int")), F.lit(0)).alias("low_port"), F.count(F.when(unusual, F.col("endpoint"))).alias("unusual"), F.max(F.col("endpoint").startswith("/port_")).alias("any_port"),
+        *(F.sum(injection(F.col("endpoint"), f) * F.col("n")).alias(f) for f in INJECTION),
+    ).withColumns({
+        "entropy": F.when(F.col("requests") >= 5, F.round(F.log2(F.col("requests")) - F.col("n_log_n") / F.col("requests"), 4) + 0.0),
+        "hits": sum((F.col(f) for f in INJECTION), F.lit(0)), "families": sum(((F.col(f) > 0).cast("int") for f in INJECTION), F.lit(0)),
+        "median_gap": F.expr("get(array_sort(gap_list.gap_ms), cast((size(gap_list) - 1) div 2 as int)) / 2 + get(array_sort(gap_list.gap_ms), cast(size(gap_list) div 2 as int)) / 2"),
+    })
+
+
 def batch_features(logs: DataFrame, bad_ips: tuple[str, ...] = ()) -> DataFrame:
-    """One row per batch with what the detectors read. Logs dealt by batch_id need no further exchange: every step is within a batch."""
-    auth = auth_profile(logs).groupBy("batch_id").agg(F.max("failures").alias("top_failures"), F.sum("failures").alias("failures"), F.count(F.when(F.col("stuffing"), 1)).alias("stuffing_ips"), F.count(F.when(F.col("mostly_failing"), 1)).alias("failing_ips"))
-    streak = failure_streaks(logs).groupBy("batch_id").agg(F.max("streak").alias("streak"))
-    inj = injections(logs).groupBy("batch_id").agg(F.sum("hits").alias("hits"), _top(F.col("families"), F.col("hits"), F.col("first")).alias("families"))
-    top = max_entropy(logs)
-    signature = (F.col("low_port") == 1) & (F.col("unusual") >= 20) & (F.col("requests") >= 100)
-    of_top = port_signature(logs).join(top.select("batch_id", F.col("entropy_ip").alias("ip")), ["batch_id", "ip"]).select("batch_id", signature.alias("scan_signature"), "any_port")
-    bots = periodicity(logs).groupBy("batch_id").agg(F.count(F.when((F.col("bot_conf") > 0.85) & (F.col("median_gap") >= 500), 1)).alias("periodic_ips"), F.max(F.when(F.col("median_gap") >= 500, F.col("bot_conf"))).alias("bot_conf"))
-    runs = sequential_runs(logs).groupBy("batch_id").agg(F.count(F.when(F.col("run") >= 10, 1)).alias("sequential_ips"))
-    peaks = cusum(logs).groupBy("batch_id").agg(F.max("peak").alias("cusum_peak"))
-    steps = logs.groupBy("batch_id", "ip").agg(F.count("*").alias("n")).groupBy("batch_id").agg((F.max("n") - 1).alias("most_transitions"))
-    listed = logs.groupBy("batch_id").agg(F.max(F.col("ip").isin(*bad_ips)).alias("known_bad"))
-    out = volume_profile(logs).join(saturation(logs), "batch_id").join(auth, "batch_id").join(inj, "batch_id").join(distinct_endpoints(logs), "batch_id").join(spans(logs), "batch_id").join(truth(logs), "batch_id").join(steps, "batch_id").join(listed, "batch_id")
-    for more in (streak, top, of_top, bots, runs, peaks, rate_spikes(logs), entropy_spikes(logs)):
-        out = out.join(more, "batch_id", "left")
+    """One row per batch with what the detectors read, and gap_list (rec_id, gap_ms, many: of a client with six gaps or more). Clients are summed up where they lie; spikes and truth are small aggregates of their own."""
+    c = client_profile(logs)
+    ratio, rate = F.col("failures") / F.col("n"), F.col("successes") / F.col("n")
+    conf = F.when(F.col("gap_std") == 0, 0.99).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.when(F.col("gap_mean") > 0, F.col("gap_std") / F.col("gap_mean")))), F.lit(0.0)))
+    timed = (F.col("gaps") + 1 >= 10) & (F.col("median_gap") >= 500)
+    by_pair = lambda p: F.max_by(F.struct("ip", F.col(p).alias("p")), F.when(F.col(p).isNotNull(), F.struct(F.col(f"{p}.n"), -F.col(f"{p}.first")))).alias(p)
+    count = lambda on, name: F.count(F.when(on, 1)).alias(name)
+    top_entropy = F.struct("entropy", -F.col("served_first"))
+    others = Window.partitionBy("batch_id").orderBy(F.col("entropy").desc_nulls_last(), "served_first")
+    c = c.withColumns({"rest": F.when(F.row_number().over(others) > 1, F.col("entropy")), "conf": F.when(timed, conf)})
+    a = c.groupBy("tenant", "batch_id").agg(
+        F.sum("n").alias("total"), F.count("*").alias("unique_ips"), _top(F.col("ip"), F.col("n"), F.col("first")).alias("top_ip"), F.max("n").alias("top_count"), F.sum("lat").alias("lat"), by_pair("pair"), by_pair("slow_pair"),
+        F.max("failures").alias("top_failures"), F.sum("failures").alias("failures"), count((F.col("failures") >= 1) & (F.col("n") >= 20) & rate.between(0.01, 0.08), "stuffing_ips"), count((F.col("failures") >= 1) & (ratio >= 0.8) & (F.col("n") >= 5), "failing_ips"),
+        F.sum("hits").alias("hits"), _top(F.col("families"), F.col("hits"), F.col("first")).alias("families"), (F.sum("off") / F.sum("n")).alias("off_hours_ratio"), ((F.max("end") - F.min("begin")) * 1000).alias("span_ms"), (F.max("n") - 1).alias("most_transitions"),
+        F.max(F.col("ip").isin(*bad_ips)).alias("known_bad"), F.max("streak").alias("streak"), F.max("entropy").alias("max_entropy"), F.max_by(F.struct("ip", "n_distinct", "low_port", "unusual", "n", "any_port"), F.when(F.col("entropy").isNotNull(), top_entropy)).alias("e"),
+        count((F.col("conf") > 0.85), "periodic_ips"), F.max("conf").alias("bot_conf"), count(F.col("run") >= 10, "sequential_ips"), F.max(F.when(F.col("gaps") >= 6, F.col("peak"))).alias("cusum_peak"),
+        F.count("entropy").alias("entropies"), F.avg("rest").alias("rest_mean"), F.coalesce(F.stddev_samp("rest"), F.lit(0.0)).alias("rest_std"), F.flatten(F.collect_list(F.transform("gap_list", lambda g: g.withField("many", F.col("gaps") >= 6)))).alias("gap_list"),
+    )
+    part = lambda p, x: F.coalesce(F.col(f"slow_pair.p.{x}") / F.col(f"slow_pair.p.{p}"), F.lit(0.0))
+    out = a.select(
+        "tenant", "batch_id", "total", "unique_ips", "top_ip", "top_count", (F.col("top_count") / F.col("total")).alias("dominant_ratio"), (F.col("lat") / F.col("total")).alias("avg_latency"),
+        F.col("pair.ip").alias("pair_ip"), F.col("pair.p.endpoint").alias("pair_endpoint"), F.col("pair.p.n").alias("pair_count"), (F.col("pair.p.n") / F.col("pair.p.ep_total")).alias("saturation"),
+        F.coalesce("slow_pair.p.n", F.lit(0)).alias("slow_count"), part("ep_total", "n").alias("slow_saturation"), part("n", "lat").alias("slow_latency"), part("n", "capped").alias("slow_cap_ratio"),
+        "top_failures", "failures", "stuffing_ips", "failing_ips", "hits", "families", "off_hours_ratio", "span_ms", "most_transitions", "known_bad", "streak", "max_entropy", F.col("e.ip").alias("entropy_ip"), F.col("e.n_distinct").alias("entropy_distinct"),
+        ((F.col("e.low_port") == 1) & (F.col("e.unusual") >= 20) & (F.col("e.n") >= 100)).alias("scan_signature"), F.col("e.any_port").alias("any_port"), "periodic_ips", "bot_conf", "sequential_ips", "cusum_peak",
+        F.when(F.col("entropies") >= 4, F.round((F.col("max_entropy") - F.col("rest_mean")) / F.when(F.col("rest_std") == 0, 1e-9).otherwise(F.col("rest_std")), 3)).alias("entropy_z"), "gap_list",
+    )
+    counts = saved(endpoint_counts(logs))
+    distinct = counts.groupBy("batch_id").agg(F.count("endpoint").alias("endpoints"))
+    out = out.join(distinct, "batch_id").join(truth(logs), "batch_id").join(rate_spikes(counts), "batch_id", "left")
     zero = ["streak", "max_entropy", "entropy_distinct", "periodic_ips", "bot_conf", "sequential_ips", "cusum_peak", "spike_z", "entropy_z"]
-    return out.fillna(0, zero).fillna(False, ["scan_signature", "any_port"]).withColumn("tenant", tenant_of("batch_id"))
+    return out.fillna(0, zero).fillna(False, ["scan_signature", "any_port"])

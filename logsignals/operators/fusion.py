@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsignals.config import AGENTS
+from logsignals.config import AGENTS, BLOCK
 from logsignals.functions.scalar import THREAT_LABELS, explanation, owasp
-from logsignals.operators.features import tenant_of
 
 #: Pairs of threats that together mean a third (fixed values): needed, meant, boost, least score of each.
 COMPOUND = (
@@ -119,30 +118,48 @@ def read_evidence(rows: DataFrame, key: str | None = None, agent: str | None = N
     return out.groupBy("key").agg(F.max("batch_id").alias("batch_id"), F.max_by("confidence", "batch_id").alias("confidence")) if latest else out
 
 
-def learned_fusion(findings: DataFrame, truth: DataFrame, last: int = 100, least: int = 20) -> DataFrame:
-    """F6 with B10: an agent's weight is its precision over its last batches, by verdicts so far. The one recursive step: a fold by tenant over six rows a batch of at most TENANT_BATCHES."""
-    rows = resolved(findings).join(truth.select("batch_id", "is_true"), "batch_id").select(tenant_of("batch_id").alias("tenant"), "batch_id", "agent", "score", "fired", "is_true")
+def learned_fusion(findings: DataFrame, tenants: DataFrame, last: int = 100, least: int = 20) -> DataFrame:
+    """F6 with B10: an agent's weight is its precision over its last fired batches, by verdicts so far; `least` of them are needed. tenants(tenant, batch_id).
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        past: dict[str, list[bool]] = {a: [] for a in WEIGHTS}
-        out = []
-        for batch, group in frame.sort_values(["batch_id", "agent"]).groupby("batch_id", sort=True):
+    The one recursive step. A tenant's findings come in order, sorted on disk where they are many, and the fold holds no more than `last` flags of each agent from one
+    batch to the next, whatever their number.
+    """
+    rows = resolved(findings).join(tenants.select("tenant", "batch_id"), "batch_id").select("tenant", "batch_id", "agent", "score", "fired")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple | None = None
+        past: dict[str, deque] = {}
+        group: list[tuple[str, float]] = []
+
+        def verdict() -> tuple:
             total = mass = 0.0
-            for agent, score, fired in zip(group["agent"], group["score"], group["fired"]):
-                if fired:
-                    p = past[agent]
-                    w = sum(p) / len(p) if len(p) >= least else 1.0
-                    w = WEIGHTS[agent] if w == 1.0 else w
-                    total, mass = total + w * score, mass + w
+            for agent, score in group:
+                p = past[agent]
+                w = sum(p) / len(p) if len(p) >= least else 1.0
+                w = WEIGHTS[agent] if w == 1.0 else w
+                total, mass = total + w * score, mass + w
             fused = total / mass if mass else 0.0
             attack = bool(mass) and fused >= 0.6
-            for agent, fired in zip(group["agent"], group["fired"]):
+            for agent, _ in group:
+                past[agent].append(attack)
+            return (*held, round(fused, 3), attack)
+
+        for frame in frames:
+            out = []
+            for tenant, batch, agent, score, fired in frame.itertuples(index=False):
+                if held != (tenant, batch):
+                    if held is not None:
+                        out.append(verdict())
+                    if held is None or held[0] != tenant:
+                        past = {a: deque(maxlen=last) for a in WEIGHTS}
+                    held, group = (tenant, batch), []
                 if fired:
-                    past[agent] = (past[agent] + [attack])[-last:]
-            out.append((frame["tenant"].iloc[0], batch, round(fused, 3), attack))
-        return pd.DataFrame(out, columns=["tenant", "batch_id", "fused", "is_attack"])
+                    group.append((agent, score))
+            yield pd.DataFrame(out, columns=["tenant", "batch_id", "fused", "is_attack"])
+        if held is not None:
+            yield pd.DataFrame([verdict()], columns=["tenant", "batch_id", "fused", "is_attack"])
 
-    return rows.groupBy("tenant").applyInPandas(fold, "tenant long, batch_id long, fused double, is_attack boolean")
+    return rows.repartition("tenant").sortWithinPartitions("tenant", "batch_id", "agent").mapInPandas(fold, "tenant string, batch_id long, fused double, is_attack boolean")
 
 
 def scores(verdicts: DataFrame, truth: DataFrame, threshold: float = 0.05, inclusive: bool = False) -> DataFrame:
@@ -206,10 +223,12 @@ def timeline(scored: DataFrame) -> DataFrame:
     return scored.select("batch_id", F.when(p & t, "TP").when(p, "FP").when(t, "FN").otherwise("TN").alias("outcome"), "confidence")
 
 
-def ip_history(logs: DataFrame, verdicts: DataFrame, last: int = 50) -> DataFrame:
-    """K2: every client of a batch gets its verdict; the last ones stay."""
-    h = logs.select("batch_id", "ip").distinct().join(verdicts.select("batch_id", "is_attack", "confidence"), "batch_id")
-    return h.withColumn("rn", F.row_number().over(Window.partitionBy("ip").orderBy(F.desc("batch_id"))).cast("long")).filter(F.col("rn") <= last)
+def ip_history(logs: DataFrame, verdicts: DataFrame, last: int = 50, size: int = BLOCK) -> DataFrame:
+    """K2: every client of a batch gets its verdict; the last ones stay. Each block of batches hands on its own last ones, so a client of all batches is dealt out."""
+    h = logs.select("batch_id", "ip").distinct().join(verdicts.select("batch_id", "is_attack", "confidence"), "batch_id").withColumn("_block", F.floor(F.col("batch_id") / size))
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch_id"))).cast("long")
+    few = h.withColumn("rn", nth("ip", "_block")).filter(F.col("rn") <= last)
+    return few.withColumn("rn", nth("ip")).filter(F.col("rn") <= last).drop("_block")
 
 
 def reputation(history: DataFrame, bad: DataFrame) -> DataFrame:
@@ -234,77 +253,3 @@ def reputation_answer(answers: DataFrame, history: DataFrame, asked: DataFrame)
     )
     summary = F.when(~F.col("known_bad") & (F.col("total") == 0), "No prior activity on record.").otherwise(F.concat_ws(" ", *parts))
     return j.select("ip", "endpoint", "known_bad", F.round("prior", 3).alias("prior_confidence"), summary.alias("history_summary"), owasp(F.col("endpoint")).alias("owasp_context"))
-
-
-def isolation_forest(features: DataFrame, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """ML1: trees are grown each on its own sample by tree id; the forest (trees * sample nodes at most) is broadcast and scores all rows."""
-    spark = features.sparkSession
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    n = features.count()
-    keep = min(1.0, 2.0 * sample / max(n, 1))  # of every row for each tree, by hash; then exactly `sample` of them
-    drawn = features.select(tree, *(F.col(c).cast("double").alias(c) for c in columns), "batch_id").withColumn("h", F.pmod(F.xxhash64("batch_id", "tree", F.lit(seed)), F.lit(1_000_000)))
-    drawn = drawn.filter(F.col("h") < int(keep * 1_000_000) + 1)
-
-    def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        t = int(frame["tree"].iloc[0])
-        x = frame.sort_values(["h", "batch_id"])[columns].to_numpy()[:sample]
-        rng, rows = np.random.default_rng(seed + t), []
-
-        def node(x: np.ndarray, depth: int) -> int:
-            at = len(rows)
-            rows.append(None)
-            wide = np.flatnonzero(np.ptp(x, axis=0) > 0) if len(x) > 1 else []
-            if depth >= 8 or not len(wide):
-                rows[at] = (t, at, -1, 0.0, -1, -1, depth + _average_path(len(x)))
-            else:
-                c = int(rng.choice(wide))
-                cut = float(rng.uniform(x[:, c].min(), x[:, c].max()))
-                left = node(x[x[:, c] < cut], depth + 1)
-                rows[at] = (t, at, c, cut, left, node(x[x[:, c] >= cut], depth + 1), 0.0)
-            return at
-
-        node(x, 0)
-        return pd.DataFrame(rows, columns=["tree", "node", "feature", "cut", "left", "right", "path"])
-
-    forest = drawn.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, left int, right int, path double").toPandas()  # trees * 2 * sample rows at most
-    shared = spark.sparkContext.broadcast({t: g.sort_values("node").to_numpy() for t, g in forest.groupby("tree")})
-    scale = _average_path(min(sample, max(n, 2)))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            x, total = frame[columns].to_numpy(float), np.zeros(len(frame))
-            for g in shared.value.values():
-                at = np.zeros(len(x), int)
-                while (inner := g[at, 2] >= 0).any():
-                    i = np.flatnonzero(inner)
-                    f = g[at[i], 2].astype(int)
-                    at[i] = np.where(x[i, f] < g[at[i], 3], g[at[i], 4], g[at[i], 5]).astype(int)
-                total += g[at, 6]
-            yield pd.DataFrame({"batch_id": frame["batch_id"], "iso_score": -(2 ** (-total / max(len(shared.value), 1) / scale))})
-
-    return features.select("batch_id", *(F.col(c).cast("double").alias(c) for c in columns)).mapInPandas(score, "batch_id long, iso_score double")
-
-
-def _average_path(n: int) -> float:
-    return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
-
-
-def stacker(findings: DataFrame, verdicts: DataFrame, until: int, seed: int = 42) -> DataFrame:
-    """ML2 and F7: boosted trees on agents' scores learn earlier verdicts and blend into later ones; not over a rule verdict with an agent at 0.8."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    wide = findings.groupBy("batch_id").pivot("agent", list(WEIGHTS)).agg(F.max("score")).fillna(0.0)
-    n = findings.groupBy("batch_id").agg(F.sum(F.col("fired").cast("double")).alias("n_active"), F.max(F.when(F.col("fired"), F.col("score"))).alias("primary"))
-    x = wide.join(n, "batch_id").join(verdicts.select("batch_id", "is_attack", "confidence", "threat", F.coalesce("boost", F.lit(0.0)).alias("boost")), "batch_id").withColumn("label", F.col("is_attack").cast("double"))
-    x = VectorAssembler(inputCols=[*WEIGHTS, "n_active", "boost"], outputCol="features").transform(x)
-    early = x.filter(F.col("batch_id") < until)
-    rows, positive = early.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    if rows < 50 or not 0.05 * rows <= positive < rows:
-        return verdicts.select("batch_id", "is_attack", "confidence")
-    model = GBTClassifier(maxIter=50, maxDepth=3, stepSize=0.1, seed=seed).fit(early)
-    p = model.transform(x).withColumn("p", vector_to_array("probability")[1])
-    fixed = (F.col("batch_id") < until) | (F.col("is_attack") & (F.coalesce("primary", F.lit(0.0)) >= 0.8))
-    blended = F.when(fixed, F.col("confidence")).otherwise(0.4 * F.col("confidence") + 0.6 * F.col("p"))
-    return p.select("batch_id", F.when(fixed, F.col("is_attack")).otherwise((blended >= 0.6) & (F.col("threat") != "NONE")).alias("is_attack"), F.round(blended, 3).alias("confidence"))

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsignals.config import EPHEMERAL, TENANT_BATCHES, WARMUP
+from logsignals.config import EPHEMERAL, HUMAN_MEAN_MS, WARMUP
 from logsignals.functions import scalar as S
 from logsignals.functions import stats as T
 from logsignals.operators import batching as W
@@ -16,9 +16,11 @@ from logsignals.operators import baselines as B
 from logsignals.operators import detectors as D
 from logsignals.operators import features as A
 from logsignals.operators import fusion as U
+from logsignals.operators import joins as J
+from logsignals.operators import models as M
 from logsignals.plans import detector_sql as Q
 from logsignals.sources import views as V
-from logsignals.tables import kept_dealt, saved, table
+from logsignals.tables import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,7 +116,7 @@ O3 = "o3 AS (SELECT * FROM (SELECT batch_id, ip, rec_id, endpoint AS a, lead(end
 O5 = "o5 AS (SELECT * FROM (SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, first) AS rn, a, b, n, n / sum(n) OVER (PARTITION BY batch_id)::DOUBLE AS share FROM (SELECT batch_id, a, b, count(*) AS n, min(rec_id) AS first FROM o3 GROUP BY ALL)) WHERE rn <= 20)"
 O6 = r"""o6 AS (SELECT batch_id, ip, max(run) AS run FROM (SELECT batch_id, ip, k, count(*) AS run FROM (SELECT batch_id, ip, sum(CASE WHEN d BETWEEN 1 AND 2 THEN 0 ELSE 1 END) OVER (PARTITION BY batch_id, ip ORDER BY sec, rec_id) AS k FROM (SELECT *, abs(v - lag(v) OVER (PARTITION BY batch_id, ip ORDER BY sec, rec_id)) AS d FROM
  (SELECT batch_id, ip, sec, rec_id, try_cast(nullif(regexp_extract(endpoint, '[/_\-](\d+)(?:[/?#]|$)', 1), '') AS BIGINT) AS v FROM logs) WHERE v BETWEEN 1 AND 10000)) GROUP BY ALL) GROUP BY batch_id, ip)"""
-O8 = "o8 AS (SELECT batch_id, ip, max(p - least(0.0, low)) AS peak FROM (SELECT *, min(p) OVER (PARTITION BY batch_id, ip ORDER BY sec, rec_id) AS low FROM (SELECT *, sum((2000.0 - gap_ms) / (sd + 0.000001) - 0.5) OVER (PARTITION BY batch_id, ip ORDER BY sec, rec_id) AS p FROM (SELECT *, stddev_pop(gap_ms) OVER (PARTITION BY batch_id, ip) AS sd, count(*) OVER (PARTITION BY batch_id, ip) AS c FROM gaps) WHERE c >= 6)) GROUP BY batch_id, ip)"
+O8 = f"o8 AS (SELECT batch_id, ip, max(p - least(0.0, low)) AS peak FROM (SELECT *, min(p) OVER (PARTITION BY batch_id, ip ORDER BY sec, rec_id) AS low FROM (SELECT *, sum(({HUMAN_MEAN_MS} - gap_ms) / (sd + 0.000001) - 0.5) OVER (PARTITION BY batch_id, ip ORDER BY sec, rec_id) AS p FROM (SELECT *, stddev_pop(gap_ms) OVER (PARTITION BY batch_id, ip) AS sd, count(*) OVER (PARTITION BY batch_id, ip) AS c FROM gaps) WHERE c >= 6)) GROUP BY batch_id, ip)"
 T4 = "t4 AS (SELECT batch_id, ip, first, gaps, median_gap, coalesce(CASE WHEN sd = 0 THEN 0.99 ELSE greatest(0.0, least(1.0, 1 - sd / mean)) END, 0.0) AS bot_conf FROM (SELECT batch_id, ip, min(rec_id) AS first, count(*) AS gaps, avg(gap_ms) AS mean, stddev_pop(gap_ms) AS sd, median(gap_ms) AS median_gap FROM gaps GROUP BY ALL) WHERE gaps + 1 >= 10)"
 
 rounded = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
@@ -148,9 +150,15 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("o9_impossible_travel", lambda s, d: A.impossible_travel(visits(s, d), 2880), "SELECT * FROM travel", V.GEO, TRAVEL)
 on_planted("t4_period", A.dominant_period)
 LP = "lp AS (SELECT batch_id, ip, count(*) AS transitions, avg(log2(greatest(coalesce(expected, 0.01), 1e-10))) AS log_prob FROM o3 LEFT JOIN b6 USING (batch_id, a, b) GROUP BY ALL HAVING count(*) >= 4)"
-B6 = "b6 AS (SELECT batch_id, a, b, share, CASE WHEN count(share) OVER w >= 5 THEN avg(share) OVER w END AS expected FROM o5 WINDOW w AS (PARTITION BY a, b ORDER BY batch_id ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING))"
+B6 = "b6 AS (SELECT batch_id, a, b, share, CASE WHEN count(share) OVER w >= 5 THEN avg(share) OVER w END AS expected FROM o5 JOIN (SELECT DISTINCT batch_id, tenant FROM logs) USING (batch_id) WINDOW w AS (PARTITION BY tenant, a, b ORDER BY batch_id ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING))"
+
+
+def pair_baseline(logs: DataFrame) -> DataFrame:
+    return B.transition_baseline(A.with_tenant(A.transition_shares(logs).select("batch_id", "a", "b", "share"), logs).select("tenant", "batch_id", "a", "b", "share"))
+
+
 on_planted(
-    "o7_log_probability", lambda l: A.log_probability(l, B.transition_baseline(A.transition_shares(l).select("batch_id", "a", "b", "share"))).withColumn("log_prob", F.round("log_prob", 6)),
+    "o7_log_probability", lambda l: A.log_probability(l, pair_baseline(l)).withColumn("log_prob", F.round("log_prob", 6)),
     "SELECT batch_id, ip, transitions, round(log_prob, 6) AS log_prob FROM lp", IPS, O3, O5, B6, LP,
 )
 on_planted("t4_t6_periodicity", lambda l: rounded(A.periodicity(l), "bot_conf"), "SELECT * REPLACE (round(bot_conf, 6) AS bot_conf) FROM t4", GAPS, T4)
@@ -170,42 +178,61 @@ on_planted(
 )
 
 # Baselines (B)
+TN = "tn AS (SELECT batch_id, tenant, row_number() OVER (PARTITION BY tenant ORDER BY batch_id) AS batch_no FROM (SELECT DISTINCT batch_id, tenant FROM logs))"
+
+
+def numbers(logs: DataFrame) -> DataFrame:
+    """(tenant, batch_id, batch_no) of all batches."""
+    return B.numbered(logs.groupBy("batch_id").agg(F.min("tenant").alias("tenant"))).select("tenant", "batch_id", "batch_no")
+
+
+def numbered_gaps(logs: DataFrame) -> DataFrame:
+    """Gaps with their tenant and batch_no; many: of a client with six gaps or more."""
+    return A.gaps(logs).withColumn("many", F.count("*").over(Window.partitionBy("batch_id", "ip")) >= 6).join(numbers(logs), "batch_id")
+
+
 on_planted("b1_endpoint_rate", lambda l: rounded(B.running_mean(A.top_k(l, "endpoint"), "endpoint", "n"), "baseline"), "SELECT *, round(avg(n) OVER (PARTITION BY endpoint ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS baseline FROM (SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, first) AS rn, endpoint, n FROM (SELECT batch_id, endpoint, count(*) AS n, min(rec_id) AS first FROM logs GROUP BY ALL)) WHERE rn <= 10")
 on_planted("b2_b3_client_history", lambda l: rounded(B.running_mean(B.running_mean(A.auth_profile(l).select("batch_id", "ip", "total", "failures"), "ip", "failures", "failures_mean"), "ip", "total", "total_mean"), "failures_mean", "total_mean"), "SELECT batch_id, ip, total, failures, round(avg(failures) OVER w, 6) AS failures_mean, round(avg(total) OVER w, 6) AS total_mean FROM a5 WINDOW w AS (PARTITION BY ip ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", A5)
-_T = f"PARTITION BY batch_id // {TENANT_BATCHES} ORDER BY batch_id"
+_T = "PARTITION BY tenant ORDER BY batch_id"
 _W500 = f"OVER ({_T} ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)"
 _STAT = lambda m: f"CASE WHEN count({m}) {_W500} >= 5 THEN avg({m}) {_W500} END AS {m}_mean, CASE WHEN count({m}) {_W500} >= 5 THEN stddev_pop({m}) {_W500} END AS {m}_std"
-on_planted("b4_distribution", lambda l: rounded(B.distribution(A.volume_profile(l).select("batch_id", "top_count", A.tenant_of("batch_id").alias("tenant")), "top_count").drop("tenant"), "top_count_mean", "top_count_std"), f"SELECT batch_id, top_count, round(top_count_mean, 6) AS top_count_mean, round(top_count_std, 6) AS top_count_std FROM (SELECT batch_id, top_count, {_STAT('top_count')} FROM a1)", IPS, A1)
+on_planted(
+    "b4_distribution", lambda l: rounded(B.distribution(A.with_tenant(A.volume_profile(l).select("batch_id", "top_count"), l), "top_count"), "top_count_mean", "top_count_std"),
+    f"SELECT tenant, batch_id, top_count, round(top_count_mean, 6) AS top_count_mean, round(top_count_std, 6) AS top_count_std FROM (SELECT tenant, batch_id, top_count, {_STAT('top_count')} FROM a1 JOIN tn USING (batch_id))", IPS, A1, TN,
+)
 _VAR = lambda m, a, b: f"var_pop({m}) OVER ({_T} ROWS BETWEEN {a} PRECEDING AND {b})"
 _OK = lambda *ms: f"coalesce(count(*) OVER ({_T}) >= 10 AND " + " AND ".join(f"({_VAR(m, 9, '5 PRECEDING')} = 0 OR abs({_VAR(m, 4, 'CURRENT ROW')} - {_VAR(m, 9, '5 PRECEDING')}) <= 0.05 * {_VAR(m, 9, '5 PRECEDING')})" for m in ms) + ", FALSE)"
-on_planted("b5_stable", lambda l: B.stable(A.volume_profile(l).select("batch_id", "unique_ips", A.tenant_of("batch_id").alias("tenant")), ["unique_ips"]).drop("tenant"), f"SELECT batch_id, unique_ips, {_OK('unique_ips')} AS stable FROM a1", IPS, A1)
-on_planted("b6_transition_baseline", lambda l: rounded(B.transition_baseline(A.transition_shares(l).select("batch_id", "a", "b", "share")), "share", "expected"), "SELECT batch_id, a, b, round(share, 6) AS share, round(CASE WHEN count(share) OVER w >= 5 THEN avg(share) OVER w END, 6) AS expected FROM o5 WINDOW w AS (PARTITION BY a, b ORDER BY batch_id ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING)", IPS, O3, O5)
-POOL = f"pool AS (SELECT * FROM (SELECT batch_id // {TENANT_BATCHES} AS tenant, rec_id, gap_ms, row_number() OVER (PARTITION BY batch_id // {TENANT_BATCHES} ORDER BY md5(rec_id::VARCHAR), rec_id) AS rn FROM gaps WHERE gap_ms > 0 AND batch_id % {TENANT_BATCHES} < {WARMUP - 1}) WHERE rn <= 2000)"
-KS = f"""kst AS (SELECT batch_id, ks, CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 21), lambda k: 2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * x * x))))) END AS ks_p
+on_planted("b5_stable", lambda l: B.stability(A.with_tenant(A.volume_profile(l).select("batch_id", "unique_ips"), l), ["unique_ips"]), f"SELECT tenant, batch_id, unique_ips, {_OK('unique_ips')} AS stable FROM a1 JOIN tn USING (batch_id)", IPS, A1, TN)
+on_planted("b6_transition_baseline", lambda l: rounded(pair_baseline(l), "share", "expected"), "SELECT tenant, batch_id, a, b, round(share, 6) AS share, round(CASE WHEN count(share) OVER w >= 5 THEN avg(share) OVER w END, 6) AS expected FROM o5 JOIN tn USING (batch_id) WINDOW w AS (PARTITION BY tenant, a, b ORDER BY batch_id ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING)", IPS, O3, O5, TN)
+_SEGMENT = f"CASE WHEN batch_no > {WARMUP - 1} THEN length(bin((batch_no - 1) // {WARMUP - 1})) ELSE 0 END"
+POOL = f"""tg AS (SELECT tenant, batch_id, {_SEGMENT} AS segment, rec_id, gap_ms, count(*) OVER (PARTITION BY batch_id, ip) >= 6 AS many FROM gaps JOIN tn USING (batch_id)),
+pool AS (SELECT * FROM (SELECT tenant, s.segment, rec_id, gap_ms, row_number() OVER (PARTITION BY tenant, s.segment ORDER BY md5(rec_id::VARCHAR), rec_id) AS rn
+  FROM tg JOIN (SELECT tenant, unnest(range(1, max(segment) + 2)) AS segment FROM tg GROUP BY tenant) s USING (tenant) WHERE gap_ms > 0 AND tg.segment < s.segment) WHERE rn <= 2000)"""
+KS = """kst AS (SELECT batch_id, ks, CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 21), lambda k: 2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * x * x))))) END AS ks_p
   FROM (SELECT batch_id, ks, (sqrt(na * nb / (na + nb)) + 0.12 + 0.11 / sqrt(na * nb / (na + nb))) * ks AS x
     FROM (SELECT batch_id, max(abs(a / na - b / nb)) AS ks, max(na) AS na, max(nb) AS nb
       FROM (SELECT batch_id, sum(own) OVER w AS a, sum(other) OVER w AS b, sum(own) OVER (PARTITION BY batch_id)::DOUBLE AS na, sum(other) OVER (PARTITION BY batch_id)::DOUBLE AS nb
         FROM (SELECT batch_id, gap_ms, sum(own) AS own, sum(other) AS other FROM (
-          SELECT batch_id, gap_ms, 1 AS own, 0 AS other FROM (SELECT *, count(*) OVER (PARTITION BY batch_id, ip) AS c FROM gaps) WHERE c >= 6 AND batch_id % {TENANT_BATCHES} >= {WARMUP - 1}
-          UNION ALL SELECT b.batch_id, p.gap_ms, 0, 1 FROM (SELECT DISTINCT batch_id, batch_id // {TENANT_BATCHES} AS tenant FROM gaps) b JOIN pool p USING (tenant) WHERE tenant IN (SELECT tenant FROM pool GROUP BY tenant HAVING count(*) >= 200)) GROUP BY ALL)
+          SELECT batch_id, gap_ms, 1 AS own, 0 AS other FROM tg WHERE many AND segment > 0
+          UNION ALL SELECT b.batch_id, p.gap_ms, 0, 1 FROM (SELECT DISTINCT tenant, segment, batch_id FROM tg WHERE many AND segment > 0) b JOIN pool p USING (tenant, segment) WHERE (tenant, segment) IN (SELECT (tenant, segment) FROM pool GROUP BY tenant, segment HAVING count(*) >= 200)) GROUP BY ALL)
         WINDOW w AS (PARTITION BY batch_id ORDER BY gap_ms)) WHERE na > 0 AND nb > 0 GROUP BY batch_id)))"""
-on_planted("b7_gap_pool", lambda l: B.gap_pool(A.gaps(l)), "SELECT tenant, rec_id, gap_ms FROM pool", GAPS, POOL)
-on_planted("d13_gap_tests", lambda l: B.gap_tests(A.gaps(l)).withColumn("ks_p", F.round("ks_p", 6)), "SELECT batch_id, round(ks, 9) AS ks, round(ks_p, 6) AS ks_p FROM kst", GAPS, POOL, KS)
-SPIKES = f"""spk AS (SELECT batch_id, avg(abs(z)) AS spike_z FROM (SELECT batch_id, rn, count(n) OVER w AS had, round((n - avg(n) OVER w) / CASE WHEN coalesce(stddev_samp(n) OVER w, 0) = 0 THEN 1e-9 ELSE stddev_samp(n) OVER w END, 3) AS z
-  FROM (SELECT * FROM (SELECT batch_id, endpoint, n, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, first) AS rn FROM (SELECT batch_id, endpoint, count(*) AS n, min(rec_id) AS first FROM logs GROUP BY ALL)) WHERE rn <= 10)
-  WINDOW w AS (PARTITION BY batch_id // {TENANT_BATCHES}, endpoint ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE rn <= 5 AND had >= 3 AND abs(z) > 3.5 GROUP BY batch_id)"""
+on_planted("b7_gap_pool", lambda l: B.gap_pools(numbered_gaps(l)), "SELECT tenant, segment::INTEGER AS segment, rec_id, gap_ms FROM pool", GAPS, TN, POOL)
+on_planted("d13_gap_tests", lambda l: B.gap_tests(numbered_gaps(l)).withColumn("ks_p", F.round("ks_p", 6)), "SELECT batch_id, round(ks, 9) AS ks, round(ks_p, 6) AS ks_p FROM kst", GAPS, TN, POOL, KS)
+SPIKES = """spk AS (SELECT batch_id, avg(abs(z)) AS spike_z FROM (SELECT batch_id, rn, count(n) OVER w AS had, round((n - avg(n) OVER w) / CASE WHEN coalesce(stddev_samp(n) OVER w, 0) = 0 THEN 1e-9 ELSE stddev_samp(n) OVER w END, 3) AS z
+  FROM (SELECT * FROM (SELECT batch_id, endpoint, n, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, first) AS rn FROM (SELECT batch_id, endpoint, count(*) AS n, min(rec_id) AS first FROM logs GROUP BY ALL)) JOIN tn USING (batch_id) WHERE rn <= 10)
+  WINDOW w AS (PARTITION BY tenant, endpoint ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE rn <= 5 AND had >= 3 AND abs(z) > 3.5 GROUP BY batch_id)"""
 ODD = """odd AS (SELECT batch_id, round((top - mean) / CASE WHEN coalesce(sd, 0) = 0 THEN 1e-9 ELSE sd END, 3) AS entropy_z FROM (SELECT batch_id, count(*) AS n, max(entropy) AS top, avg(entropy) FILTER (rn > 1) AS mean, stddev_samp(entropy) FILTER (rn > 1) AS sd
   FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY entropy DESC, first) AS rn FROM a8) GROUP BY batch_id) WHERE n >= 4)"""
-on_planted("d8_rate_spikes", lambda l: A.rate_spikes(l).withColumn("spike_z", F.round("spike_z", 3)), "SELECT batch_id, round(spike_z, 3) AS spike_z FROM spk", SPIKES)
-on_planted("d25_entropy_spikes", lambda l: A.entropy_spikes(l).withColumn("entropy_z", F.round("entropy_z", 2)), "SELECT batch_id, round(entropy_z, 2) AS entropy_z FROM odd", A8, ODD)
+on_planted("d8_rate_spikes", lambda l: A.rate_spikes(A.endpoint_counts(l)).withColumn("spike_z", F.round("spike_z", 3)), "SELECT batch_id, round(spike_z, 3) AS spike_z FROM spk", TN, SPIKES)
+on_planted("d25_entropy_spikes", lambda l: A.entropy_spikes(A.entropy_profile(l)), "SELECT batch_id, entropy_z FROM odd", A8, ODD)
 LAND = "land AS (SELECT 167772160 + s_suppkey AS lo, 167772160 + s_suppkey AS hi, 'C' || s_nationkey AS country FROM supplier)"
 PLACES = f"places AS (SELECT batch_id, ip, country FROM (SELECT batch_id, ip, {_NUM} AS number FROM logs) LEFT JOIN land ON number BETWEEN lo AND hi)"
 GPB = """gpb AS (SELECT k.batch_id, keys AS resolved_ips, keys, coalesce(countries, 0) AS countries, coalesce(foreign_share, 0) AS foreign_share, coalesce(top_foreign_share, 0) AS top_foreign_share, coalesce(countries, 0) AS foreign_countries, coalesce(countries / nullif(keys, 0)::DOUBLE, 0) AS diversity, FALSE AS tor_listed, FALSE AS home_known
   FROM (SELECT batch_id, count(DISTINCT ip) FILTER (country IS NOT NULL) AS keys FROM places GROUP BY batch_id) k
   LEFT JOIN (SELECT batch_id, count(*) AS countries, 1.0::DOUBLE AS foreign_share, max(n) / sum(n)::DOUBLE AS top_foreign_share FROM (SELECT batch_id, country, count(*) AS n FROM places WHERE country IS NOT NULL GROUP BY ALL) GROUP BY batch_id) c USING (batch_id))"""
-FB = f"""fb AS (SELECT a1.*, a3.* EXCLUDE (batch_id), failures, top_failures, stuffing_ips, failing_ips, coalesce(streak, 0) AS streak, hits, families, off_hours_ratio, span_ms, attack_ratio, majority, dominant_attack, endpoints, most_transitions, known_bad, coalesce(scan_signature, FALSE) AS scan_signature, coalesce(any_port, FALSE) AS any_port, coalesce(spike_z, 0.0) AS spike_z, coalesce(entropy_z, 0.0) AS entropy_z,
+FB = f"""fb AS (SELECT a1.*, tenant, batch_no, a3.* EXCLUDE (batch_id), failures, top_failures, stuffing_ips, failing_ips, coalesce(streak, 0) AS streak, hits, families, off_hours_ratio, span_ms, attack_ratio, majority, dominant_attack, endpoints, most_transitions, known_bad, coalesce(scan_signature, FALSE) AS scan_signature, coalesce(any_port, FALSE) AS any_port, coalesce(spike_z, 0.0) AS spike_z, coalesce(entropy_z, 0.0) AS entropy_z,
  coalesce(max_entropy, 0.0) AS max_entropy, coalesce(entropy_distinct, 0) AS entropy_distinct, coalesce(periodic_ips, 0) AS periodic_ips, coalesce(bot_conf, 0.0) AS bot_conf, coalesce(sequential_ips, 0) AS sequential_ips, coalesce(cusum_peak, 0.0) AS cusum_peak
- FROM a1 JOIN a3 USING (batch_id) JOIN (SELECT batch_id, max(failures) AS top_failures, sum(failures) AS failures, count(*) FILTER (stuffing) AS stuffing_ips, count(*) FILTER (mostly_failing) AS failing_ips FROM a5 GROUP BY batch_id) USING (batch_id)
+ FROM a1 JOIN a3 USING (batch_id) JOIN tn USING (batch_id) JOIN (SELECT batch_id, max(failures) AS top_failures, sum(failures) AS failures, count(*) FILTER (stuffing) AS stuffing_ips, count(*) FILTER (mostly_failing) AS failing_ips FROM a5 GROUP BY batch_id) USING (batch_id)
  JOIN (SELECT batch_id, sum(hits) AS hits, arg_max(families, hits * 10000000000 - first) AS families FROM a10 GROUP BY batch_id) USING (batch_id) JOIN (SELECT batch_id, count(DISTINCT endpoint) AS endpoints, bool_or(ip IN {BAD}) AS known_bad FROM logs GROUP BY batch_id) USING (batch_id) JOIN (SELECT batch_id, max(n) - 1 AS most_transitions FROM ips GROUP BY batch_id) USING (batch_id) JOIN a13 USING (batch_id) JOIN a17 USING (batch_id)
  LEFT JOIN (SELECT batch_id, max(streak) AS streak FROM o2 GROUP BY batch_id) USING (batch_id) LEFT JOIN a9 USING (batch_id) LEFT JOIN (SELECT a12.batch_id, low_port = 1 AND unusual >= 20 AND requests >= 100 AS scan_signature, any_port FROM a12 JOIN a9 ON a12.batch_id = a9.batch_id AND a12.ip = a9.entropy_ip) USING (batch_id) LEFT JOIN spk USING (batch_id) LEFT JOIN odd USING (batch_id) LEFT JOIN (SELECT batch_id, count(*) FILTER (bot_conf > 0.85 AND median_gap >= 500) AS periodic_ips, max(bot_conf) FILTER (median_gap >= 500) AS bot_conf FROM t4 GROUP BY batch_id) USING (batch_id)
  LEFT JOIN (SELECT batch_id, count(*) FILTER (run >= 10) AS sequential_ips FROM o6 GROUP BY batch_id) USING (batch_id) LEFT JOIN (SELECT batch_id, max(peak) AS cusum_peak FROM o8 GROUP BY batch_id) USING (batch_id))"""
@@ -213,26 +240,25 @@ STATS = f"st AS (SELECT *, {', '.join(_STAT(m) for m in ('dominant_ratio', 'top_
 _LAST = lambda e, ok, cold: f"coalesce(last_value(CASE WHEN {ok} THEN {e} END IGNORE NULLS) OVER ({_T} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), {cold})"
 CTX = f"""ctx AS (SELECT *, {_LAST('least(0.99, greatest(0.65, dominant_ratio_mean + 2 * dominant_ratio_std))', 'stable', '0.9')} AS thr_dominant, {_LAST('greatest(50.0, top_count_mean + 2 * top_count_std)', 'stable', '450.0')} AS thr_rate, {_LAST('avg_latency_mean + 3 * avg_latency_std', 'stable', '6500.0')} AS thr_latency,
  {_LAST('max_entropy_mean + 2 * max_entropy_std', 'entropy_stable', '2.0')} AS thr_entropy, {_LAST('least(0.99, off_hours_ratio_mean + 2 * off_hours_ratio_std)', 'off_hours_ratio_mean IS NOT NULL', '0.85')} AS thr_off_hours, {_LAST('greatest(2.0, floor(periodic_ips_mean) + 1)', 'periodic_ips_mean IS NOT NULL', '2.0')} AS thr_periodic,
- count(*) OVER ({_T}) AS batch_no, sum((endpoints >= 3 OR known_bad)::INTEGER) OVER ({_T}) AS dispatched, coalesce({PORT.replace('endpoint', 'pair_endpoint')}, 0) AS pair_port, gpb.* EXCLUDE (batch_id), coalesce(ks_p, 1.0) AS ks_p FROM st JOIN gpb USING (batch_id) LEFT JOIN kst USING (batch_id))"""
-ALL = (IPS, A1, PR, A3, A5, A8, A9, A10, A12, A13, CATS, A17, GAPS, O2, O6, O8, T4, SPIKES, ODD, POOL, KS, LAND, PLACES, GPB, FB, STATS, CTX)
+ sum((endpoints >= 3 OR known_bad)::INTEGER) OVER ({_T}) AS dispatched, coalesce({PORT.replace('endpoint', 'pair_endpoint')}, 0) AS pair_port, gpb.* EXCLUDE (batch_id), coalesce(ks_p, 1.0) AS ks_p FROM st JOIN gpb USING (batch_id) LEFT JOIN kst USING (batch_id))"""
+ALL = (TN, IPS, A1, PR, A3, A5, A8, A9, A10, A12, A13, CATS, A17, GAPS, O2, O6, O8, T4, SPIKES, ODD, POOL, KS, LAND, PLACES, GPB, FB, STATS, CTX)
+
+
+def addresses(logs: DataFrame) -> DataFrame:
+    """(ip, number) of all clients."""
+    return saved(logs.select("ip").distinct()).withColumn("number", S.ip_number(F.col("ip")))
 
 
 def countries(logs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(batch_id, key, country) of each client of a batch, by J3 over the distinct clients."""
-    own = logs.groupBy("batch_id", "ip").agg(F.count("*").alias("n"))
-    found_ = T.range_lookup(own.select("ip").distinct().withColumn("number", S.ip_number(F.col("ip"))), ranges, "number", 4).select("ip", "country")
-    placed = own.join(found_, "ip", "left")
-    return placed.select("batch_id", F.col("ip").alias("key"), "country", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
+    """(batch_id, key, country, n) of each client of a batch, by J3 over the distinct clients."""
+    own = saved(logs.groupBy("batch_id", "ip").agg(F.count("*").alias("n")))
+    found_ = T.range_lookup(addresses(own), ranges, "number").select("ip", "country")
+    return own.join(found_, "ip", "left").select("batch_id", F.col("ip").alias("key"), "country", "n")
 
 
 def context(logs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Features once for all detectors. Logs are dealt by batch once and kept while features are taken, which then need no exchange of their own."""
-    dealt = kept_dealt(logs, "batch_id")
-    features = saved(A.batch_features(dealt, BAD))
-    tests = saved(B.gap_tests(A.gaps(dealt)))
-    out = saved(D.with_context(features, tests, saved(D.geo_features(countries(dealt, ranges)))))
-    dealt.unpersist()
-    return out
+    """Features once for all detectors."""
+    return saved(D.with_context(saved(A.batch_features(logs, BAD)), D.geo_features(countries(logs, ranges))))
 
 
 _B8 = ("thr_dominant", "thr_rate", "thr_latency", "thr_off_hours", "thr_periodic", "thr_entropy")
@@ -320,15 +346,33 @@ def judged(logs: DataFrame, ranges: DataFrame, threshold: float = 0.05, inclusiv
     return U.scores(U.fuse(found(logs, ranges)), A.truth(logs), threshold, inclusive)
 
 
-on_planted("f6_b10_learned_fusion", lambda l, r: (lambda logs: U.learned_fusion(found(logs, r), A.truth(logs).withColumn("is_true", F.col("attack_ratio") > 0.05)))(saved(l)))
-on_planted("f7_ml2_stacker", lambda l, r: (lambda f: U.stacker(f, U.fuse(f), 70))(found(l, r)))
-on_planted("d9_ml1_isolation", lambda l: U.isolation_forest(saved(A.volume_profile(l)), ["dominant_ratio", "top_count", "avg_latency"]))
+_W = "[" + ", ".join(f"{U.WEIGHTS[a]}::DOUBLE" for a in sorted(U.WEIGHTS)) + "]"
+_FLAGS = "list_transform(range(1, 7), lambda i: CASE WHEN len(past[i]) >= 20 THEN list_avg(list_transform(past[i], lambda v: v::INTEGER::DOUBLE)) ELSE 1.0 END)"
+LEARNT = f"""ord AS (SELECT tn.tenant, tn.batch_no, tn.batch_id, list(rs.score ORDER BY agent) AS score, list(rs.fired ORDER BY agent) AS fired FROM rs JOIN tn USING (batch_id) GROUP BY ALL),
+fold AS (
+  SELECT tenant, 0::BIGINT AS batch_no, NULL::BIGINT AS batch_id, NULL::DOUBLE AS fused, NULL::BOOLEAN AS is_attack, [[]::BOOLEAN[], [], [], [], [], []] AS past FROM (SELECT DISTINCT tenant FROM ord)
+  UNION ALL
+  SELECT tenant, batch_no, batch_id, fused, mass > 0 AND fused >= 0.6, list_transform(range(1, 7), lambda i: CASE WHEN fired[i] THEN list_append(past[i], mass > 0 AND fused >= 0.6)[-100:] ELSE past[i] END)
+  FROM (SELECT *, CASE WHEN mass > 0 THEN total / mass ELSE 0.0 END AS fused FROM (
+    SELECT *, list_sum(list_transform(range(1, 7), lambda i: CASE WHEN fired[i] THEN w[i] * score[i] ELSE 0.0 END)) AS total, list_sum(list_transform(range(1, 7), lambda i: CASE WHEN fired[i] THEN w[i] ELSE 0.0 END)) AS mass FROM (
+      SELECT o.*, past, list_transform(range(1, 7), lambda i: CASE WHEN p[i] = 1.0 THEN {_W}[i] ELSE p[i] END) AS w FROM (SELECT tenant, batch_no + 1 AS batch_no, past, {_FLAGS} AS p FROM fold) f JOIN ord o USING (tenant, batch_no)))))"""
+on_planted("f6_b10_learned_fusion", lambda l, r: (lambda logs: U.learned_fusion(found(logs, r), numbers(logs)))(saved(l)), "SELECT tenant, batch_id, round(fused, 3) AS fused, is_attack FROM fold WHERE batch_no > 0", *VERDICT, LEARNT)
+ORACLE["f6_b10_learned_fusion"] = ORACLE["f6_b10_learned_fusion"].replace("WITH ", "WITH RECURSIVE ", 1)
+on_planted("f7_ml2_stacker", lambda l, r: (lambda logs: (lambda f: M.stacker(f, U.fuse(f), numbers(logs), tuple(U.WEIGHTS)))(found(logs, r)))(saved(l)))
+
+
+def outliers(logs: DataFrame) -> DataFrame:
+    """ML1 on the volume of batches."""
+    return M.isolation(A.volume_profile(logs).join(numbers(logs), "batch_id"), ["dominant_ratio", "top_count", "avg_latency"])
+
+
+on_planted("d9_ml1_isolation", outliers)
 
 
 def boosted(logs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Findings with volume's score raised for the forest's outliers."""
     logs = saved(logs)
-    return D.boosted(found(logs, ranges), saved(U.isolation_forest(saved(A.volume_profile(logs)), ["dominant_ratio", "top_count", "avg_latency"])))
+    return D.boosted(found(logs, ranges), outliers(logs))
 
 
 on_planted("d9_volume_boosted", lambda l, r: boosted(l, r))
@@ -372,11 +416,46 @@ on_planted(
     "SELECT ip, coalesce(datacenter, FALSE) AS datacenter, coalesce(vpn, FALSE) AS vpn, coalesce(tor, FALSE) AS tor, coalesce(asn, 'UNKNOWN') AS asn FROM (SELECT DISTINCT ip FROM logs) LEFT JOIN (VALUES ('198.51.100.3', FALSE, TRUE, TRUE, 'AS64500'), ('203.0.113.6', TRUE, NULL, FALSE, 'AS64501')) f(ip, datacenter, vpn, tor, asn) USING (ip)",
 )
 add(
-    "j3_s17_country_ranges", lambda s, d: T.range_lookup(V.planted(s, d).select("ip").distinct().withColumn("number", S.ip_number(F.col("ip"))), V.country_ranges(s, d), "number", 4),
+    "j3_s17_country_ranges", lambda s, d: T.range_lookup(addresses(V.planted(s, d)), V.country_ranges(s, d), "number"),
     "SELECT DISTINCT ip, number, country FROM (SELECT ip, " + _NUM + " AS number FROM logs) JOIN land ON number BETWEEN lo AND hi", V.PLANTED, LAND,
 )
+NETS = """nets AS (
+  SELECT 167772160::BIGINT AS lo, 184549375::BIGINT AS hi, 'W' || r_regionkey AS country FROM region WHERE r_regionkey = 0
+  UNION ALL SELECT 167772160, 167837695, 'X' || r_regionkey FROM region WHERE r_regionkey = 1
+  UNION ALL SELECT 167772160 + s_suppkey, 167772160 + s_suppkey + 255, 'Y' || s_nationkey FROM supplier WHERE s_suppkey % 512 = 0
+  UNION ALL SELECT 167772160 + s_suppkey - 3, 167772160 + s_suppkey + 9, 'Z' || s_nationkey FROM supplier WHERE s_suppkey % 20 = 0
+  UNION ALL SELECT 167772160 + s_suppkey, 167772160 + s_suppkey, 'C' || s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)"""
+add(
+    "j3_longest_match", lambda s, d: T.range_lookup(addresses(V.planted(s, d)), V.networks(s, d), "number"),
+    "SELECT ip, number, arg_min(country, (hi - lo) * 10000000000 + lo) AS country FROM (SELECT DISTINCT ip, " + _NUM + " AS number FROM logs) JOIN nets ON number BETWEEN lo AND hi GROUP BY ip, number", V.PLANTED, NETS,
+)
+LATEST = "base AS (SELECT ip, sec - sec % 21600 + 21600 AS hour, round(avg(latency), 6) AS baseline, max(rec_id) AS as_of FROM ev WHERE status = 200 GROUP BY ALL)"
+
+
+def latest_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event, its time to the hour, with the newest closed six hours of its client."""
+    e = V.events(spark, sf_dir)
+    base = e.filter("status = 200").groupBy("ip", (F.col("sec") - F.col("sec") % 21600 + 21600).alias("hour")).agg(F.round(F.avg("latency"), 6).alias("baseline"), F.max("rec_id").alias("as_of"))
+    return J.as_of(e.select("rec_id", "ip", (F.col("sec") - F.col("sec") % 3600).alias("hour")), base, "ip", "hour", "as_of")
+
+
+add("j7_as_of_baseline", latest_baselines, "SELECT rec_id, e.ip, e.hour, baseline, as_of FROM (SELECT rec_id, ip, sec - sec % 3600 AS hour FROM ev) e ASOF LEFT JOIN base ON e.ip = base.ip AND e.hour >= base.hour", V.EVENTS, LATEST)
+add(
+    "j8_around_failures", lambda s, d: (lambda e: J.within(e.filter("status = 401").select(F.col("rec_id").alias("anchor_id"), "ip", "us"), e, "ip", 43_200_000_000, 3_600_000_000))(V.events(s, d)),
+    "SELECT a.rec_id AS anchor_id, r.rec_id, a.us - r.us AS lag FROM ev a JOIN ev r ON a.ip = r.ip AND r.us BETWEEN a.us - 43200000000 AND a.us + 3600000000 WHERE a.status = 401", V.EVENTS,
+)
+
+
+def sketches(logs: DataFrame) -> DataFrame:
+    """A11 and A16 by sketches of batches that are united by tenant: exact counts, and whether the estimates are within 3 %."""
+    united = T.sketched(logs, ["tenant", "batch_id"], ["endpoint", "ip"]).groupBy("tenant").agg(*(F.hll_sketch_estimate(F.hll_union_agg(c)).alias(f"{c}_about") for c in ("endpoint", "ip")))
+    exact = logs.groupBy("tenant").agg(F.countDistinct("endpoint").alias("endpoints"), F.countDistinct("ip").alias("ips"))
+    near = lambda about, n: (F.abs(F.col(about) - F.col(n)) <= F.greatest(F.lit(1.0), 0.03 * F.col(n))).alias(f"{n}_near")
+    return exact.join(united, "tenant").select("tenant", "endpoints", "ips", near("endpoint_about", "endpoints"), near("ip_about", "ips"))
+
+
+on_planted("a11_a16_sketches", sketches, "SELECT tenant, count(DISTINCT endpoint) AS endpoints, count(DISTINCT ip) AS ips, TRUE AS endpoints_near, TRUE AS ips_near FROM logs GROUP BY tenant")
 on_planted("j5_record_verdicts", lambda l, r: (lambda logs: logs.join(U.fuse(found(logs, r)).select("batch_id", "is_attack"), "batch_id").groupBy("attack_category", "is_attack").agg(F.count("*").alias("n")))(saved(l)), "SELECT attack_category, is_attack, count(*) AS n FROM logs JOIN vd USING (batch_id) GROUP BY ALL", *VERDICT)
-on_planted("j7_latest_baseline", lambda l: A.volume_profile(l).select("batch_id", F.last(F.when(F.col("batch_id") % 7 == 0, F.col("top_count")), True).over(Window.partitionBy(A.tenant_of("batch_id")).orderBy("batch_id")).alias("known")), f"SELECT batch_id, last_value(CASE WHEN batch_id % 7 = 0 THEN top_count END IGNORE NULLS) OVER ({_T}) AS known FROM a1", IPS, A1)
 on_planted("x3_x5_sets", lambda l: l.groupBy("batch_id").agg(F.sort_array(F.collect_set("attack_category")).alias("present")).select("batch_id", F.array_except(F.array(F.lit("Benign"), F.lit("DoS"), F.lit("DDoS")), "present").alias("absent"), (F.size(F.array_except(F.array(F.lit("Benign")), "present")) == 0).alias("has_benign")), "SELECT batch_id, list_filter(['Benign', 'DoS', 'DDoS'], lambda x: NOT list_contains(present, x)) AS absent, list_contains(present, 'Benign') AS has_benign FROM (SELECT batch_id, array_agg(DISTINCT attack_category) AS present FROM logs GROUP BY batch_id)")
 
 # Evaluation (E)
@@ -418,7 +497,7 @@ def ablation_modes(logs: DataFrame, ranges: DataFrame) -> DataFrame:
     cold = ctx.withColumns({"thr_dominant": F.lit(0.90), "thr_rate": F.lit(450.0), "thr_latency": F.lit(6500.0), "thr_entropy": F.lit(2.0), "thr_off_hours": F.lit(0.85), "thr_periodic": F.lit(2.0)})
     f = saved(D.findings(ctx))
     rules, adaptive = U.fuse(D.findings(cold)), saved(U.fuse(f))
-    modes = rules.select(F.lit("A").alias("mode"), "batch_id", "is_attack").unionByName(adaptive.select(F.lit("B").alias("mode"), "batch_id", "is_attack")).unionByName(U.stacker(f, adaptive, 70).select(F.lit("C").alias("mode"), "batch_id", "is_attack"))
+    modes = rules.select(F.lit("A").alias("mode"), "batch_id", "is_attack").unionByName(adaptive.select(F.lit("B").alias("mode"), "batch_id", "is_attack")).unionByName(M.stacker(f, adaptive, numbers(logs), tuple(U.WEIGHTS)).select(F.lit("C").alias("mode"), "batch_id", "is_attack"))
     return U.confusion(modes.join(A.truth(logs).select("batch_id", (F.col("attack_ratio") > 0).alias("is_true")), "batch_id"), "mode")
 
 

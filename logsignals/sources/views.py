@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,26 +13,29 @@ from logsignals.tables import table
 WINDOW = 500
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
-#: Columns of the planted view by engine-neutral SQL; {div} is integer division.
+#: Columns of the planted view by engine-neutral SQL; {div} is integer division. b is the batch, i the place in it, m = b % 10 its scenario; in `rush` one client calls a service that is
+#: quiet otherwise, in `crowd` one client is busy beside four bots.
+_FLAGS = {"rush": "b%40=39 AND i>=100 AND i<400", "crowd": "b%40=31 AND i%10 IN (1,2,3,4,6,7)", "bots": "b%40=31 AND i%10 IN (8,9)"}
 _PLANTED = {
+    "tenant": "CASE WHEN (b {div} 10)%3=0 THEN 'south' ELSE 'north' END",
     "ip": """CASE WHEN m=1 AND i%10=0 THEN '203.0.113.1' WHEN m=1 AND i%10=5 THEN '203.0.113.11' WHEN m=2 AND i<150 THEN '203.0.113.2' WHEN m=3 AND i<10 THEN '203.0.113.3'
  WHEN m=4 AND i<475 THEN '203.0.113.4' WHEN m=5 AND i%2=0 THEN '198.51.100.1' WHEN m=5 THEN '198.51.100.'||cast(2+i%13 AS {text}) WHEN m=6 AND i<100 THEN '203.0.113.6' WHEN m=7 AND i<200 THEN '203.0.113.7'
- WHEN m=8 AND i<400 THEN '203.0.113.8' WHEN m=9 AND i<60 THEN '203.0.113.9' ELSE '10.0.'||cast(l_suppkey {div} 256 AS {text})||'.'||cast(l_suppkey%256 AS {text}) END""",
+ WHEN m=8 AND i<400 THEN '203.0.113.8' WHEN m=9 AND i<60 THEN '203.0.113.9' WHEN rush OR crowd THEN '203.0.113.12' WHEN bots THEN '203.0.113.'||cast(5+i%10 AS {text}) ELSE '10.0.'||cast(l_suppkey {div} 256 AS {text})||'.'||cast(l_suppkey%256 AS {text}) END""",
     "endpoint": """CASE WHEN m=3 AND i<10 AND i%2=0 THEN '/search?q=%3Cscript%3Ealert(1)' WHEN m=3 AND i<10 THEN '/item?id=1%27%20or%201' WHEN m=2 AND i<150 OR m=4 AND i<475 OR m=5 THEN '/port_80'
- WHEN m=6 AND i<100 THEN '/port_22' WHEN m=7 AND i<200 THEN '/port_443' WHEN m=8 AND i<400 THEN '/port_'||cast(20+7*i AS {text}) WHEN m=9 AND i<60 THEN '/port_'||cast(100+i AS {text})
+ WHEN m=6 AND i<100 THEN '/port_22' WHEN m=7 AND i<200 THEN '/port_443' WHEN m=8 AND i<400 THEN '/port_'||cast(20+7*i AS {text}) WHEN m=9 AND i<60 THEN '/port_'||cast(100+i AS {text}) WHEN rush OR i>=480 AND (i%5=0 OR b%3=0 AND i%7=0) THEN '/port_9100' WHEN crowd THEN '/port_443'
  ELSE '/port_'||cast((l_partkey*37)%60000 AS {text}) END""",
     "status": "CASE WHEN m=6 AND i<100 THEN 401 WHEN m=7 AND i<200 AND i%33<>0 THEN 401 ELSE 200 END",
     "latency": "CASE WHEN m=2 AND i<150 THEN cast(10000 AS double) WHEN m=4 AND i<475 THEN cast(5 AS double) ELSE cast(round(l_quantity*10,1) AS double) END",
-    "attack_category": """CASE WHEN m=1 AND i%5=0 THEN 'Botnet' WHEN m=2 AND i<150 OR m=4 AND i<475 THEN 'DoS' WHEN m=3 AND i<10 THEN 'Web Attack' WHEN m=5 THEN 'DDoS'
+    "attack_category": """CASE WHEN m=1 AND i%5=0 OR bots THEN 'Botnet' WHEN m=2 AND i<150 OR m=4 AND i<475 OR rush OR crowd THEN 'DoS' WHEN m=3 AND i<10 THEN 'Web Attack' WHEN m=5 THEN 'DDoS'
  WHEN m=6 AND i<100 OR m=7 AND i<200 THEN 'Brute Force' WHEN m=8 AND i<400 OR m=9 AND i<60 THEN 'Port Scan' ELSE 'Benign' END""",
 }
 START = 1704088800  # 2024-01-01 06:00:00 UTC
 
 
 def planted(spark: SparkSession, sf_dir: str, size: int = WINDOW) -> DataFrame:
-    """One scenario of abuse per batch, over lineitem: rec_id, batch_id, sec, ts, ip, endpoint, status, latency, attack_category."""
+    """One scenario of abuse per batch, over lineitem: rec_id, batch_id, sec, ts, tenant, ip, endpoint, status, latency, attack_category. Ten batches in thirty are those of a second tenant."""
     n = ranked(table(spark, sf_dir, "lineitem").select(*ORDER, "l_quantity"), ORDER)
-    rows = n.withColumns({"batch_id": F.expr(f"n div {size}"), "i": F.expr(f"n % {size}"), "m": F.expr(f"(n div {size}) % 10")})
+    rows = n.withColumns({"batch_id": F.expr(f"n div {size}"), "b": F.expr(f"n div {size}"), "i": F.expr(f"n % {size}"), "m": F.expr(f"(n div {size}) % 10")}).withColumns({k: F.expr(e) for k, e in _FLAGS.items()})
     return rows.select(
         F.col("n").alias("rec_id"), "batch_id", (F.lit(START) + 2 * F.col("n")).alias("sec"), F.timestamp_seconds(F.lit(START) + 2 * F.col("n")).alias("ts"),
         *(F.expr(e.format(div="div", text="string")).alias(c) for c, e in _PLANTED.items()),
@@ -38,7 +43,7 @@ def planted(spark: SparkSession, sf_dir: str, size: int = WINDOW) -> DataFrame:
 
 
 PLANTED = f"""logs AS (SELECT n AS rec_id, batch_id, {START} + 2 * n AS sec, {', '.join(e.format(div='//', text='varchar') + ' AS ' + c for c, e in _PLANTED.items())}
-FROM (SELECT *, n // {WINDOW} AS batch_id, n % {WINDOW} AS i, (n // {WINDOW}) % 10 AS m FROM (SELECT *, row_number() OVER (ORDER BY {', '.join(ORDER)}) - 1 AS n FROM lineitem)))"""
+FROM (SELECT *, n // {WINDOW} AS batch_id, n // {WINDOW} AS b, n % {WINDOW} AS i, (n // {WINDOW}) % 10 AS m, {', '.join(f'{e} AS {k}' for k, e in _FLAGS.items())} FROM (SELECT *, row_number() OVER (ORDER BY {', '.join(ORDER)}) - 1 AS n FROM lineitem)))"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +67,15 @@ def country_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(number.alias("lo"), number.alias("hi"), F.concat(F.lit("C"), F.col("s_nationkey").cast("string")).alias("country"))
 
 
+def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping ranges of addresses (lo, hi, country): a /8, a /16 within it, some /24, ranges that aren't aligned, and single addresses."""
+    keys, regions = table(spark, sf_dir, "supplier").withColumn("at", F.lit(10 << 24) + F.col("s_suppkey").cast("long")), table(spark, sf_dir, "region")
+    whole = lambda region, size, name: regions.filter(F.col("r_regionkey") == region).select(F.lit(10 << 24).cast("long").alias("lo"), F.lit((10 << 24) + size - 1).cast("long").alias("hi"), F.concat(F.lit(name), F.col("r_regionkey").cast("string")).alias("country"))
+    some = lambda every, low, high, name: keys.filter(F.col("s_suppkey") % every == 0).select((F.col("at") - low).alias("lo"), (F.col("at") + high).alias("hi"), F.concat(F.lit(name), F.col("s_nationkey").cast("string")).alias("country"))
+    parts = [whole(0, 1 << 24, "W"), whole(1, 1 << 16, "X"), some(512, 0, 255, "Y"), some(20, 3, 9, "Z"), some(3, 0, 0, "C")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that order from many countries: rec_id-free view of session, country, day."""
     line, orders, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))

@@ -7,7 +7,6 @@ import re
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,17 +34,6 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept_dealt(df: DataFrame, key: str) -> DataFrame:
-    """df dealt by key and kept on the executors, in a form that says so: what groups, joins or orders by the key (and more) then needs no exchange. What is lost is dealt anew. The caller unpersists it."""
-    conf, off = df.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
-    before = conf.get(off)
-    conf.set(off, "false")
-    try:
-        return df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key).persist(StorageLevel.MEMORY_AND_DISK)
-    finally:
-        conf.set(off, before)
-
-
 def _drop(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:  # the session has ended before
         return

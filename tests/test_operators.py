@@ -1,14 +1,12 @@
 """Planted records, loops that state the semantics, and properties."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from logsignals.functions import scalar as S
 from logsignals.functions import stats as T
-from logsignals.operators import baselines as B
 from logsignals.operators import batching as W
 from logsignals.operators import detectors as D
 from logsignals.operators import features as A
@@ -24,8 +22,8 @@ def logs(spark, records, batch=40):
     sec, rows = 0, []
     for i, (ip, endpoint, status, step, latency) in enumerate(records):
         sec += step
-        rows.append((i, batch, 43200 + sec, ip, endpoint, status, float(latency), "Benign"))
-    return spark.createDataFrame(rows, "rec_id long, batch_id long, sec long, ip string, endpoint string, status int, latency double, attack_category string")
+        rows.append((i, batch, 43200 + sec, ip, endpoint, status, float(latency), "Benign", "t"))
+    return spark.createDataFrame(rows, "rec_id long, batch_id long, sec long, ip string, endpoint string, status int, latency double, attack_category string, tenant string")
 
 
 def context(spark, records, batch=40, countries=()):
@@ -33,7 +31,7 @@ def context(spark, records, batch=40, countries=()):
     own = logs(spark, records, batch)
     quiet = A.batch_features(logs(spark, NOISE, 0)).drop("batch_id").crossJoin(spark.range(batch).withColumnRenamed("id", "batch_id"))
     placed = own.select("batch_id", F.col("ip").alias("key")).join(spark.createDataFrame(list(countries), "key string, country string"), "key", "left")
-    return D.with_context(A.batch_features(own).unionByName(quiet), B.gap_tests(A.gaps(own)), D.geo_features(placed))
+    return D.with_context(A.batch_features(own).unionByName(quiet), D.geo_features(placed))
 
 
 def found(spark, records, agent, batch=40, countries=()):
@@ -126,8 +124,8 @@ def test_conflicts_raise_silent_agents_in_fusion(spark):
 
 def test_outliers_raise_volume(spark):
     f = spark.createDataFrame([(b, a, 0.1, "NONE", False) for b in range(40) for a in ("volume", "auth")], "batch_id long, agent string, score double, threat string, fired boolean")
-    scores = spark.createDataFrame([(b, -0.7 if b == 3 else -0.4) for b in range(40)], "batch_id long, iso_score double")
-    got = {(r.batch_id, r.agent): r for r in D.boosted(f, scores, 0.02).collect()}
+    scores = spark.createDataFrame([(b, -0.7 if b == 3 else -0.4, -0.6) for b in range(40)], "batch_id long, iso_score double, cut double")
+    got = {(r.batch_id, r.agent): r for r in D.boosted(f, scores).collect()}
     assert len(got) == 80 and got[3, "volume"].fired and got[3, "volume"].threat == "DOS" and got[3, "auth"].score == 0.1 and not got[4, "volume"].fired
 
 
@@ -158,22 +156,27 @@ def test_cusum_equals_the_loop(spark):
     rng = np.random.default_rng(3)
     steps = rng.integers(1, 9, 40).tolist()
     peak = A.cusum(logs(spark, [("a", "/x", 200, s, 1) for s in steps])).first().peak
-    x = np.array(steps[1:]) * 1000.0
+    assert peak == pytest.approx(_cusum(steps[1:], 3355.0), abs=1e-6)
+
+
+def _cusum(steps, target):
+    """The peak by a loop."""
+    x = np.array(steps) * 1000.0
     s = most = 0.0
     for v in x:
-        s = max(0.0, s + (2000.0 - v) / (x.std() + 1e-6) - 0.5)
+        s = max(0.0, s + (target - v) / (x.std() + 1e-6) - 0.5)
         most = max(most, s)
-    assert peak == pytest.approx(most, abs=1e-6)
+    return most
 
 
-def test_sticky_thresholds_equal_the_loop(spark):
-    rows = [(i, bool(i % 4 == 2), float(i)) for i in range(20)]
-    got = [r.t for r in B.sticky(spark.createDataFrame(rows, "batch_id long, stable boolean, v double").withColumn("tenant", F.lit(0)), F.col("v"), -1.0, "t").orderBy("batch_id").collect()]
-    held, want = -1.0, []
-    for _, stable, v in rows:
-        held = v if stable else held
-        want.append(held)
-    assert got == want
+def test_cusum_is_held_against_the_mean_of_human_gaps(spark):
+    human = [200, 800, 1500, 3000, 500, 12000, 250, 7000, 1100, 4500, 300, 600, 9000, 2200, 800, 350, 18000, 1200, 500, 3300]
+    assert sum(human) / len(human) == 3355.0
+    steps = [2, 3, 1, 2, 3, 1, 2, 3, 2, 1, 2, 3] * 2
+    assert _cusum(steps, 2000.0) < 4 <= _cusum(steps, 3355.0)  # an alarm that the round figure would miss
+    own = logs(spark, [("a", "/x", 200, s, 1) for s in [5, *steps]])
+    assert A.cusum(own).first().peak == pytest.approx(_cusum(steps, 3355.0), abs=1e-6)
+    assert A.batch_features(own).first().cusum_peak == pytest.approx(_cusum(steps, 3355.0), abs=1e-6)
 
 
 def test_statistics(spark):
@@ -212,7 +215,7 @@ def test_confusion_adds_up(spark):
 def test_empty_logs(spark):
     empty = logs(spark, NOISE[:1]).limit(0)
     geo = D.geo_features(empty.select("batch_id", F.col("ip").alias("key"), F.lit(None).cast("string").alias("country")))
-    assert A.batch_features(empty).count() == 0 and D.findings(D.with_context(A.batch_features(empty), B.gap_tests(A.gaps(empty)), geo)).count() == 0
+    assert A.batch_features(empty).count() == 0 and D.findings(D.with_context(A.batch_features(empty), geo)).count() == 0
 
 
 def test_log_csv_round_trip(spark, tmp_path):
@@ -256,15 +259,3 @@ def test_range_lookup_plan_has_no_nested_loop(spark):
     out = T.range_lookup(numbers, ranges, "number", 12)
     assert out.count() == numbers.count() and out.filter("country <> number div 1000").isEmpty()
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
-
-
-def test_learned_weights_start_as_the_fixed_ones(spark):
-    f = spark.createDataFrame([(b, a, 0.9, "BRUTE_FORCE", a == "auth") for b in range(5) for a in ("auth", "payload")], "batch_id long, agent string, score double, threat string, fired boolean")
-    t = spark.createDataFrame([(b, True) for b in range(5)], "batch_id long, is_true boolean")
-    assert {r.fused for r in U.learned_fusion(f, t).collect()} == {0.9}
-
-
-def test_isolation_forest_finds_the_odd_batch(spark):
-    x = spark.createDataFrame(pd.DataFrame({"batch_id": range(200), "a": [1.0 + i % 7 / 100 for i in range(199)] + [50.0], "b": [2.0 + i % 5 / 100 for i in range(199)] + [90.0]}))
-    s = U.isolation_forest(x, ["a", "b"], trees=30).orderBy("iso_score").collect()
-    assert s[0].batch_id == 199 and all(-1 <= r.iso_score <= 0 for r in s)
