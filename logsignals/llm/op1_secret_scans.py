@@ -37,8 +37,9 @@ CLASSES = {"entropy_hex": ("^[0-9a-fA-F]+$", 3.05), "entropy_b64": ("", 3.65)}
 WINDOW = 20
 #: Matches whose places are summed up together, and characters counted in one number.
 BLOCK, PACKED = 256, 12
-#: Candidates that are no secrets: without digits or letters, uuids, words joined by signs, runs of one character, and placeholders.
-ALLOWED = ("^[^0-9]+$", "^[^A-Za-z]+$", "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "^(?:[A-Z]?[a-z]+[/_=+-]+)+[A-Za-z]*[0-9]{0,4}$", "(?:0000000000|1234567890|xxxxxxxx|XXXXXXXX)", "(?i:example|placeholder|changeme)")
+#: Candidates that are no secrets: without digits or letters, uuids, words joined by signs (JOINED), runs of one character, and placeholders.
+JOINED = "[A-Z]?[a-z]+[/_=+-]+", "[A-Za-z]*[0-9]{0,4}"
+ALLOWED = ("^[^0-9]+$", "^[^A-Za-z]+$", "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "(?:0000000000|1234567890|xxxxxxxx|XXXXXXXX)", "(?i:example|placeholder|changeme)")
 KINDS = (*BASE, *CLASSES)
 
 
@@ -71,31 +72,40 @@ def _span(kind: Column, entry: Column) -> Column:
     return F.struct(entry["start"].alias("start"), order.alias("order"), (entry["start"] + F.length(entry["match"])).alias("end"), kind.alias("kind"))
 
 
+def allowed(s: Column) -> Column:
+    """Is a candidate no secret? Joined words are taken off from the front one by one, for a pattern that repeats a group needs a frame of the stack for each."""
+    left = F.regexp_replace(s, rf"\G{JOINED[0]}", "")
+    return s.rlike("|".join(ALLOWED)) | ((left != s) & left.rlike(f"^{JOINED[1]}$"))
+
+
 def best_entropy(s: Column) -> Column:
-    """The most bits of a window of WINDOW characters of s, 0 if it is shorter. A step adds what enters and takes what leaves from their own counts and from the sum of c * log2(c)."""
+    """The most bits of a window of WINDOW characters of s, 0 if it is shorter. A step adds what enters and takes what leaves from their own counts and from the sum of c * log2(c); s is cut into numbers once, so a step looks up what it needs."""
     term = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)))
+    number = F.array(*(F.lit(ALPHABET.find(chr(c))) for c in range(128)))
     fields = [f"n{j}" for j in range(-(-len(ALPHABET) // PACKED))]
     start = F.struct(*(F.lit(0).cast("long").alias(f) for f in fields), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
-    def step(a: Column, i: Column) -> Column:
-        code = lambda at: F.instr(F.lit(ALPHABET), F.substring(s, at, F.lit(1))) - 1
-        out, in_ = F.when(i > WINDOW, code(i - WINDOW)).otherwise(F.lit(-1)), code(i)
-        packed = F.array(*(a[f] for f in fields))
-        shift = lambda c: F.pmod(c, F.lit(PACKED)) * 5
-        field = lambda c: F.floor(c / PACKED).cast("int")
-        count = lambda c: F.call_function("shiftright", F.get(packed, field(c)), shift(c)).bitwiseAND(F.lit(31)).cast("int")
+    def over(codes: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            out, in_ = F.when(i > WINDOW, F.get(codes, i - WINDOW - 1)).otherwise(F.lit(-1)), F.get(codes, i - 1)
+            packed = F.array(*(a[f] for f in fields))
+            shift = lambda c: F.pmod(c, F.lit(PACKED)) * 5
+            field = lambda c: F.floor(c / PACKED).cast("int")
+            count = lambda c: F.call_function("shiftright", F.get(packed, field(c)), shift(c)).bitwiseAND(F.lit(31)).cast("int")
+
+            def moved(x: Column) -> Column:
+                less = a["sum"] + F.when(x["out"] >= 0, F.get(term, count(x["out"]) - 1) - F.get(term, count(x["out"]))).otherwise(0.0)
+                d = count(x["in"]) - F.when(x["out"] == x["in"], 1).otherwise(0)
+                total = less + F.get(term, d + 1) - F.get(term, d)
+                one = lambda c, j: F.when((c >= 0) & (field(c) == j), F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))).otherwise(F.lit(0).cast("long"))
+                best = F.when(i >= WINDOW, F.greatest(a["best"], math.log2(WINDOW) - total / WINDOW)).otherwise(a["best"])
+                return F.struct(*((a[f] + one(x["in"], j) - one(x["out"], j)).alias(f) for j, f in enumerate(fields)), total.alias("sum"), best.alias("best"))
 
-        def moved(x: Column) -> Column:
-            less = a["sum"] + F.when(x["out"] >= 0, F.get(term, count(x["out"]) - 1) - F.get(term, count(x["out"]))).otherwise(0.0)
-            d = count(x["in"]) - F.when(x["out"] == x["in"], 1).otherwise(0)
-            total = less + F.get(term, d + 1) - F.get(term, d)
-            one = lambda c, j: F.when((c >= 0) & (field(c) == j), F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))).otherwise(F.lit(0).cast("long"))
-            best = F.when(i >= WINDOW, F.greatest(a["best"], math.log2(WINDOW) - total / WINDOW)).otherwise(a["best"])
-            return F.struct(*((a[f] + one(x["in"], j) - one(x["out"], j)).alias(f) for j, f in enumerate(fields)), total.alias("sum"), best.alias("best"))
+            return let(F.struct(out.alias("out"), in_.alias("in")), moved)
 
-        return let(F.struct(out.alias("out"), in_.alias("in")), moved)
+        return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda a: a["best"])
 
-    return F.when(F.length(s) < WINDOW, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda a: a["best"]))
+    return F.when(F.length(s) < WINDOW, 0.0).otherwise(let(F.transform(F.split(s, ""), lambda c: F.get(number, F.ascii(c))), over))
 
 
 def secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -107,7 +117,6 @@ def secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
         base.append(F.transform(long_enough, lambda e: _span(F.lit(kind), e)))
     kind = lambda s: F.when(s.rlike(CLASSES["entropy_hex"][0]), "entropy_hex").otherwise("entropy_b64")
     least = lambda s: F.when(s.rlike(CLASSES["entropy_hex"][0]), CLASSES["entropy_hex"][1]).otherwise(CLASSES["entropy_b64"][1])
-    allowed = lambda s: s.rlike("|".join(ALLOWED))
     found = _entries(text, CANDIDATE, CANDIDATE, lambda m: ~allowed(m))
     found = F.filter(found, lambda e: let(e["match"], best_entropy) >= least(e["match"]))
     spans = F.transform(found, lambda e: _span(kind(e["match"]), e))
@@ -170,7 +179,7 @@ def _sql() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),{','.join(parts)},
 base AS ({base}),
-ent AS (SELECT rid, s, e, m, regexp_matches(m, '{hexa}') AS hexa, list_max(list_transform(range(1, length(m) - {WINDOW} + 2), lambda i: list_aggregate(string_split(substr(m, i, {WINDOW}), ''), 'entropy'))) AS bits FROM cand WHERE NOT regexp_matches(m, '{"|".join(ALLOWED)}')),
+ent AS (SELECT rid, s, e, m, regexp_matches(m, '{hexa}') AS hexa, list_max(list_transform(range(1, length(m) - {WINDOW} + 2), lambda i: list_aggregate(string_split(substr(m, i, {WINDOW}), ''), 'entropy'))) AS bits FROM cand WHERE NOT regexp_matches(m, '{"|".join(ALLOWED)}|^(?:{JOINED[0]})+{JOINED[1]}$')),
 more AS (SELECT rid, s, CASE WHEN hexa THEN 4 ELSE 5 END AS o, e, CASE WHEN hexa THEN 'entropy_hex' ELSE 'entropy_b64' END AS kind FROM ent
   WHERE bits >= CASE WHEN hexa THEN {bits_hex} ELSE {bits} END AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = ent.rid AND b.s < ent.e AND ent.s < b.e)),
 a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (o > 3) AS n_entropy,
