@@ -7,10 +7,11 @@ what follows, so the code of each prefix is that of a shorter one and one more t
 last token before it (`Bpe`). Truncation ("how much of the text fits in B tokens?") and budget questions are then looked up: no text
 is encoded again. Counts of runs, tables within runs and pairs of tokens are remembered across texts.
 
-Runs in which a cut changes more than the last word (apostrophes, special tokens, characters that change under NFC or change their
-length in lower case) have their table from the library, prefix by prefix, when a question first falls within them.
+A run is cut into pieces where the tokenizer itself begins a new word whatever precedes or follows (`borders`), so the table of a run is that of its pieces, one after
+another. Pieces in which a cut changes more than the last word (shortened words like 'll, special tokens, characters that change under NFC or change their
+length in lower case) have their table from the library, prefix by prefix, a bounded number at once.
 
-Null and empty texts have no runs and 0 tokens; very long texts only have longer tables (linear); repeated rows
+Null and empty texts have no runs and 0 tokens; very long texts only have longer tables (linear, but for a single piece of the odd kind, which takes the square of its own length in time); repeated rows
 are counted each; other columns are ignored; an empty table gives no rows.
 """
 
@@ -21,7 +22,7 @@ import os
 import re
 from collections.abc import Iterator
 from itertools import chain
-from unicodedata import is_normalized
+from unicodedata import category, is_normalized
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,10 @@ WORD, ODD = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), re.compile("['\u03a
 #: The character that stands for each byte in the vocabulary: itself if it is printable, else 256, 257 ... in order.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 CHARACTERS = [chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)]
+#: What the tokenizer takes off a word as one (fixed by it).
+SHORTENED = re.compile("'(?:s|t|re|ve|m|ll|d)", re.IGNORECASE | re.ASCII)
+#: Characters of prefixes that are encoded together.
+TOGETHER = 500_000
 #: Runs that a worker remembers; then it starts anew (memory only).
 REMEMBERED = 400_000
 #: Texts are handled in groups of about so many characters.
@@ -96,6 +101,41 @@ class Bpe:
         return out
 
 
+def _kind(c: str) -> str:
+    """Letter, number or other sign, as the tokenizer sees a character; ? where what stands beside it may change that."""
+    if c.isalpha():
+        low = c.lower()
+        return "L" if len(low) == 1 and low.isalpha() else "?"
+    return "N" if category(c)[0] == "N" else "O" if c.isascii() else "?"
+
+
+def borders(run: str, special: re.Pattern | None = None) -> list[int]:
+    """Places at which the tokenizer begins a new word of a run, whatever follows: those between special tokens, and where such a token ends."""
+    out, start = [], 0
+    for m in special.finditer(run) if special else ():
+        out += [start + p for p in _borders(run[start : m.start()])] + [m.end()]
+        start = m.end()
+    return [p for p in (*out, *(start + p for p in _borders(run[start:]))) if p < len(run)]
+
+
+def _borders(run: str) -> list[int]:
+    """The character at a border is ASCII, so nothing is composed over the place. Numbers stand alone; between letters and signs there is a border, but not behind an apostrophe that begins a shortened word, whose own end is one."""
+    kinds = [_kind(c) for c in run]
+    out, behind = [], -1  # behind: where a shortened word ends
+    for p in range(1, len(run)):
+        a, b = kinds[p - 1], kinds[p]
+        if run[p - 1] == "'" and (p == 1 or kinds[p - 2] in "LN" or p - 1 == behind):
+            m = SHORTENED.match(run, p - 1)
+            behind = m.end() if m else behind
+            cut = b != "O" and not m
+        else:
+            cut = p == behind or "N" in (a, b) or a != b
+        unknown = a == "?" or run[p - 1] == "'" and p > 1 and kinds[p - 2] == "?"
+        if cut and not unknown and run[p].isascii():
+            out.append(p)
+    return out
+
+
 class PrefixCounter:
     """Prefix tables for one tokenizer."""
 
@@ -107,8 +147,12 @@ class PrefixCounter:
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
         self.inner: dict[str, np.ndarray] = {}
+        self.pieces: dict[str, np.ndarray] = {}
         with open(path, encoding="utf-8") as f:
-            self.bpe = Bpe(json.load(f)["model"])
+            spec = json.load(f)
+        self.bpe = Bpe(spec["model"])
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
 
     @classmethod
     def of(cls, path: str) -> PrefixCounter:
@@ -143,19 +187,44 @@ class PrefixCounter:
         if held is None:
             if len(self.inner) > REMEMBERED // 10:
                 self.inner.clear()
-            if ODD.search(run) or not is_normalized("NFC", run) or any(len(c.lower()) > 1 or c.isspace() for c in run):
-                held = np.array([0, *(len(e) for e in self.tokenizer.encode_batch_fast([run[:k] for k in range(1, len(run) + 1)], add_special_tokens=False))])
+            if self._odd(run):
+                cuts = [0, *borders(run, self.special), len(run)]
+                parts = [self._piece(run[a:b]) for a, b in zip(cuts, cuts[1:])]
+                ends = np.cumsum([int(x[-1]) for x in parts])
+                held = np.concatenate([[0], *(x[1:] + e - int(x[-1]) for x, e in zip(parts, ends))])
             else:
-                counts, done = [0], 0
-                for word in WORD.findall(run.lower()):
-                    size = [len(c.encode()) for c in word]
-                    at = self.bpe.prefixes("".join(CHARACTERS[b] for b in word.encode()))
-                    counts += [done + at[k - 1] for k in np.cumsum(size).tolist()]
-                    done = counts[-1]
-                held = np.array(counts)
+                held = self._plain(run)
             self.inner[run] = held
         return held
 
+    @staticmethod
+    def _odd(run: str) -> bool:
+        return bool(ODD.search(run)) or not is_normalized("NFC", run) or any(len(c.lower()) > 1 or c.isspace() for c in run)
+
+    def _plain(self, run: str) -> np.ndarray:
+        counts, done = [0], 0
+        for word in WORD.findall(run.lower()):
+            size = [len(c.encode()) for c in word]
+            at = self.bpe.prefixes("".join(CHARACTERS[b] for b in word.encode()))
+            counts += [done + at[k - 1] for k in np.cumsum(size).tolist()]
+            done = counts[-1]
+        return np.array(counts)
+
+    def _piece(self, piece: str) -> np.ndarray:
+        held = self.pieces.get(piece)
+        if held is None:
+            if self._odd(piece):
+                counts, step = [0], max(1, TOGETHER // len(piece))
+                for low in range(1, len(piece) + 1, step):
+                    counts += [len(e) for e in self.tokenizer.encode_batch_fast([piece[:k] for k in range(low, min(low + step, len(piece) + 1))], add_special_tokens=False)]
+                held = np.array(counts)
+            else:
+                held = self._plain(piece)
+            if len(self.pieces) > REMEMBERED // 10:
+                self.pieces.clear()
+            self.pieces[piece] = held
+        return held
+
     def at(self, text: str, prefix: int, tabled: tuple[np.ndarray, np.ndarray] | None = None) -> int:
         """Tokens of text[:prefix]."""
         ends, counts = tabled or self.table(text)
