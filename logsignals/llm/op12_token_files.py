@@ -179,7 +179,8 @@ def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> Da
                     for low in _cut(reader.sizes[rows]):
                         yield _documents(reader, rows[low[0] : low[1]], base)
 
-    return files.select("file", "base").repartition("file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    spread = max(1, manifest.count())  # a task a file
+    return files.select("file", "base").repartition(spread, "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _cut(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
