@@ -2,7 +2,7 @@
 
 A notice of n characters may have up to k edits; cut into k + 1 seeds, at least one of them stands unchanged in any
 match. Each seed found in a text's normal form (words joined by single spaces) gives a window of its own, and
-the regex library's bounded-error matching verifies it and reports the span and its edits; where a closer match takes a part of a window, the rest is searched again. Base places, where a phrase's words
+the regex library's bounded-error matching verifies it and reports the span and its edits, if the words that tell the license from others (TELLING) stand in it unedited; where a closer match takes a part of a window, the rest is searched again. Base places, where a phrase's words
 stand consecutively, are counted in words apart from that.
 
 Null texts have no words; long texts are searched whole, in time in proportion but for the windows; of matches that overlap the
@@ -27,7 +27,9 @@ from logsignals.llm.textual import by_text, table
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Base phrases (fixed by the contract) and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Short notices that are searched with edits, and their labels.
+#: Words that tell a license from others of like wording, by label: they must stand unedited within a match.
+TELLING = {"mit": ("mit",), "apache-2": ("apache", "2"), "cc-by-nc": ("nc",), "cc-by-sa": ("sa",), "gpl-3": ("gnu", "3"), "gpl-2": ("gnu", "2"), "mpl-2": ("mozilla", "2")}
+#: Short notices that are searched with edits, and their labels. Of a license's telling words those count that a notice has.
 NOTICES = {
     "licensed under the mit license": "mit",
     "released under the mit license": "mit",
@@ -56,7 +58,8 @@ class NoticeFinder:
             k = len(notice) // per_edit
             cuts = [len(notice) * i // (k + 1) for i in range(k + 2)]
             seeds = [(notice[a:b], a) for a, b in zip(cuts, cuts[1:])]
-            self.notices.append((notice, label, k, seeds, regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={k}}}")))
+            telling = [f" {w} " for w in TELLING.get(label, ()) if w in notice.split(" ")]
+            self.notices.append((notice, label, k, telling, seeds, regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={k}}}")))
         self.seeds = {}
         for at, (*_, seeds, _) in enumerate(self.notices):
             for seed, start in seeds:
@@ -71,11 +74,12 @@ class NoticeFinder:
     def spans(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """(label, start, end, edits, similarity) of matches; where some overlap, the one of the best similarity stays."""
         windows: set[tuple[int, int, int]] = set()
+        text = f" {text} "  # every word stands between spaces
         for last, (size, uses) in self.automaton.iter(text):
             for at, start in uses:
                 notice, _, k, *_ = self.notices[at]
                 low = last + 1 - size - start - k
-                windows.add((at, max(0, low), min(len(text), low + len(notice) + 2 * k)))
+                windows.add((at, max(1, low), min(len(text) - 1, low + len(notice) + 2 * k)))
         best = [m for w in windows if (m := self._best(text, *w))]
         heapify(best)
         kept: list[tuple[str, int, int, int, float]] = []
@@ -89,16 +93,23 @@ class NoticeFinder:
             for a, b in self._free(kept, starts, low, high):  # what is left of the window may hold a worse match
                 if m := self._best(text, at, a, b):
                     heappush(best, m)
-        return kept
+        return [(label, start - 1, end - 1, edits, share) for label, start, end, edits, share in kept]
+
+    @staticmethod
+    def _told(text: str, telling: list[str], low: int, high: int) -> bool:
+        """Do all telling words stand between low and high?"""
+        return all(text.find(w, low - 1, high + 1) >= 0 for w in telling)
 
     def _best(self, text: str, at: int, low: int, high: int) -> tuple | None:
         """The closest match of a notice in a window, in the order of spans(), with the window."""
-        notice, label, k, _, pattern = self.notices[at]
-        m = pattern.search(text, low, high) if high - low >= len(notice) - k else None
-        if not m or m.end() == m.start():
-            return None
-        edits = sum(m.fuzzy_counts)
-        return edits / len(notice), m.start() - m.end(), m.start(), label, m.end(), edits, at, low, high
+        notice, label, k, telling, _, pattern = self.notices[at]
+        begin = low
+        while high - begin >= len(notice) - k and self._told(text, telling, begin, high) and (m := pattern.search(text, begin, high)) and m.end() > m.start():
+            if self._told(text, telling, m.start(), m.end()):
+                edits = sum(m.fuzzy_counts)
+                return edits / len(notice), m.start() - m.end(), m.start(), label, m.end(), edits, at, low, high
+            begin = m.start() + 1
+        return None
 
     @staticmethod
     def _free(kept: list[tuple[str, int, int, int, float]], starts: list[int], low: int, high: int) -> Iterator[tuple[int, int]]:
