@@ -6,7 +6,7 @@ level at a time until the longest path ends: a segment that looks variable (digi
 wildcard by its shape; so do the branches of little weight of an open node, one whose branches keep coming as urls do (OPEN of
 them at least are new); and the labelled branches of a node whose share of bad urls isn't
 statistically apart from the node's own are merged into one. A template is rejected if its smoothed
-share of bad urls, drawn towards its host's and that towards the prior, is over a half.
+share of bad urls, drawn towards its host's and that towards the prior, is over a half. The prior is at most a half, so a host of which nothing is known is allowed.
 
 Every level works on the distinct paths that go on, and is written before the next; sums by node are made before they meet, so the joins
 have tables on both sides and Spark can split a hot node.
@@ -92,7 +92,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFr
 
     totals = lambda *keys: tree.groupBy(*keys).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     bad, labelled = totals().select(F.coalesce("b", F.lit(0)), F.coalesce("l", F.lit(0))).first()
-    hosts = totals("host").select("host", ((F.col("b") + WEIGHT * F.lit((bad + 1) / (labelled + 2))) / (F.col("l") + WEIGHT)).alias("of_host"))
+    prior = min(0.5, (bad + 1) / (labelled + 2))
+    hosts = totals("host").select("host", ((F.col("b") + WEIGHT * F.lit(prior)) / (F.col("l") + WEIGHT)).alias("of_host"))
     templates = saved(totals("host", "prefix")).join(saved(hosts), "host").select("host", "prefix", ((F.col("b") + WEIGHT * F.col("of_host")) / (F.col("l") + WEIGHT)).alias("purity"))
     learnt = tree.join(saved(templates), ["host", "prefix"]).select("host", "path", F.col("prefix").alias("template"), "purity")
     verdict = F.coalesce("ruled", F.when(F.col("purity") > 0.5, "block").otherwise("allow"))
@@ -118,7 +119,7 @@ WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?
 r AS (SELECT *, {_rule_sql()} AS rule, {_rule_sql(what=1)} AS ruled FROM u),
 t0 AS MATERIALIZED (SELECT host, path, count(*) AS n, count(ruled) AS labelled, count(CASE WHEN ruled = 'block' THEN 1 END) AS bad, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, '' AS prefix FROM r GROUP BY host, path),{','.join(steps)},
 t AS (SELECT host, path, labelled, bad, prefix FROM t{SQL_LEVELS}),
-pr AS (SELECT (coalesce(sum(bad), 0) + 1)::DOUBLE / (coalesce(sum(labelled), 0) + 2)::DOUBLE AS prior FROM t),
+pr AS (SELECT least(0.5::DOUBLE, (coalesce(sum(bad), 0) + 1)::DOUBLE / (coalesce(sum(labelled), 0) + 2)::DOUBLE) AS prior FROM t),
 h AS (SELECT host, (sum(bad)::DOUBLE + {WEIGHT}::DOUBLE * max(prior)) / (sum(labelled)::DOUBLE + {WEIGHT}::DOUBLE) AS of_host FROM t, pr GROUP BY host),
 p AS (SELECT host, prefix, (sum(bad)::DOUBLE + {WEIGHT}::DOUBLE * max(of_host)) / (sum(labelled)::DOUBLE + {WEIGHT}::DOUBLE) AS purity FROM t JOIN h USING (host) GROUP BY ALL)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, prefix AS template, purity FROM r JOIN t USING (host, path) JOIN p USING (host, prefix)
