@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import pandas as pd
@@ -118,6 +118,27 @@ def read_evidence(rows: DataFrame, key: str | None = None, agent: str | None = N
     return out.groupBy("key").agg(F.max("batch_id").alias("batch_id"), F.max_by("confidence", "batch_id").alias("confidence")) if latest else out
 
 
+class RollingWeights:
+    """What each agent's last `last` fired findings came to, and the weights that follow: their share of attacks once there are `least`, the fixed weight until then (and where all were)."""
+
+    def __init__(self, past: dict[str, Iterable[bool]] | None = None, last: int = 100, least: int = 20) -> None:
+        self.past, self.least = {a: deque((past or {}).get(a, ()), maxlen=last) for a in WEIGHTS}, least
+
+    def verdict(self, fired: list[tuple[str, float]]) -> tuple[float, bool]:
+        """(fused, is_attack) of the (agent, score) that fired for a batch, which then count for the next."""
+        total = mass = 0.0
+        for agent, score in fired:
+            p = self.past[agent]
+            w = sum(p) / len(p) if len(p) >= self.least else 1.0
+            w = WEIGHTS[agent] if w == 1.0 else w
+            total, mass = total + w * score, mass + w
+        fused = total / mass if mass else 0.0
+        attack = bool(mass) and fused >= 0.6
+        for agent, _ in fired:
+            self.past[agent].append(attack)
+        return round(fused, 3), attack
+
+
 def learned_fusion(findings: DataFrame, tenants: DataFrame, last: int = 100, least: int = 20) -> DataFrame:
     """F6 with B10: an agent's weight is its precision over its last fired batches, by verdicts so far; `least` of them are needed. tenants(tenant, batch_id).
 
@@ -128,36 +149,22 @@ def learned_fusion(findings: DataFrame, tenants: DataFrame, last: int = 100, lea
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple | None = None
-        past: dict[str, deque] = {}
-        group: list[tuple[str, float]] = []
-
-        def verdict() -> tuple:
-            total = mass = 0.0
-            for agent, score in group:
-                p = past[agent]
-                w = sum(p) / len(p) if len(p) >= least else 1.0
-                w = WEIGHTS[agent] if w == 1.0 else w
-                total, mass = total + w * score, mass + w
-            fused = total / mass if mass else 0.0
-            attack = bool(mass) and fused >= 0.6
-            for agent, _ in group:
-                past[agent].append(attack)
-            return (*held, round(fused, 3), attack)
+        weights, group = RollingWeights(), []
 
         for frame in frames:
             out = []
             for tenant, batch, agent, score, fired in frame.itertuples(index=False):
                 if held != (tenant, batch):
                     if held is not None:
-                        out.append(verdict())
+                        out.append((*held, *weights.verdict(group)))
                     if held is None or held[0] != tenant:
-                        past = {a: deque(maxlen=last) for a in WEIGHTS}
+                        weights = RollingWeights(None, last, least)
                     held, group = (tenant, batch), []
                 if fired:
                     group.append((agent, score))
             yield pd.DataFrame(out, columns=["tenant", "batch_id", "fused", "is_attack"])
         if held is not None:
-            yield pd.DataFrame([verdict()], columns=["tenant", "batch_id", "fused", "is_attack"])
+            yield pd.DataFrame([(*held, *weights.verdict(group))], columns=["tenant", "batch_id", "fused", "is_attack"])
 
     return rows.repartition("tenant").sortWithinPartitions("tenant", "batch_id", "agent").mapInPandas(fold, "tenant string, batch_id long, fused double, is_attack boolean")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -148,7 +150,11 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("o9_impossible_travel", lambda s, d: A.impossible_travel(visits(s, d), 2880), "SELECT * FROM travel", V.GEO, TRAVEL)
-on_planted("t4_period", A.dominant_period)
+PERIOD = """pg AS (SELECT batch_id, ip, row_number() OVER w - 2 AS i, (sec - lag(sec) OVER w) * 1000.0::DOUBLE AS gap, count(*) OVER (PARTITION BY batch_id, ip) - 1 AS n FROM logs WINDOW w AS (PARTITION BY batch_id, ip ORDER BY sec)),
+ps AS (SELECT * FROM pg WHERE gap IS NOT NULL AND n >= 7),
+pk AS (SELECT batch_id, ip, k, any_value(n) AS n, sqrt(pow(sum(gap * cos(2 * pi() * k * i / n)), 2) + pow(sum(gap * sin(2 * pi() * k * i / n)), 2)) AS height FROM ps JOIN range(1, 251) r(k) ON k <= n // 2 GROUP BY batch_id, ip, k),
+per AS (SELECT batch_id, ip, round(CASE WHEN stddev_pop(gap) < 1e-9 THEN min(gap) ELSE any_value(n) / any_value(peak)::DOUBLE * avg(gap) END, 2) AS period_ms FROM ps JOIN (SELECT batch_id, ip, arg_max(k, round(height, 3) - k * 0.0000001) AS peak FROM pk GROUP BY ALL) USING (batch_id, ip) GROUP BY batch_id, ip)"""
+on_planted("t4_period", A.dominant_period, "SELECT * FROM per", PERIOD)
 LP = "lp AS (SELECT batch_id, ip, count(*) AS transitions, avg(log2(greatest(coalesce(expected, 0.01), 1e-10))) AS log_prob FROM o3 LEFT JOIN b6 USING (batch_id, a, b) GROUP BY ALL HAVING count(*) >= 4)"
 B6 = "b6 AS (SELECT batch_id, a, b, share, CASE WHEN count(share) OVER w >= 5 THEN avg(share) OVER w END AS expected FROM o5 JOIN (SELECT DISTINCT batch_id, tenant FROM logs) USING (batch_id) WINDOW w AS (PARTITION BY tenant, a, b ORDER BY batch_id ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING))"
 
@@ -490,15 +496,24 @@ on_planted("e12_pure_benign_fpr", lambda l, r: judged(l, r).filter("attack_ratio
 on_planted("p19_threat_label", lambda l, r: judged(l, r).select("batch_id", S.threat_label(F.col("predicted")).alias("label")), "SELECT batch_id, CASE predicted " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.THREAT_LABELS.items()) + " ELSE predicted END AS label FROM sc", *EVAL)
 
 
-def ablation_modes(logs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rules alone (cold-start thresholds), adaptive thresholds, and the stacker on top; features are computed once."""
+def ablation_modes(logs: DataFrame, ranges: DataFrame, stacked: bool = True) -> DataFrame:
+    """Rules alone (cold-start thresholds, A), adaptive thresholds (B), and the stacker on top (C); features are computed once."""
     logs = saved(logs)
     ctx = context(logs, ranges)
-    cold = ctx.withColumns({"thr_dominant": F.lit(0.90), "thr_rate": F.lit(450.0), "thr_latency": F.lit(6500.0), "thr_entropy": F.lit(2.0), "thr_off_hours": F.lit(0.85), "thr_periodic": F.lit(2.0)})
+    cold = ctx.withColumns({name: F.lit(value) for name, value in _COLD.items()})
     f = saved(D.findings(ctx))
-    rules, adaptive = U.fuse(D.findings(cold)), saved(U.fuse(f))
-    modes = rules.select(F.lit("A").alias("mode"), "batch_id", "is_attack").unionByName(adaptive.select(F.lit("B").alias("mode"), "batch_id", "is_attack")).unionByName(M.stacker(f, adaptive, numbers(logs), tuple(U.WEIGHTS)).select(F.lit("C").alias("mode"), "batch_id", "is_attack"))
-    return U.confusion(modes.join(A.truth(logs).select("batch_id", (F.col("attack_ratio") > 0).alias("is_true")), "batch_id"), "mode")
+    adaptive = saved(U.fuse(f))
+    modes = {"A": U.fuse(D.findings(cold)), "B": adaptive} | ({"C": M.stacker(f, adaptive, numbers(logs), tuple(U.WEIGHTS))} if stacked else {})
+    parts = [v.select(F.lit(mode).alias("mode"), "batch_id", "is_attack") for mode, v in modes.items()]
+    return U.confusion(reduce(DataFrame.unionByName, parts).join(A.truth(logs).select("batch_id", (F.col("attack_ratio") > 0).alias("is_true")), "batch_id"), "mode")
 
 
+_COLD = {"thr_dominant": 0.90, "thr_rate": 450.0, "thr_latency": 6500.0, "thr_entropy": 2.0, "thr_off_hours": 0.85, "thr_periodic": 2.0}
 on_planted("e9_ablation_modes", lambda l, r: ablation_modes(l, r))
+#: The expressions from the context to the verdict once more, under other names, on thresholds that never adapt.
+_AGAIN = tuple(re.sub(r"\b(ctx|vol|tmp|aut|pay|seq|gpl|fr|fn|cf|cp|cn|rs|vd)\b", r"\1_cold", text) for text in (*Q.EACH, Q.RAW, Q.FINDINGS, CF, CP, CN, RS, VD))
+COLD = "ctx_cold AS (SELECT * REPLACE (" + ", ".join(f"{value}::DOUBLE AS {name}" for name, value in _COLD.items()) + ") FROM ctx)"
+on_planted(
+    "e9_rules_and_adaptive", lambda l, r: ablation_modes(l, r, stacked=False),
+    f"SELECT mode, {CONF} FROM (SELECT mode, {COUNT} FROM (SELECT mode, is_attack, attack_ratio > 0 AS is_true FROM (SELECT 'A' AS mode, batch_id, is_attack FROM vd_cold UNION ALL SELECT 'B', batch_id, is_attack FROM vd) JOIN a17 USING (batch_id)) GROUP BY mode)", *VERDICT, COLD, *_AGAIN,
+)

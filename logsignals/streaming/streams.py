@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from logsignals.operators.fusion import WEIGHTS, RollingWeights
+
 MINUTE_US, ENTRIES = 60_000_000, 500
 
 
@@ -93,6 +95,33 @@ def running_baselines(windows: DataFrame, cold: float, above: float = 2.0) -> Da
     return windows.groupBy("tenant").transformWithStateInPandas(RunningBaseline(cold, above), outputStructType=schema, outputMode="append", timeMode="none")
 
 
+class LearnedWeights(StatefulProcessor):
+    """ST3, F6: a tenant's verdicts by weights learnt from its verdicts so far; the state is what each agent's last fired findings came to."""
+
+    def __init__(self, last: int, least: int) -> None:
+        self.last, self.least = last, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("past", ", ".join(f"{a} array<boolean>" for a in WEIGHTS))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        past = dict(zip(WEIGHTS, self.state.get())) if self.state.exists() else {}
+        weights, out = RollingWeights({a: list(p) for a, p in past.items()}, self.last, self.least), []
+        for batch, own in pd.concat(list(rows)).sort_values(["batch_id", "agent"]).groupby("batch_id", sort=True):
+            fired = own[own["fired"]]
+            out.append((key[0], batch, *weights.verdict(list(zip(fired["agent"], fired["score"])))))
+        self.state.update(tuple([bool(x) for x in p] for p in weights.past.values()))
+        yield pd.DataFrame(out, columns=["tenant", "batch_id", "fused", "is_attack"])
+
+    def close(self) -> None:
+        pass
+
+
+def learned_verdicts(findings: DataFrame, last: int = 100, least: int = 20) -> DataFrame:
+    """ST3 over a stream of (tenant, batch_id, agent, score, threat, fired), all findings of a batch in one micro-batch, batches in order: the same verdicts as learned_fusion's, on findings whose conflicts are resolved."""
+    return findings.groupBy("tenant").transformWithStateInPandas(LearnedWeights(last, least), outputStructType="tenant string, batch_id long, fused double, is_attack boolean", outputMode="append", timeMode="none")
+
+
 def alert_sink(path: str, keys: tuple[str, ...] = ("start", "ip")) -> Callable[[DataFrame, int], None]:
     """ST4 for foreachBatch: alerts whose keys an earlier batch has written are left out, and a repeated batch replaces itself, so an alert is written once even if batches are numbered anew."""
     def write(df: DataFrame, batch: int) -> None:

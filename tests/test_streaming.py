@@ -1,10 +1,14 @@
 """A bounded replay gives what the batch operators give."""
 
+import time
+
+import numpy as np
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from logsignals.operators import baselines as B
+from logsignals.operators import fusion as U
 from logsignals.sources import views
 from logsignals.streaming import streams
 
@@ -65,3 +69,20 @@ def test_alerts_are_written_once(spark, tmp_path):
     write(df, 0)
     write(spark.createDataFrame([(2, "b"), (3, "c")], "start long, ip string"), 1)  # numbered anew after a restart
     assert sorted((r.start, r.ip) for r in spark.read.parquet(str(tmp_path)).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_learned_verdicts_equal_the_batch_form(spark, tmp_path):
+    """Three micro-batches: the state goes on from one to the next."""
+    rng, path = np.random.default_rng(1), str(tmp_path / "findings")
+    schema = "tenant string, batch_id long, agent string, score double, threat string, fired boolean"
+    rows = [("a" if b % 3 else "bb", b, a, float(np.round(0.3 + 0.7 * rng.random(), 3)), "NONE", bool(rng.random() < 0.6)) for b in range(240) for a in U.WEIGHTS]
+    for low in (0, 80, 160):
+        spark.createDataFrame([r for r in rows if low <= r[1] < low + 80], schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = streams.learned_verdicts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), 30, 5)
+    query = stream.writeStream.format("memory").queryName("verdicts").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    got = {(r.tenant, r.batch_id): (r.fused, r.is_attack) for r in spark.table("verdicts").collect()}
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 3
+    want = U.learned_fusion(spark.createDataFrame(rows, schema), spark.createDataFrame(sorted({(r[0], r[1]) for r in rows}), "tenant string, batch_id long"), 30, 5)
+    assert got == {(r.tenant, r.batch_id): (r.fused, r.is_attack) for r in want.collect()} and len(got) == 240
