@@ -25,6 +25,24 @@ def _csv(spark: SparkSession, paths, header: bool = True, encoding: str = "UTF-8
     return (reader.schema(", ".join(f"`{c}` string" for c in columns)) if columns else reader).csv(paths)
 
 
+def _by_file(spark: SparkSession, paths) -> DataFrame:
+    """Files in UTF-8 and files in Latin-1 side by side. All are read as Latin-1, which keeps every byte; a file whose bytes are valid as UTF-8 in all rows is then decoded as that."""
+    raw = _csv(spark, paths, encoding="ISO-8859-1").withColumn("_file", F.col("_metadata.file_path"))
+    names = [c for c in raw.columns if c != "_file"]
+    utf8 = lambda c: F.encode(c, "ISO-8859-1").cast("string")
+    other = raw.groupBy("_file").agg(F.max(~F.is_valid_utf8(utf8(F.concat_ws(" ", *(F.col(f"`{c}`") for c in names))))).alias("_latin"))  # a row a file
+    held = raw.join(F.broadcast(other), "_file")
+    return held.select(*(F.when(F.col("_latin"), F.col(f"`{c}`")).otherwise(utf8(F.col(f"`{c}`"))).alias(_name(c)) for c in names))
+
+
+def _name(header: str) -> str:
+    """A header name that was read as Latin-1."""
+    try:
+        return header.encode("latin-1").decode()
+    except UnicodeError:
+        return header
+
+
 def _records(df: DataFrame, **columns: Column) -> DataFrame:
     """The columns of a log record, with defaults for those not given."""
     default = {"method": F.lit("GET"), "endpoint": F.lit("/unknown"), "status": F.lit(200), "response_size": F.lit(0), "latency": F.lit(0.0), "user_agent": F.lit(""), "label": F.lit("BENIGN"), "attack_category": F.lit("Benign"), "is_attack": F.lit(False), "tenant_home_country": F.lit("")}
@@ -63,10 +81,8 @@ def read_unsw(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_flows(spark: SparkSession, paths, time_format: str = "d/M/yyyy H:m", encoding: str | None = None) -> DataFrame:
-    """Flow files with names that vary; header names are trimmed and resolved by candidates. Without an encoding UTF-8 is taken, and Latin-1 where a character isn't valid in it."""
-    raw = _csv(spark, paths, encoding=encoding or "UTF-8")
-    if encoding is None and (any("\ufffd" in c for c in raw.columns) or not raw.filter(F.concat_ws("", *(F.col(f"`{c}`") for c in raw.columns)).contains("\ufffd")).isEmpty()):
-        raw = _csv(spark, paths, encoding="ISO-8859-1")
+    """Flow files with names that vary; header names are trimmed and resolved by candidates. Without an encoding each file is taken as UTF-8 or, where it isn't valid in that, as Latin-1."""
+    raw = _csv(spark, paths, encoding=encoding) if encoding else _by_file(spark, paths)
     raw = raw.toDF(*(c.strip() for c in raw.columns))
     at = {k: next((c for c in names if c in raw.columns), None) for k, names in CANDIDATES.items()}
     get = lambda k: F.col(at[k]) if at[k] else F.lit(None).cast("string")

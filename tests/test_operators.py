@@ -237,6 +237,11 @@ def test_other_sources(spark, tmp_path):
     f = adapters.read_flows(spark, str(tmp_path / "flows.csv")).collect()
     (tmp_path / "latin.csv").write_text("Timestamp,Source IP,Destination Port,Flow Duration,Total Fwd Packets,Label\n6/7/2017 9:05,1.2.3.4,80,1,3,Web Attack \u00d7 XSS\n", encoding="latin-1")
     assert adapters.read_flows(spark, str(tmp_path / "latin.csv")).first().label == "Web Attack \u00d7 XSS"
+    (tmp_path / "mixed").mkdir()
+    line = "Timestamp,Source IP,Destination Port,Flow Duration,Total Fwd Packets,Label\n6/7/2017 9:05,1.2.3.4,80,1,3,Web Attack {} XSS\n"
+    (tmp_path / "mixed" / "one.csv").write_text(line.format("\u00d7"), encoding="latin-1")
+    (tmp_path / "mixed" / "two.csv").write_text(line.format("\u2013 \u00e9"), encoding="utf-8")
+    assert {r.label for r in adapters.read_flows(spark, str(tmp_path / "mixed")).collect()} == {"Web Attack \u00d7 XSS", "Web Attack \u2013 \u00e9 XSS"}  # a file of the one kind doesn't garble those of the other
     verdicts = spark.createDataFrame([(1, True, "DOS")], "batch_id long, is_attack boolean, threat string")
     adapters.write_verdicts(verdicts, verdicts.limit(0), str(tmp_path / "verdicts"))
     assert adapters.read_verdicts(spark, str(tmp_path / "verdicts"), verdicts.schema).collect() == verdicts.collect()
