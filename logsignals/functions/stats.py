@@ -50,9 +50,10 @@ def set_similarity(df: DataFrame, group: str, member: str, percent: int = 30) ->
     """T5: Jaccard similarity, to four places, of all pairs of groups with at least `percent` hundredths.
 
     Two such sets share a member among the n - ceil(percent * n / 100) + 1 rarest of each, so only groups that meet on one of
-    these are paired (rare members make few pairs), and each pair is verified on its whole sets.
+    these are paired (rare members make few pairs), and only where sizes and places leave enough to share: a member that nearly all groups have comes last in their order and
+    pairs none but the largest overlaps. Each pair is verified on its whole sets.
     """
-    e = df.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
+    e = saved(df.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct())
     ranked = e.join(e.groupBy("m").agg(F.count("*").alias("df")), "m").filter("df > 1")
     sets = e.groupBy("g").agg(F.collect_list("m").alias("items"))
     size = sets.select("g", F.size("items").alias("n"))
@@ -61,7 +62,8 @@ def set_similarity(df: DataFrame, group: str, member: str, percent: int = 30) ->
     prefix = prefix.withColumn("place", order + F.col("left_out")).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     a, b = prefix.alias("a"), prefix.alias("b")
     sized = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    met = a.join(b, (F.col("a.m") == F.col("b.m")) & (F.col("a.g") < F.col("b.g")) & sized).select(F.col("a.g").alias("a"), F.col("b.g").alias("b")).distinct()
+    ahead = 1 + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))  # members that can still be shared from here on; enough of them where a similar pair meets first
+    met = a.join(b, (F.col("a.m") == F.col("b.m")) & (F.col("a.g") < F.col("b.g")) & sized & (ahead * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)).select(F.col("a.g").alias("a"), F.col("b.g").alias("b")).distinct()
     both = met.join(sets.select(F.col("g").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("g").alias("b"), F.col("items").alias("y")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
     return shared.filter(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b", F.round(F.col("i") / (F.col("s") - F.col("i")), 4).alias("similarity"))
