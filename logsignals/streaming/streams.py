@@ -123,14 +123,18 @@ def learned_verdicts(findings: DataFrame, last: int = 100, least: int = 20) -> D
 
 
 def alert_sink(path: str, keys: tuple[str, ...] = ("start", "ip")) -> Callable[[DataFrame, int], None]:
-    """ST4 for foreachBatch: alerts whose keys an earlier batch has written are left out, and a repeated batch replaces itself, so an alert is written once even if batches are numbered anew."""
+    """ST4 for foreachBatch: alerts whose keys an earlier batch has written are left out, and a repeated batch replaces itself, so an alert is written once even if batches are numbered anew.
+
+    Alerts lie by batch and by day of their first key (a time), and of the earlier ones only the days that a batch has are read: what has been written doesn't slow down what comes.
+    """
     def write(df: DataFrame, batch: int) -> None:
-        own, new = f"{path}/batch={batch}", df.dropDuplicates(list(keys))
-        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/*.parquet")
+        new = df.dropDuplicates(list(keys)).withColumn("day", F.floor(F.col(keys[0]).cast("long") / 86_400))
+        days = [r["day"] for r in new.select("day").distinct().collect()]  # those within the watermark
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/day=*")
         if at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
-            held = df.sparkSession.read.parquet(path).filter(F.col("batch") != batch).select(*keys)
+            held = df.sparkSession.read.parquet(path).filter(F.col("day").isin(days) & (F.col("batch") != batch)).select(*keys)
             new = new.join(held, list(keys), "left_anti")
-        new.write.mode("overwrite").parquet(own)
+        new.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
 
     return write
 

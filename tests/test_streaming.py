@@ -69,6 +69,9 @@ def test_alerts_are_written_once(spark, tmp_path):
     write(df, 0)
     write(spark.createDataFrame([(2, "b"), (3, "c")], "start long, ip string"), 1)  # numbered anew after a restart
     assert sorted((r.start, r.ip) for r in spark.read.parquet(str(tmp_path)).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    write(spark.createDataFrame([(200_000, "a"), (1, "a")], "start long, ip string"), 2)
+    write(df.limit(0), 3)
+    assert sorted((r.start, r.ip, r.day) for r in spark.read.parquet(str(tmp_path)).collect()) == [(1, "a", 0), (2, "b", 0), (3, "c", 0), (200_000, "a", 2)]
 
 
 def test_learned_verdicts_equal_the_batch_form(spark, tmp_path):
