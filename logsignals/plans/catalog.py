@@ -368,8 +368,9 @@ on_planted("f7_ml2_stacker", lambda l, r: (lambda logs: (lambda f: M.stacker(f,
 
 
 def outliers(logs: DataFrame) -> DataFrame:
-    """ML1 on the volume of batches."""
-    return M.isolation(A.volume_profile(logs).join(numbers(logs), "batch_id"), ["dominant_ratio", "top_count", "avg_latency"])
+    """ML1 on the volume of batches; null for those before the first forest."""
+    volumes = saved(A.volume_profile(logs).join(numbers(logs), "batch_id"))
+    return volumes.select("batch_id").join(M.isolation(volumes, ["dominant_ratio", "top_count", "avg_latency"]), "batch_id", "left")
 
 
 on_planted("d9_ml1_isolation", outliers)
