@@ -12,7 +12,8 @@ is predicted as a whole by its frequency; the share of phrases that recur is the
 with itself left out once: each count is less by what the token, or the phrase, itself has added. So texts that occur twice stand apart.
 
 1. Words are counted (a table in the shared folder): counts c, total N, distinct V; the dictionary has those above a count, found by a histogram.
-2. Training texts are read once, bit by bit online: predict, move the weights, count. Tasks' slots, of fixed size, are summed.
+2. Training texts are read once, online in steps of STEP tokens: predict, move each gate's weights by the mean gradient of its bits, count. Tasks' slots, of fixed size, are summed, and
+   their weights averaged by what they have seen; the refining map stays as training leaves it.
 3. Every text is scored where it lies; words outside the dictionary fetch c for the base score, phrases fetch their counts, both by a join.
 
 Null texts are the end alone; long texts are scored whole; equal rows count and score each; a null id is in training;
