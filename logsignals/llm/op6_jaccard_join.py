@@ -36,8 +36,8 @@ from logsignals.llm.textual import digest_of, saved, shingles_of, table, words_o
 
 #: Rows up to which the pairs of one signature are formed; the others go through the prefix filter. Either way is exact.
 CROWDED = 16
-#: Documents whose shingles are wanted, up to which they are broadcast as a filter (some 50 MB); beyond, a shuffled join.
-BROADCAST_IDS = 1_000_000
+#: Rows whose shingles are wanted, up to which they are broadcast as a filter (some 50 MB); beyond, a shuffled join.
+BROADCAST_MARKS = 1_000_000
 LEAST_BITS = 256
 #: Signatures or shingles that a task holds before it hands them on.
 HELD = 500_000
@@ -163,10 +163,10 @@ def _bounded(percent: int):
 
 
 def _items(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(key, cls, items) for wanted(key, cls), from the text of a document of each class."""
-    wanted = saved(wanted.join(classes.select("cls", F.col("doc_id").alias("id")), "cls"))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select("key", "cls", "text")
+    """(key, cls, items) for wanted(key, cls), from the text of a row of each class."""
+    wanted = saved(wanted.join(classes.select("cls", "mark"), "cls"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_MARKS else wanted
+    texts = docs.join(wanted, "mark").select("key", "cls", "text")
     return texts.mapInArrow(_sets(size), "key long, cls long, items array<long>")
 
 
@@ -247,9 +247,11 @@ def _prefix_pairs(rare: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_members(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """For each row of docs(doc_id, mark, text): doc_id, mark, n and label, which linked rows share; a row without shingles has no label."""
+    """For each row of docs(doc_id, mark, text): doc_id, mark, n and label, which linked rows share; a row without shingles has no label.
+
+    mark is a hash of id and text: rows of one id, or of none, fetch their shingles each by their own."""
     members = saved(docs.mapInArrow(_members(size), "doc_id long, mark long, cls long, n long, bits binary"))
-    classes = saved(members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    classes = saved(members.filter("n > 0").groupBy("cls").agg(F.min("mark").alias("mark"), F.min("n").alias("n"), F.min("bits").alias("bits")))
     labels = _labelled(classes.select("cls"), components(_links(docs, classes, size, percent))).withColumn("filled", F.lit(True))
     own = members.select("doc_id", "mark", "cls", "n", (F.col("n") > 0).alias("filled"))
     return own.join(labels, ["cls", "filled"], "left").select("doc_id", "mark", "n", "label")
@@ -257,7 +259,7 @@ def jaccard_members(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that its links reach, itself included)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("mark"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("mark"), F.col(text_col).alias("text"))
     rows = saved(jaccard_members(docs, size, percent))
     smallest = saved(rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id")))
     out = rows.join(smallest, "label", "left")
