@@ -1,9 +1,11 @@
 """Quality rules: fixed base limits, and adaptive fences from mergeable quantile sketches by language and source.
 
-Each document gets rates of symbols, capitals, repeated lines, repeated words, and its mean word length, in
-thousandths. A sketch of a rate is its histogram over buckets that grow by GAMMA (relative error below
+Each document gets rates of capitals, repeated lines, repeated words, and its mean word length, in
+thousandths, and of symbols in millionths with one added to the symbols and the characters: texts without symbols
+then differ by what their length can show. A sketch of a rate is its histogram over buckets that grow by GAMMA (relative error below
 (GAMMA - 1) / 2) of the documents that pass the base limits: counts add up, so sketches of sources merge into that of a language, and of languages into
-one of all. A sketch's fence is its upper quantile plus a margin of what lies between that and its median. A group's fence is the mean
+one of all. A sketch's fence is its upper quantile plus a margin of what lies between that and its median; that of symbols, whose
+rates go by ratios, is the quantile times a power of its ratio to the median. A group's fence is the mean
 of its own and its language's, weighted by documents against SHRINK, and the language's likewise with that of all: small groups lean on
 larger ones without a switch. Documents beyond a fence are rejected by a join on the group.
 
@@ -22,8 +24,10 @@ from logsignals.llm.textual import SPACE, WORD, saved, table
 WINDOW = 8
 #: Growth of the sketch's buckets, and documents that a group's own fence needs to count as much as the larger group's.
 GAMMA, SHRINK = 1.02, 500.0
-#: Rates in thousandths: (upper quantile in thousandths, margin, least distance of the quantile from the median, about the resolution of a short text).
-RATES = {"symbols": (750, 8.0, 5), "capitals": (900, 6.0, 5), "dup_lines": (990, 1.5, 20), "repeats": (990, 2.0, 20), "word_length": (750, 8.0, 20)}
+#: Rates: (upper quantile in thousandths, margin, least distance of the quantile from the median, about the resolution of a short text).
+#: For those of RATIO the margin is an exponent and the least distance a ratio.
+RATES = {"symbols": (750, 4.0, 1.4), "capitals": (900, 10.0, 5), "dup_lines": (990, 1.5, 20), "repeats": (975, 2.3, 100), "word_length": (750, 10.0, 20)}
+RATIO = ("symbols",)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rows of fences up to which they are broadcast to the documents (some MB); beyond, a shuffled join.
 BROADCAST_ROWS = 50_000
@@ -76,7 +80,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     per = lambda a, b: F.floor(F.col(a) * 1000 / F.greatest(F.col(b), F.lit(1))).cast("long")
     return out.withColumns({
         "base_failed": (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30),
-        "symbols": per("n_symbols", "word_chars"), "capitals": per("_w.capitals", "word_chars"), "dup_lines": per("_l.dup", "_l.n"),
+        "symbols": F.floor((F.col("n_symbols") + 1) * 1_000_000 / (F.col("word_chars") + 1)).cast("long"), "capitals": per("_w.capitals", "word_chars"), "dup_lines": per("_l.dup", "_l.n"),
         "repeats": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words"),
     }).drop("_w", "_l")
 
@@ -98,7 +102,10 @@ def _fenced(counts: DataFrame, keys: list[str]) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("below") * 1000 >= F.col("all") * q, F.col("bucket")))
     value = lambda b: F.when(b == 0, 0.0).otherwise(F.pow(F.lit(GAMMA), b - 0.5))
     q = run.groupBy(*keys, "rate").agg(F.first("all").alias("docs"), value(at(F.lit(500.0))).alias("mid"), value(at(of_rate(0))).alias("high"))
-    return q.select(*keys, "rate", "docs", (F.col("high") + of_rate(1) * F.greatest(F.col("high") - F.col("mid"), of_rate(2))).alias("fence"))
+    high, mid = F.greatest("high", F.lit(1.0)), F.greatest("mid", F.lit(1.0))
+    by_ratio = high * F.pow(F.greatest(high / mid, of_rate(2)), of_rate(1))
+    by_distance = F.col("high") + of_rate(1) * F.greatest(F.col("high") - F.col("mid"), of_rate(2))
+    return q.select(*keys, "rate", "docs", F.when(F.col("rate").isin(*RATIO), by_ratio).otherwise(by_distance).alias("fence"))
 
 
 def fences(counts: DataFrame) -> DataFrame:
@@ -133,14 +140,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rates = {"symbols": "n_symbols * 1000 // greatest(word_chars, 1)", "capitals": "n_capitals * 1000 // greatest(word_chars, 1)", "dup_lines": "n_dup_lines * 1000 // greatest(n_lines, 1)", "repeats": "n_repeat_words * 1000 // greatest(n_words, 1)", "word_length": "word_chars * 1000 // greatest(n_words, 1)"}
+    rates = {"symbols": "(n_symbols + 1) * 1000000 // (word_chars + 1)", "capitals": "n_capitals * 1000 // greatest(word_chars, 1)", "dup_lines": "n_dup_lines * 1000 // greatest(n_lines, 1)", "repeats": "n_repeat_words * 1000 // greatest(n_words, 1)", "word_length": "word_chars * 1000 // greatest(n_words, 1)"}
     case = lambda i: f"CASE rate {' '.join(f"WHEN '{r}' THEN {float(v[i])}::DOUBLE" for r, v in RATES.items())} END"
     value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE pow({GAMMA}::DOUBLE, {b} - 0.5::DOUBLE) END"
+    by_ratio = f"greatest(high, 1) * pow(greatest(greatest(high, 1) / greatest(mid, 1), {case(2)}), {case(1)})"
+    in_ratio = ", ".join(f"'{r}'" for r in RATIO)
     quart = lambda name, keys: f"""
 {name} AS (SELECT {keys} rate, max(total) AS docs, min(CASE WHEN below * 1000 >= total * 500.0::DOUBLE THEN bucket END) AS b1, min(CASE WHEN below * 1000 >= total * {case(0)} THEN bucket END) AS b2
   FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} rate ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {keys} rate) AS total FROM (SELECT {keys} rate, bucket, sum(n) AS n FROM sk GROUP BY ALL))
   GROUP BY {keys} rate),
-{name}f AS (SELECT {keys} rate, docs, high + {case(1)} * greatest(high - mid, {case(2)}) AS fence FROM (SELECT *, {value('b1')} AS mid, {value('b2')} AS high FROM {name}))"""
+{name}f AS (SELECT {keys} rate, docs, CASE WHEN rate IN ({in_ratio}) THEN {by_ratio} ELSE high + {case(1)} * greatest(high - mid, {case(2)}) END AS fence FROM (SELECT *, {value('b1')} AS mid, {value('b2')} AS high FROM {name}))"""
     shrunk = lambda n, fence, towards: f"(({n} * {fence} + {SHRINK}::DOUBLE * {towards}) / ({n} + {SHRINK}::DOUBLE))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),

@@ -401,8 +401,8 @@ def test_quality_keeps_clean_documents(spark):
     rated = textual.saved(op9.features(docs).drop("text"))
     limits = op9.fences(op9.sketches(rated)).toPandas()
     for r in op9.RATES:
-        if r != "symbols":  # clean texts have none here, so that its fence is the resolution everywhere
-            assert limits[f"fence_{r}"].nunique() > 10
+        assert limits[f"fence_{r}"].nunique() > 10
+    assert (limits.fence_repeats < 300).mean() > 0.9  # below the base limit, so that it can decide
     got = op9.judged(rated, textual.saved(spark.createDataFrame(limits))).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
     good = got[(got.quality == 1) & ~got.base_failed]
     assert good.kept.mean() > 0.999 and got[got.quality == 0].kept.mean() < 0.05
@@ -413,11 +413,15 @@ def test_quality_fences_follow_their_group(spark):
     word = lambda n, up: "".join(rng.choice(list("abcdefgh"), n)).capitalize() if up else "".join(rng.choice(list("abcdefgh"), n))
     text = lambda n, up: " ".join(word(n, i < up) for i in range(100))
     rows = [(i, text(5 + (i % 10 == 0), 4 + i % 3), "en", "prose") for i in range(900)] + [(1000 + i, text(9 + i % 3, 30 + i % 9), "fr", "code") for i in range(900)]
-    odd = {5000: (text(14, 4), "prose"), 5001: (text(14, 30), "code"), 5002: (text(5, 45), "prose"), 5003: (text(9, 45), "code"), 5004: (text(5, 4) + " $$$$$$$$$$$$ " * 4, "prose")}
+    again, line = text(5, 0).split(" ")[:14], " ".join(text(5, 4).split(" ")[:4])
+    spread = text(5, 4).split(" ")
+    twice = " ".join(spread[:30] + again + spread[30:60] + again + spread[60:72])  # 28 of 100 words repeat
+    lines = "\n".join([line, *(" ".join(spread[i : i + 10]) for i in range(0, 100, 10)), line])
+    odd = {5000: (text(14, 4), "prose"), 5001: (text(14, 30), "code"), 5002: (text(5, 45), "prose"), 5003: (text(9, 45), "code"), 5004: (text(5, 4) + " $$$$$$$$$$$$ " * 4, "prose"), 5005: (twice, "prose"), 5006: (lines, "prose")}
     rows += [(i, t, "en" if s == "prose" else "fr", s) for i, (t, s) in odd.items()] + [(6000, "too short", "xx", "alone")]
     got = {r.doc_id: (r.base_failed, r.kept) for r in op9.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert len(got) == len(rows) and all(got[i][1] for i, *_ in rows[:1800])
-    assert [got[i][1] for i in odd] == [False, True, False, True, False] and got[6000] == (True, False)
+    assert len(got) == len(rows) and all(got[i][1] for i, *_ in rows[:1800]) and not any(got[i][0] for i in odd)
+    assert [got[i][1] for i in odd] == [False, True, False, True, False, False, False] and got[6000] == (True, False)
 
 
 def test_url_parts_and_rules(spark):
