@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from logsignals import tables
 from logsignals.functions import stats as T
 from logsignals.operators import baselines as B
 from logsignals.operators import batching as W
@@ -297,3 +298,16 @@ def test_sketches_unite(spark):
     rows = spark.range(40_000).select((F.col("id") % 10).alias("g"), F.format_string("v%d", F.col("id") % 9_000).alias("v"))
     about = T.sketched(rows, ["g"], ["v"]).agg(F.hll_sketch_estimate(F.hll_union_agg("v"))).first()[0]
     assert abs(about - 9_000) < 0.03 * 9_000
+
+
+def test_exchanges_have_as_many_parts_as_their_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    values = [(i, (i * 7919) % 2003 if i % 50 else None) for i in range(2003)]
+    df = spark.createDataFrame(values, "id long, v long")
+    got = W.ranked(df, ["v", "id"], "n")
+    assert len({r.p for r in got.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 1 and tables.enough_parts(df) == 21
+    want = {i: n for n, (i, _) in enumerate(sorted(values, key=lambda x: (x[1] is not None, x[1] or 0, x[0])))}
+    assert {r.id: r.n for r in got.collect()} == want
+    logs = got.select((F.col("n") % 40).alias("batch_id"), F.lit("a").alias("ip"), F.col("n").alias("sec"), F.col("n").alias("rec_id"), F.lit(401).alias("status"))
+    assert A.by_batch(logs).rdd.getNumPartitions() == 21
+    assert {r.streak for r in A.failure_streaks(logs).collect()} == {50, 51}
