@@ -311,3 +311,24 @@ def test_exchanges_have_as_many_parts_as_their_rows_need(spark, monkeypatch):
     logs = got.select((F.col("n") % 40).alias("batch_id"), F.lit("a").alias("ip"), F.col("n").alias("sec"), F.col("n").alias("rec_id"), F.lit(401).alias("status"))
     assert A.by_batch(logs).rdd.getNumPartitions() == 21
     assert {r.streak for r in A.failure_streaks(logs).collect()} == {50, 51}
+
+
+def test_scenarios_say_what_the_expressions_say(spark):
+    from logsignals.sources import views as V
+
+    at = spark.range(0, 3 * V.PERIOD * V.WINDOW, 7).withColumns({"b": F.expr("id div 500"), "i": F.expr("id % 500"), "m": F.expr("(id div 500) % 10"), "l_suppkey": F.expr("id % 1013"), "l_partkey": F.expr("id % 20011"), "l_quantity": F.expr("cast(id % 50 as double)")})
+    plain = at.withColumns({k: F.expr(e) for k, e in V._FLAGS.items()}).select((F.col("id") % (V.PERIOD * V.WINDOW)).alias("_at"), *(F.expr(e.format(div="div", text="string")).alias(f"want_{c}") for c, e in V._PLANTED.items()))
+    both = plain.join(V.scenarios(spark), "_at")
+    assert both.count() == at.count()
+    for c in ("tenant", "status", "attack_category", "ip", "endpoint", "latency"):
+        assert both.filter(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"want_{c}"))).isEmpty(), c
+    own = {"ip": "10.0.%", "endpoint": "/port_%"}
+    assert all(both.filter(F.col(c).isNull() & ~F.col(f"want_{c}").like(p)).isEmpty() for c, p in own.items())
+
+
+def test_injections_are_found_where_texts_look_plain(spark):
+    ends = ["/etc/passwd", "/WINDOWS/system32/x", "/proc/self/fd", "/a%3Cscript%3E", "/x?onload=1", "/b;ls", "/port_80", "/plain/path_9"]
+    rows = [("t", 0, "1.1.1.1", e, n, n, 1.0, 200) for n, e in enumerate(ends)]
+    df = spark.createDataFrame(rows, "tenant string, batch_id long, ip string, endpoint string, rec_id long, sec long, latency double, status int")
+    assert A.endpoint_profile(A.by_batch(df)).first().hits == A.injections(df).first().hits == 6
+    assert not {f.dataType.typeName() for f in A.client_profile(A.by_batch(df.withColumn("tenant", F.lit("t")))).schema} & {"array", "struct"}
