@@ -138,6 +138,17 @@ def test_similar_sets_equal_brute_force(spark):
         assert {(r.a, r.b): r.similarity for r in T.set_similarity(df, "g", "m", percent).collect()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("most", [7, 4096])
+def test_crowded_sets_meet_by_blocks_and_no_pair_is_shuffled(spark, most):
+    rng = np.random.default_rng(9)
+    sets = {f"g{g:03}": {"all"} | {f"m{x}" for x in range(40 * (g % 2))} | {f"m{x}" for x in rng.integers(0, 90, 12)} for g in range(90)}
+    df = spark.createDataFrame([(g, m) for g, own in sets.items() for m in own] + [("g000", None), (None, "all"), ("lone", "only")], "g string, m string")
+    similar = T.set_similarity(df, "g", "m", 30, most)
+    assert "Aggregate" not in similar._jdf.queryExecution().optimizedPlan().toString()  # pairs are counted where blocks meet
+    want = sorted((a, b, round(len(x & y) / len(x | y), 4)) for a, x in sets.items() for b, y in sets.items() if a < b and 100 * len(x & y) >= 30 * len(x | y))
+    assert len(want) > 900 and sorted((r.a, r.b, r.similarity) for r in similar.collect()) == want
+
+
 def test_injection_scan_and_sequence_fire(spark):
     assert found(spark, NOISE + [("1.1.1.1", "/s?q=%3Cscript%3E", 200, 1, 5)] * 3, "payload", 5).threat == "WEB_ATTACK"  # injections need no warm-up
     assert found(spark, [("1.1.1.1", f"/port_{20 + 7 * i}", 200, 1, 5) for i in range(400)], "payload").threat == "PORT_SCAN"
