@@ -332,3 +332,49 @@ def test_injections_are_found_where_texts_look_plain(spark):
     df = spark.createDataFrame(rows, "tenant string, batch_id long, ip string, endpoint string, rec_id long, sec long, latency double, status int")
     assert A.endpoint_profile(A.by_batch(df)).first().hits == A.injections(df).first().hits == 6
     assert not {f.dataType.typeName() for f in A.client_profile(A.by_batch(df.withColumn("tenant", F.lit("t")))).schema} & {"array", "struct"}
+
+
+def test_one_pass_says_what_windows_and_aggregates_say(spark):
+    from logsignals.operators.batch_profile import batch_profile
+
+    rng = np.random.default_rng(3)
+    odd = ["/etc/passwd", "/x?onload=1", "/item?id=1%27%20or%201", "/port_80/x", "/port_022", "/port_-5", "/port_+7", "/port_99999999999", "/api/7", "/port_unknown", None, *(f"/port_{n}" for n in (22, 80, 443, 8080, 9100, 49151, 49152))]
+    rows = []
+    for n in range(3000):
+        ip = rng.choice(["a", "b", "c", "d", "e", "f"]) if rng.random() < 0.6 else f"10.0.0.{rng.integers(0, 200)}"
+        run = f"/page/{1 + n % 40}" if ip == "b" else str(rng.choice([e for e in odd if e])) if rng.random() < 0.7 else f"/port_{rng.integers(0, 60000)}"
+        rows.append((f"t{n // 1500}", n // 500, None if n % 97 == 0 else str(ip), None if n % 89 == 0 else run, n, 2 * n if ip != "c" else n - n % 10, float(rng.integers(0, 100000)) / 10, int(rng.choice([200, 401, 403, 500])), str(rng.choice(["Benign", "DoS", "Botnet"]))))
+    df = spark.createDataFrame(rows, "tenant string, batch_id long, ip string, endpoint string, rec_id long, sec long, latency double, status int, attack_category string")
+    dealt = A.by_batch(df)
+    got = batch_profile(df, ("a",)).toPandas().set_index("batch_id")
+    clients, ends = A.client_profile(dealt).toPandas(), A.endpoint_profile(dealt).toPandas()
+    counts = A.endpoint_counts(df).toPandas()
+    for b, mine in clients.groupby("batch_id"):
+        row, told = got.loc[b], ends[ends.batch_id == b]
+        assert (row.total, row.unique_ips, row.failures, row.top_failures, row.streak, row.off) == (mine.n.sum(), len(mine), mine.failures.sum(), mine.failures.max(), mine.streak.max(), mine.off.sum())
+        assert row.sequential_ips == (mine.run >= 10).sum() and row.lat == pytest.approx(mine.lat.sum()) and row.cusum_peak == pytest.approx(mine[mine.gaps >= 6].peak.max())
+        assert row.hits == told.hits.sum() and row.max_entropy == told.entropy.max() and row.entropies == told.entropy.notna().sum() and row.known_bad
+        best = told.sort_values(["entropy", "served_first"], ascending=[False, True]).iloc[0]
+        assert (row.e["ip"], row.e["n_distinct"], row.e["low_port"], row.e["unusual"], row.e["n"]) == (best.ip, best.n_distinct, best.low_port, best.unusual, best.n)
+        others = told[told.entropy.notna() & (told.index != best.name)].entropy
+        assert row.rest_mean == pytest.approx(others.mean()) and row.rest_std == pytest.approx(others.std(ddof=1))
+        most = counts[counts.batch_id == b].sort_values(["n", "first"], ascending=[False, True]).head(10)
+        assert [(x["endpoint"], x["n"]) for x in row.rates] == [(None if e is None or e != e else e, n) for e, n in zip(most.endpoint, most.n)]
+        assert sum(x["n"] for x in row.clients) == row.total and len(row.clients) == row.unique_ips
+    want = {r.batch_id: (r.attack_ratio, r.majority, r.dominant_attack) for r in A.truth(df).collect()}
+    assert {b: (r.attacks / r.total, r.majority, r.dominant_attack) for b, r in got.iterrows()} == want
+    pair = {r.batch_id: (r.pair_ip, r.pair_endpoint, r.pair_count, r.saturation, r.slow_count) for r in A.saturation(df).collect()}
+    assert {b: (r.pair["ip"], r.pair["endpoint"], r.pair["n"], r.pair["n"] / r.pair["ep_total"], r.slow_pair["n"] if r.slow_pair else 0) for b, r in got.iterrows()} == pair
+    logs = spark.range(0, 100).select(F.lit("t").alias("tenant"), F.col("id").alias("batch_id"), *(F.col("id").alias(c) for c in ("rec_id", "sec")), *(F.lit("x").alias(c) for c in ("ip", "endpoint", "attack_category")), F.lit(200).alias("status"), F.lit(1.0).alias("latency"))
+    plan = batch_profile(logs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_moments_of_long_frames(spark):
+    values = [None if i % 11 == 3 else 0.3 if i < 40 else float(i % 13) for i in range(120)]
+    df = spark.createDataFrame([("t", i, v) for i, v in enumerate(values)], "tenant string, batch_id long, m double")
+    got = {r.batch_id: (r.m_mean, r.m_std) for r in B.distribution(df, "m", 20, 32).collect()}
+    for i in range(120):
+        past = [v for v in values[max(0, i - 19): i + 1] if v is not None]
+        assert got[i] == (pytest.approx((np.mean(past), np.std(past)), abs=1e-12) if len(past) >= 5 else (None, None))
+    assert got[30] == (0.3, 0.0)  # equal entries have no deviation
