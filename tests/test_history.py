@@ -378,3 +378,15 @@ def test_moments_of_long_frames(spark):
         past = [v for v in values[max(0, i - 19): i + 1] if v is not None]
         assert got[i] == (pytest.approx((np.mean(past), np.std(past)), abs=1e-12) if len(past) >= 5 else (None, None))
     assert got[30] == (0.3, 0.0)  # equal entries have no deviation
+
+
+def test_history_of_clients_that_stand_once(spark):
+    from logsignals.operators import fusion as U
+
+    logs = spark.createDataFrame([(b, ip) for b in range(30) for ip in ("a", "b", None, f"c{b % 7}") for _ in range(2)], "batch_id long, ip string")
+    verdicts = spark.createDataFrame([(b, b % 3 == 0, b / 30) for b in range(30)], "batch_id long, is_attack boolean, confidence double")
+    rows = lambda df: sorted(map(repr, df.select("batch_id", "ip", "is_attack", "confidence", "rn").collect()))
+    want = rows(U.ip_history(logs, verdicts, 5, 8))
+    assert rows(U.ip_history(logs.distinct(), verdicts, 5, 8, once=True)) == want
+    plan = U.ip_history(logs.distinct(), verdicts, 5, 8, once=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # that of the test's own distinct
