@@ -2,13 +2,16 @@
 
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logsignals.llm import op1_secret_scans as op1
+from logsignals.llm import op2_lm_scoring as op2
 from logsignals.llm import op7_token_counts as op7
 
 JOINED = re.compile(r"^(?:[A-Z]?[a-z]+[/_=+-]+)+[A-Za-z]*[0-9]{0,4}$")
@@ -55,3 +58,17 @@ def test_odd_runs_of_any_length(monkeypatch):
     monkeypatch.setattr(op7, "TOGETHER", 100)  # a few prefixes at once
     word = "é" * 60
     assert op7.PrefixCounter(path).within(word).tolist() == [len(library.encode(word[:k], add_special_tokens=False).ids) for k in range(len(word) + 1)]
+
+
+def test_words_are_counted_in_parts_and_sums_by_gate_are_those_of_gates(monkeypatch):
+    texts = ["The the cat", None, "", "aÉ CAT\x0bsat " * 3, "on the mat"]
+    monkeypatch.setattr(op2, "HELD", 2)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string())], ["text"]) for x in (texts[:3], texts[3:])]
+    got, parts = Counter(), 0
+    for part in op2._counted(iter(batches)):
+        parts += 1
+        got.update(dict(zip(part.column(0).to_pylist(), part.column(1).to_pylist())))
+    assert parts > 1 and got == Counter(w for t in texts for w in (t or "").encode().lower().split())
+    gate, values = np.arange(1000) * 7 % op2.GATES, np.arange(1000.0)
+    apart = gate * op2.LANES + np.arange(1000) % op2.LANES
+    assert (op2._by_gate(apart, values) == np.bincount(gate, values, op2.GATES)).all() and (op2._by_gate(apart) == np.bincount(gate, minlength=op2.GATES)).all()
