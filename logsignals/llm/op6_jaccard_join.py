@@ -60,7 +60,7 @@ def _members(size: int):
 
 
 def _signature_rows(size: int, percent: int):
-    """For mapInArrow over text: (key, cls, via). Of the classes of some HELD signatures, the smallest of each signature has that as its key; the others have (signature, smallest) in via and a key of their own."""
+    """For mapInArrow over text: (key, cls, via). Of the classes of some HELD signatures, the smallest of each signature has that as its key, and an empty via if there are others; those have (signature, smallest) in via and a key of their own."""
 
     def dealt(sigs: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         cls = np.repeat(np.fromiter(sigs, np.int64, len(sigs)), [len(x) for x in sigs.values()])
@@ -69,11 +69,13 @@ def _signature_rows(size: int, percent: int):
         first = np.append(True, sig[order][1:] != sig[order][:-1])
         least, alone = np.empty_like(cls), np.empty(len(cls), bool)
         least[order], alone[order] = cls[order][np.flatnonzero(first)[np.cumsum(first) - 1]], first
-        yield _rows(sig[alone], cls[alone], None)  # in the order of classes, which compresses well
+        more = np.empty(len(cls), bool)
+        more[order] = first & ~np.append(first[1:], True)
+        yield _rows(sig[alone], cls[alone], np.zeros(alone.sum(), np.int64), np.empty(0, np.int64), ~more[alone])  # in the order of classes, which compresses well
         if not alone.all():
             with np.errstate(over="ignore"):
                 own = sig[~alone] + cls[~alone] * np.int64(0x9E3779B1)
-            yield _rows(own, cls[~alone], np.stack([sig[~alone], least[~alone]], 1))
+            yield _rows(own, cls[~alone], np.full(len(own), 2), np.stack([sig[~alone], least[~alone]], 1).ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs: dict[int, np.ndarray] = {}
@@ -93,8 +95,8 @@ def _signature_rows(size: int, percent: int):
     return run
 
 
-def _rows(key: np.ndarray, cls: np.ndarray, via: np.ndarray | None) -> pa.RecordBatch:
-    held = pa.nulls(len(key), pa.list_(pa.int64())) if via is None else pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(key) + 1, 2), pa.int32()), pa.array(via.ravel()))
+def _rows(key: np.ndarray, cls: np.ndarray, sizes: np.ndarray, via: np.ndarray, none: np.ndarray | None = None) -> pa.RecordBatch:
+    held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(via), mask=None if none is None else pa.array(none))
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), held], ["key", "cls", "via"])
 
 
@@ -199,13 +201,15 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     """Links (a, b) between classes: not all, but enough for the same components."""
     w = Window.partitionBy("key")
     rows = docs.select("text").mapInArrow(_signature_rows(size, percent), "key long, cls long, via array<long>")
-    met = rows.withColumns({"rep": F.min("cls").over(w), "last": F.max("cls").over(w)}).filter("rep <> last OR via IS NOT NULL")
-    met = saved(met.select(F.coalesce(F.col("via")[0], "key").alias("sig"), "cls", F.coalesce(F.col("via")[1], "rep").alias("rep")))
+    other = F.coalesce(F.size("via") > 0, F.lit(False))
+    two = (F.count("*").over(w) == 2) & (F.count("via").over(w) == 0)  # its one pair is verified by its star: such a signature isn't looked at again
+    met = rows.withColumns({"rep": F.min("cls").over(w), "last": F.max("cls").over(w), "two": two}).filter(other | ((F.col("rep") != F.col("last")) & ~(F.col("two") & (F.col("cls") == F.col("rep")))))
+    met = saved(met.select(F.coalesce(F.get("via", F.lit(0)), "key").alias("sig"), "cls", F.coalesce(F.get("via", F.lit(1)), "rep").alias("rep"), "two"))
 
     star = met.filter("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
     first = _verified(docs, classes, star, size, percent)
 
-    parts = _labelled(met.select("sig", "cls").distinct(), components(first))
+    parts = _labelled(met.filter("NOT two").select("sig", "cls").distinct(), components(first))
     open_ = _open(parts, "sig")
     sizes = classes.select("cls", "n")
     few = saved(open_.filter(F.col("rows") <= CROWDED).join(sizes, "cls"))

@@ -224,3 +224,32 @@ def test_index_leaves_out_what_norms_cover():
         i, r, s = index.reach(x, least)
         want = np.nonzero(scores >= least[:, None])
         assert sorted(zip(i, r)) == sorted(zip(*want)) and (s == scores[i, r]).all()
+
+
+def test_signatures_of_one_pair_are_looked_at_once(spark, monkeypatch):
+    """Documents that share a run of words but aren't alike meet once, by their signature's star, and components are those of brute force."""
+    from logsignals.llm import op6_jaccard_join as op6
+
+    rng = np.random.default_rng(3)
+    base = [[f"w{int(x)}" for x in rng.integers(0, 10**6, 60)] for _ in range(30)]
+    rows = []
+    for i, words in enumerate(base):
+        for edits in range(3):
+            own = list(words)
+            for e in range(edits):
+                own[5 + 20 * e] = f"e{i}"
+            rows.append((3 * i + edits, " ".join(own)))
+    rows.append((1000, " ".join(base[0][:30] + base[1][30:])))
+    monkeypatch.setattr(op6, "HELD", 200)
+    got = {r.doc_id: r.component_id for r in op6.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
+    parent = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+    assert got == parent and len(set(parent.values())) < len(rows)
+    keys = np.arange(4)
+    held = op6._rows(keys, keys, np.array([0, 0, 0, 2]), np.array([7, 8]), np.array([True, False, True, False])).column(2).to_pylist()
+    assert held == [None, [], None, [7, 8]]
